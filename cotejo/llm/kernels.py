@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 BLOCK = 1 << 20
 U64 = np.uint64
@@ -164,3 +165,8 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
         out = np.minimum(out[: len(out) - step], out[step:])
         have += step
     return out
+
+
+def extended(schema: T.StructType, *added: str) -> T.StructType:
+    """The schema with fields added, each as "name type"."""
+    return T.StructType(schema.fields + T._parse_datatype_string(", ".join(added)).fields)

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.llm.decontam import contamination
+from cotejo.llm.packing import pack
+from cotejo.llm.quality import MEASURES, judge
 from cotejo.llm.substring import remove_repeats
 
 
@@ -14,6 +17,72 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, _table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP1_SQL = r"""
+WITH fold AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM fold),
+item AS (SELECT DISTINCT id AS item_id, least(10, len(ws)) AS k, array_to_string(ws[a:a + least(10, len(ws)) - 1], ' ') AS g
+         FROM (SELECT id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS a FROM w WHERE kind = 'i' AND len(ws) > 0)),
+doc AS (SELECT id AS doc_id, a, k, array_to_string(ws[a:a + k - 1], ' ') AS g
+        FROM (SELECT id, ws, k, unnest(range(1, len(ws) - k + 2)) AS a FROM w, (SELECT DISTINCT k FROM item) WHERE kind = 'd' AND len(ws) >= k)),
+hit AS (SELECT doc_id, a, k, item_id FROM doc JOIN item USING (k, g)),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + k)) AS j FROM (SELECT DISTINCT doc_id, a, k FROM hit)) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n ON n.doc_id = w.id LEFT JOIN it ON it.doc_id = w.id WHERE kind = 'd'
+"""
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return judge(docs).select("doc_id", *MEASURES, "base_failed", "kept")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+line AS (SELECT doc_id, l, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l),
+dup AS (SELECT doc_id, sum(c - 1) AS n_dup FROM line GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n_rep FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
+m AS (SELECT d.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(ws, '')), 0) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
+f AS (SELECT *, (base_failed OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > n_words) AS failed FROM b),
+h AS (SELECT source AS host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed AS INTEGER)) AS DOUBLE) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h),
+q AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM p),
+r AS (SELECT host, (bad + m * s) / (n + s) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(rate, 0) <= 0.5) AS kept
+FROM f LEFT JOIN r ON host = source
+"""
+
+
+def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = pack(_table(spark, sf_dir, "documents"), tokenizer)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -33,5 +102,10 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_substring_dedup": op8_substring_dedup}
-ORACLES: dict[str, str] = {"op8_substring_dedup": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op10_packing": op10_packing,
+}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_substring_dedup": OP8_SQL}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm.exchange import keyed_rows, shared_keys, unpack
-from cotejo.llm.kernels import U64, blocks, covered, words
+from cotejo.llm.kernels import U64, blocks, covered, extended, words
 
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
             out = [batch.column(c) for c in kept_columns] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=[*kept_columns, "n_words", "n_removed", "kept"])
 
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    schema = extended(docs.schema, "n_words long", "n_removed long", "kept string")
     return docs.join(second.hint("shuffle_hash"), "doc_id", "left").mapInArrow(remove, schema)
 
 

@@ -3,7 +3,8 @@
 Each document is measured and fails or passes a few rules.  Failures are summed by host, and each
 host's failure rate is shrunk towards the corpus by a beta prior whose two parameters are fitted to
 the hosts' rates by moments (so a host of few documents keeps close to the corpus).  A host whose
-shrunk rate passes ``max_rate`` is rejected, and its verdict is joined back to its documents.
+shrunk rate passes ``max_rate`` is rejected with all its documents; one below ``trust_rate`` is
+trusted, and between the two each document stands by its own rules.  The verdicts are joined back.
 """
 
 from __future__ import annotations
@@ -90,14 +91,17 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     return hosts.withColumn("prior", prior).select("host", "n", "bad", ((F.col("bad") + F.col("prior.m") * F.col("prior.s")) / (F.col("n") + F.col("prior.s"))).alias("rate"))
 
 
-def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5, trust_rate: float = 0.05) -> DataFrame:
     """Every column of docs, with MEASURES, base_failed, host_rate (double) and kept (boolean).
 
-    docs has text and the column ``host``.  kept is false if base_failed, else whether the host's
-    shrunk rate is at most max_rate.  A document without a host has no host_rate and passes that
-    part; a null or empty text fails the base rules.  Columns of docs of the added names are replaced.
+    docs has text and the column ``host``.  kept is false if base_failed; else true for a host whose
+    shrunk rate is below trust_rate, false for one above max_rate, and otherwise whether the document
+    passes every rule itself, as for a document without a host (host_rate null).  A null or empty text
+    fails the base rules.  Columns of docs of the added names are replaced.
     """
     measured = measure(docs.drop("base_failed", "host_rate", "kept"))
     rates = host_rates(measured.select(host, *MEASURES), host).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
     joined = measured.join(rates, F.col(host) == F.col("_host"), "left").drop("_host")
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_rate))
+    return joined.withColumn("base_failed", base_failed()).withColumn(
+        "kept", ~F.col("base_failed") & F.when(F.col("host_rate") > max_rate, False).when(F.col("host_rate") < trust_rate, True).otherwise(~failed())
+    )

@@ -69,7 +69,7 @@ h AS (SELECT source AS host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed
 p AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM h),
 q AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS s FROM p),
 r AS (SELECT host, (bad + m * s) / (n + s) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(rate, 0) <= 0.5) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND CASE WHEN rate > 0.5 THEN false WHEN rate < 0.05 THEN true ELSE NOT failed END) AS kept
 FROM f LEFT JOIN r ON host = source
 """
 

@@ -22,7 +22,9 @@ REQUEST = "bucket int, keys binary, more binary, docs binary, base long, known b
 ANSWER = "doc_id long, keys binary"
 _REQUEST = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("known", pa.bool_())])
 _ANSWER = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
-PER_PARTITION = 16
+PER_PARTITION = 5
+#: Keys already answered travel in rows of so many.
+KNOWN_ROW = 1 << 16
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -48,9 +50,12 @@ def requests(keys: np.ndarray, more: np.ndarray | None, docs: np.ndarray, n_buck
             keys, docs = np.concatenate((keys, keys[also])), np.concatenate((docs, docs[also]))
             more = np.concatenate((more, more[also])) if more is not None else None
             known = np.concatenate((known, np.ones(len(also), bool)))
-    bucket = np.where(known, docs.astype(U64) % U64(n_buckets), keys >> U64(8) & U64((1 << 40) - 1)).astype(np.int64) % n_buckets
-    # known keys' documents are dealt by document; the first holder of each key goes to the key's bucket
-    part = bucket * 2 + known
+    bucket = (keys >> U64(8) & U64((1 << 40) - 1)).astype(np.int64) % n_buckets
+    # known keys go in a few rows to any bucket; the first holder of each key goes to the key's bucket
+    part = bucket * 2
+    at = np.flatnonzero(known)
+    for i in range(0, len(at), KNOWN_ROW):
+        part[at[i : i + KNOWN_ROW]] = bucket[at[i]] * 2 + 1
     order = np.argsort(part, kind="stable")
     part = part[order]
     cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)

@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from cotejo.llm.kernels import U64
 
-REQUEST = "bucket int, keys binary, more binary, docs binary, base long, known boolean"
+#: docs are offsets from base; every array is packed in as few bytes a value as its largest needs.
+REQUEST = "bucket int, n int, keys binary, more binary, docs binary, base long, known boolean"
 ANSWER = "doc_id long, keys binary"
-_REQUEST = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("known", pa.bool_())])
+_REQUEST = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("known", pa.bool_())])
 _ANSWER = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
 PER_PARTITION = 5
+#: Bytes of a key that are sent: FIND to find candidates, DECIDE and MORE to decide.
+FIND, DECIDE, MORE = 6, 8, 4
 #: Keys already answered travel in rows of so many.
 KNOWN_ROW = 1 << 16
 
@@ -32,8 +35,30 @@ def bucket_count(df: DataFrame) -> int:
     return PER_PARTITION * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def low_bytes(width: int) -> np.uint64:
+    return U64((1 << 8 * width) - 1)
+
+
+def narrow(values: np.ndarray, width: int | None = None) -> bytes:
+    """The low ``width`` bytes of each 64-bit value; None: as many as the largest needs."""
+    if width is None:
+        width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widen(packed: bytes, n: int) -> np.ndarray:
+    """The values that narrow packed."""
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(packed) // n] = np.frombuffer(packed, np.uint8).reshape(n, -1)
+    return out.reshape(-1).view(U64)
+
+
 def requests(keys: np.ndarray, more: np.ndarray | None, docs: np.ndarray, n_buckets: int, later_only: bool) -> pa.RecordBatch:
-    """Rows for one batch.  keys, more: the 64-bit halves of each key (more None: 64 bits suffice); docs: their documents."""
+    """Rows for one batch.  keys, more: two hashes of each key, of which DECIDE and MORE bytes count (more None: FIND of the first); docs: their documents."""
+    width = FIND if more is None else DECIDE
+    keys = keys & low_bytes(width)
+    more = more & low_bytes(MORE) if more is not None else None
     order = np.lexsort((docs, keys) if more is None else (docs, more, keys))
     keys, docs = keys[order], docs[order]
     more = more[order] if more is not None else None
@@ -65,29 +90,28 @@ def requests(keys: np.ndarray, more: np.ndarray | None, docs: np.ndarray, n_buck
         base = int(docs[at].min())
         off = docs[at] - base
         rows["bucket"].append(int(part[i] >> 1))
-        rows["keys"].append(keys[at].tobytes())
-        rows["more"].append(more[at].tobytes() if more is not None else None)
-        rows["docs"].append((off.astype(np.uint32) if off.max() < 1 << 32 else off).tobytes())
+        rows["n"].append(len(at))
+        rows["keys"].append(narrow(keys[at], width))
+        rows["more"].append(narrow(more[at], MORE) if more is not None and not part[i] & 1 else None)
+        rows["docs"].append(narrow(off.astype(U64)))
         rows["base"].append(base)
         rows["known"].append(bool(part[i] & 1))
     return pa.RecordBatch.from_pydict(rows, schema=_REQUEST)
 
 
-def _answers(docs: np.ndarray, keys: np.ndarray) -> pa.Table:
+def _answers(docs: np.ndarray, keys: np.ndarray, width: int) -> pa.Table:
     order = np.argsort(docs, kind="stable")
     docs, keys = docs[order], keys[order]
     cut = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(docs))[: len(cut)]
-    return pa.table({"doc_id": docs[cut], "keys": [keys[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]}, schema=_ANSWER)
+    return pa.table({"doc_id": docs[cut], "keys": [narrow(keys[i:j], width) for i, j in zip(cut, ends, strict=True)]}, schema=_ANSWER)
 
 
-def _resolver(later_only: bool) -> Callable[[pa.Table], pa.Table]:
+def _resolver(later_only: bool, width: int) -> Callable[[pa.Table], pa.Table]:
     def resolve(rows: pa.Table) -> pa.Table:
         parts = []
-        for keys, more, docs, base, known in zip(*(rows.column(c).to_pylist() for c in ("keys", "more", "docs", "base", "known")), strict=True):
-            k = np.frombuffer(keys, U64)
-            d = np.frombuffer(docs, np.uint32 if len(docs) == 4 * len(k) else np.int64).astype(np.int64) + base
-            parts.append((k, np.frombuffer(more, U64) if more is not None else np.zeros(len(k), U64), d, np.full(len(k), known)))
+        for n, keys, more, docs, base, known in zip(*(rows.column(c).to_pylist() for c in ("n", "keys", "more", "docs", "base", "known")), strict=True):
+            parts.append((widen(keys, n), widen(more, n) if more is not None else np.zeros(n, U64), widen(docs, n).astype(np.int64) + base, np.full(n, known)))
         keys, more, docs, known = (np.concatenate(x) for x in zip(*parts, strict=True))
         done_keys, done_docs = keys[known], docs[known]
         keys, more, docs = keys[~known], more[~known], docs[~known]
@@ -100,7 +124,7 @@ def _resolver(later_only: bool) -> Callable[[pa.Table], pa.Table]:
             if not later_only:  # the smallest holder hears of it too, when there is another
                 told[first[told]] = True
             done_keys, done_docs = np.concatenate((done_keys, keys[told])), np.concatenate((done_docs, docs[told]))
-        return _answers(done_docs, done_keys)
+        return _answers(done_docs, done_keys, width)
 
     return resolve
 
@@ -108,16 +132,17 @@ def _resolver(later_only: bool) -> Callable[[pa.Table], pa.Table]:
 def shared_keys(requested: DataFrame, later_only: bool) -> DataFrame:
     """(doc_id, keys: array of packed key arrays) of the keys that other documents hold.
 
-    later_only: only keys that a document with a smaller id holds; otherwise every key with another
-    holder.  Give ``requests`` the same value.
+    later_only: keys that a document with a smaller id holds, decided by DECIDE + MORE bytes; otherwise
+    every key with another holder, found by FIND bytes.  Give ``keyed_rows`` the same value.
     """
-    answers = requested.groupBy("bucket").applyInArrow(_resolver(later_only), ANSWER)
+    answers = requested.groupBy("bucket").applyInArrow(_resolver(later_only, DECIDE if later_only else FIND), ANSWER)
     return answers.groupBy("doc_id").agg(F.collect_list("keys").alias("shared"))
 
 
-def unpack(packed: list[bytes] | None) -> np.ndarray:
-    """The sorted keys of an answer; None has none."""
-    return np.unique(np.frombuffer(b"".join(packed), U64)) if packed else np.zeros(0, U64)
+def answered(keys: np.ndarray, packed: list[bytes] | None, width: int) -> np.ndarray:
+    """True for the keys that the answer has; width: FIND or DECIDE bytes of them count."""
+    joined = b"".join(packed or [])
+    return np.isin(keys & low_bytes(width), widen(joined, len(joined) // width))
 
 
 def keyed_rows(df: DataFrame, keys_of: Callable, later_only: bool) -> DataFrame:

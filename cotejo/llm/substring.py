@@ -7,7 +7,7 @@ period puts both on cover positions, and the run there lies inside both windows:
 that repeats holds an anchor that two documents share.
 
 1. Each document sends its anchors to their buckets; each bucket tells which ones are shared.
-2. Around shared anchors the match is extended to whole windows, whose 128-bit hashes are sent on;
+2. Around shared anchors the match is extended to whole windows, whose 96-bit hashes are sent on;
    a document hears of its windows that start in a document with a smaller id.
 3. The words those windows cover are removed.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.exchange import keyed_rows, shared_keys, unpack
+from cotejo.llm.exchange import DECIDE, FIND, answered, keyed_rows, shared_keys
 from cotejo.llm.kernels import U64, blocks, covered, extended, words
 
 #: Perfect difference covers by period.
@@ -76,7 +76,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
             starts = []
             for i in asked:
                 own = slice(cut[i], cut[i + 1])
-                hit = at[own][np.isin(h[own], unpack(shared[b.first + i].as_py()))]
+                hit = at[own][answered(h[own], shared[b.first + i].as_py(), FIND)]
                 low, high = w.first[i], w.first[i + 1] - window
                 s = np.unique((hit[:, None] - np.arange(period)).ravel())
                 starts.append(s[(s >= low) & (s <= high)])
@@ -101,7 +101,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
                     n, told, gone = high - low, shared[b.first + i], None
                     if told.is_valid and n >= window:
                         at = np.arange(low, high - window + 1)
-                        gone = covered(at[np.isin(w.window_hash(at, window), unpack(told.as_py()))] - low, window, n)
+                        gone = covered(at[answered(w.window_hash(at, window), told.as_py(), DECIDE)] - low, window, n)
                     left = np.arange(low, high) if gone is None else low + np.flatnonzero(~gone)
                     total.append(n)
                     removed.append(n - len(left))

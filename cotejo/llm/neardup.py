@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.exchange import FIND, keyed_rows, narrow, shared_keys, widen
+from cotejo.llm.exchange import FIND, Answers, keyed_rows, narrow, shared_keys, widen
 from cotejo.llm.kernels import LOWER, U64, blocks, mix, span_hash, words
 from cotejo.llm.saved import saved
 
@@ -159,8 +159,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return widen(b"".join(batch.column("keys").to_pylist()), len(batch) * bands), None, np.repeat(batch.column("doc_id").to_numpy(), bands)
 
     banded = signed.select("doc_id", "keys").where("keys IS NOT NULL").join(chosen, "doc_id", "left_semi")
-    shared = saved(shared_keys(keyed_rows(banded, keys_of, False), False))
+    shared = shared_keys(keyed_rows(banded, keys_of, False), False)
 
+    def unpack(rows: pa.Table) -> pa.Table:
+        found = Answers(rows, FIND)
+        own = np.unique(np.rec.fromarrays((found.docs, found.keys)))
+        _, which, count = np.unique(own.f0, return_inverse=True, return_counts=True)
+        return pa.table({"key": own.f1.astype(np.int64), "doc": own.f0, "degree": count[which]})
+
+    members = saved(shared.groupBy("part").applyInArrow(unpack, "key long, doc long, degree long"))
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, registers = [], []
@@ -169,20 +176,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
                 registers.append(sketch.registers(own).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "set", "registers"])
 
-    sets = saved(docs.join(shared.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(contents, "doc_id long, set binary, registers binary"))
+    sets = saved(docs.join(members.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(contents, "doc_id long, set binary, registers binary"))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids, degrees = [], [], []
-            for doc, packed in zip(batch.column("doc_id").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-                joined = b"".join(packed)
-                own = np.unique(widen(joined, len(joined) // FIND))
-                keys.append(own.astype(np.int64))
-                ids.append(np.full(len(own), doc))
-                degrees.append(np.full(len(own), len(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, ids, degrees)], names=["key", "doc", "degree"])
-
-    members = shared.mapInArrow(explode, "key long, doc long, degree long")
     centres = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("top"), F.count("*").alias("n"))
     centres = centres.where("n > 1").select("key", (-F.col("top.doc")).alias("centre"))
     pairs = saved(members.join(centres, "key").where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct())

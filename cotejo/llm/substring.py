@@ -14,14 +14,11 @@ that repeats holds an anchor that two documents share.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cotejo.llm.exchange import DECIDE, FIND, answered, keyed_rows, shared_keys
+from cotejo.llm.exchange import REQUEST, Answers, bucket_count, keyed_rows, parted, requests, shared_keys, with_answers
 from cotejo.llm.kernels import U64, blocks, covered, extended, words
 
 #: Perfect difference covers by period.
@@ -47,7 +44,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
     """
     if period not in COVERS or period > window:
         raise ValueError(f"period must be one of {sorted(COVERS)} and at most window")
-    docs = docs.drop("n_words", "n_removed", "kept", "shared")
+    docs = parted(docs.drop("n_words", "n_removed", "kept", "part"))
+    n_buckets = bucket_count(docs)
 
     def anchor_keys(batch: pa.RecordBatch):
         ids = batch.column("doc_id").to_numpy()
@@ -59,58 +57,54 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
             owners.append(ids[b.first + w.doc[at]])
         return _cat(keys, U64), None, _cat(owners, np.int64)
 
-    named = F.col("doc_id").isNotNull()
-    first = shared_keys(keyed_rows(docs.where(named).select("doc_id", "text"), anchor_keys, False), False)
+    anchors = shared_keys(keyed_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), anchor_keys, False), False)
 
-    def window_keys(batch: pa.RecordBatch):
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        shared = batch.column("shared")
+    def extend(rows: pa.Table, found: Answers) -> pa.Table:
+        ids = rows.column("doc_id").to_pylist()
         keys, more, owners = [], [], []
-        for b in blocks(batch.column("text")):
-            asked = [i for i in range(b.n) if shared[b.first + i].is_valid]
-            if not asked:
+        for b in blocks(rows.column("text")):
+            own = [found.of(ids[b.first + i]) for i in range(b.n)]
+            if not any(map(len, own)):
                 continue
             w = words(b)
             at, h = _anchors(w, window, period)
             cut = np.searchsorted(at, w.first)
             starts = []
-            for i in asked:
-                own = slice(cut[i], cut[i + 1])
-                hit = at[own][answered(h[own], shared[b.first + i].as_py(), FIND)]
-                low, high = w.first[i], w.first[i + 1] - window
-                s = np.unique((hit[:, None] - np.arange(period)).ravel())
-                starts.append(s[(s >= low) & (s <= high)])
+            for i in range(b.n):
+                if len(own[i]):
+                    hit = at[cut[i] : cut[i + 1]][found.has(own[i], h[cut[i] : cut[i + 1]])]
+                    s = np.unique((hit[:, None] - np.arange(period)).ravel())
+                    starts.append(s[(s >= w.first[i]) & (s <= w.first[i + 1] - window)])
             at = _cat(starts, np.int64)
             keys.append(w.window_hash(at, window))
             more.append(w.window_hash(at, window, 2))
-            owners.append(ids[b.first + w.doc[at]].astype(np.int64))
-        return _cat(keys, U64), _cat(more, U64), _cat(owners, np.int64)
-
-    second = shared_keys(keyed_rows(docs.join(first.hint("shuffle_hash"), "doc_id", "left"), window_keys, True), True)
-    kept_columns = [f.name for f in docs.schema.fields]
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared, texts = batch.column("shared"), batch.column("text")
-            total, removed, kept = [], [], []
-            for b in blocks(texts):
-                w = words(b)
-                raw = b.data.tobytes()
-                for i in range(b.n):
-                    low, high = int(w.first[i]), int(w.first[i + 1])
-                    n, told, gone = high - low, shared[b.first + i], None
-                    if told.is_valid and n >= window:
-                        at = np.arange(low, high - window + 1)
-                        gone = covered(at[answered(w.window_hash(at, window), told.as_py(), DECIDE)] - low, window, n)
-                    left = np.arange(low, high) if gone is None else low + np.flatnonzero(~gone)
-                    total.append(n)
-                    removed.append(n - len(left))
-                    kept.append(b" ".join([raw[s:e] for s, e in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True)]))
-            out = [batch.column(c) for c in kept_columns] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(out, names=[*kept_columns, "n_words", "n_removed", "kept"])
-
-    schema = extended(docs.schema, "n_words long", "n_removed long", "kept string")
-    return docs.join(second.hint("shuffle_hash"), "doc_id", "left").mapInArrow(remove, schema)
+            owners.append(np.array([ids[b.first + d] for d in w.doc[at].tolist()], np.int64))
+        return pa.Table.from_batches([requests(_cat(keys, U64), _cat(more, U64), _cat(owners, np.int64), n_buckets, True)])
+
+    windows = shared_keys(with_answers(docs, anchors, False, extend, REQUEST), True)
+    columns = [c for c in docs.columns if c != "part"]
+
+    def remove(rows: pa.Table, found: Answers) -> pa.Table:
+        ids = rows.column("doc_id").to_pylist()
+        total, removed, kept = [], [], []
+        for b in blocks(rows.column("text")):
+            w = words(b)
+            raw = b.data.tobytes()
+            for i in range(b.n):
+                low, high = int(w.first[i]), int(w.first[i + 1])
+                n, own, gone = high - low, found.of(ids[b.first + i]), None
+                if len(own) and n >= window:
+                    at = np.arange(low, high - window + 1)
+                    gone = covered(at[found.has(own, w.window_hash(at, window))] - low, window, n)
+                left = np.arange(low, high) if gone is None else low + np.flatnonzero(~gone)
+                total.append(n)
+                removed.append(n - len(left))
+                kept.append(b" ".join([raw[s:e] for s, e in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True)]))
+        out = [rows.column(c) for c in columns] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        return pa.Table.from_arrays(out, names=[*columns, "n_words", "n_removed", "kept"])
+
+    schema = extended(docs.drop("part").schema, "n_words long", "n_removed long", "kept string")
+    return with_answers(docs, windows, True, remove, schema)
 
 
 def _cat(parts: list[np.ndarray], kind) -> np.ndarray:

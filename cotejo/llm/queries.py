@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.llm import chat, html, warc
 from cotejo.llm.decontam import contamination
 from cotejo.llm.neardup import near_duplicates
 from cotejo.llm.packing import pack
@@ -67,6 +68,25 @@ SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = componen
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write(_table(spark, sf_dir, "pages"))
+    page = lambda urn: F.regexp_extract(urn, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+    records = warc.read(files).where("record_type <> 'gap'")
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
+bits AS (SELECT page_id, n, x, array_to_string(list_transform(string_split(x, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS s FROM h),
+d AS (SELECT page_id, n, x, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+             + 16 * CAST(substr(s, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(s, 5 * i + 2, 1) AS INTEGER) + 4 * CAST(substr(s, 5 * i + 3, 1) AS INTEGER)
+             + 2 * CAST(substr(s, 5 * i + 4, 1) AS INTEGER) + CAST(substr(s, 5 * i + 5, 1) AS INTEGER), 1)), '') AS code, min(page_id) OVER (PARTITION BY x) AS first FROM bits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, code AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM d
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return judge(docs).select("doc_id", *MEASURES, "base_failed", "kept")
@@ -94,6 +114,30 @@ FROM f LEFT JOIN r ON host = source
 """
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(*chat.chat_format(turns))
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(9 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*/?s>')) + len(regexp_extract_all(role, '<\\*/?s>'))
+                + len(regexp_extract_all(role, '[\\\n]'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -125,8 +169,11 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
+    "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_extraction": op5_html_extraction,
+    "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op4_quality_rules": OP4_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL}

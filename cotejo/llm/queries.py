@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import chat, html, warc
+from cotejo.llm import chat, html, licenses, warc
 from cotejo.llm.decontam import contamination
 from cotejo.llm.neardup import near_duplicates
 from cotejo.llm.packing import pack
@@ -119,6 +119,25 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.by_document(_table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+    return found.select("doc_id", F.size("templates").cast("long").alias("n_templates"), F.array_join("templates", ",").alias("templates"))
+
+
+def _op6_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    return rf"""
+WITH t(template, text) AS (VALUES {values}),
+x AS (SELECT doc_id, NULL AS template, text FROM documents UNION ALL SELECT NULL, template, text FROM t),
+w AS (SELECT doc_id, template, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM x),
+s AS (SELECT DISTINCT doc_id, template, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+n AS (SELECT template, count(*) AS n FROM s WHERE template IS NOT NULL GROUP BY template),
+f AS (SELECT d.doc_id, p.template, count(*) AS c FROM s d JOIN s p ON d.g = p.g WHERE d.doc_id IS NOT NULL AND p.template IS NOT NULL GROUP BY d.doc_id, p.template),
+g AS (SELECT doc_id, count(*) AS n_templates, string_agg(f.template, ',' ORDER BY f.template) AS templates FROM f JOIN n ON n.template = f.template WHERE 100 * c >= 80 * n GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_templates, 0) AS n_templates, coalesce(templates, '') AS templates FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
@@ -172,8 +191,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
+    "op6_license_scan": op6_license_scan,
     "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_license_scan": _op6_sql(), "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL}

@@ -9,6 +9,7 @@ are cut up to fill the fullest, so at most one window of each partition is padde
 
 from __future__ import annotations
 
+import os
 from collections import deque
 from collections.abc import Iterator
 
@@ -17,18 +18,45 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cotejo.llm.kernels import U64, Words, blocks, words
+from cotejo.llm.kernels import LOWER, U64, Block, Words, blocks, span_hash, words
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-#: Words remembered by a task; beyond it the memory starts afresh.
-REMEMBERED = 500_000
+#: Words remembered by a worker process, about 40 bytes each; beyond it the memory starts afresh.
+REMEMBERED = 2_000_000
+_MARKS = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTERS = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
+_remembered: dict[str, WordTokens] = {}
+
+
+def units(b: Block) -> Words:
+    """Words of a block, A-Z folded; a mark that ends a word behind a letter a-z is a unit of its own."""
+    w = words(b, fold=LOWER, hashed=False)
+    long = np.flatnonzero(w.ends - w.starts > 1)
+    at = long[_MARKS[w.data[w.ends[long] - 1]] & _LETTERS[w.data[w.ends[long] - 2]]]
+    starts = np.insert(w.starts, at + 1, w.ends[at] - 1)
+    cut = w.ends.copy()
+    cut[at] -= 1
+    ends = np.insert(cut, at + 1, w.ends[at])
+    first = w.first + np.searchsorted(at, w.first)
+    return Words(starts, ends, first, np.repeat(np.arange(b.n), np.diff(first)), span_hash(w.data, starts, ends), w.data)
 
 
 class WordTokens:
-    """Ids of texts from a tokenizer that never joins across white space: each distinct word is tokenised once."""
+    """Ids of texts from a tokenizer: each distinct unit is tokenised once.
+
+    The tokenizer must fold case, must not join across white space, and must part marks from letters.
+    """
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The worker process's own."""
+        if path not in _remembered:
+            _remembered[path] = cls(path)
+        return _remembered[path]
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -139,8 +167,8 @@ def _rows(windows: list[tuple[int, list]]) -> pa.RecordBatch:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    docs has doc_id and text; tokenizer is the path of a tokenizers file that drops white space, on
-    every executor.  A document is its ids and end_id; a null or empty text is end_id alone.  Each id
+    docs has doc_id and text; tokenizer is the path, on every executor, of a tokenizers file that
+    folds case, drops white space and parts marks from letters.  A document is its ids and end_id; a null or empty text is end_id alone.  Each id
     lies in one piece; a sequence's pieces follow each other from offset 0 up to ``size``.
     sequence_id has the partition in its upper bits.  Repeated rows are documents of their own, rows
     without doc_id are packed with a null doc_id, an empty table gives an empty one; other columns
@@ -148,13 +176,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 4096) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = WordTokens.of(tokenizer)
         packer = Packer(size, TaskContext.get().partitionId() << 32)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for b in blocks(batch.column("text")):
-                w = words(b)
-                flat, at = tokens.encode(w)
+                flat, at = tokens.encode(units(b))
                 done = []
                 for i in range(b.n):
                     own = np.append(flat[at[i] : at[i + 1]], np.uint32(end_id))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import chat, html, licenses, warc
+from cotejo.llm import chat, html, licenses, suffix, warc
 from cotejo.llm.decontam import contamination
 from cotejo.llm.neardup import near_duplicates
 from cotejo.llm.packing import pack
@@ -157,6 +157,28 @@ FROM t GROUP BY conv_id
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM win) WHERE least < doc_id),
+edge AS (SELECT doc_id, i, coalesce(i > max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50, true) AS new FROM hit),
+run AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+keep AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
+         UNION ALL SELECT span.doc_id, max(span.b), any_value(n) FROM span JOIN d USING (doc_id) GROUP BY span.doc_id),
+t AS (SELECT keep.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS k FROM keep JOIN d USING (doc_id) GROUP BY keep.doc_id),
+s AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS gone FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -194,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_chat_format": op7_chat_format,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_license_scan": _op6_sql(), "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_license_scan": _op6_sql(), "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_suffix_dedup": OP9_SQL}

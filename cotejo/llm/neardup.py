@@ -6,9 +6,9 @@ the element-wise largest, and two sets agree in a register about as often as the
 
 1. Documents of equal sets are one class, its smallest doc_id its representative.
 2. Bands of registers are keys; representatives learn which of their keys others share.
-3. In each bucket of a shared key the member that shares most keys is the centre, and every member
-   is paired with it.  The joint likelihood of the registers drops hopeless pairs and the others are
-   verified on their full sets, which gives links and components.
+3. In each bucket of a shared key the member that shares most keys is the centre.  Every member is
+   paired with the best of its centres; the joint likelihood of the registers drops hopeless pairs and
+   the others are verified on their full sets, which gives links and components.
 4. Families are what buckets connect.  Where a family falls into several components, every member
    outside its largest one is verified against all members of other components, in blocks, so no
    pair that shares a bucket is left unjudged and no bucket is expanded into pairs.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.llm.exchange import FIND, Answers, keyed_rows, narrow, shared_keys, widen
@@ -28,6 +28,8 @@ from cotejo.llm.kernels import LOWER, U64, blocks, mix, span_hash, words
 from cotejo.llm.saved import saved
 
 BASE, RATE, LEVELS = 1.001, 20.0, 65534
+#: Centres that a member is verified against at once; the blocks of families judge what that leaves.
+TRIED = 2
 #: Members of a block: strays and others.
 STRAYS, OTHERS = 256, 2048
 
@@ -179,9 +181,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sets = saved(docs.join(members.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(contents, "doc_id long, set binary, registers binary"))
 
     centres = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("top"), F.count("*").alias("n"))
-    centres = centres.where("n > 1").select("key", (-F.col("top.doc")).alias("centre"))
-    pairs = saved(members.join(centres, "key").where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct())
-    links = saved(_verified(pairs, sets, percent))
+    centres = centres.where("n > 1").select("key", (-F.col("top.doc")).alias("centre"), F.col("top.degree").alias("weight"))
+    pairs = members.join(centres, "key").where("doc <> centre").groupBy(F.col("centre").alias("a"), F.col("doc").alias("b")).agg(F.max("weight").alias("weight"))
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.col("weight").desc(), "a"))  # a row for each band at most
+    pairs = saved(pairs.select("a", "b", best.alias("best")))
+    links = saved(_verified(pairs.where(F.col("best") <= TRIED).select("a", "b"), sets, percent))
     families = components(pairs)
     labels = components(links)
     more = _across(families, labels, sets, percent)

@@ -5,7 +5,414 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cotejo import config
+from cotejo.functions import catalogue, similarity, text
+from cotejo.operators import cells as cell_ops
+from cotejo.operators import hierarchy, lines, matching, reconcile, sequence
+from cotejo.plans import duck
+from cotejo.plans.views import sql_view, view
 
 FLAGSHIP = "three_way"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+T = "puesto_original"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+REF, DOC, CHART = (f"({sql_view(n)})" for n in ("ref", "doc", "chart"))
+ALL = f"(SELECT 'ref' AS fuente, seq, puesto_original, nivel_original FROM {REF} UNION ALL SELECT 'doc', seq, puesto_original, nivel_original FROM {DOC} UNION ALL SELECT 'chart', seq, puesto_original, nivel_original FROM {CHART})"
+KEYED = f"(SELECT fuente, seq, puesto_original, {duck.title(T)} AS normalised, {duck.key(T)} AS k, {duck.level('nivel_original')} AS level FROM {ALL})"
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three sources: fuente, seq, puesto_original, nivel_original."""
+    parts = [view(spark, sf_dir, n).select(F.lit(n).alias("fuente"), "seq", T, "nivel_original") for n in ("ref", "doc", "chart")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions(spark, sf_dir).select("fuente", "seq", T, text.normalise_title(F.col(T)).alias("normalised"), text.comparison_key(F.col(T)).alias("k"), text.normalise_level(F.col("nivel_original")).alias("level"))
+
+
+# Text functions
+
+
+@query(f"SELECT fuente, seq, {duck.title(T)} AS normalised FROM {ALL}")
+def norm_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions(spark, sf_dir).select("fuente", "seq", text.normalise_title(F.col(T)).alias("normalised"))
+
+
+@query(f"SELECT doc_id, {duck.title('text')} AS normalised FROM documents")
+def norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalise_title(F.col("text")).alias("normalised"))
+
+
+@query(f"SELECT fuente, seq, {duck.level('nivel_original')} AS level FROM {ALL}")
+def norm_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions(spark, sf_dir).select("fuente", "seq", text.normalise_level(F.col("nivel_original")).alias("level"))
+
+
+@query(f"SELECT fuente, seq, {duck.key(T)} AS k FROM {ALL}")
+def comparison_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions(spark, sf_dir).select("fuente", "seq", text.comparison_key(F.col(T)).alias("k"))
+
+
+@query(f"SELECT fuente, seq, {duck.homologate(T)} AS homologated FROM {ALL}")
+def homologate_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions(spark, sf_dir).select("fuente", "seq", text.homologate(F.col(T)).alias("homologated"))
+
+
+ABBR = ", ".join(map(duck.quoted, config.ABBREVIATIONS))
+
+
+@query(f"SELECT fuente, seq, array_to_string(list_filter(string_split(normalised, ' '), lambda w: w IN ({ABBR})), ',') AS abbreviations FROM {KEYED}")
+def abbrev_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).select("fuente", "seq", F.array_join(text.known_abbreviations(F.col("normalised")), ",").alias("abbreviations"))
+
+
+@query(
+    f"""SELECT fuente, seq, CASE WHEN (regexp_matches(w, '^([A-ZÁÉÍÓÚÑ]\\.){{2,6}}$') OR regexp_matches(w, '^[A-ZÁÉÍÓÚÑ]{{2,6}}$')) AND {duck.title('w')} NOT IN ({ABBR}) THEN w END AS warning
+    FROM (SELECT fuente, seq, string_split(puesto_original, ' ')[1] AS w FROM {ALL})"""
+)
+def unknown_abbrev_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions(spark, sf_dir).select("fuente", "seq", text.unknown_abbreviation(F.col(T)).alias("warning"))
+
+
+@query(f"SELECT fuente, seq, puesto_original <> upper(puesto_original) AS mixed_case FROM {ALL}")
+def upper_case_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions(spark, sf_dir).select("fuente", "seq", text.upper_case_warning(F.col(T)).alias("mixed_case"))
+
+
+@query(f"SELECT fuente, seq, nullif(regexp_extract(k, ' ([a-z][0-9]{{0,2}})$', 1), '') AS tail FROM {KEYED}")
+def distinctive_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).select("fuente", "seq", text.suffix(F.col("k")).alias("tail"))
+
+
+MODS = "[" + ", ".join(map(duck.quoted, config.MODIFIERS)) + "]"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({MODS}, lambda m: contains(' ' || n || ' ', ' ' || m || ' ')), ',') AS mods FROM (SELECT doc_id, {duck.title('text')} AS n FROM documents)")
+def modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    normalised = norm_documents(spark, sf_dir)
+    return normalised.select("doc_id", F.array_join(text.modifiers(F.col("normalised")), ",").alias("mods"))
+
+
+NOISE = " OR ".join(f"regexp_matches(n, {duck.quoted(p)})" for p in config.DOC_NOISE)
+
+
+@query(f"SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(trim(n) = '' OR {NOISE} AS INTEGER)) AS BIGINT) AS n_noise FROM (SELECT doc_id, {duck.title('l')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)) GROUP BY doc_id")
+def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    return split.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(text.is_noise(text.normalise_title(F.col("l")), config.DOC_NOISE).cast("long")).alias("n_noise"))
+
+
+# Catalogue
+
+
+@query(f"SELECT fuente, seq, {duck.category('k')} AS category FROM {KEYED}")
+def catalog_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).select("fuente", "seq", catalogue.category(F.col("k")).alias("category"))
+
+
+@query(f"SELECT fuente, seq, p AS kind, CASE WHEN p IS NULL THEN k ELSE trim(substr(k, length(p) + 1)) END AS name FROM (SELECT *, {duck.prefix('k')} AS p FROM {KEYED})")
+def type_name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).select("fuente", "seq", catalogue.category(F.col("k")).alias("kind"), catalogue.specific_name(F.col("k")).alias("name"))
+
+
+STATE = "CASE WHEN c IS NULL THEN 'TIPO_NO_RECONOCIDO' WHEN level = '' THEN 'NO_ENCONTRADO' WHEN list_contains({v}, CAST(substr(level, 2) AS INTEGER)) THEN 'VALIDO' ELSE 'FUERA_DE_CATALOGO' END"
+
+
+@query(f"SELECT fuente, seq, {STATE.format(v=duck.levels('c'))} AS state FROM (SELECT *, {duck.category('k')} AS c FROM {KEYED})")
+def level_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).select("fuente", "seq", catalogue.level_state(catalogue.category(F.col("k")), F.col("level")).alias("state"))
+
+
+@query(
+    f"""SELECT fuente, seq, CASE WHEN {STATE.format(v=duck.levels('c'))} = 'FUERA_DE_CATALOGO' THEN 'Nivel ' || level || ' fuera de catálogo para ' || c || '; esperado '
+    || array_to_string(list_transform({duck.levels('c')}, lambda n: 'N' || CAST(n AS VARCHAR)), ' o ') END AS warning FROM (SELECT *, {duck.category('normalised')} AS c FROM {KEYED})"""
+)
+def catalog_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).select("fuente", "seq", catalogue.warning(F.col("normalised"), F.col("level")).alias("warning"))
+
+
+# Filters, duplicates and counts
+
+
+@query(f"SELECT fuente, count(*) AS n FROM {ALL} WHERE trim(puesto_original) <> '' GROUP BY fuente")
+def valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.valid(positions(spark, sf_dir)).groupBy("fuente").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT fuente, normalised, count(*) AS n, CASE WHEN count(DISTINCT nullif(level, '')) > 1 THEN '{config.DUPLICATE_LEVEL}' ELSE '{config.DUPLICATE}' END AS kind
+    FROM {KEYED} GROUP BY fuente, normalised HAVING count(*) > 1"""
+)
+def dup_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = keyed(spark, sf_dir).groupBy("fuente", "normalised").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("level") != "", F.col("level"))).alias("levels"))
+    return grouped.where("n > 1").select("fuente", "normalised", "n", F.when(F.col("levels") > 1, config.DUPLICATE_LEVEL).otherwise(config.DUPLICATE).alias("kind"))
+
+
+@query(
+    f"""WITH g AS (SELECT normalised, count(*) AS n, count(DISTINCT nullif(level, '')) AS l FROM {KEYED} WHERE fuente = 'doc' GROUP BY normalised)
+    SELECT 'Word' AS source, seq, '[DUP-Word] ' || puesto_original AS key, n, CASE WHEN l > 1 THEN '{config.DUPLICATE_LEVEL}' ELSE '{config.DUPLICATE}' END AS kind,
+    'Puesto duplicado ' || n || ' veces dentro de Word.' AS detail FROM {KEYED} JOIN g USING (normalised) WHERE fuente = 'doc' AND n > 1"""
+)
+def dup_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.duplicates(view(spark, sf_dir, "doc"), "Word")
+
+
+@query(f"SELECT fuente, count(*) AS n, count(DISTINCT k) AS n_unique FROM {KEYED} GROUP BY fuente")
+def unique_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).groupBy("fuente").agg(F.count("*").alias("n"), F.countDistinct("k").alias("n_unique"))
+
+
+# Matching
+
+FIRST = f"(SELECT fuente, k, min(seq) AS seq FROM {KEYED} WHERE k <> '' GROUP BY fuente, k)"
+
+
+@query(f"SELECT o.k, o.seq AS o_seq, d.seq AS d_seq FROM {FIRST} o JOIN {FIRST} d USING (k) WHERE o.fuente = 'ref' AND d.fuente = 'doc'")
+def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, doc = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "doc"))
+    return matching.exact_pairs(ref, doc).select(F.col("o_key").alias("k"), "o_seq", "d_seq")
+
+
+@query(f"SELECT k, seq FROM {FIRST} WHERE fuente = 'doc' AND k NOT IN (SELECT k FROM {FIRST} WHERE fuente = 'ref')")
+def left_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, doc = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "doc"))
+    return doc.join(ref.select("key"), "key", "left_anti").select(F.col("key").alias("k"), "seq")
+
+
+@query()
+def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, chart = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "chart"))
+    return matching.fuzzy_pairs(ref, chart)
+
+
+@query()
+def global_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, chart = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "chart"))
+    return matching.match(ref, chart)
+
+
+def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.classify(reconcile.three_way(*(view(spark, sf_dir, n) for n in ("ref", "doc", "chart"))))
+
+
+@query()
+def three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _three(spark, sf_dir)
+    return found.select("section", "seq", "key", F.col("excel.title").alias("excel"), F.col("word.title").alias("word"), F.col("organigrama.title").alias("organigrama"), "kind", "detail", "name_level", "method", "confidence")
+
+
+@query()
+def two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reconcile.classify(reconcile.three_way(view(spark, sf_dir, "ref"), None, view(spark, sf_dir, "chart")), with_word=False)
+    return found.select("section", "seq", "key", "kind", "detail", "name_level", "confidence")
+
+
+@query()
+def summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.summary(_three(spark, sf_dir))
+
+
+@query()
+def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.by_kind(_three(spark, sf_dir))
+
+
+PAIR = f"(SELECT r.seq, r.level AS a, d.level AS b FROM {KEYED} r LEFT JOIN {KEYED} d ON d.fuente = 'chart' AND d.seq + 1 = r.seq WHERE r.fuente = 'ref')"
+
+
+@query(f"SELECT seq, CASE WHEN coalesce(a, '') = '' AND coalesce(b, '') = '' THEN 'ambos_faltan' WHEN coalesce(a, '') = '' THEN 'falta_a' WHEN coalesce(b, '') = '' THEN 'falta_b' WHEN a = b THEN 'igual' ELSE 'distinto' END AS state FROM {PAIR}")
+def level_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = keyed(spark, sf_dir)
+    a = rows.where("fuente = 'ref'").select("seq", F.col("level").alias("a"))
+    b = rows.where("fuente = 'chart'").select((F.col("seq") + 1).alias("seq"), F.col("level").alias("b"))
+    return a.join(b, "seq", "left").select("seq", similarity.level_comparison(F.col("a"), F.col("b")).alias("state"))
+
+
+# By ID
+
+IDS = "CASE WHEN seq % 23 = 0 THEN NULL WHEN seq % 29 = 0 THEN '1.5' WHEN seq % 31 = 0 THEN CAST(seq - 1 AS VARCHAR(20)) WHEN seq % 37 = 0 THEN 'PUESTO' ELSE concat(CAST(seq AS VARCHAR(20)), '.0') END"
+
+
+@query(
+    f"""WITH p AS (SELECT seq, {IDS} AS id_text FROM {REF}), i AS (SELECT seq, id_text, CASE WHEN regexp_matches(id_text, '^[0-9]+([.]0)?$') THEN CAST(CAST(id_text AS DOUBLE) AS BIGINT) END AS id FROM p),
+    j AS (SELECT seq, id_text, CASE WHEN id > 0 THEN id END AS id FROM i), c AS (SELECT id, count(*) AS n FROM j WHERE id IS NOT NULL GROUP BY id)
+    SELECT seq, id_text, j.id AS id_excel, coalesce(n, 0) AS n_same, CASE WHEN j.id IS NULL THEN 'ID ausente o no válido' WHEN n > 1 THEN 'ID duplicado' ELSE '' END AS error_id FROM j LEFT JOIN c ON c.id = j.id"""
+)
+def id_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.id_problems(view(spark, sf_dir, "ref").select("seq", F.expr(IDS).alias("id_text")))
+
+
+@query(
+    f"""SELECT r.seq, r.id_excel, CASE WHEN r.jefe_id IS NULL THEN NULL WHEN b.id_excel IS NULL THEN '[ID de jefe no resoluble: ' || r.jefe_id || ']' ELSE b.puesto_original END AS boss
+    FROM {REF} r LEFT JOIN (SELECT * FROM {REF} WHERE seq % 10 <> 0) b ON b.id_excel = r.jefe_id WHERE r.seq % 10 <> 0"""
+)
+def boss_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without every tenth, so that some superiors can't be resolved (a feature of the fixture, not a sample of the result)."""
+    return sequence.resolve_boss(view(spark, sf_dir, "ref").where("seq % 10 <> 0"))
+
+
+PLACED = f"(SELECT *, row_number() OVER (ORDER BY seq) AS position FROM {KEYED} WHERE fuente = 'doc')"
+
+
+@query(
+    f"""SELECT r.seq AS id_excel, r.seq, p.seq AS found_seq, coalesce(r.k = p.k, false) AS same_name, coalesce(r.level = p.level, false) AS same_level
+    FROM {KEYED} r LEFT JOIN {PLACED} p ON p.position = r.seq WHERE r.fuente = 'ref'"""
+)
+def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.positional(view(spark, sf_dir, "ref"), view(spark, sf_dir, "doc"))
+
+
+@query(
+    f"""WITH l AS (SELECT k, level, count(*) AS nl, min(position) AS al FROM {PLACED} GROUP BY k, level), n AS (SELECT k, count(*) AS nk, min(position) AS ak FROM {PLACED} GROUP BY k),
+    x AS (SELECT r.seq, p.k = r.k AS same, coalesce(nl, nk) AS n, coalesce(al, ak) AS at FROM {KEYED} r LEFT JOIN {PLACED} p ON p.position = r.seq LEFT JOIN n ON n.k = r.k LEFT JOIN l ON l.k = r.k AND l.level = r.level WHERE r.fuente = 'ref')
+    SELECT seq AS id_excel, seq, CASE WHEN same THEN 'Misma posición' WHEN n = 1 THEN 'Diferente posición' WHEN n > 1 THEN 'Coincidencia ambigua' ELSE 'Puesto no encontrado' END AS state,
+    CASE WHEN NOT coalesce(same, false) AND n = 1 THEN 'posición ' || at || '; esperada ' || seq ELSE '' END AS detail FROM x"""
+)
+def order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.order_state(view(spark, sf_dir, "ref"), view(spark, sf_dir, "doc"))
+
+
+@query(f"SELECT seq, position FROM {PLACED} WHERE position NOT IN (SELECT id_excel FROM {REF} WHERE id_excel % 3 <> 0)")
+def leftover_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.leftovers(view(spark, sf_dir, "ref").where("id_excel % 3 <> 0"), view(spark, sf_dir, "doc"))
+
+
+@query(f"SELECT count(*) AS n, count(*) AS n_valid, true AS verifiable FROM {CHART}")
+def source_verifiable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.verifiable(view(spark, sf_dir, "chart"))
+
+
+@query(
+    f"""WITH b AS (SELECT r.id_excel, r.puesto_original AS title, p.puesto_original AS boss FROM {REF} r LEFT JOIN {REF} p ON p.id_excel = r.jefe_id),
+    e AS (SELECT id_excel, boss, {duck.key('boss')} AS bk FROM b), t AS (SELECT {duck.key('title')} AS bk, count(*) AS n FROM b GROUP BY 1),
+    f AS (SELECT id_excel, CASE WHEN id_excel % 7 <> 0 THEN CASE WHEN id_excel % 5 = 0 THEN title ELSE upper(boss) END END AS boss FROM b)
+    SELECT e.id_excel, CASE WHEN f.boss IS NULL THEN 'No verificable' WHEN e.boss IS NULL THEN 'Sin referencia en Excel' WHEN n > 1 THEN 'Jefe ambiguo' WHEN e.bk = {duck.key('f.boss')} THEN 'Coincide' ELSE 'Jefe inmediato diferente' END AS state
+    FROM e LEFT JOIN t USING (bk) LEFT JOIN f ON f.id_excel = e.id_excel"""
+)
+def boss_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = view(spark, sf_dir, "ref")
+    expected = sequence.resolve_boss(ref).join(ref.select("seq", F.col(T).alias("title")), "seq").select("id_excel", "title", "boss")
+    told = F.when(F.col("id_excel") % 7 != 0, F.when(F.col("id_excel") % 5 == 0, F.col("title")).otherwise(F.upper("boss")))
+    return sequence.boss_state(expected, expected.select("id_excel", told.alias("boss")))
+
+
+# Hierarchy and pages
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT id_excel AS node, jefe_id AS parent FROM {REF}),
+    t AS (SELECT node, parent, CAST(0 AS INTEGER) AS depth, [node] AS path FROM e WHERE parent IS NULL UNION ALL SELECT e.node, e.parent, t.depth + 1, list_append(t.path, e.node) FROM e JOIN t ON e.parent = t.node)
+    SELECT 1 AS tree, node, depth, row_number() OVER (ORDER BY path) AS position, parent AS boss FROM t"""
+)
+def preorder_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = view(spark, sf_dir, "ref").select(F.lit(1).alias("tree"), F.col("id_excel").alias("node"), F.col("jefe_id").alias("parent"), F.col("id_excel").alias("rank"))
+    return hierarchy.preorder(edges)
+
+
+@query(
+    f"""WITH e AS (SELECT id_excel % 16 AS tree, id_excel AS node, CASE WHEN id_excel > 16 THEN id_excel - 16 - id_excel % 48 END AS parent FROM {REF}),
+    r AS (SELECT tree, count(DISTINCT node) AS n_nodes, count(*) FILTER (WHERE parent IS NULL) AS n_roots FROM e GROUP BY tree),
+    l AS (SELECT tree, count(*) AS n_lost FROM e WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e p WHERE p.tree = e.tree AND p.node = e.parent) GROUP BY tree)
+    SELECT r.tree, n_nodes, n_roots, CAST(0 AS BIGINT) AS n_repeated, coalesce(n_lost, 0) AS n_lost, n_roots = 1 AND coalesce(n_lost, 0) = 0 AS sound FROM r LEFT JOIN l ON l.tree = r.tree"""
+)
+def tree_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id_excel")
+    return hierarchy.tree_problems(view(spark, sf_dir, "ref").select((i % 16).alias("tree"), i.alias("node"), F.when(i > 16, i - 16 - i % 48).alias("parent")))
+
+
+BOXES = """(SELECT page, box, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM (SELECT user_id AS page, event_id AS box, CAST(event_id % 37 * 20 AS DOUBLE) AS x0, CAST(event_id % 29 * 15 AS DOUBLE) AS y0,
+CAST(event_id % 11 * 9 + 4 AS DOUBLE) AS w, CAST(event_id % 7 * 8 + 4 AS DOUBLE) AS h FROM {events} events))"""
+DUCK_BOXES = BOXES.format(events="")
+SIZED = f"(SELECT *, (x1 - x0) * (y1 - y0) AS area FROM {BOXES.replace('{events} events', 'events')} WHERE x1 - x0 > 5 AND y1 - y0 > 5)"
+BANDED = f"(SELECT s.page, box, x0, y0, x1, y1, area FROM {SIZED} s JOIN (SELECT page, median(area) AS m FROM {SIZED} GROUP BY page) q ON q.page = s.page WHERE area >= 0.2 * m AND area <= 6.0 * m)"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {BOXES}", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@query(f"SELECT * FROM {BANDED}")
+def box_area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.box_candidates(_boxes(spark, sf_dir))
+
+
+@query(
+    f"""WITH b AS (SELECT * FROM {BANDED}) SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b i WHERE i.page = b.page AND i.box <> b.box AND i.x0 >= b.x0 - 1 AND i.y0 >= b.y0 - 1 AND i.x1 <= b.x1 + 1 AND i.y1 <= b.y1 + 1
+    AND (i.x0 <> b.x0 OR i.y0 <> b.y0 OR i.x1 <> b.x1 OR i.y1 <> b.y1))"""
+)
+def innermost_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.innermost(hierarchy.box_candidates(_boxes(spark, sf_dir)))
+
+
+LINES = "SELECT user_id AS page, event_id AS line, event_type AS text, CAST(event_id % 41 * 18 AS DOUBLE) AS x0, CAST(event_id % 31 * 14 AS DOUBLE) AS y0, CAST(event_id % 41 * 18 + 20 AS DOUBLE) AS x1, CAST(event_id % 31 * 14 + 8 AS DOUBLE) AS y1 FROM {events} events"
+
+
+@query(
+    f"""SELECT b.page, box, string_agg(text, ' ' ORDER BY line) AS text FROM {BOXES.replace('{events} events', 'events')} b JOIN ({LINES.replace('{events} events', 'events')}) l ON l.page = b.page
+    AND (l.x0 + l.x1) / 2 BETWEEN b.x0 - 2 AND b.x1 + 2 AND (l.y0 + l.y1) / 2 BETWEEN b.y0 - 2 AND b.y1 + 2 GROUP BY b.page, box"""
+)
+def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.sql(LINES, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return hierarchy.box_texts(_boxes(spark, sf_dir), texts)
+
+
+# Spreadsheets and lines
+
+
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of sheets drawn from the reference: a sheet for each 50 rows, headers in its third row, columns apart."""
+    ref = view(spark, sf_dir, "ref").withColumns({"file": F.lit("f"), "sheet": F.floor(F.col("seq") / 50).cast("string"), "row": (F.col("seq") % 50 + 4).cast("int")})
+    body = ref.select("file", "sheet", "row", F.explode(F.array(F.struct(F.lit(9).alias("col"), F.col("id_excel").cast("string").alias("value")), F.struct(F.lit(10).alias("col"), F.col(T).alias("value")), F.struct(F.lit(11).alias("col"), F.col("nivel_original").alias("value")))).alias("c"))
+    heads = ref.select("file", "sheet").distinct().select("file", "sheet", F.lit(3).alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(v).alias("value")) for c, v in ((9, "ID"), (10, "Denominación del puesto"), (11, "Nivel"), (12, "Puesto del jefe inmediato"))])).alias("c"))
+    return body.unionByName(heads).select("file", "sheet", "row", "c.col", "c.value")
+
+
+@query(f"SELECT DISTINCT 'f' AS file, CAST(CAST(floor(seq / 50) AS BIGINT) AS VARCHAR) AS sheet, 3 AS header_row, 10 AS title_col, 11 AS level_col, 9 AS id_col, 12 AS boss_col FROM {REF}")
+def header_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_ops.columns(_sheet(spark, sf_dir))
+
+
+@query(f"SELECT CAST(CAST(floor(seq / 50) AS BIGINT) AS VARCHAR) AS sheet, CAST(seq % 50 + 4 AS INTEGER) AS row, puesto_original, nivel_original, CAST(id_excel AS VARCHAR) AS id_text FROM {REF}")
+def sheet_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_ops.records(_sheet(spark, sf_dir)).select("sheet", "row", T, "nivel_original", "id_text")
+
+
+@query(
+    f"""SELECT CAST(CAST(floor(seq / 50) AS BIGINT) AS VARCHAR) AS sheet, CAST(seq % 50 + 4 AS INTEGER) AS row,
+    coalesce(CASE WHEN seq % 5 <> 4 THEN nivel_original END, CASE WHEN seq % 50 >= 1 THEN lag(nivel_original) OVER (ORDER BY seq) END) AS value FROM {REF}"""
+)
+def merged_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth level is blank and merged with the row above it."""
+    cells = _sheet(spark, sf_dir).where("col = 11 AND row > 3").withColumn("value", F.when((F.col("row") - 4) % 5 != 4, F.col("value")))
+    merged = cells.where((F.col("row") - 4) % 5 == 3).select("file", "sheet", F.col("row").alias("min_row"), (F.col("row") + 1).alias("max_row"), F.lit(11).alias("min_col"), F.lit(11).alias("max_col"))
+    return cell_ops.fill_merged(cells, merged).select("sheet", "row", "value")
+
+
+@query()
+def line_pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents, a page for each document, followed by a level so that some fit."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    numbered = F.when(F.col("line_no") % 3 == 0, F.concat("text", F.lit(" 25"))).when(F.col("line_no") % 3 == 1, F.concat(F.lit("2 "), F.col("text"))).otherwise(F.concat("text", F.lit(" 29")))
+    return lines.pattern_records(docs.withColumn("text", numbered))
+
+
+@query(f"SELECT fuente, seq, normalised FROM {KEYED} WHERE contains(lower(puesto_original), lower('Large BRUSHED'))")
+def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir).where(F.contains(F.lower(T), F.lower(F.lit("Large BRUSHED")))).select("fuente", "seq", "normalised")

@@ -26,7 +26,7 @@ ANSWER = "part int, n int, keys binary, docs binary, base long"
 _REQUEST = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("known", pa.bool_())])
 _ANSWER = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("base", pa.int64())])
 #: Parts of the documents for each shuffle partition, so that partitions are even.
-PER_PARTITION = 4
+PER_PARTITION = 2
 #: Keys already answered travel in rows of so many.
 KNOWN_ROW = 1 << 16
 #: Bytes of a key that are sent: FIND to find candidates, DECIDE and MORE to decide.

@@ -11,19 +11,20 @@ from cotejo import config
 KEYS = sorted(config.LEVELS, key=lambda k: (-len(k), k))
 
 
+def _prefix(key: Column) -> Column:
+    """The longest catalogue key that is the title or its beginning; null for exceptions and unknown titles."""
+    fits = F.filter(F.array(*map(F.lit, KEYS)), lambda k: F.startswith(F.concat(key, F.lit(" ")), F.concat(k, F.lit(" "))))
+    return F.when(~key.isin(*config.EXCEPTIONS), F.get(fits, F.lit(0)))
+
+
 def category(key: Column) -> Column:
-    """The longest catalogue key that is the title or its beginning, aliases resolved; null for exceptions and unknown titles."""
-    out = F.when(key.isin(*config.EXCEPTIONS), None)
-    for k in KEYS:
-        out = out.when((key == k) | key.startswith(f"{k} "), config.ALIASES.get(k, k))
-    return out
+    """_prefix with aliases resolved."""
+    whole = F.transform(F.array(_prefix(key)), lambda k: F.coalesce(F.try_element_at(_aliases(), k), k))
+    return F.get(whole, F.lit(0))
 
 
-def _prefix(key: Column) -> Column:
-    out = F.when(key.isin(*config.EXCEPTIONS), None)
-    for k in KEYS:
-        out = out.when((key == k) | key.startswith(f"{k} "), k)
-    return out
+def _aliases() -> Column:
+    return F.create_map(*[F.lit(x) for pair in config.ALIASES.items() for x in pair])
 
 
 def specific_name(key: Column) -> Column:

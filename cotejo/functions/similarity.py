@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from cotejo import config
 from cotejo.functions import catalogue, text
@@ -46,32 +48,62 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).otherwise(indel_ratio(sorted_words(a), sorted_words(b)))
 
 
-def conflict(a: Column, b: Column) -> Column:
-    """Whether known categories, modifiers or suffixes of two keys differ."""
-    ka, kb, sa, sb = catalogue.category(a), catalogue.category(b), text.suffix(a), text.suffix(b)
-    different = (text.modifiers(a) != text.modifiers(b)) | F.coalesce(ka != kb, F.lit(False)) | F.coalesce(sa != sb, F.lit(False))
-    return different
+def _category(key: str) -> str | None:
+    if key in config.EXCEPTIONS:
+        return None
+    found = next((k for k in catalogue.KEYS if f"{key} ".startswith(f"{k} ")), None)
+    return config.ALIASES.get(found, found)
+
+
+def _name(key: str) -> str:
+    found = next((k for k in catalogue.KEYS if f"{key} ".startswith(f"{k} ")), "") if key not in config.EXCEPTIONS else ""
+    return key[len(found) :].strip()
+
+
+def _suffix(key: str) -> str | None:
+    ws = key.split()
+    return ws[-1] if len(ws) > 1 and re.fullmatch(r"[a-z]\d{0,2}", ws[-1]) else None
+
+
+def _modifiers(key: str) -> set[str]:
+    return {m for m in config.MODIFIERS if f" {m} " in f" {key} "}
+
+
+def judge(a: str, b: str) -> tuple[float, str]:
+    """Score (one decimal) and level of two keys: the ratio of their sorted words, less for a conflict of categories, modifiers or suffixes, more for one category."""
+    if a == b and a:
+        return 100.0, "normalizada"
+    score = ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) if a and b else 0.0
+    ka, kb, sa, sb = _category(a), _category(b), _suffix(a), _suffix(b)
+    if (ka and kb and ka != kb) or _modifiers(a) != _modifiers(b) or (sa and sb and sa != sb):
+        score = max(0.0, score - config.PENALTY)
+    elif score >= config.BONUS_FROM and ka and ka == kb:
+        score = min(100.0, score + config.BONUS)
+    level = "fuzzy_alta" if score >= config.HIGH else "revision" if score >= config.REVIEW else "sin_coincidencia"
+    return round(score, 1), level
+
+
+def judge_parts(a: str, b: str) -> tuple[float, str]:
+    """judge of what follows the category for titles of one known category, else of the whole keys."""
+    ka = _category(a)
+    if ka and ka == _category(b):
+        x, y = _name(a), _name(b)
+        return (100.0, "normalizada") if not x and not y else judge(x, y)
+    return judge(a, b)
+
+
+_RESULT = StructType([StructField("score", DoubleType()), StructField("level", StringType())])
 
 
-def judged(base: Column, a: Column, b: Column) -> Column:
-    """score (one decimal) and level of two keys of which ``base`` is the similarity."""
-    same_kind = F.coalesce(catalogue.category(a) == catalogue.category(b), F.lit(False))
-    against = conflict(a, b)
-    score = F.when(against, F.greatest(F.lit(0.0), base - config.PENALTY)).when(same_kind & (base >= config.BONUS_FROM), F.least(F.lit(100.0), base + config.BONUS)).otherwise(base)
-    level = F.when(score >= config.HIGH, "fuzzy_alta").when(score >= config.REVIEW, "revision").otherwise("sin_coincidencia")
-    equal = (a == b) & (a != "")
-    return F.struct(F.when(equal, 100.0).otherwise(F.bround(score, 1)).alias("score"), F.when(equal, "normalizada").otherwise(level).alias("level"))
+@F.pandas_udf(_RESULT)
+def judged(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([judge_parts(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["score", "level"])
 
 
 def compare(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with score and level: titles of one known category are compared by what follows it, others whole."""
-    ka, kb = catalogue.category(F.col(a)), catalogue.category(F.col(b))
-    same = F.coalesce(ka == kb, F.lit(False))
-    x = F.when(same, catalogue.specific_name(F.col(a))).otherwise(F.col(a))
-    y = F.when(same, catalogue.specific_name(F.col(b))).otherwise(F.col(b))
-    staged = pairs.withColumns({"_same": same, "_x": x, "_y": y}).withColumn("_base", title_similarity(F.col("_x"), F.col("_y")))
-    result = F.when(F.col("_same") & (F.col("_x") == "") & (F.col("_y") == ""), F.struct(F.lit(100.0).alias("score"), F.lit("normalizada").alias("level"))).otherwise(judged(F.col("_base"), F.col("_x"), F.col("_y")))
-    return staged.withColumn("_result", result).withColumns({"score": F.col("_result.score"), "level": F.col("_result.level")}).drop("_same", "_x", "_y", "_base", "_result")
+    """pairs with score and level by judge_parts, scored once."""
+    result = judged.asNondeterministic()(F.col(a), F.col(b))
+    return pairs.withColumn("_result", result).withColumns({"score": F.col("_result.score"), "level": F.col("_result.level")}).drop("_result")
 
 
 def level_comparison(a: Column, b: Column) -> Column:

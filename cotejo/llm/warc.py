@@ -146,7 +146,10 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise ValueError("a header line without a colon")
-        fields[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        if name in fields and name != "warc-concurrent-to":
+            raise ValueError("a header twice")
+        fields[name] = value.strip()
     if not fields.get("content-length", "").isdigit():
         raise ValueError("no length")
     n = int(fields["content-length"])

@@ -1,10 +1,10 @@
 """Suffix-array dedup of byte strings by column-wise multi-document construction.
 
 The construction (``construct``) holds a collection's Burrows-Wheeler transform and its common
-prefixes.  In each round every document gives one symbol, from its end on: the suffixes of all
-lengths up to the round's are re-sorted by the symbol before them, which the transform holds, so one
-stable sort by symbol and range minima of the common prefixes give the next transform and prefixes.
-They live in files that each round reads once in order and writes anew.
+prefixes.  In each round every document gives one symbol, from its end on.  Where its longer suffix goes is told by how
+often the symbol occurs before its last suffix in the transform, and what that has in common with its
+neighbours by range minima of the common prefixes between them and the same symbol's next places.
+Transform and prefixes live in files that each round reads once in order and writes anew.
 
 As many rounds as the longest text has bytes, each over all texts, can't run as Spark jobs.  So the
 texts are first cut into pieces of at most ``2 * least - gram`` bytes such that equal windows of
@@ -72,35 +72,62 @@ def construct(texts: list[bytes], files: Files) -> tuple[np.ndarray, np.ndarray,
     Prefixes are counted up to 255.  Equal suffixes are in the order of documents.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    begins = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    n = len(texts)
-    before = np.full(n, ENDED, np.uint16)  # the symbol before each document's empty suffix
-    some = sizes > 0
-    before[some] = data[(begins + sizes - 1)[some]].astype(np.uint16) + 1
+    n, width = len(texts), int(sizes.max(initial=0)) + 1
+    # a suffix is told by its document and length
+    kind = np.int32 if n * width < 1 << 31 else np.int64
+    before = np.full(n, ENDED, np.uint16)  # the symbol before each document's suffix
+    before[sizes > 0] = data[ends[sizes > 0] - 1].astype(np.uint16) + 1
     files.write("symbols", before)
     files.write("prefixes", np.zeros(n, np.uint8))
-    files.write("documents", np.arange(n, dtype=np.int32))
-    files.write("starts", sizes.astype(np.int32))
-    for _ in range(int(sizes.max(initial=0))):
-        symbols, prefixes = files.read("symbols"), files.read("prefixes")
+    files.write("suffixes", np.arange(n, dtype=kind) * kind(width))
+    active, place = np.flatnonzero(sizes > 0), np.flatnonzero(sizes > 0)
+    for length in range(1, width):
+        symbols, prefixes, suffixes = files.read("symbols"), files.read("prefixes"), files.read("suffixes")
+        m, k = len(symbols), len(active)
         order = np.argsort(symbols, kind="stable")
-        order = order[np.searchsorted(symbols[order], 1) :]  # suffixes that a symbol precedes
-        symbols = symbols[order]
-        common = np.zeros(len(order), np.uint8)
-        same = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1
-        least = _range_minima(prefixes, order[same - 1] + 1, order[same] + 1)
-        common[same] = np.minimum(least, 254) + 1
-        documents, starts = files.read("documents"), files.read("starts")
-        documents, starts = documents[order], starts[order] - 1
-        at = begins[documents] + starts
-        new = np.full(len(order), ENDED, np.uint16)
-        new[starts > 0] = data[at[starts > 0] - 1].astype(np.uint16) + 1
-        files.write("symbols", np.concatenate((before, new)))
-        files.write("prefixes", np.concatenate((np.zeros(n, np.uint8), common)))
-        files.write("documents", np.concatenate((np.arange(n, dtype=np.int32), documents)))
-        files.write("starts", np.concatenate((sizes.astype(np.int32), starts.astype(np.int32))))
-    return files.read("documents"), files.read("starts"), files.read("prefixes")
+        sorted_symbols = symbols[order]
+        skipped = int(np.searchsorted(sorted_symbols, 1))  # no symbol precedes those
+        # in the next order, the suffixes that a symbol precedes follow the empty ones
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
+        at = rank[place]
+        turn = np.argsort(at)
+        active, place, at = active[turn], place[turn], at[turn]
+        new = at - skipped + n
+        # common prefixes with the one before and the one after, by range minima up to the same symbol
+        one = sorted_symbols[at]
+        has_last = (at > skipped) & (sorted_symbols[at - 1] == one)
+        follow = np.minimum(at + 1, m - 1)
+        has_next = (at + 1 < m) & (sorted_symbols[follow] == one)
+        back, ahead = np.flatnonzero(has_last), np.flatnonzero(has_next)
+        least = _range_minima(prefixes, np.concatenate((order[at[back] - 1], place[ahead])) + 1, np.concatenate((place[back], order[at[ahead] + 1])) + 1)
+        common = np.zeros(k, np.uint8)
+        common[back] = np.minimum(least[: len(back)], 254) + 1
+        fresh = np.zeros(m + k, bool)
+        fresh[new] = True
+        old = np.flatnonzero(~fresh)
+        starts = ends[active] - length
+        more = starts > ends[active] - sizes[active]
+        preceding = np.full(k, ENDED, np.uint16)
+        preceding[more] = data[starts[more] - 1].astype(np.uint16) + 1
+        merged = {}
+        for name, was, added in (("symbols", symbols, preceding), ("prefixes", prefixes, common), ("suffixes", suffixes, (active * width + length).astype(kind))):
+            merged[name] = np.empty(m + k, was.dtype)
+            merged[name][old] = was
+            merged[name][new] = added
+        # the suffix after a new one, if it isn't new itself and begins with the same symbol
+        after = new[ahead] + 1
+        merged["prefixes"][after] = np.where(fresh[after], merged["prefixes"][after], np.minimum(least[len(back) :], 254) + 1)
+        last = np.setdiff1d(new[~has_next] + 1, new, assume_unique=False)
+        merged["prefixes"][last[last < m + k]] = 0
+        for name, values in merged.items():
+            files.write(name, values)
+        active, place = active[more], new[more]
+    suffixes = files.read("suffixes")
+    documents = suffixes // width
+    return documents, sizes[documents] - suffixes % width, files.read("prefixes")
 
 
 def repeated_windows(texts: list[bytes], owners: np.ndarray, least: int) -> list[np.ndarray]:
@@ -118,12 +145,12 @@ def repeated_windows(texts: list[bytes], owners: np.ndarray, least: int) -> list
     return told
 
 
-def _runs(b: Block, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows whose key is one gram: their document, first window, number of windows, key."""
+def _runs(b: Block, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose key is one gram: their document, first window, number of windows, key, and the gram's place."""
     n = len(b.data) - least + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none.astype(U64)
+        return none, none, none, none.astype(U64), none
     at = np.arange(len(b.data) - gram + 1)
     # a window spans at most 64 grams, so the place of the least one is told by six bits
     h = span_hash(b.data, at, at + gram, 1) << U64(6) | at.astype(U64) & U64(63)
@@ -133,22 +160,22 @@ def _runs(b: Block, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.n
     doc = np.searchsorted(b.offsets, start, "right") - 1
     start = np.flatnonzero(start + least <= b.offsets[doc + 1])
     if not len(start):
-        return none, none, none, none.astype(U64)
+        return none, none, none, none.astype(U64), none
     doc, place, low = doc[start], place[start], low[start]
     cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))))
-    return doc[cut], start[cut], np.diff(np.append(cut, len(start))), low[cut] >> U64(6)
+    return doc[cut], start[cut], np.diff(np.append(cut, len(start))), low[cut] >> U64(6), place[cut]
 
 
-PIECES = "bucket int, n int, keys binary, sizes binary, texts binary, hashes binary, docs binary, base long, known boolean"
-_PIECES = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("known", pa.bool_())])
+PIECES = "bucket int, n int, keys binary, sizes binary, places binary, texts binary, hashes binary, docs binary, base long, known boolean"
+_PIECES = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("texts", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("known", pa.bool_())])
 TOLD = "part int, n int, hashes binary, masks binary, docs binary, base long"
 _TOLD = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("masks", pa.binary()), ("docs", pa.binary()), ("base", pa.int64())])
 
 
-def _sent(keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, data: np.ndarray, n_buckets: int) -> pa.Table:
+def _sent(keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, docs: np.ndarray, data: np.ndarray, n_buckets: int) -> pa.Table:
     """Rows of PIECES: of equal pieces the smallest document's goes to the bucket of its key, the others' are known to repeat."""
     order = np.lexsort((docs, hashes))
-    hashes, docs, keys, starts, sizes = hashes[order], docs[order], keys[order] & low_bytes(FIND), starts[order], sizes[order]
+    hashes, docs, keys, starts, sizes, places = hashes[order], docs[order], keys[order] & low_bytes(FIND), starts[order], sizes[order], places[order]
     same = np.concatenate(([False], hashes[1:] == hashes[:-1])) if len(hashes) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(hashes))))
     later = docs > docs[first]
@@ -162,13 +189,31 @@ def _sent(keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.nd
         at, known = use[i:j], bool(group[use[i]] & 1)
         base = int(docs[at].min())
         texts = None if known else b"".join([data[s : s + n].tobytes() for s, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)])
-        values = (int(group[at[0]] >> 1), len(at), None if known else narrow(keys[at], FIND), None if known else narrow(sizes[at].astype(U64)), texts, narrow(hashes[at], 8), narrow((docs[at] - base).astype(U64)), base, known)
+        values = (int(group[at[0]] >> 1), len(at), None if known else narrow(keys[at], FIND), None if known else narrow(sizes[at].astype(U64)), None if known else narrow(places[at].astype(U64)), texts, narrow(hashes[at], 8), narrow((docs[at] - base).astype(U64)), base, known)
         for name, value in zip(rows, values, strict=True):
             rows[name].append(value)
     return pa.table(rows, schema=_PIECES)
 
 
-def _resolve(least: int, n_parts: int):
+def _alike(texts: list[bytes], places: np.ndarray, least: int, gram: int) -> np.ndarray:
+    """Whether each distinct piece could share a window with another.
+
+    A window has at least half of its other bytes on one side of its gram, so two pieces that share
+    one agree in the gram and so many bytes before or behind it.
+    """
+    half = (least - gram + 1) // 2
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    at = np.cumsum(sizes) - sizes + places
+    out = np.zeros(len(texts), bool)
+    for some, begin in ((places >= half, -half), (sizes - places >= gram + half, 0)):
+        which = np.flatnonzero(some)
+        _, own, count = np.unique(span_hash(data, at[which] + begin, at[which] + begin + gram + half, 1), return_inverse=True, return_counts=True)
+        out[which[count[own] > 1]] = True
+    return out
+
+
+def _resolve(least: int, gram: int, n_parts: int):
     def windows_told(texts: list[bytes], keys: np.ndarray, owners: np.ndarray) -> list[np.ndarray]:
         """repeated_windows of each key's pieces, many keys in one construction; pieces are in the order of keys."""
         told: list[np.ndarray] = []
@@ -184,9 +229,9 @@ def _resolve(least: int, n_parts: int):
         return told
 
     def resolve(batches):
-        keys, sizes, texts, hashes, docs, done = [], [], [], [], [], []
+        keys, places, texts, hashes, docs, done = [], [], [], [], [], []
         for batch in batches:
-            for n, k, z, t, h, d, base, known in zip(*(batch.column(c).to_pylist() for c in ("n", "keys", "sizes", "texts", "hashes", "docs", "base", "known")), strict=True):
+            for n, k, z, at, t, h, d, base, known in zip(*(batch.column(c).to_pylist() for c in ("n", "keys", "sizes", "places", "texts", "hashes", "docs", "base", "known")), strict=True):
                 own = widen(d, n).astype(np.int64) + base
                 if known:
                     done.append((widen(h, n), own, np.full(n, (1 << 64) - 1, U64)))
@@ -194,21 +239,21 @@ def _resolve(least: int, n_parts: int):
                 size = widen(z, n).astype(np.int64)
                 ends = np.cumsum(size)
                 keys.append(widen(k, n))
+                places.append(widen(at, n).astype(np.int64))
                 hashes.append(widen(h, n))
                 docs.append(own)
                 texts += [t[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
         if keys:
-            keys, hashes, docs = np.concatenate(keys), np.concatenate(hashes), np.concatenate(docs)
+            keys, places, hashes, docs = (np.concatenate(x) for x in (keys, places, hashes, docs))
             order = np.lexsort((docs, hashes, keys))
             keys, hashes, docs = keys[order], hashes[order], docs[order]
             same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (keys[1:] == keys[:-1])))
             first = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
             later = docs > docs[first]
             done.append((hashes[later], docs[later], np.full(int(later.sum()), (1 << 64) - 1, U64)))
-            # distinct pieces; a key with one has no more to tell
+            # of distinct pieces, those that agree with another around their gram
             at = np.flatnonzero(~same)
-            _, which, count = np.unique(keys[at], return_inverse=True, return_counts=True)
-            at = at[count[which] > 1]
+            at = at[_alike([texts[i] for i in order[at].tolist()], places[order[at]], least, gram)]
             told = windows_told([texts[i] for i in order[at].tolist()], keys[at], docs[at]) if len(at) else []
             masks = np.array([int.from_bytes(np.packbits(t, bitorder="little").tobytes(), "little") for t in told], U64)
             some = masks > 0
@@ -264,7 +309,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
         ids = batch.column("doc_id").to_numpy()
         keys, owners = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for b in blocks(batch.column("text")):
-            doc, _, _, key = _runs(b, least, gram)
+            doc, _, _, key, _ = _runs(b, least, gram)
             keys.append(key)
             owners.append(ids[b.first + doc])
         return np.concatenate(keys), None, np.concatenate(owners)
@@ -278,21 +323,21 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
             own = [found.of(ids[b.first + i]) for i in range(b.n)]
             if not any(map(len, own)):
                 continue
-            doc, start, n, key = _runs(b, least, gram)
+            doc, start, n, key, place = _runs(b, least, gram)
             cut = np.searchsorted(doc, np.arange(b.n + 1))
             at = np.concatenate([cut[i] + np.flatnonzero(found.has(own[i], key[cut[i] : cut[i + 1]])) for i in range(b.n) if len(own[i])])
             end = start[at] + n[at] - 1 + least
             owner = np.array([ids[b.first + d] for d in doc[at].tolist()], np.int64)
-            parts.append((key[at], span_hash(b.data, start[at], end, 2), start[at], n[at] - 1 + least, owner, b.data))
+            parts.append((key[at], span_hash(b.data, start[at], end, 2), start[at], n[at] - 1 + least, owner, b.data, place[at] - start[at]))
         if not parts:
             return pa.table({name: [] for name in _PIECES.names}, schema=_PIECES)
         shift = np.cumsum([0] + [len(p[5]) for p in parts])
-        keys, hashes, sizes, owners, data = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5))
+        keys, hashes, sizes, owners, data, places = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3, 4, 5, 6))
         starts = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=False)])
-        return _sent(keys, hashes, starts, sizes, owners, data, n_buckets)
+        return _sent(keys, hashes, starts, sizes, places, owners, data, n_buckets)
 
     pieces = with_answers(docs, shared, False, send, PIECES)
-    told = pieces.repartitionById(n_buckets, "bucket").mapInArrow(_resolve(least, part_count(n_buckets)), TOLD)
+    told = pieces.repartitionById(n_buckets, "bucket").mapInArrow(_resolve(least, gram, part_count(n_buckets)), TOLD)
     columns = [c for c in docs.columns if c != "part"]
 
     def remove(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -307,7 +352,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
             span = [np.searchsorted(owners, (d, d + 1)) if d is not None else (0, 0) for d in ids[b.first : b.first + b.n]]
             some = any(j > i for i, j in span)
             if some:
-                doc, start, n, _ = _runs(b, least, gram)
+                doc, start, n, _, _ = _runs(b, least, gram)
                 own = span_hash(b.data, start, start + n - 1 + least, 2)
                 cut = np.searchsorted(doc, np.arange(b.n + 1))
             raw = b.data.tobytes()

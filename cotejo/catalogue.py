@@ -281,9 +281,9 @@ def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH l AS (SELECT k, level, count(*) AS nl, min(position) AS al FROM {PLACED} GROUP BY k, level), n AS (SELECT k, count(*) AS nk, min(position) AS ak FROM {PLACED} GROUP BY k),
-    x AS (SELECT r.seq, p.k = r.k AS same, coalesce(nl, nk) AS n, coalesce(al, ak) AS at FROM {KEYED} r LEFT JOIN {PLACED} p ON p.position = r.seq LEFT JOIN n ON n.k = r.k LEFT JOIN l ON l.k = r.k AND l.level = r.level WHERE r.fuente = 'ref')
+    x AS (SELECT r.seq, p.k = r.k AS same, coalesce(nl, nk) AS n, coalesce(al, ak) AS place FROM {KEYED} r LEFT JOIN {PLACED} p ON p.position = r.seq LEFT JOIN n ON n.k = r.k LEFT JOIN l ON l.k = r.k AND l.level = r.level WHERE r.fuente = 'ref')
     SELECT seq AS id_excel, seq, CASE WHEN same THEN 'Misma posición' WHEN n = 1 THEN 'Diferente posición' WHEN n > 1 THEN 'Coincidencia ambigua' ELSE 'Puesto no encontrado' END AS state,
-    CASE WHEN NOT coalesce(same, false) AND n = 1 THEN 'posición ' || at || '; esperada ' || seq ELSE '' END AS detail FROM x"""
+    CASE WHEN NOT coalesce(same, false) AND n = 1 THEN 'posición ' || place || '; esperada ' || seq ELSE '' END AS detail FROM x"""
 )
 def order_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.order_state(view(spark, sf_dir, "ref"), view(spark, sf_dir, "doc"))
@@ -413,6 +413,6 @@ def line_pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.pattern_records(docs.withColumn("text", numbered))
 
 
-@query(f"SELECT fuente, seq, normalised FROM {KEYED} WHERE contains(lower(puesto_original), lower('Large BRUSHED'))")
+@query(f"SELECT fuente, seq, normalised FROM {KEYED} WHERE contains(lower(puesto_original), lower('DIR. GRAL. de'))")
 def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyed(spark, sf_dir).where(F.contains(F.lower(T), F.lower(F.lit("Large BRUSHED")))).select("fuente", "seq", "normalised")
+    return keyed(spark, sf_dir).where(F.contains(F.lower(T), F.lower(F.lit("DIR. GRAL. de")))).select("fuente", "seq", "normalised")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import catalogue, text
 from cotejo.operators.matching import level_name, match, method_name, name_level, representatives
+from cotejo.plans.saved import saved
 
 SOURCES = ["excel", "word", "organigrama"]
 NAMES = {"excel": "Excel", "word": "Word", "organigrama": "Organigrama"}
@@ -23,10 +24,8 @@ def valid(source: DataFrame) -> DataFrame:
 
 def duplicates(source: DataFrame, name: str) -> DataFrame:
     """A row for each record whose normalised title its source repeats: its group's size and whether levels differ."""
-    w = Window.partitionBy("normalised")
     records = valid(source).select("seq", F.col("puesto_original").alias("title"), text.normalise_title(F.col("puesto_original")).alias("normalised"), text.normalise_level(F.col("nivel_original")).alias("level"))
     groups = records.groupBy("normalised").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("level") != "", F.col("level"))).alias("levels"), F.min("seq").alias("first"))
-    del w
     found = records.join(groups.where("n > 1 AND normalised <> ''"), "normalised")
     return found.select(
         F.lit(name).alias("source"),
@@ -48,8 +47,8 @@ def three_way(excel: DataFrame, word: DataFrame | None, chart: DataFrame) -> Dat
     The reference is matched with either source; what is left of the documents is matched with what is
     left of the chart.  Without documents (word None) their branch isn't planned.
     """
-    e, o = representatives(valid(excel)), representatives(valid(chart))
-    w = representatives(valid(word)) if word is not None else None
+    e, o = saved(representatives(valid(excel))), saved(representatives(valid(chart)))
+    w = saved(representatives(valid(word))) if word is not None else None
     to_o = match(e, o)
     rows = _prefixed(e, "excel").join(to_o.select(F.col("o_key").alias("excel_key"), F.col("d_key").alias("organigrama_key"), F.col("level").alias("o_level"), F.col("score").alias("o_score")), "excel_key", "left")
     rows = rows.join(_prefixed(o, "organigrama"), "organigrama_key", "left")

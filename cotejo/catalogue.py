@@ -11,7 +11,7 @@ from cotejo import config
 from cotejo.functions import catalogue, similarity, text
 from cotejo.operators import cells as cell_ops
 from cotejo.operators import hierarchy, lines, matching, reconcile, sequence
-from cotejo.plans import duck
+from cotejo.plans import duck, report
 from cotejo.plans.views import sql_view, view
 
 FLAGSHIP = "three_way"
@@ -234,6 +234,26 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.by_kind(_three(spark, sf_dir))
 
 
+@query()
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.rows(_three(spark, sf_dir))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"excel": view(spark, sf_dir, "ref"), "word": view(spark, sf_dir, "doc"), "organigrama": view(spark, sf_dir, "chart")}
+
+
+@query()
+def homologation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = report.homologation(_three(spark, sf_dir), _sources(spark, sf_dir))
+    return found.select("section", "seq", "key", F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), F.try_element_at("compared", F.lit(n))) for n in ("Excel vs Word", "Excel vs Organigrama", "Word vs Organigrama")]).alias("compared"), "homologation", "similarity")
+
+
+@query()
+def per_source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.by_source(_three(spark, sf_dir), _sources(spark, sf_dir))
+
+
 PAIR = f"(SELECT r.seq, r.level AS a, d.level AS b FROM {KEYED} r LEFT JOIN {KEYED} d ON d.fuente = 'chart' AND d.seq + 1 = r.seq WHERE r.fuente = 'ref')"
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cotejo.functions import catalogue, similarity, text
 from cotejo.operators import cells, hierarchy, lines, matching, reconcile, sequence
+from cotejo.plans import report
+from cotejo.sources import office
 
 
 def one(spark, column, *values):
@@ -136,3 +138,20 @@ def test_sheets_and_lines(spark):
     assert [(r.puesto_original, r.nivel_original, r.cantidad) for r in lines.pattern_records(told).orderBy("line_no").collect()] == [('Jefatura Contable y Financiera "A"', "25", "1"), ("Enlace", "20", None)]
     boxes = spark.createDataFrame([(i, t) for i, t in enumerate(["Dirección Nivel 40", "Enlace 20 de 7", "Asesor Asesor", "Sin"])], "i int, t string").select("i", lines.clean_box(F.col("t")).alias("b")).orderBy("i").collect()
     assert [(r.b.title, r.b.level) for r in boxes] == [("Dirección", "Nivel 40"), ("Enlace de 7", "20"), ("Asesor", None), ("Sin", None)]
+
+
+def test_report(spark, tmp_path):
+    excel = source(spark, ("Enlace de Archivo", "20"), ("Enlace de Archivo", "21"), ("Asesor", "43"))
+    chart = source(spark, ("Enlace de Archivo", None), ("Asesora", "43"), ("Otro", "1"))
+    found = reconcile.classify(reconcile.three_way(excel, None, chart), with_word=False)
+    sources = {"excel": excel, "organigrama": chart}
+    states = {r.key: (r.homologation, r.similarity) for r in report.homologation(found, sources).collect()}
+    assert states["enlace de archivo"] == ("Revisar duplicados", None) and states["otro"] == ("No comparable", None)
+    assert states["asesor"][0] in ("No coinciden", "No comparable")
+    rows = {r.clave: r for r in report.rows(found, with_word=False).collect()}
+    assert rows["enlace de archivo"].nivel_organigrama == "N/D" and rows["otro"].puesto_excel == "—" and rows["otro"].resultado == "Revisar"
+    shares = {r.source: r for r in report.by_source(found, sources).collect()}
+    assert (shares["Excel"].extracted, shares["Excel"].valid) == (3, 3) and shares["Organigrama"].missing <= 1
+    report.write_workbook({"Detalle": report.rows(found, with_word=False), "Resumen": reconcile.by_kind(found)}, str(tmp_path / "r.xlsx"))
+    back = office.read_cells(spark, str(tmp_path))
+    assert back.where("error IS NOT NULL").count() == 0 and back.where("sheet = 'Detalle' AND value = 'enlace de archivo'").count() == 1

@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm.kernels import U64, blocks, covered, extended, mix, span_hash, words
+from cotejo.plans.saved import saved
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: The symbols counted.
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 RUN = 8
+#: Verdicts are broadcast up to so many hosts; more are joined by a shuffle.
+BROADCAST_HOSTS = 100_000
 
 
 def _repeats(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +103,9 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5, trust_ra
     fails the base rules.  Columns of docs of the added names are replaced.
     """
     measured = measure(docs.drop("base_failed", "host_rate", "kept"))
-    rates = host_rates(measured.select(host, *MEASURES), host).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    joined = measured.join(rates, F.col(host) == F.col("_host"), "left").drop("_host")
+    rates = saved(host_rates(measured.select(host, *MEASURES), host).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate")))
+    small = rates.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    joined = measured.join(F.broadcast(rates) if small else rates, F.col(host) == F.col("_host"), "left").drop("_host")
     return joined.withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & F.when(F.col("host_rate") > max_rate, False).when(F.col("host_rate") < trust_rate, True).otherwise(~failed())
     )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.llm.kernels import extended
-from cotejo.llm.saved import saved, shared_folder
+from cotejo.plans.saved import saved, shared_folder
 
 #: Fixed values of the format.
 VERSION, CRLF, GZIP = b"WARC/1.1", b"\r\n", b"\x1f\x8b\x08"

@@ -173,7 +173,7 @@ _TOLD = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary
 
 
 def _sent(keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, docs: np.ndarray, data: np.ndarray, n_buckets: int) -> pa.Table:
-    """Rows of PIECES: of equal pieces the smallest document's goes to the bucket of its key, the others' are known to repeat."""
+    """Rows of PIECES: of equal pieces the smallest document's goes to the bucket of its key, the others' are known to repeat.  A row's texts are packed together."""
     order = np.lexsort((docs, hashes))
     hashes, docs, keys, starts, sizes, places = hashes[order], docs[order], keys[order] & low_bytes(FIND), starts[order], sizes[order], places[order]
     same = np.concatenate(([False], hashes[1:] == hashes[:-1])) if len(hashes) else np.zeros(0, bool)
@@ -188,7 +188,7 @@ def _sent(keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.nd
     for i, j in runs(group[use]):
         at, known = use[i:j], bool(group[use[i]] & 1)
         base = int(docs[at].min())
-        texts = None if known else b"".join([data[s : s + n].tobytes() for s, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)])
+        texts = None if known else pa.compress(b"".join([data[s : s + n].tobytes() for s, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]), codec="zstd", asbytes=True)
         values = (int(group[at[0]] >> 1), len(at), None if known else narrow(keys[at], FIND), None if known else narrow(sizes[at].astype(U64)), None if known else narrow(places[at].astype(U64)), texts, narrow(hashes[at], 8), narrow((docs[at] - base).astype(U64)), base, known)
         for name, value in zip(rows, values, strict=True):
             rows[name].append(value)
@@ -242,6 +242,7 @@ def _resolve(least: int, gram: int, n_parts: int):
                 places.append(widen(at, n).astype(np.int64))
                 hashes.append(widen(h, n))
                 docs.append(own)
+                t = pa.decompress(t, decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
                 texts += [t[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
         if keys:
             keys, places, hashes, docs = (np.concatenate(x) for x in (keys, places, hashes, docs))

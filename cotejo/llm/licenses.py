@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE, WIDE, STEP, BANDS, SHORT = 5, 8, 4, 16, 5
+#: The band of windows of one shingle.
+ONE = -1
 #: Band keys of templates are broadcast up to so many rows of 16 bytes; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -53,20 +55,26 @@ def shingles(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words), of), 1)
 
 
-def wide_bands(own: Column, at: Column) -> Column:
-    """(band, key) for each band of the window at ``at``."""
-    window = [F.get(own, at + j) for j in range(WIDE)]
+def band_key(own: Column, at: Column, band: Column) -> Column:
+    """Key of a window at ``at``: its least hash under the band's function; band ONE has the single shingle itself.
 
-    def least(band: int) -> Column:
-        # a window at the end has fewer shingles
-        return F.least(*[F.when(w.isNotNull(), F.xxhash64(w, F.lit(band))) for w in window])
+    A window at the end is filled up with the last shingle.  Bands hash apart, so keys need no band beside them.
+    The band is a row's value, not one of BANDS columns: so many hashes in one row's code are not compiled.
+    """
+    last = F.size(own) - 1
+    least = F.least(*[F.xxhash64(F.get(own, F.least(at + j, last)), band) for j in range(WIDE)])
+    return F.coalesce(F.when(band == ONE, F.get(own, at)).otherwise(least), F.lit(0).cast("long"))
 
-    return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("key")) for b in range(BANDS)])
 
+def windows(df: DataFrame, kinds: Column) -> DataFrame:
+    """df (own) with at and key for every place of own and each band of ``kinds``, which may use at.
 
-def short_bands(own: Column) -> Column:
-    """(at, key) of every window of one shingle."""
-    return F.posexplode(own)
+    The outer explodes keep Spark from deriving filters on own, for which it would hash all words again.
+    """
+    place = F.when(F.size("own") > 0, F.sequence(F.lit(0), F.size("own") - 1))
+    df = df.select("*", F.explode_outer(place).alias("at"))
+    df = df.select("*", F.explode_outer(kinds).alias("band")).where("band IS NOT NULL")
+    return df.withColumn("key", band_key(F.col("own"), F.col("at"), F.col("band"))).drop("band")
 
 
 def scan(docs: DataFrame, templates: DataFrame, percent: int = 80) -> DataFrame:
@@ -78,28 +86,21 @@ def scan(docs: DataFrame, templates: DataFrame, percent: int = 80) -> DataFrame:
     contain nothing and are contained nowhere; equal templates are each found; rows that share a doc_id
     count as one document and those without doc_id are not scanned.
     """
+    one, wide = F.array(F.lit(ONE)), F.sequence(F.lit(0), F.lit(BANDS - 1))
     templates = templates.select("template", F.array_distinct(shingles(F.col("text"))).alias("parts"), shingles(F.col("text")).alias("own")).where("template IS NOT NULL AND size(own) > 0")
-    short, wide = templates.where(F.size("own") <= SHORT), templates.where(F.size("own") > SHORT)
-    places = F.sequence(F.lit(0), F.greatest(F.size("own") - WIDE, F.lit(0)))
-    short_keys = short.select("template", "parts", F.explode("parts").alias("key"), F.lit(-1).alias("band"))
-    wide_keys = wide.select("template", "parts", "own", F.explode(places).alias("at")).select("template", "parts", F.explode(wide_bands(F.col("own"), F.col("at"))).alias("b"))
-    keys = short_keys.unionByName(wide_keys.select("template", "parts", F.col("b.key").alias("key"), F.col("b.band").alias("band"))).distinct()
+    keys = windows(templates, F.when(F.size("own") <= SHORT, one).when(F.col("at") <= F.greatest(F.size("own") - WIDE, F.lit(0)), wide))
+    keys = keys.select("template", "parts", "key").distinct()
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", shingles(F.col("text")).alias("sh")).where("size(sh) > 0")
-    ones = docs.select("doc_id", "sh", F.posexplode("sh").alias("at", "key")).withColumn("band", F.lit(-1))
-    places = F.sequence(F.lit(0), F.size("sh") - 1, F.lit(STEP))
-    many = docs.select("doc_id", "sh", F.explode(places).alias("at")).select("doc_id", "sh", "at", F.explode(wide_bands(F.col("sh"), F.col("at"))).alias("b"))
-    many = many.select("doc_id", "sh", "at", F.col("b.key").alias("key"), F.col("b.band").alias("band"))
-    one_keys, many_keys = keys.where("band = -1"), keys.where("band >= 0")
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", shingles(F.col("text")).alias("own"))
+    asked = windows(docs, F.when(F.col("at") % STEP == 0, F.concat(one, wide)).otherwise(one))
     if small:
-        found = ones.join(F.broadcast(one_keys), ["band", "key"]).unionByName(many.join(F.broadcast(many_keys), ["band", "key"]))
+        found = asked.join(F.broadcast(keys), "key")
     else:  # the windows go without their texts, which meet the retrieved ones again
-        met = ones.drop("sh").join(one_keys, ["band", "key"]).unionByName(many.drop("sh").join(many_keys, ["band", "key"]))
-        found = met.select("doc_id", "template", "parts", "at").distinct().join(docs, "doc_id")
+        found = asked.drop("own").join(keys, "key").select("doc_id", "template", "parts", "at").distinct().join(docs, "doc_id")
     # the stretch: as long as the template and a window before and behind
     before = F.greatest(F.col("at") - F.size("parts") - WIDE, F.lit(0))
-    near = F.slice("sh", before + 1, 2 * F.size("parts") + 3 * WIDE)
+    near = F.slice("own", before + 1, 2 * F.size("parts") + 3 * WIDE)
     found = found.select("doc_id", "template", F.size("parts").alias("n"), F.size(F.array_intersect(near, "parts")).alias("contained"))
     found = found.where(100 * F.col("contained") >= percent * F.col("n"))
     return found.groupBy("doc_id", "template").agg(F.max("contained").cast("long").alias("contained"))

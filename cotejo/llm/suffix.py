@@ -146,17 +146,22 @@ def repeated_windows(texts: list[bytes], owners: np.ndarray, least: int) -> list
 
 
 def _runs(b: Block, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows whose key is one gram: their document, first window, number of windows, key, and the gram's place."""
+    """Runs of windows whose key is one gram: their document, first window, number of windows, key, and the gram's place.
+
+    Of equal grams in a window one is taken by its offset in the document, so runs are the same whichever
+    rows are in the block; equal windows of two documents may take different ones.
+    """
     n = len(b.data) - least + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(U64), none
     at = np.arange(len(b.data) - gram + 1)
+    own = np.arange(len(b.data)) - np.repeat(b.offsets[:-1], np.diff(b.offsets))
     # a window spans at most 64 grams, so the place of the least one is told by six bits
-    h = span_hash(b.data, at, at + gram, 1) << U64(6) | at.astype(U64) & U64(63)
+    h = span_hash(b.data, at, at + gram, 1) << U64(6) | own[: len(at)].astype(U64) & U64(63)
     low = sliding_min(h, least - gram + 1)
     start = np.arange(n)
-    place = start + ((low & U64(63)).astype(np.int64) - start & 63)
+    place = start + ((low & U64(63)).astype(np.int64) - own[:n] & 63)
     doc = np.searchsorted(b.offsets, start, "right") - 1
     start = np.flatnonzero(start + least <= b.offsets[doc + 1])
     if not len(start):
@@ -199,13 +204,14 @@ def _alike(texts: list[bytes], places: np.ndarray, least: int, gram: int) -> np.
     """Whether each distinct piece could share a window with another.
 
     A window has at least half of its other bytes on one side of its gram, so two pieces that share
-    one agree in the gram and so many bytes before or behind it.
+    one agree in the gram and so many bytes before or behind it.  That holds where the gram is once in
+    the window; a piece that has its gram more than once could share any window.
     """
     half = (least - gram + 1) // 2
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     at = np.cumsum(sizes) - sizes + places
-    out = np.zeros(len(texts), bool)
+    out = np.array([t.find(g := t[p : p + gram]) < p or t.find(g, p + 1) > 0 for t, p in zip(texts, places.tolist(), strict=True)], bool)
     for some, begin in ((places >= half, -half), (sizes - places >= gram + half, 0)):
         which = np.flatnonzero(some)
         _, own, count = np.unique(span_hash(data, at[which] + begin, at[which] + begin + gram + half, 1), return_inverse=True, return_counts=True)

@@ -62,3 +62,39 @@ def test_documents(spark, monkeypatch):
         assert r.n_spans == (np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()
     assert suffix.remove_repeats(df.limit(0)).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_windows_with_repeated_grams(spark):
+    """Passages of a little over 50 bytes that hold runs and patterns, at any offset modulo 64, each with other bytes around it."""
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passages = [letters(a) + (unit * 40)[:run] + letters(50 + more - a - run) for unit in ("-", "0", " ", "= ", "0,", "ab.") for run in (21, 30, 40) for a in (0, 3, 8) for more in (0, 2) if a + run <= 50]
+    texts = {}
+    for p in passages:
+        for _ in range(4):
+            texts[len(texts)] = letters(rng.randrange(30, 130)) + p + letters(rng.randrange(30, 60))
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    first: dict[str, int] = {}
+    for d, t in texts.items():
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    for d, t in texts.items():
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        assert gone.any() == (d % 4 > 0)
+        assert got[d].kept == bytes(np.frombuffer(t.encode(), np.uint8)[~gone]), (d, t)
+
+
+def test_runs_do_not_depend_on_the_block():
+    text = b"x" * 90 + b"ab" * 40 + b"-" * 100
+    found = []
+    for before in (0, 13, 37, 63):
+        b = suffix.Block(np.frombuffer(b"y" * before + text, np.uint8), np.array([0, before, before + len(text)]), 0)
+        doc, start, n, key, place = suffix._runs(b, 50, 20)
+        own = doc == 1
+        found.append([x[own].tolist() for x in (start - before, n, key, place - before)])
+    assert all(f == found[0] for f in found)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -110,18 +111,21 @@ class Source:
     """A file's bytes in order, with a look ahead; what has been passed is forgotten."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.have, self.start, self.ended = stream, b"", 0, False
+        self.stream, self.have, self.start, self.ended = stream, bytearray(), 0, False
 
-    def fill(self, n: int) -> bytes:
-        """At least n bytes from here, if there are so many."""
+    def fill(self, n: int) -> int:
+        """How many bytes are had from here: n at least, if there are so many."""
         while len(self.have) < n and not self.ended:
-            more = self.stream.read(max(READ, n - len(self.have)))
+            more = self.stream.read(READ)
             self.ended = not more
             self.have += more
-        return self.have
+        return len(self.have)
+
+    def look(self, begin: int, end: int) -> bytes:
+        return bytes(memoryview(self.have)[begin:end])
 
     def skip(self, n: int) -> None:
-        self.have = self.have[n:]
+        del self.have[:n]
         self.start += n
 
     def seek(self) -> None:
@@ -129,38 +133,54 @@ class Source:
         self.skip(1)
         while self.fill(READ):
             if m := _SIGN.search(self.have):
-                self.skip(m.start())
+                at = m.start()
+                del m  # it holds the buffer
+                self.skip(at)
                 return
             self.skip(len(self.have) if self.ended else len(self.have) - 6)
 
+    def find(self, what: bytes, at: int) -> int:
+        """Where ``what`` is next from ``at`` on, or -1."""
+        while (found := self.have.find(what, at)) < 0 and not self.ended:
+            at = max(at, len(self.have) - len(what) + 1)
+            self.fill(len(self.have) + 1)
+        return found
+
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Header fields, block and length of the record at the start of data; ValueError says what is wrong."""
-    if not data.startswith(b"WARC/1."):
+def parse(source: Source) -> tuple[dict[str, str], bytes, int]:
+    """Header fields, block and length of the record here; ValueError says what is wrong.
+
+    Where the record needs more bytes than are had, the source is filled.
+    """
+    source.fill(HEADERS)
+    at, fields = source.find(b"\n", 0) - 1 if source.have.startswith(b"WARC/1.") else -2, {}
+    if at < 0 or source.look(at, at + 2) != CRLF:
         raise ValueError("no version line")
-    end = data.find(CRLF + CRLF, 0, HEADERS)
-    if end < 0:
-        raise ValueError("no end of headers")
-    fields = {}
-    for line in data[:end].split(CRLF)[1:]:
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
+    while True:
+        end = source.find(CRLF, at + 2)
+        if end < 0 or end > HEADERS:
+            raise ValueError("no end of headers")
+        if end == at + 2:
+            break
+        name, colon, value = source.look(at + 2, end).decode("utf-8", "replace").partition(":")
         if not colon:
             raise ValueError("a header line without a colon")
         name = name.strip().lower()
         if name in fields and name != "warc-concurrent-to":
             raise ValueError("a header twice")
         fields[name] = value.strip()
+        at = end
     if not fields.get("content-length", "").isdigit():
         raise ValueError("no length")
-    n = int(fields["content-length"])
-    block = data[end + 4 : end + 4 + n]
-    if len(block) < n:
+    begin, end = end + 2, end + 2 + int(fields["content-length"])
+    if source.fill(end + 4) < end:
         raise ValueError("the record breaks off")
-    if data[end + 4 + n : end + 8 + n] != CRLF + CRLF:
+    if source.look(end, end + 4) != CRLF + CRLF:
         raise ValueError("no end of record")
+    block = source.look(begin, end)
     if fields.get("warc-block-digest", "").startswith("sha1:") and fields["warc-block-digest"][5:] != digest(block):
         raise ValueError("the block's digest differs")
-    return fields, block, end + 8 + n
+    return fields, block, end + 4
 
 
 def _row(path: str, start: int, fields: dict[str, str], block: bytes) -> dict:
@@ -178,7 +198,8 @@ def _inflate(source: Source) -> tuple[bytes, int]:
     """The gzip member here and its packed length; ValueError if it is damaged."""
     z, out, used = zlib.decompressobj(31), [], 0
     while not z.eof:
-        chunk = source.fill(used + MEMBER)[used : used + MEMBER]
+        source.fill(used + MEMBER)
+        chunk = source.look(used, used + MEMBER)
         if not chunk:
             raise ValueError("the member breaks off")
         try:
@@ -201,30 +222,17 @@ def salvage(path: str, stream) -> Iterator[dict]:
 
     while source.fill(1):
         here = source.start
-        packed = source.fill(3).startswith(GZIP)
+        source.fill(3)
         try:
-            if packed:
+            if source.have.startswith(GZIP):
                 data, used = _inflate(source)
-                rows, at = [], 0
-                while at < len(data):
-                    fields, block, n = parse(data[at:] if at else data)
+                rows, inner = [], Source(io.BytesIO(data))
+                while inner.fill(1):
+                    fields, block, n = parse(inner)
                     rows.append(_row(path, here, fields, block))
-                    at += n
+                    inner.skip(n)
             else:
-                size = HEADERS
-                while True:
-                    data = source.fill(size)
-                    try:
-                        fields, block, used = parse(data)
-                        break
-                    except ValueError as e:
-                        if "breaks off" not in str(e) and "end of record" not in str(e) or source.ended or len(data) > size:
-                            raise
-                        m = re.search(rb"\r\ncontent-length:\s*(\d+)", data[:HEADERS], re.I)
-                        need = HEADERS + int(m[1]) + 8
-                        if size >= need:
-                            raise
-                        size = need
+                fields, block, used = parse(source)
                 rows = [_row(path, here, fields, block)]
         except ValueError as e:
             if gap is None:

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -192,6 +193,23 @@ def test_warc_salvage(tmp_path, packed):
     assert len(gaps) >= 2 and all(r["gap_bytes"] > 0 and r["reason"] for r in gaps)
 
 
+def salvaged(data):
+    rows = list(warc.salvage("a", io.BytesIO(data)))
+    return [r["record_id"] for r in rows if r["record_type"] != "gap"], [r for r in rows if r["record_type"] == "gap"]
+
+
+def test_warc_plain_of_several_mb():
+    rng = random.Random(5)
+    sizes = [100_000] * 45 + [3_000_000, 10, 70_000, 2_500_000, 100_000]
+    records = [warc.record("response", f"r{i}", "u", rng.randbytes(n), "", None) for i, n in enumerate(sizes)]
+    found, gaps = salvaged(b"".join(records))
+    assert found == [f"r{i}" for i in range(len(sizes))] and not gaps
+    # a damaged length reaches past the end, a lost end takes the last record only
+    records[20] = re.sub(rb"Content-Length: 1", b"Content-Length: 99999999999", records[20], count=1)
+    found, gaps = salvaged(b"".join(records)[:-10])
+    assert found == [f"r{i}" for i in range(len(sizes) - 1) if i != 20] and len(gaps) == 2
+
+
 def test_licenses(spark, docs):
     mit = licenses.TEMPLATES[1][1]
     rows = [(1, "x y z " * 30 + mit + " more " * 40), (2, "Released under the MIT license!\nother"), (3, None), (4, ""), (5, mit.replace("charge", "cost")), (6, "released under the"), (2, "again"), (None, mit)]

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import re
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +29,7 @@ VERSION, CRLF, GZIP = b"WARC/1.1", b"\r\n", b"\x1f\x8b\x08"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ, MEMBER = 1 << 20, 1 << 16
-_SIGN = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_SIGN, _VERSION = re.compile(rb"\x1f\x8b\x08|WARC/1\."), re.compile(rb"WARC/1\.")
 #: Longest run of header lines that is taken for a record's.
 HEADERS = 1 << 16
 RECORD = "path string, start long, record_type string, record_id string, target_uri string, refers_to string, payload binary, payload_bytes long, payload_digest string, gap_bytes long, reason string"
@@ -128,11 +128,11 @@ class Source:
         del self.have[:n]
         self.start += n
 
-    def seek(self) -> None:
-        """Passes to the next sign of a member or a version line after this byte, or to the end."""
-        self.skip(1)
+    def seek(self, sign: re.Pattern = _SIGN, after: int = 1) -> None:
+        """Passes to the next sign of a member or a version line after so many bytes, or to the end."""
+        self.skip(after)
         while self.fill(READ):
-            if m := _SIGN.search(self.have):
+            if m := sign.search(self.have):
                 at = m.start()
                 del m  # it holds the buffer
                 self.skip(at)
@@ -194,56 +194,137 @@ def _row(path: str, start: int, fields: dict[str, str], block: bytes) -> dict:
     return {"path": path, "start": start, "record_type": kind, "record_id": bare(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "refers_to": bare(fields.get("warc-refers-to")), "payload": payload if stored else None, "payload_bytes": length, "payload_digest": code}
 
 
-def _inflate(source: Source) -> tuple[bytes, int]:
-    """The gzip member here and its packed length; ValueError if it is damaged."""
-    z, out, used = zlib.decompressobj(31), [], 0
-    while not z.eof:
-        source.fill(used + MEMBER)
-        chunk = source.look(used, used + MEMBER)
-        if not chunk:
-            raise ValueError("the member breaks off")
+class Member:
+    """The unpacked bytes of the gzip member at the start of a source, as a stream; ``error`` says what is wrong with it.
+
+    The source keeps the packed bytes from where the last passed record ends, for a search from there.
+    """
+
+    def __init__(self, source: Source) -> None:
+        self.source, self.z, self.used, self.made, self.error = source, zlib.decompressobj(31), 0, 0, ""
+        #: How much was unpacked from how many packed bytes.
+        self.marks: deque[tuple[int, int]] = deque()
+
+    def read(self, n: int) -> bytes:
+        out = b""
+        while not out and not self.z.eof and not self.error:
+            self.source.fill(self.used + MEMBER)
+            chunk = self.source.look(self.used, self.used + MEMBER)
+            if not chunk:
+                self.error = "the member breaks off"
+                break
+            self.marks.append((self.made, self.used))
+            before = self.z.copy() if self.used else zlib.decompressobj(31)
+            try:
+                out = self.z.decompress(chunk)
+            except zlib.error:
+                self.error = "the member is damaged"
+                out = _up_to_damage(before, chunk)
+            self.used += len(chunk) - len(self.z.unused_data)
+            self.made += len(out)
+        return out
+
+    def passed(self, n: int) -> None:
+        """n unpacked bytes have been passed: the source forgets what only they are from."""
+        while len(self.marks) > 1 and self.marks[1][0] <= n:
+            self.marks.popleft()
+        done = self.marks[0][1]
+        if done:
+            self.source.skip(done)
+            self.used -= done
+            self.marks = deque((made, used - done) for made, used in self.marks)
+
+
+def _up_to_damage(z, chunk: bytes) -> bytes:
+    """What can be unpacked of a chunk that raises an error."""
+    out = []
+    try:
+        for i in range(len(chunk)):
+            out.append(z.decompress(chunk[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _records(member: Member) -> Iterator[tuple[int, dict[str, str], bytes, str]]:
+    """Fields and block of the records of a member that read well, each after the number of unpacked bytes
+    lost before it and the first check that those failed; what is lost at the end comes without a block."""
+    inner = Source(member)
+    lost, why = -1, ""
+    while inner.fill(1):
         try:
-            out.append(z.decompress(chunk))
-        except zlib.error as e:
-            raise ValueError("the member is damaged") from e
-        used += len(chunk)
-    return b"".join(out), used - len(z.unused_data)
+            fields, block, n = parse(inner)
+            # without a digest of its own the last record of a damaged member is in doubt
+            if inner.fill(n + 1) == n and member.error and not fields.get("warc-block-digest", "").startswith("sha1:"):
+                raise ValueError(member.error)
+        except ValueError as e:
+            if lost < 0:
+                lost, why = inner.start, str(e)
+            inner.seek(_VERSION)
+            continue
+        yield (inner.start - lost if lost >= 0 else 0), fields, block, why
+        lost, why = -1, ""
+        inner.skip(n)
+        member.passed(inner.start)
+    if lost >= 0:
+        yield inner.start - lost, {}, None, why
 
 
 def salvage(path: str, stream) -> Iterator[dict]:
-    """Records of a file and, where a check failed, the gaps that were passed over to the next member or version line that reads well."""
+    """Records of a file and, where a check failed, the gaps that were passed over to the next record that reads well.
+
+    A gap is in bytes of the file; one between records of a sound or a damaged member starts where the
+    member does and counts unpacked bytes.
+    """
     source = Source(stream)
     gap: int | None = None
     reason = ""
 
-    def closed(end: int) -> Iterator[dict]:
-        if gap is not None:
-            yield {"path": path, "start": gap, "record_type": "gap", "gap_bytes": end - gap, "reason": reason}
+    def a_gap(start: int, n: int, why: str) -> dict:
+        return {"path": path, "start": start, "record_type": "gap", "gap_bytes": n, "reason": why}
 
     while source.fill(1):
         here = source.start
         source.fill(3)
+        if source.have.startswith(GZIP):
+            member = Member(source)
+            some, left, why = False, 0, ""
+            for lost, fields, block, failed in _records(member):
+                if block is None:
+                    left, why = lost, failed
+                    continue
+                if gap is not None:
+                    yield a_gap(gap, here - gap, reason)
+                    gap = None
+                if lost:
+                    yield a_gap(here, lost, failed)
+                yield _row(path, here, fields, block)
+                some = True
+            if member.error:
+                if gap is None:
+                    gap, reason = source.start, member.error
+                source.seek(after=int(source.start == here))
+                continue
+            if left and some:
+                yield a_gap(here, left, why)
+            elif left and gap is None:
+                gap, reason = here, why
+            source.skip(member.used)
+            continue
         try:
-            if source.have.startswith(GZIP):
-                data, used = _inflate(source)
-                rows, inner = [], Source(io.BytesIO(data))
-                while inner.fill(1):
-                    fields, block, n = parse(inner)
-                    rows.append(_row(path, here, fields, block))
-                    inner.skip(n)
-            else:
-                fields, block, used = parse(source)
-                rows = [_row(path, here, fields, block)]
+            fields, block, used = parse(source)
         except ValueError as e:
             if gap is None:
                 gap, reason = here, str(e)
             source.seek()
             continue
-        yield from closed(here)
-        gap = None
-        yield from rows
+        if gap is not None:
+            yield a_gap(gap, here - gap, reason)
+            gap = None
+        yield _row(path, here, fields, block)
         source.skip(used)
-    yield from closed(source.start)
+    if gap is not None:
+        yield a_gap(gap, source.start - gap, reason)
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -251,7 +332,9 @@ def read(files: DataFrame) -> DataFrame:
 
     A gap is a row of record_type 'gap' with its start, gap_bytes and the first check that failed.
     A revisit has no payload and the length and digest that its headers give; a response those of what
-    was read.  Archives are spread over tasks; a task holds one record at a time.
+    was read.  Archives are spread over tasks; a task holds one record or gap at a time.  Records of one
+    member have its start, and what reads well before and after damage in it is kept.  A record whose
+    damaged length is too great is held with all that follows it in its file or member.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

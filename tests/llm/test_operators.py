@@ -210,6 +210,33 @@ def test_warc_plain_of_several_mb():
     assert found == [f"r{i}" for i in range(len(sizes) - 1) if i != 20] and len(gaps) == 2
 
 
+@pytest.mark.parametrize("size", [300, 30_000])
+def test_warc_members_of_several_records(size):
+    rng = random.Random(size)
+    records = [warc.record("response", f"r{i}", "u", rng.randbytes(size).hex().encode(), "", None) for i in range(60)]
+    names, ends = [f"r{i}" for i in range(60)], [len(b"".join(records[: i + 1])) for i in range(60)]
+    whole, after = warc.member(b"".join(records)), warc.member(warc.record("response", "after", "u", b"x", "", None))
+    assert salvaged(whole + after) == ([*names, "after"], [])
+    # one record fails its check, in a sound member
+    harmed = list(records)
+    harmed[25] = harmed[25].replace(b"Content-Length", b"Content Length")
+    harmed[40] = harmed[40][:-5] + b"\x00" + harmed[40][-4:]
+    found, gaps = salvaged(warc.member(b"".join(harmed)) + after)
+    assert found == [x for x in names if x not in ("r25", "r40")] + ["after"]
+    assert [g["gap_bytes"] for g in gaps] == [len(harmed[25]), len(harmed[40])] and all(g["start"] == 0 for g in gaps)
+    # the end is lost, or bytes in the middle: what was unpacked before is kept
+    for cut in (len(whole) // 3, len(whole) * 2 // 3, len(whole) - 9):
+        sound = len(zlib.decompressobj(31).decompress(whole[:cut]))
+        expected = [x for x, end in zip(names, ends, strict=True) if end <= sound]
+        assert expected and salvaged(whole[:cut])[0] == expected
+        found, gaps = salvaged(whole[:cut] + after)
+        assert found == [*expected, "after"] and len(gaps) == 1
+        # later records of the member may read well again
+        found, gaps = salvaged(whole[:cut] + b"\xff" * 64 + whole[cut + 64 :] + after)
+        assert found[: len(expected)] == expected and found[-1] == "after" and gaps
+        assert [x for x in [*names, "after"] if x in found] == found
+
+
 def test_licenses(spark, docs):
     mit = licenses.TEMPLATES[1][1]
     rows = [(1, "x y z " * 30 + mit + " more " * 40), (2, "Released under the MIT license!\nother"), (3, None), (4, ""), (5, mit.replace("charge", "cost")), (6, "released under the"), (2, "again"), (None, mit)]

@@ -30,8 +30,6 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ, MEMBER = 1 << 20, 1 << 16
 _SIGN, _VERSION = re.compile(rb"\x1f\x8b\x08|WARC/1\."), re.compile(rb"WARC/1\.")
-#: Longest run of header lines that is taken for a record's.
-HEADERS = 1 << 16
 RECORD = "path string, start long, record_type string, record_id string, target_uri string, refers_to string, payload binary, payload_bytes long, payload_digest string, gap_bytes long, reason string"
 _RECORD = pa.schema(
     [("path", pa.string()), ("start", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("gap_bytes", pa.int64()), ("reason", pa.string())]
@@ -152,13 +150,13 @@ def parse(source: Source) -> tuple[dict[str, str], bytes, int]:
 
     Where the record needs more bytes than are had, the source is filled.
     """
-    source.fill(HEADERS)
+    source.fill(MEMBER)
     at, fields = source.find(b"\n", 0) - 1 if source.have.startswith(b"WARC/1.") else -2, {}
     if at < 0 or source.look(at, at + 2) != CRLF:
         raise ValueError("no version line")
     while True:
         end = source.find(CRLF, at + 2)
-        if end < 0 or end > HEADERS:
+        if end < 0:
             raise ValueError("no end of headers")
         if end == at + 2:
             break

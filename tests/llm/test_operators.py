@@ -210,6 +210,15 @@ def test_warc_plain_of_several_mb():
     assert found == [f"r{i}" for i in range(len(sizes) - 1) if i != 20] and len(gaps) == 2
 
 
+def test_warc_long_headers(spark, tmp_path):
+    pages = [(1, "data:," + "x" * 70_000, "a"), (2, "data:," + "y" * 3_000_000, "b"), (3, "u", "c")]
+    files = warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.record_id: (r.target_uri, r.payload) for r in warc.read(files).collect()}
+    assert got == {f"urn:page:{i}": (u, bytearray(h.encode())) for i, u, h in pages}
+    found, gaps = salvaged(b"".join(warc.record("response", f"r{i}", u, h.encode(), "", None) for i, u, h in pages))
+    assert found == ["r1", "r2", "r3"] and not gaps
+
+
 @pytest.mark.parametrize("size", [300, 30_000])
 def test_warc_members_of_several_records(size):
     rng = random.Random(size)

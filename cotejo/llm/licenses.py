@@ -6,7 +6,7 @@ A document window inside a copy of a template of WIDE + STEP - 1 shingles or mor
 windows; for a shorter template of more than SHORT shingles the best window has at least
 (SHORT) / (WIDE + 1) in common, so all bands miss it with a chance of (4 / 9) ** 16 = 2e-6.  Templates
 of up to SHORT shingles are looked up by windows of one shingle, whose only MinHash is sure to
-collide.  Retrieved templates are verified by exact shingle containment around the window.
+collide.  Retrieved templates are verified by exact shingle containment in the whole document.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotejo.plans.saved import saved
+
 SIZE, WIDE, STEP, BANDS, SHORT = 5, 8, 4, 16, 5
 #: The band of windows of one shingle.
 ONE = -1
-#: Band keys of templates are broadcast up to so many rows of 16 bytes; more are joined by a shuffle.
+#: Band keys of templates, and retrieved pairs, are broadcast up to so many rows; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 #: Short texts by which works state their licence.
@@ -80,30 +82,31 @@ def windows(df: DataFrame, kinds: Column) -> DataFrame:
 def scan(docs: DataFrame, templates: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, template, contained) for each document and template with 100 * contained >= percent * shingles.
 
-    contained counts the template's distinct shingles in a stretch of the document around a window, as
-    long as the template and a window on either side; the most counts.  docs has doc_id and text,
+    contained counts the template's distinct shingles in the whole document.  docs has doc_id and text,
     templates template and text; other columns are not read.  Null or short texts (below SIZE words)
     contain nothing and are contained nowhere; equal templates are each found; rows that share a doc_id
     count as one document and those without doc_id are not scanned.
     """
     one, wide = F.array(F.lit(ONE)), F.sequence(F.lit(0), F.lit(BANDS - 1))
     templates = templates.select("template", F.array_distinct(shingles(F.col("text"))).alias("parts"), shingles(F.col("text")).alias("own")).where("template IS NOT NULL AND size(own) > 0")
+    # templates of one name are told apart by their shingles
+    templates = templates.withColumn("which", F.xxhash64("parts"))
     keys = windows(templates, F.when(F.size("own") <= SHORT, one).when(F.col("at") <= F.greatest(F.size("own") - WIDE, F.lit(0)), wide))
-    keys = keys.select("template", "parts", "key").distinct()
+    keys = keys.select("template", "which", "key").distinct()
+    parts = templates.select("template", "which", "parts").distinct()
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", shingles(F.col("text")).alias("own"))
-    asked = windows(docs, F.when(F.col("at") % STEP == 0, F.concat(one, wide)).otherwise(one))
-    if small:
-        found = asked.join(F.broadcast(keys), "key")
-    else:  # the windows go without their texts, which meet the retrieved ones again
-        found = asked.drop("own").join(keys, "key").select("doc_id", "template", "parts", "at").distinct().join(docs, "doc_id")
-    # the stretch: as long as the template and a window before and behind
-    before = F.greatest(F.col("at") - F.size("parts") - WIDE, F.lit(0))
-    near = F.slice("own", before + 1, 2 * F.size("parts") + 3 * WIDE)
-    found = found.select("doc_id", "template", F.size("parts").alias("n"), F.size(F.array_intersect(near, "parts")).alias("contained"))
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    asked = windows(docs.select("doc_id", shingles(F.col("text")).alias("own")), F.when(F.col("at") % STEP == 0, F.concat(one, wide)).otherwise(one)).drop("own", "at")
+    found = saved(asked.join(F.broadcast(keys) if small else keys, "key").select("doc_id", "template", "which").distinct())
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # the retrieved pairs meet their documents' whole texts
+    found = docs.join(F.broadcast(found) if few else found, "doc_id").select("doc_id", "template", "which", shingles(F.col("text")).alias("own"))
+    found = found.join(F.broadcast(parts) if small else parts, ["template", "which"])
+    found = found.select("doc_id", "template", "which", F.size("parts").alias("n"), F.explode(F.array_intersect("own", "parts")).alias("part"))
+    found = found.groupBy("doc_id", "template", "which", "n").agg(F.count_distinct("part").alias("contained"))
     found = found.where(100 * F.col("contained") >= percent * F.col("n"))
-    return found.groupBy("doc_id", "template").agg(F.max("contained").cast("long").alias("contained"))
+    return found.groupBy("doc_id", "template").agg(F.max("contained").alias("contained"))
 
 
 def by_document(docs: DataFrame, templates: DataFrame, percent: int = 80) -> DataFrame:

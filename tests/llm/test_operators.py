@@ -257,6 +257,27 @@ def test_licenses(spark, docs):
     assert licenses.by_document(frame.limit(0), licenses.default_templates(spark)).count() == 0
 
 
+def test_licenses_in_parts(spark):
+    words = licenses.TEMPLATES[1][1].split()
+    half, other = " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 - 4 :])
+    far = " ".join(f"w{i}" for i in range(400))
+    again = " ".join(f"{a} b c d e" for a in "xyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxy") + " the rest of it is said only once here"
+    rows = [(1, f"{half} {far} {other}"), (2, f"{far} {half} {far}"), (3, half), (3, other), (4, f"{far} {again} {far}")]
+    templates = licenses.default_templates(spark).unionByName(spark.createDataFrame([("again", again)], "template string, text string"))
+    got = {(r.doc_id, r.template): r.contained for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    sets = lambda *texts: {tuple(w[i : i + 5]) for t in texts for w in [re.findall(r"[a-z0-9]+", t.lower())] for i in range(len(w) - 4)}
+    by_id: dict[int, list[str]] = {}
+    for d, t in rows:
+        by_id.setdefault(d, []).append(t)
+    expected = {}
+    for d, texts in by_id.items():
+        for name, text in [*licenses.TEMPLATES, ("again", again)]:
+            common = len(sets(*texts) & sets(text))
+            if 100 * common >= 80 * len(sets(text)):
+                expected[d, name] = common
+    assert set(expected) == {(1, "MIT-text"), (3, "MIT-text"), (4, "again")} and got == expected
+
+
 def test_chat(spark):
     said = [(1, 0, "user", "hi"), (1, 1, "assistant", "a</s><s>\\<\\s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user\n<s>", None), (3, 0, None, "<\\\\/s>"), (3, 0, None, "<\\\\/s>"), (None, 0, "user", "x"), (4, 5, "assistant", "é"), (4, 2, "assistant", "first")]
     frame = spark.createDataFrame([(*r, "x") for r in said], "conv_id long, turn long, role string, text string, node string")

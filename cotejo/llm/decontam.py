@@ -3,7 +3,8 @@
 Of every ``window - k + 1`` consecutive k-grams of words the one with the smallest hash is kept
 (the rightmost on ties).  A span of ``window`` words shared by a document and an item has the same
 k-grams in both, so the same one is kept in both: joining the fingerprints finds every such span.
-Each hit is extended word by word along its diagonal and counts where ``window`` words agree.
+Each hit is extended to the windows of the document around it, and one counts where its words are those
+of a window of an item that was hit; so a gram that both repeat costs its places, not their product.
 Items shorter than a window are fingerprinted whole, and documents by their runs of those lengths.
 """
 
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.kernels import ALNUM_BYTES, LOWER, Words, blocks, extended, sliding_min, words
+from cotejo.llm.kernels import ALNUM_BYTES, LOWER, Words, blocks, extended, free_name, sliding_min, words
 
-#: Item fingerprints are broadcast up to so many rows of 20 bytes; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-PRINT = "id long, k int, print long, at int"
+#: Items are broadcast up to so many bytes of texts (which bounds their fingerprints too); more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+PRINT = "id long, k int, print long"
 
 
 def winnow(w: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,26 +42,27 @@ def winnow(w: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def prints_of(w: Words, window: int, k: int, whole: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, word positions, hashes) of the winnowed k-grams and of every run of the lengths in whole."""
+    for size in sorted({k, *whole}):
+        # a length that is both k and whole keeps every run, which holds the winnowed ones
+        if size in whole:
+            at = np.flatnonzero(w.windows(size))
+            yield size, at, w.window_hash(at, size)
+        else:
+            yield size, *winnow(w, window, k)
+
+
 def fingerprints(df: DataFrame, window: int, k: int, whole: list[int]) -> DataFrame:
-    """(id, k, print, at) of df's (id, text); whole: lengths of which every run is kept."""
+    """(id, k, print) of df's (id, text); whole: lengths of which every run is kept."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for b in blocks(batch.column("text")):
                 w = words(b, ALNUM_BYTES, LOWER)
-                for size in [k, *whole]:
-                    if size == k:
-                        at, h = winnow(w, window, k)
-                    if size in whole:
-                        more = np.flatnonzero(w.windows(size))
-                        at, h = more, w.window_hash(more, size)
-                    # a length that is both k and whole keeps every run, which holds the winnowed ones
-                    doc = w.doc[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[b.first + doc]), pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64)), pa.array((at - w.first[doc]).astype(np.int32))],
-                        names=["id", "k", "print", "at"],
-                    )
+                for size, at, h in prints_of(w, window, k, whole):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[b.first + w.doc[at]]), pa.array(np.full(len(at), size, np.int32)), pa.array(h.view(np.int64))], names=["id", "k", "print"])
 
     return df.where(F.col("id").isNotNull()).select("id", "text").mapInArrow(make, PRINT)
 
@@ -91,51 +93,68 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     to lower case), digits and non-ASCII characters.  A window is ``window`` consecutive words of an
     item, or a shorter item as a whole; a document word inside an occurrence of a window is hit.  Null
     and wordless texts have no words and no hit; items without words or id are in no document;
-    repeated rows each get their result; rows without doc_id are not searched (n_hit 0).  Columns of
-    docs of the added names are replaced.
+    repeated rows each get their result, and rows that share a doc_id are judged by their own texts; rows
+    without doc_id are not searched (n_hit 0).  Columns of docs of the added names are replaced.
     """
-    docs = docs.drop("n_words", "n_hit", "items", "hits")
+    docs = docs.drop("n_words", "n_hit", "items")
+    columns, told = docs.columns, free_name(docs.columns, "hits")
     kinds = _item_words(items)
     whole = [r["n"] for r in kinds.where(F.col("n") < window).select("n").distinct().collect()]  # below window, so at most that many
     prints = fingerprints(kinds.where(F.col("n") >= window), window, k, [])
     for n in whole:
         prints = prints.unionByName(fingerprints(kinds.where(F.col("n") == n), window, k, [n]).where(F.col("k") == n))
-    prints = prints.withColumnRenamed("id", "item").withColumnRenamed("at", "item_at")
-    small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    prints = prints.withColumnRenamed("id", "item").distinct()
+    small = kinds.agg(F.coalesce(F.sum(F.octet_length("text") + 8 * F.size("ids")), F.lit(0))).first()[0] <= BROADCAST_BYTES
     own = fingerprints(docs.select(F.col("doc_id").alias("id"), "text"), window, k, whole)
-    hits = own.join(F.broadcast(prints) if small else prints, ["k", "print"]).select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = own.join(F.broadcast(prints) if small else prints, ["k", "print"]).groupBy("id", "item").agg(F.collect_set(F.struct("k", "print")).alias("prints"))
     kinds = kinds.select(F.col("id").alias("item"), "ids", F.col("text").alias("item_text"))
     hits = hits.join(F.broadcast(kinds) if small else kinds, "item")
-    hits = hits.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("shift", "ids", "item_text")).alias("hits"))
-    columns = docs.columns
+    hits = hits.groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("prints", "ids", "item_text")).alias(told))
+
+    def occurrences(own: list[bytes], places: dict[int, np.ndarray], found: list[dict]) -> Iterator[tuple[int, int, set]]:
+        """(word, length, item ids) of each window of an item that begins in the document near a hit."""
+        known: dict[tuple, set] = {}
+        for item in found:
+            said = item["item_text"].encode().split(b" ")
+            size = min(window, len(said))
+            for j in range(len(said) - size + 1):
+                known.setdefault(tuple(said[j : j + size]), set()).update(item["ids"])
+        for size, at in places.items():
+            long = size if size in whole else window
+            begin = np.unique((at[:, None] - np.arange(long - size + 1)).ravel())
+            for j in begin[(begin >= 0) & (begin + long <= len(own))].tolist():
+                if ids := known.get(tuple(own[j : j + long])):
+                    yield j, long, ids
+            if size == k and size in whole:  # hits of winnowed grams too
+                begin = np.unique((at[:, None] - np.arange(window - k + 1)).ravel())
+                for j in begin[(begin >= 0) & (begin + window <= len(own))].tolist():
+                    if ids := known.get(tuple(own[j : j + window])):
+                        yield j, window, ids
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, hit, found = [], [], []
-            told = batch.column("hits")
+            told_of = batch.column(told)
             for b in blocks(batch.column("text")):
-                w = words(b, ALNUM_BYTES, LOWER, hashed=False)
+                some = [told_of[b.first + i].as_py() for i in range(b.n)]
+                w = words(b, ALNUM_BYTES, LOWER, hashed=any(some))
+                prints = list(prints_of(w, window, k, whole)) if w.hash is not None else []
                 raw = w.data.tobytes()
-                for i in range(b.n):
+                for i, items_hit in enumerate(some):
                     low, high = int(w.first[i]), int(w.first[i + 1])
-                    n, ids, gone = high - low, set(), None
-                    if told[b.first + i].is_valid:
+                    n, ids, gone = high - low, set(), bytearray(high - low)
+                    if items_hit:
                         own = [raw[s:e] for s, e in zip(w.starts[low:high].tolist(), w.ends[low:high].tolist(), strict=True)]
-                        gone = bytearray(n)
-                        for h in told[b.first + i].as_py():
-                            item = h["item_text"].encode().split(b" ")
-                            need, run = min(window, len(item)), 0
-                            for j in range(len(item) + 1):
-                                at = j + h["shift"]
-                                if j < len(item) and 0 <= at < n and own[at] == item[j]:
-                                    run += 1
-                                    continue
-                                if run >= need:
-                                    gone[at - run : at] = b"\x01" * run
-                                    ids.update(h["ids"])
-                                run = 0
+                        places = {}
+                        for size, at, h in prints:
+                            part = slice(*np.searchsorted(at, (low, high)))
+                            wanted = np.array([p["print"] for x in items_hit for p in x["prints"] if p["k"] == size], np.int64)
+                            places[size] = at[part][np.isin(h[part].view(np.int64), wanted)] - low
+                        for at, size, which in occurrences(own, places, items_hit):
+                            gone[at : at + size] = b"\x01" * size
+                            ids |= which
                     total.append(n)
-                    hit.append(sum(gone) if gone else 0)
+                    hit.append(sum(gone))
                     found.append(sorted(ids))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in columns] + [pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*columns, "n_words", "n_hit", "items"]

@@ -27,6 +27,8 @@ _REQUEST = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.bin
 _ANSWER = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("base", pa.int64())])
 #: Parts of the documents for each shuffle partition, so that partitions are even.
 PER_PARTITION = 2
+#: Bytes of input (as stored) for each bucket, and estimates from which on Spark doesn't know the size.
+BUCKET_BYTES, UNKNOWN = 64 << 20, 1 << 60
 #: Keys already answered travel in rows of so many.
 KNOWN_ROW = 1 << 16
 #: Bytes of a key that are sent: FIND to find candidates, DECIDE and MORE to decide.
@@ -34,8 +36,10 @@ FIND, DECIDE, MORE = 6, 8, 4
 
 
 def bucket_count(df: DataFrame) -> int:
-    """A bucket for each of the session's shuffle partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    """A bucket for each of the session's shuffle partitions, and at least one for each BUCKET_BYTES that df is estimated to have."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = size // BUCKET_BYTES if size < UNKNOWN else 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), by_size)
 
 
 def part_count(n_buckets: int) -> int:
@@ -122,9 +126,8 @@ def requests(keys: np.ndarray, more: np.ndarray | None, docs: np.ndarray, n_buck
     return pa.RecordBatch.from_pydict(rows, schema=_REQUEST)
 
 
-def keyed_rows(df: DataFrame, keys_of: Callable, later_only: bool) -> DataFrame:
+def keyed_rows(df: DataFrame, keys_of: Callable, later_only: bool, n_buckets: int) -> DataFrame:
     """The packed rows of all batches of df; keys_of(batch) -> (keys, more, docs)."""
-    n_buckets = bucket_count(df)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,13 +138,13 @@ def keyed_rows(df: DataFrame, keys_of: Callable, later_only: bool) -> DataFrame:
     return df.mapInArrow(pack, REQUEST)
 
 
-def shared_keys(requested: DataFrame, later_only: bool) -> DataFrame:
+def shared_keys(requested: DataFrame, later_only: bool, n_buckets: int) -> DataFrame:
     """Answers, packed by part of the documents: which of its keys each document shares.
 
     later_only: keys that a document with a smaller id holds, decided by DECIDE + MORE bytes; otherwise
-    every key with another holder, found by FIND bytes.  Give ``keyed_rows`` the same value.
+    every key with another holder, found by FIND bytes.  Give ``keyed_rows`` the same values.
     """
-    n_buckets, width = bucket_count(requested), DECIDE if later_only else FIND
+    width = DECIDE if later_only else FIND
     n_parts = part_count(n_buckets)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,15 +201,15 @@ class Answers:
         return np.isin(keys & low_bytes(self.width), own)
 
 
-def parted(docs: DataFrame) -> DataFrame:
-    """docs with the column part."""
-    return docs.withColumn("part", part_column(part_count(bucket_count(docs))))
+def parted(docs: DataFrame, name: str, n_buckets: int) -> DataFrame:
+    """docs with the column ``name``, the part of each row."""
+    return docs.withColumn(name, part_column(part_count(n_buckets)))
 
 
-def with_answers(docs: DataFrame, answers: DataFrame, later_only: bool, work: Callable[[pa.Table, Answers], pa.Table], schema: str | StructType) -> DataFrame:
-    """work(rows, answers) for each part of the documents (``parted``) and what was found for them."""
+def with_answers(docs: DataFrame, part: str, answers: DataFrame, later_only: bool, work: Callable[[pa.Table, Answers], pa.Table], schema: str | StructType) -> DataFrame:
+    """work(rows, answers) for each part of the documents (``parted``, in the column part) and what was found for them."""
 
     def meet(rows: pa.Table, found: pa.Table) -> pa.Table:
         return work(rows.combine_chunks(), Answers(found, DECIDE if later_only else FIND))
 
-    return docs.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(meet, schema)
+    return docs.groupBy(part).cogroup(answers.groupBy("part")).applyInArrow(meet, schema)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U64 = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -66,13 +66,80 @@ def _powers_of(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    """Hash of values[start:end] for each span: a polynomial modulo 2**64 from prefix sums, finalised."""
-    up, down = _powers_of(_BASES[base], len(values) + 1)
+def gram_hash(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` consecutive values: a polynomial modulo 2**64 from prefix sums, finalised.
+
+    Only to choose and to find: chosen texts collide, so what is found is decided by other means.
+    """
+    n = len(values) - size + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    up, down = _powers_of(_BASES[1], len(values) + 1)
     sums = np.zeros(len(values) + 1, U64)
     np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(_BASES[3]))
+    return mix((sums[size:] - sums[:n]) * down[:n])
+
+
+#: Random values for each place and value of a byte; places beyond it take factors besides.
+_PLACES = 64
+_TABLE = mix(mix(np.arange(_PLACES * 256, dtype=U64) + U64(_BASES[0])) ^ U64(_BASES[2]))
+
+
+def _factors_of(at: np.ndarray) -> np.ndarray:
+    """An odd factor of its own for each number."""
+    return mix(mix(at.astype(U64) + U64(_BASES[1])) ^ U64(_BASES[3])) | U64(1)
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start:end] (bytes) for each span: a sum of random values, one for each byte at its place in the span.
+
+    Two different spans collide with a chance of 2**-64 whatever they say, since each place has values of its own.
+    """
+    sizes = ends - starts
+    out = np.zeros(len(sizes), U64)
+    some = np.flatnonzero(sizes > 0)
+    if len(some):
+        n = sizes[some]
+        first = np.cumsum(n) - n
+        own = np.arange(int(n.sum()))
+        place = own - np.repeat(first, n)
+        own = data[own + np.repeat(starts[some] - first, n)]
+        if int(n.max()) <= _PLACES:
+            terms = _TABLE[(place << 8) + own]
+        else:
+            terms = _TABLE[((place & _PLACES - 1) << 8) + own]
+            far = np.flatnonzero(place >= _PLACES)
+            terms[far] *= _factors_of(place[far] // _PLACES)
+        out[some] = np.add.reduceat(terms, first)
+    return mix(out + sizes.astype(U64) * U64(_BASES[3]))
+
+
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+size] and data[b:b+size] are the same bytes, for each."""
+    out = np.ones(len(sizes), bool)
+    some = np.flatnonzero((sizes > 0) & (a != b))
+    if len(some):
+        n = sizes[some]
+        first = np.cumsum(n) - n
+        own = np.arange(int(n.sum()))
+        out[some] = np.logical_and.reduceat(data[own + np.repeat(a[some] - first, n)] == data[own + np.repeat(b[some] - first, n)], first)
+    return out
+
+
+def run_hash(values: np.ndarray, at: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """Hash of the k hashes values[i:i+k] for each i of at: a sum with random odd factors, one for each place."""
+    factors = mix(mix(np.arange(k, dtype=U64) + U64(_BASES[2])) ^ U64(_BASES[lane])) | U64(1)
+    begin = k * _BASES[3] & (1 << 64) - 1
+    n = len(values) - k + 1
+    if len(at) * 3 > n:  # most places are asked for
+        out = np.full(max(0, n), begin, U64)
+        for j in range(k):
+            out += values[j : j + n] * factors[j]
+        return mix(out[at])
+    out = np.full(len(at), begin, U64)
+    for j in range(k):
+        out += values[at + j] * factors[j]
+    return mix(out)
 
 
 @dataclass
@@ -127,8 +194,8 @@ class Words:
             ok[: len(ok) - k + 1] = self.doc[: len(ok) - k + 1] == self.doc[k - 1 :]
         return ok
 
-    def window_hash(self, at: np.ndarray, k: int, base: int = 1) -> np.ndarray:
-        return span_hash(self.hash, at, at + k, base)
+    def window_hash(self, at: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+        return run_hash(self.hash, at, k, lane)
 
 
 def words(block: Block, table: np.ndarray = WORD_BYTES, fold: np.ndarray = SAME, hashed: bool = True) -> Words:
@@ -170,3 +237,11 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 def extended(schema: T.StructType, *added: str) -> T.StructType:
     """The schema with fields added, each as "name type"."""
     return T.StructType(schema.fields + T._parse_datatype_string(", ".join(added)).fields)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores added until no column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -12,6 +12,8 @@ the element-wise largest, and two sets agree in a register about as often as the
 4. Families are what buckets connect.  Where a family falls into several components, every member
    outside its largest one is verified against all members of other components, in blocks, so no
    pair that shares a bucket is left unjudged and no bucket is expanded into pairs.
+
+Rows that meet at one key (a class, bucket, centre or family) are spread over salts of that key.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cotejo.llm.exchange import FIND, Answers, keyed_rows, narrow, shared_keys, widen
-from cotejo.llm.kernels import LOWER, U64, blocks, mix, span_hash, words
+from cotejo.llm.exchange import FIND, Answers, bucket_count, keyed_rows, narrow, shared_keys, widen
+from cotejo.llm.kernels import LOWER, U64, blocks, mix, run_hash, words
 from cotejo.plans.saved import saved
 
 BASE, RATE, LEVELS = 1.001, 20.0, 65534
@@ -32,6 +34,8 @@ BASE, RATE, LEVELS = 1.001, 20.0, 65534
 TRIED = 2
 #: Members of a block: strays and others.
 STRAYS, OTHERS = 256, 2048
+#: Salts of a key where its rows are few bytes, and rows for each salt where they carry sets.
+SALTS, SALT_ROWS = 32, 1000
 
 
 def shingle_sets(batch_text: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -46,7 +50,7 @@ def shingle_sets(batch_text: pa.Array, size: int) -> Iterator[np.ndarray]:
             if cut[i] < cut[i + 1]:
                 yield np.unique(h[cut[i] : cut[i + 1]])
             elif low < high:
-                yield span_hash(w.hash[low:high], np.array([0]), np.array([high - low]), 1)
+                yield run_hash(w.hash[low:high], np.array([0]), int(high - low))
             else:
                 yield np.zeros(0, U64)
 
@@ -79,8 +83,7 @@ class Sketch:
 def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
     """One key for each band of registers."""
     n = len(registers) // rows
-    starts = np.arange(n) * rows
-    return mix(span_hash(registers, starts, starts + rows, 2) + np.arange(n, dtype=U64))
+    return mix(run_hash(registers.astype(U64), np.arange(n) * rows, rows) + np.arange(n, dtype=U64))
 
 
 def unlikely(a: np.ndarray, b: np.ndarray, na: int, nb: int, similarity: float) -> bool:
@@ -108,6 +111,14 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def salted(left: DataFrame, right: DataFrame, key: list[str], by: str, salts: Column, how: str = "inner") -> DataFrame:
+    """left joined to right on key, where many rows of left may have one key: by the column ``by`` they are
+    spread over so many salts, and right's rows are copied to the salts that their key has."""
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(by), salts))
+    spread = left.select(*key, "_salt").distinct().join(right, key)
+    return left.join(spread, [*key, "_salt"], how).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of links (a, b): the smallest node that links reach.
 
@@ -116,10 +127,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = saved(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = salted(edges, labels.withColumnRenamed("node", "b"), ["b"], "a", F.lit(SALTS)).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         spread = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         of = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        new = saved(spread.join(of, "component", "left").select("node", "was", F.least("component", F.coalesce("jump", "component")).alias("component")))
+        jumped = salted(spread, of, ["component"], "node", F.lit(SALTS), "left")
+        new = saved(jumped.select("node", "was", F.least("component", F.coalesce("jump", "component")).alias("component")))
         labels = new.select("node", "component")
         if new.where("was <> component").isEmpty():
             return labels
@@ -154,14 +166,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     signed = saved(docs.mapInArrow(sign, "doc_id long, n_shingles long, one long, two long, keys binary"))
     equal = ["n_shingles", "one", "two"]
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*equal).agg(F.min("doc_id").alias("class_id"))
-    classes = saved(signed.drop("keys").join(classes, equal, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
+    classes = saved(salted(signed.drop("keys"), classes, equal, "doc_id", F.lit(SALTS), "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
     chosen = classes.where("doc_id = class_id AND n_shingles > 0").select("doc_id")
 
     def keys_of(batch: pa.RecordBatch):
         return widen(b"".join(batch.column("keys").to_pylist()), len(batch) * bands), None, np.repeat(batch.column("doc_id").to_numpy(), bands)
 
     banded = signed.select("doc_id", "keys").where("keys IS NOT NULL").join(chosen, "doc_id", "left_semi")
-    shared = shared_keys(keyed_rows(banded, keys_of, False), False)
+    n_buckets = bucket_count(docs)
+    shared = shared_keys(keyed_rows(banded, keys_of, False, n_buckets), False, n_buckets)
 
     def unpack(rows: pa.Table) -> pa.Table:
         found = Answers(rows, FIND)
@@ -170,6 +183,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         return pa.table({"key": own.f1.astype(np.int64), "doc": own.f0, "degree": count[which]})
 
     members = saved(shared.groupBy("part").applyInArrow(unpack, "key long, doc long, degree long"))
+
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, registers = [], []
@@ -181,21 +195,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sets = saved(docs.join(members.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(contents, "doc_id long, set binary, registers binary"))
 
     centres = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc")).alias("doc"))).alias("top"), F.count("*").alias("n"))
-    centres = centres.where("n > 1").select("key", (-F.col("top.doc")).alias("centre"), F.col("top.degree").alias("weight"))
-    pairs = members.join(centres, "key").where("doc <> centre").groupBy(F.col("centre").alias("a"), F.col("doc").alias("b")).agg(F.max("weight").alias("weight"))
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.col("weight").desc(), "a"))  # a row for each band at most
-    pairs = saved(pairs.select("a", "b", best.alias("best")))
-    links = saved(_verified(pairs.where(F.col("best") <= TRIED).select("a", "b"), sets, percent))
-    families = components(pairs)
+    centres = centres.where("n > 1").select("key", (-F.col("top.doc")).alias("centre"), F.col("top.degree").alias("weight"), "n")
+    pairs = salted(members, centres, ["key"], "doc", F.lit(SALTS)).where("doc <> centre").groupBy(F.col("centre").alias("a"), F.col("doc").alias("b")).agg(F.max("weight").alias("weight"), F.max("n").alias("n"))
+    own = Window.partitionBy("b").orderBy(F.col("weight").desc(), "a")  # a row for each band at most
+    pairs = saved(pairs.select("a", "b", "n", F.row_number().over(own).alias("best"), F.first("a").over(own).alias("home")))
+    links = saved(_verified(pairs.where(F.col("best") <= TRIED).select("a", "b", "n"), sets, percent))
+    # a member is tied to its best centre, and that to its others
+    families = components(pairs.where("best = 1").select("a", "b").union(pairs.where("best > 1").select("home", "a").distinct()))
     labels = components(links)
     more = _across(families, labels, sets, percent)
     final = components(links.unionByName(saved(more)))
-    labelled = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
+    labelled = salted(classes, final.withColumnRenamed("node", "class_id"), ["class_id"], "doc_id", F.lit(SALTS), "left")
     return labelled.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The pairs (a, b) that are links; n tells about how many pairs a is in."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"), F.col("registers").alias("registers_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"), F.col("registers").alias("registers_b"))
 
@@ -208,7 +223,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(not unlikely(ra, rb, len(a), len(b), percent / 100) and alike(a, b, percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").mapInArrow(judge, "a long, b long")
+    pairs = salted(pairs.join(right, "b"), left, ["a"], "b", F.ceil(F.col("n") / SALT_ROWS))
+    return pairs.select("a", "b", "set_a", "set_b", "registers_a", "registers_b").mapInArrow(judge, "a long, b long")
 
 
 def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +233,7 @@ def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("family").agg(F.max(F.struct("n", (-F.col("component")).alias("component"))).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("size"))
     tops = tops.where("parts > 1").select("family", (-F.col("top.component")).alias("largest"), (F.col("size") - F.col("top.n")).alias("strays"), "size")
-    members = members.join(tops, "family").withColumn("stray", F.col("component") != F.col("largest"))
+    members = salted(members, tops, ["family"], "node", F.lit(SALTS)).withColumn("stray", F.col("component") != F.col("largest"))
     members = members.join(sets.select(F.col("doc_id").alias("node"), "set"), "node")
     row = F.ceil(F.col("strays") / STRAYS).cast("int")
     column = F.ceil(F.col("size") / OTHERS).cast("int")

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cotejo.llm.kernels import LOWER, U64, Block, Words, blocks, span_hash, words
+from cotejo.llm.kernels import LOWER, U64, Block, Words, blocks, equal_spans, span_hash, words
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-#: Words remembered by a worker process, about 40 bytes each; beyond it the memory starts afresh.
-REMEMBERED = 2_000_000
+#: Texts that must have the ids of their parts.
+SAMPLES = [("One TWO, three!", ["one", "two", ",", "three", "!"]), ("\u00c9t\u00e9\n\nword; a?", ["\u00c9t\u00e9", "word", ";", "a", "?"])]
+#: Words remembered by a worker process, about 200 bytes each; beyond it the memory starts afresh.
+REMEMBERED = 1_000_000
 _MARKS = np.isin(np.arange(256), list(b".,;:!?"))
 _LETTERS = (np.arange(256) >= 0x61) & (np.arange(256) <= 0x7A)
 _remembered: dict[str, WordTokens] = {}
@@ -42,10 +44,25 @@ def units(b: Block) -> Words:
     return Words(starts, ends, first, np.repeat(np.arange(b.n), np.diff(first)), span_hash(w.data, starts, ends), w.data)
 
 
+def _same_units(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """A unit of each kind, and each unit's kind; kinds are found by hash and decided by bytes."""
+    _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    sizes, to = w.ends - w.starts, first[which]
+    right = sizes == sizes[to]
+    right[right] = equal_spans(w.data, w.starts[right], w.starts[to[right]], sizes[right])
+    if not right.all():  # units of one hash that differ are kinds of their own
+        raw, kinds = w.data.tobytes(), {}
+        for i in np.flatnonzero(~right).tolist():
+            which[i] = kinds.setdefault(raw[w.starts[i] : w.ends[i]], len(first) + len(kinds))
+        _, first = np.unique(which, return_index=True)
+    return first, which
+
+
 class WordTokens:
     """Ids of texts from a tokenizer: each distinct unit is tokenised once.
 
-    The tokenizer must fold case, must not join across white space, and must part marks from letters.
+    The tokenizer must fold case, must not join across white space, and must part marks from letters;
+    one that doesn't on a sample sentence raises ValueError.
     """
 
     @classmethod
@@ -61,32 +78,33 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        for whole, parts in SAMPLES:
+            if one(whole) != [x for p in parts for x in one(p)]:
+                raise ValueError(f"{path}: the tokenizer folds no case, joins across white space or doesn't part marks from letters")
 
     def forget(self) -> None:
-        self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known: dict[bytes, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, w: Words, hashes: np.ndarray, at: np.ndarray) -> None:
-        raw = w.data.tobytes()
-        texts = [raw[s:e].decode() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def learn(self, units: list[bytes]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.known.update(zip(units, range(len(self.sizes), len(self.sizes) + len(units)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
         self.ids = np.concatenate((self.ids, np.fromiter((x for e in got for x in e), np.uint32, int(sizes.sum()))))
-        hashes = np.concatenate((self.hashes, hashes))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.starts, self.sizes = hashes[order], np.concatenate((self.starts, starts))[order], np.concatenate((self.sizes, sizes))[order]
 
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and for each document (and the end) where its ids begin."""
-        distinct, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
+        first, which = _same_units(w)
+        raw = w.data.tobytes()
+        units = [raw[s:e] for s, e in zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)]
+        if len(self.known) > REMEMBERED:
             self.forget()
-        at = np.searchsorted(self.hashes, distinct)
-        new = np.ones(len(distinct), bool)
-        new[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != distinct[at < len(self.hashes)]
-        if new.any():
-            self.learn(w, distinct[new], first[new])
-        at = np.searchsorted(self.hashes, distinct)[which]
+        if new := [u for u in units if u not in self.known]:
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))[which]
         sizes = self.sizes[at]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         flat = np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])

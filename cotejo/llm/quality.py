@@ -9,14 +9,14 @@ trusted, and between the two each document stands by its own rules.  The verdict
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.llm.kernels import U64, blocks, covered, extended, mix, span_hash, words
+from cotejo.llm.kernels import U64, blocks, covered, equal_spans, extended, free_name, mix, span_hash, words
 from cotejo.plans.saved import saved
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -28,11 +28,23 @@ RUN = 8
 BROADCAST_HOSTS = 100_000
 
 
-def _repeats(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether an equal key of the same document came before, and whether there is another at all."""
+def _repeats(keys: np.ndarray, doc: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an equal key of the same document came before, and whether there is another at all.
+
+    Found by hash; equal(i, j) decides whether what the keys stand for is the same.
+    """
     own = mix(keys + mix(doc.astype(U64) + U64(1)))
-    _, first, which, count = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-    return first[which] != np.arange(len(own)), count[which] > 1
+    earlier, others = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    left = np.arange(len(own))
+    while len(left):  # once, but for different things of one hash
+        _, first, which = np.unique(own[left], return_index=True, return_inverse=True)
+        to = left[first[which]]
+        later = np.flatnonzero(to != left)
+        right = (doc[left[later]] == doc[to[later]]) & equal(left[later], to[later])
+        earlier[left[later[right]]] = True
+        others[left[later[right]]] = others[to[later[right]]] = True
+        left = left[later[~right]]
+    return earlier, others
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -58,10 +70,14 @@ def measure(docs: DataFrame) -> DataFrame:
                 filled = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
                 starts, ends = starts[filled], ends[filled]
                 doc = np.searchsorted(b.offsets, starts, "right") - 1
-                earlier, _ = _repeats(span_hash(data, starts, ends), doc)
+                size = ends - starts
+                same_line = lambda i, j: (size[i] == size[j]) & equal_spans(data, starts[i], starts[j], np.where(size[i] == size[j], size[i], 0))
+                earlier, _ = _repeats(span_hash(data, starts, ends), doc, same_line)
                 parts[3].append(np.bincount(doc[earlier], minlength=n))
+                n_bytes = w.ends - w.starts
+                same_word = lambda i, j: (n_bytes[i] == n_bytes[j]) & equal_spans(data, w.starts[i], w.starts[j], np.where(n_bytes[i] == n_bytes[j], n_bytes[i], 0))
                 at = np.flatnonzero(w.windows(RUN))
-                _, twice = _repeats(w.window_hash(at, RUN), w.doc[at])
+                _, twice = _repeats(w.window_hash(at, RUN), w.doc[at], lambda i, j: np.logical_and.reduce([same_word(at[i] + k, at[j] + k) for k in range(RUN)]))
                 parts[4].append(per_doc(covered(at[twice], RUN, len(w.starts))))
             sums = [pa.array(np.concatenate(p).astype(np.int64) if p else np.zeros(0, np.int64)) for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + sums, names=[*columns, *MEASURES])
@@ -103,9 +119,10 @@ def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5, trust_ra
     fails the base rules.  Columns of docs of the added names are replaced.
     """
     measured = measure(docs.drop("base_failed", "host_rate", "kept"))
-    rates = saved(host_rates(measured.select(host, *MEASURES), host).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate")))
+    own = free_name(measured.columns, "_host")
+    rates = saved(host_rates(measured.select(host, *MEASURES), host).select(F.col("host").alias(own), F.col("rate").alias("host_rate")))
     small = rates.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = measured.join(F.broadcast(rates) if small else rates, F.col(host) == F.col("_host"), "left").drop("_host")
+    joined = measured.join(F.broadcast(rates) if small else rates, F.col(host) == F.col(own), "left").drop(own)
     return joined.withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & F.when(F.col("host_rate") > max_rate, False).when(F.col("host_rate") < trust_rate, True).otherwise(~failed())
     )

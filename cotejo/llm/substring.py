@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cotejo.llm.exchange import REQUEST, Answers, bucket_count, keyed_rows, parted, requests, shared_keys, with_answers
-from cotejo.llm.kernels import U64, blocks, covered, extended, words
+from cotejo.llm.kernels import U64, blocks, covered, extended, free_name, words
 
 #: Perfect difference covers by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
@@ -44,8 +44,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
     """
     if period not in COVERS or period > window:
         raise ValueError(f"period must be one of {sorted(COVERS)} and at most window")
-    docs = parted(docs.drop("n_words", "n_removed", "kept", "part"))
-    n_buckets = bucket_count(docs)
+    docs = docs.drop("n_words", "n_removed", "kept")
+    n_buckets, columns, part = bucket_count(docs), docs.columns, free_name(docs.columns, "part")
+    docs = parted(docs, part, n_buckets)
 
     def anchor_keys(batch: pa.RecordBatch):
         ids = batch.column("doc_id").to_numpy()
@@ -57,7 +58,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
             owners.append(ids[b.first + w.doc[at]])
         return _cat(keys, U64), None, _cat(owners, np.int64)
 
-    anchors = shared_keys(keyed_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), anchor_keys, False), False)
+    anchors = shared_keys(keyed_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), anchor_keys, False, n_buckets), False, n_buckets)
 
     def extend(rows: pa.Table, found: Answers) -> pa.Table:
         ids = rows.column("doc_id").to_pylist()
@@ -77,25 +78,25 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
                     starts.append(s[(s >= w.first[i]) & (s <= w.first[i + 1] - window)])
             at = _cat(starts, np.int64)
             keys.append(w.window_hash(at, window))
-            more.append(w.window_hash(at, window, 2))
+            more.append(w.window_hash(at, window, 1))
             owners.append(np.array([ids[b.first + d] for d in w.doc[at].tolist()], np.int64))
         return pa.Table.from_batches([requests(_cat(keys, U64), _cat(more, U64), _cat(owners, np.int64), n_buckets, True)])
 
-    windows = shared_keys(with_answers(docs, anchors, False, extend, REQUEST), True)
-    columns = [c for c in docs.columns if c != "part"]
+    windows = shared_keys(with_answers(docs, part, anchors, False, extend, REQUEST), True, n_buckets)
 
     def remove(rows: pa.Table, found: Answers) -> pa.Table:
         ids = rows.column("doc_id").to_pylist()
         total, removed, kept = [], [], []
         for b in blocks(rows.column("text")):
-            w = words(b)
+            told = [found.of(ids[b.first + i]) for i in range(b.n)]
+            w = words(b, hashed=any(map(len, told)))
             raw = b.data.tobytes()
-            for i in range(b.n):
+            hashes = w.window_hash(np.arange(max(0, len(w.starts) - window + 1)), window) if w.hash is not None else None
+            for i, own in enumerate(told):
                 low, high = int(w.first[i]), int(w.first[i + 1])
-                n, own, gone = high - low, found.of(ids[b.first + i]), None
+                n, gone = high - low, None
                 if len(own) and n >= window:
-                    at = np.arange(low, high - window + 1)
-                    gone = covered(at[found.has(own, w.window_hash(at, window))] - low, window, n)
+                    gone = covered(np.flatnonzero(found.has(own, hashes[low : high - window + 1])), window, n)
                 left = np.arange(low, high) if gone is None else low + np.flatnonzero(~gone)
                 total.append(n)
                 removed.append(n - len(left))
@@ -103,8 +104,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, period: int = 7) -> DataFr
         out = [rows.column(c) for c in columns] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.Table.from_arrays(out, names=[*columns, "n_words", "n_removed", "kept"])
 
-    schema = extended(docs.drop("part").schema, "n_words long", "n_removed long", "kept string")
-    return with_answers(docs, windows, True, remove, schema)
+    schema = extended(docs.drop(part).schema, "n_words long", "n_removed long", "kept string")
+    return with_answers(docs, part, windows, True, remove, schema)
 
 
 def _cat(parts: list[np.ndarray], kind) -> np.ndarray:

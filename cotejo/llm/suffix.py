@@ -1,15 +1,18 @@
 """Suffix-array dedup of byte strings by column-wise multi-document construction.
 
-The construction (``construct``) holds a collection's Burrows-Wheeler transform and its common
-prefixes.  In each round every document gives one symbol, from its end on.  Where its longer suffix goes is told by how
-often the symbol occurs before its last suffix in the transform, and what that has in common with its
-neighbours by range minima of the common prefixes between them and the same symbol's next places.
-Transform and prefixes live in files that each round reads once in order and writes anew.
+The construction (``construct``) holds the Burrows-Wheeler transform and the common prefixes of a
+collection of short documents.  In each round every document gives one symbol, from its end on.  The
+symbols before the suffixes, read in the order of the suffixes, tell the next order: suffixes with one
+symbol in front stay in their order, behind those of smaller symbols, and have one more in common than the
+least common prefix between them.  Suffixes, common prefixes and transform are files that a round reads once in
+order, a chunk at a time, and writes anew in one run for each symbol.
 
 As many rounds as the longest text has bytes, each over all texts, can't run as Spark jobs.  So the
 texts are first cut into pieces of at most ``2 * least - gram`` bytes such that equal windows of
-``least`` bytes lie in pieces with one key: a window's key is its smallest ``gram``-byte hash, and a
-piece holds the consecutive windows that one such gram is the key of.
+``least`` bytes lie in pieces with one key, at the same distance from the key's gram: a window's key is
+its smallest ``gram``-byte hash, the leftmost of equal ones, and a piece holds the consecutive windows that
+one such gram is the key of.  The columns of a collection are aligned on the grams, so a round inserts
+the symbol of one column, and a suffix is only ordered among those that begin in its column.
 
 1. Documents send their keys to buckets, which tell the keys that several documents hold.
 2. Around those keys, pieces are sent to the bucket of their key, one for each batch and text; equal
@@ -20,35 +23,40 @@ piece holds the consecutive windows that one such gram is the key of.
 
 from __future__ import annotations
 
+import os
 import tempfile
-from pathlib import Path
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cotejo.llm.exchange import FIND, Answers, bucket_count, keyed_rows, low_bytes, narrow, part_count, part_of, parted, runs, shared_keys, widen, with_answers
-from cotejo.llm.kernels import U64, Block, blocks, covered, extended, sliding_min, span_hash
+from cotejo.llm.kernels import U64, Block, blocks, covered, equal_spans, extended, free_name, gram_hash, sliding_min, span_hash
 
-#: Symbol of a document's end in the transform; bytes are 1 to 256.
+#: What precedes a document's first byte in the transform; bytes are 1 to 256.
 ENDED = 0
-#: Pieces of one construction; more, of different keys, are constructed one after another.
-COLLECTION = 20_000
+#: Suffixes that a round reads at once.
+CHUNK = 1 << 20
+WHOLE = (1 << 64) - 1
 
 
 class Files:
-    """Sequential files of one construction."""
+    """A construction's sequential files: of each name the ones that a round reads and those that it writes.
 
-    def __init__(self, folder: str) -> None:
-        self.folder = Path(folder)
+    They are a task's scratch, like Spark's own spill files: no other task reads them, and a lost executor's
+    task makes them anew.
+    """
+
+    KINDS = {"suffixes": np.int32, "prefixes": np.uint8, "symbols": np.uint16}
 
-    def write(self, name: str, values: np.ndarray) -> None:
-        with (self.folder / name).open("wb") as f:
-            np.save(f, values)
+    def __init__(self, folder: str, n: int) -> None:
+        self.pair = [{name: np.memmap(f"{folder}/{name}{i}", kind, "w+", shape=n) for name, kind in self.KINDS.items()} for i in range(2)]
 
-    def read(self, name: str) -> np.ndarray:
-        with (self.folder / name).open("rb") as f:
-            return np.load(f)
+    def turn(self) -> tuple[dict, dict]:
+        """The files to read, which were written last, and those to write."""
+        self.pair.reverse()
+        return self.pair[1], self.pair[0]
 
 
 def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -66,123 +74,143 @@ def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return out
 
 
-def construct(texts: list[bytes], files: Files) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, prefix) of all suffixes of texts in order; prefix is what each has in common with the one before.
+class Pieces:
+    """Short documents in one buffer, each with the place where its gram begins: column 0."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> None:
+        self.data, self.sizes, self.places = data, sizes, places
+        self.origin = starts + places  # of column 0
+        self.end = sizes - places  # the column after the last
+
+    def symbols(self, which: np.ndarray, column: int) -> np.ndarray:
+        out = np.full(len(which), ENDED, np.uint16)
+        here = np.flatnonzero(column >= -self.places[which])
+        out[here] = self.data[self.origin[which[here]] + column].astype(np.uint16) + 1
+        return out
+
 
-    Prefixes are counted up to 255.  Equal suffixes are in the order of documents.
+def construct(pieces: Pieces, folder: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(column, documents, prefixes) from the last column to the first: the documents with a symbol there in
+    the order of their suffixes from there on, and what each suffix has in common with the one before.
+
+    Equal suffixes are in the order of documents.  Prefixes are counted up to 255.
     """
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    n, width = len(texts), int(sizes.max(initial=0)) + 1
-    # a suffix is told by its document and length
-    kind = np.int32 if n * width < 1 << 31 else np.int64
-    before = np.full(n, ENDED, np.uint16)  # the symbol before each document's suffix
-    before[sizes > 0] = data[ends[sizes > 0] - 1].astype(np.uint16) + 1
-    files.write("symbols", before)
-    files.write("prefixes", np.zeros(n, np.uint8))
-    files.write("suffixes", np.arange(n, dtype=kind) * kind(width))
-    active, place = np.flatnonzero(sizes > 0), np.flatnonzero(sizes > 0)
-    for length in range(1, width):
-        symbols, prefixes, suffixes = files.read("symbols"), files.read("prefixes"), files.read("suffixes")
-        m, k = len(symbols), len(active)
-        order = np.argsort(symbols, kind="stable")
-        sorted_symbols = symbols[order]
-        skipped = int(np.searchsorted(sorted_symbols, 1))  # no symbol precedes those
-        # in the next order, the suffixes that a symbol precedes follow the empty ones
-        rank = np.empty(m, np.int64)
-        rank[order] = np.arange(m)
-        at = rank[place]
-        turn = np.argsort(at)
-        active, place, at = active[turn], place[turn], at[turn]
-        new = at - skipped + n
-        # common prefixes with the one before and the one after, by range minima up to the same symbol
-        one = sorted_symbols[at]
-        has_last = (at > skipped) & (sorted_symbols[at - 1] == one)
-        follow = np.minimum(at + 1, m - 1)
-        has_next = (at + 1 < m) & (sorted_symbols[follow] == one)
-        back, ahead = np.flatnonzero(has_last), np.flatnonzero(has_next)
-        least = _range_minima(prefixes, np.concatenate((order[at[back] - 1], place[ahead])) + 1, np.concatenate((place[back], order[at[ahead] + 1])) + 1)
-        common = np.zeros(k, np.uint8)
-        common[back] = np.minimum(least[: len(back)], 254) + 1
-        fresh = np.zeros(m + k, bool)
-        fresh[new] = True
-        old = np.flatnonzero(~fresh)
-        starts = ends[active] - length
-        more = starts > ends[active] - sizes[active]
-        preceding = np.full(k, ENDED, np.uint16)
-        preceding[more] = data[starts[more] - 1].astype(np.uint16) + 1
-        merged = {}
-        for name, was, added in (("symbols", symbols, preceding), ("prefixes", prefixes, common), ("suffixes", suffixes, (active * width + length).astype(kind))):
-            merged[name] = np.empty(m + k, was.dtype)
-            merged[name][old] = was
-            merged[name][new] = added
-        # the suffix after a new one, if it isn't new itself and begins with the same symbol
-        after = new[ahead] + 1
-        merged["prefixes"][after] = np.where(fresh[after], merged["prefixes"][after], np.minimum(least[len(back) :], 254) + 1)
-        last = np.setdiff1d(new[~has_next] + 1, new, assume_unique=False)
-        merged["prefixes"][last[last < m + k]] = 0
-        for name, values in merged.items():
-            files.write(name, values)
-        active, place = active[more], new[more]
-    suffixes = files.read("suffixes")
-    documents = suffixes // width
-    return documents, sizes[documents] - suffixes % width, files.read("prefixes")
-
-
-def repeated_windows(texts: list[bytes], owners: np.ndarray, least: int) -> list[np.ndarray]:
-    """For each text, whether each of its windows of ``least`` bytes is in a text of a smaller owner."""
-    with tempfile.TemporaryDirectory() as folder:
-        documents, starts, prefixes = construct(texts, Files(folder))
-    told = [np.zeros(max(0, len(t) - least + 1), bool) for t in texts]
-    group = np.cumsum(prefixes < least)  # suffixes that agree in ``least`` bytes
-    if len(group):
-        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        first = np.minimum.reduceat(owners[documents], cut)
-        sizes = np.diff(np.append(cut, len(group)))
-        for i in np.flatnonzero(np.repeat(sizes > 1, sizes) & (owners[documents] > np.repeat(first, sizes))):
-            told[documents[i]][starts[i]] = True
-    return told
+    n = len(pieces.sizes)
+    if not n:
+        return
+    files, size = Files(folder, n), 0
+    entering = np.argsort(-pieces.end, kind="stable")
+    entered = 0
+    for column in range(int(pieces.end.max(initial=1)) - 1, -int(pieces.places.max(initial=0)) - 1, -1):
+        # documents that end here enter with an empty suffix, which is before all others
+        until = entered + int(np.searchsorted(-pieces.end[entering[entered:]], -column))
+        new, entered = np.sort(entering[entered:until]), until
+        was, now = files.turn()
+        chunks = [(new, np.zeros(len(new), np.uint8), pieces.symbols(new, column))] if len(new) else []
+        counts = np.bincount(chunks[0][2], minlength=257) if chunks else np.zeros(257, np.int64)
+        for at in range(0, size, CHUNK):
+            counts += np.bincount(was["symbols"][at : min(at + CHUNK, size)], minlength=257)
+        counts[ENDED] = 0
+        begin = np.cumsum(counts) - counts
+        least, seen = np.full(257, 255, np.uint8), np.zeros(257, bool)  # least prefix since a symbol's last suffix
+        reads = ((np.asarray(was["suffixes"][at : min(at + CHUNK, size)]), np.asarray(was["prefixes"][at : min(at + CHUNK, size)]), np.asarray(was["symbols"][at : min(at + CHUNK, size)])) for at in range(0, size, CHUNK))
+        for suffixes, prefixes, symbols in (*chunks, *reads):
+            order = np.argsort(symbols, kind="stable")
+            order = order[np.searchsorted(symbols[order], 1) :]
+            one = symbols[order]
+            first = np.concatenate(([True], one[1:] != one[:-1])) if len(one) else np.zeros(0, bool)
+            common = np.zeros(len(one), np.uint8)
+            back = np.flatnonzero(~first)
+            common[back] = np.minimum(_range_minima(prefixes, order[back - 1] + 1, order[back] + 1), 254) + 1
+            lead = np.flatnonzero(first)
+            lead = lead[seen[one[lead]]]
+            common[lead] = np.minimum(np.minimum(least[one[lead]], np.minimum.accumulate(prefixes)[order[lead]]), 254) + 1
+            cut = np.flatnonzero(first)
+            told = one[cut]
+            number = np.diff(np.append(cut, len(one)))
+            to = np.arange(len(one)) - np.repeat(cut, number) + np.repeat(begin[told], number)
+            now["suffixes"][to] = suffixes[order]
+            now["prefixes"][to] = common
+            now["symbols"][to] = pieces.symbols(suffixes[order], column - 1)
+            begin[told] += number
+            # from the last suffix of each symbol on
+            np.minimum(least, prefixes.min(), out=least)
+            after = np.append(np.minimum.accumulate(prefixes[::-1])[::-1], 255)
+            least[told] = after[order[cut + number - 1] + 1]
+            seen[told] = True
+        size = int(counts.sum())
+        yield column, now["suffixes"][:size], now["prefixes"][:size]
+
+
+def repeated_windows(pieces: Pieces, owners: np.ndarray, least: int) -> np.ndarray:
+    """For each piece, the bits of its windows of ``least`` bytes that a piece of a smaller owner has in the same columns."""
+    masks = np.zeros(len(owners), U64)
+    scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    with tempfile.TemporaryDirectory(dir=scratch if os.path.isdir(scratch) else None) as folder:
+        for column, order, prefixes in construct(pieces, folder):
+            if column > 0:
+                continue
+            joined = prefixes >= least  # with the suffix before
+            some = joined.copy()
+            some[:-1] |= joined[1:]
+            at = np.flatnonzero(some)
+            if not len(at):
+                continue
+            which = order[at].astype(np.int64)
+            cut = np.flatnonzero(~joined[at])
+            first = np.minimum.reduceat(owners[which], cut)
+            later = which[owners[which] > np.repeat(first, np.diff(np.append(cut, len(at))))]
+            masks[later] |= U64(1) << (pieces.places[later] + column).astype(U64)
+    return masks
 
 
 def _runs(b: Block, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows whose key is one gram: their document, first window, number of windows, key, and the gram's place.
 
-    Of equal grams in a window one is taken by its offset in the document, so runs are the same whichever
-    rows are in the block; equal windows of two documents may take different ones.
+    A window's gram is told by the window alone: the one of the least hash (32 bits), the leftmost of such.
     """
     n = len(b.data) - least + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(U64), none
-    at = np.arange(len(b.data) - gram + 1)
-    own = np.arange(len(b.data)) - np.repeat(b.offsets[:-1], np.diff(b.offsets))
-    # a window spans at most 64 grams, so the place of the least one is told by six bits
-    h = span_hash(b.data, at, at + gram, 1) << U64(6) | own[: len(at)].astype(U64) & U64(63)
-    low = sliding_min(h, least - gram + 1)
+    h = gram_hash(b.data, gram)
+    low = sliding_min(h >> U64(32) << U64(32) | np.arange(len(h), dtype=U64), least - gram + 1)
+    place = (low & U64(0xFFFFFFFF)).astype(np.int64)
     start = np.arange(n)
-    place = start + ((low & U64(63)).astype(np.int64) - own[:n] & 63)
-    doc = np.searchsorted(b.offsets, start, "right") - 1
+    doc = np.repeat(np.arange(b.n), np.diff(np.minimum(b.offsets, n)))
     start = np.flatnonzero(start + least <= b.offsets[doc + 1])
     if not len(start):
         return none, none, none, none.astype(U64), none
-    doc, place, low = doc[start], place[start], low[start]
+    doc, place = doc[start], place[start]
     cut = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))))
-    return doc[cut], start[cut], np.diff(np.append(cut, len(start))), low[cut] >> U64(6), place[cut]
+    return doc[cut], start[cut], np.diff(np.append(cut, len(start))), h[place[cut]], place[cut]
 
 
-PIECES = "bucket int, n int, keys binary, sizes binary, places binary, texts binary, hashes binary, docs binary, base long, known boolean"
-_PIECES = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("texts", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("known", pa.bool_())])
+PIECES = "bucket int, n int, sizes binary, places binary, texts binary, hashes binary, docs binary, base long, known boolean"
+_PIECES = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("sizes", pa.binary()), ("places", pa.binary()), ("texts", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("base", pa.int64()), ("known", pa.bool_())])
 TOLD = "part int, n int, hashes binary, masks binary, docs binary, base long"
 _TOLD = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("masks", pa.binary()), ("docs", pa.binary()), ("base", pa.int64())])
 
 
+def _same_as_before(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces in the order of their hashes: whether each is equal to an earlier one, and the first such; bytes decide."""
+    same = np.concatenate(([False], hashes[1:] == hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+    while True:
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(hashes))))
+        at = np.flatnonzero(same)
+        to = first[at]
+        right = (sizes[at] == sizes[to]) & (places[at] == places[to])
+        right[right] = equal_spans(data, starts[at[right]], starts[to[right]], sizes[at[right]])
+        if right.all():
+            return same, first
+        same[at[~right]] = False
+
+
 def _sent(keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, docs: np.ndarray, data: np.ndarray, n_buckets: int) -> pa.Table:
     """Rows of PIECES: of equal pieces the smallest document's goes to the bucket of its key, the others' are known to repeat.  A row's texts are packed together."""
     order = np.lexsort((docs, hashes))
     hashes, docs, keys, starts, sizes, places = hashes[order], docs[order], keys[order] & low_bytes(FIND), starts[order], sizes[order], places[order]
-    same = np.concatenate(([False], hashes[1:] == hashes[:-1])) if len(hashes) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(hashes))))
+    same, first = _same_as_before(data, hashes, starts, sizes, places)
     later = docs > docs[first]
     again = np.concatenate(([False], same[1:] & (docs[1:] == docs[:-1]))) if len(hashes) else same
     bucket = (keys % U64(n_buckets)).astype(np.int64)
@@ -193,76 +221,61 @@ def _sent(keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.nd
     for i, j in runs(group[use]):
         at, known = use[i:j], bool(group[use[i]] & 1)
         base = int(docs[at].min())
-        texts = None if known else pa.compress(b"".join([data[s : s + n].tobytes() for s, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]), codec="zstd", asbytes=True)
-        values = (int(group[at[0]] >> 1), len(at), None if known else narrow(keys[at], FIND), None if known else narrow(sizes[at].astype(U64)), None if known else narrow(places[at].astype(U64)), texts, narrow(hashes[at], 8), narrow((docs[at] - base).astype(U64)), base, known)
+        texts = None if known else pa.compress(_joined(data, starts[at], sizes[at]).tobytes(), codec="zstd", asbytes=True)
+        values = (int(group[at[0]] >> 1), len(at), None if known else narrow(sizes[at].astype(U64)), None if known else narrow(places[at].astype(U64)), texts, narrow(hashes[at], 8), narrow((docs[at] - base).astype(U64)), base, known)
         for name, value in zip(rows, values, strict=True):
             rows[name].append(value)
     return pa.table(rows, schema=_PIECES)
 
 
-def _alike(texts: list[bytes], places: np.ndarray, least: int, gram: int) -> np.ndarray:
+def _joined(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one after another."""
+    return data[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+
+
+def _alike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, least: int, gram: int) -> np.ndarray:
     """Whether each distinct piece could share a window with another.
 
     A window has at least half of its other bytes on one side of its gram, so two pieces that share
-    one agree in the gram and so many bytes before or behind it.  That holds where the gram is once in
-    the window; a piece that has its gram more than once could share any window.
+    one agree in the gram and so many bytes before or behind it.
     """
     half = (least - gram + 1) // 2
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    at = np.cumsum(sizes) - sizes + places
-    out = np.array([t.find(g := t[p : p + gram]) < p or t.find(g, p + 1) > 0 for t, p in zip(texts, places.tolist(), strict=True)], bool)
+    out = np.zeros(len(sizes), bool)
+    h = gram_hash(data, gram + half)
     for some, begin in ((places >= half, -half), (sizes - places >= gram + half, 0)):
         which = np.flatnonzero(some)
-        _, own, count = np.unique(span_hash(data, at[which] + begin, at[which] + begin + gram + half, 1), return_inverse=True, return_counts=True)
+        _, own, count = np.unique(h[starts[which] + places[which] + begin], return_inverse=True, return_counts=True)
         out[which[count[own] > 1]] = True
     return out
 
 
 def _resolve(least: int, gram: int, n_parts: int):
-    def windows_told(texts: list[bytes], keys: np.ndarray, owners: np.ndarray) -> list[np.ndarray]:
-        """repeated_windows of each key's pieces, many keys in one construction; pieces are in the order of keys."""
-        told: list[np.ndarray] = []
-        bounds = [j for _, j in runs(keys)]
-        begin = 0
-        for end, nxt in zip(bounds, [*bounds[1:], None], strict=True):
-            if nxt is None or nxt - begin > COLLECTION:
-                if end - begin > COLLECTION:
-                    told += _single_windows(texts[begin:end], owners[begin:end], least)
-                else:
-                    told += repeated_windows(texts[begin:end], owners[begin:end], least)
-                begin = end
-        return told
-
     def resolve(batches):
-        keys, places, texts, hashes, docs, done = [], [], [], [], [], []
+        sizes, places, texts, hashes, docs, done = [], [], [], [], [], []
         for batch in batches:
-            for n, k, z, at, t, h, d, base, known in zip(*(batch.column(c).to_pylist() for c in ("n", "keys", "sizes", "places", "texts", "hashes", "docs", "base", "known")), strict=True):
+            for n, z, at, t, h, d, base, known in zip(*(batch.column(c).to_pylist() for c in ("n", "sizes", "places", "texts", "hashes", "docs", "base", "known")), strict=True):
                 own = widen(d, n).astype(np.int64) + base
                 if known:
-                    done.append((widen(h, n), own, np.full(n, (1 << 64) - 1, U64)))
+                    done.append((widen(h, n), own, np.full(n, WHOLE, U64)))
                     continue
-                size = widen(z, n).astype(np.int64)
-                ends = np.cumsum(size)
-                keys.append(widen(k, n))
+                sizes.append(widen(z, n).astype(np.int64))
                 places.append(widen(at, n).astype(np.int64))
                 hashes.append(widen(h, n))
                 docs.append(own)
-                t = pa.decompress(t, decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
-                texts += [t[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-        if keys:
-            keys, places, hashes, docs = (np.concatenate(x) for x in (keys, places, hashes, docs))
-            order = np.lexsort((docs, hashes, keys))
-            keys, hashes, docs = keys[order], hashes[order], docs[order]
-            same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (keys[1:] == keys[:-1])))
-            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(keys))))
+                texts.append(np.frombuffer(pa.decompress(t, decompressed_size=int(sizes[-1].sum()), codec="zstd", asbytes=True), np.uint8))
+        if sizes:
+            sizes, places, hashes, docs, data = (np.concatenate(x) for x in (sizes, places, hashes, docs, texts))
+            texts.clear()
+            order = np.lexsort((docs, hashes))
+            starts = (np.cumsum(sizes) - sizes)[order]
+            sizes, places, hashes, docs = sizes[order], places[order], hashes[order], docs[order]
+            same, first = _same_as_before(data, hashes, starts, sizes, places)
             later = docs > docs[first]
-            done.append((hashes[later], docs[later], np.full(int(later.sum()), (1 << 64) - 1, U64)))
+            done.append((hashes[later], docs[later], np.full(int(later.sum()), WHOLE, U64)))
             # of distinct pieces, those that agree with another around their gram
             at = np.flatnonzero(~same)
-            at = at[_alike([texts[i] for i in order[at].tolist()], places[order[at]], least, gram)]
-            told = windows_told([texts[i] for i in order[at].tolist()], keys[at], docs[at]) if len(at) else []
-            masks = np.array([int.from_bytes(np.packbits(t, bitorder="little").tobytes(), "little") for t in told], U64)
+            at = at[_alike(data, starts[at], sizes[at], places[at], least, gram)]
+            masks = repeated_windows(Pieces(data, starts[at], sizes[at], places[at]), docs[at], least)
             some = masks > 0
             # equal pieces of later documents are wholly told already, those of the same document alike
             done.append((hashes[at][some], docs[at][some], masks[some]))
@@ -282,22 +295,6 @@ def _resolve(least: int, gram: int, n_parts: int):
     return resolve
 
 
-def _single_windows(texts: list[bytes], owners: np.ndarray, least: int) -> list[np.ndarray]:
-    """repeated_windows for a key of more pieces than a construction takes: windows are grouped by hash."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    n = sizes - least + 1
-    text = np.repeat(np.arange(len(texts)), n)
-    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = (np.cumsum(sizes) - sizes)[text] + start
-    own = np.rec.fromarrays((span_hash(data, at, at + least, 1), span_hash(data, at, at + least, 2)))
-    _, which = np.unique(own, return_inverse=True)
-    first = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(first, which, owners[text])
-    later = owners[text] > first[which]
-    return np.split(later, np.cumsum(n)[:-1])
-
-
 def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFrame:
     """Every column of docs, with n_bytes, n_removed, n_spans (long) and kept (binary, the bytes left).
 
@@ -309,8 +306,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
     """
     if not gram <= least < gram + 64:
         raise ValueError("least must be at least gram and below gram + 64")
-    docs = parted(docs.drop("n_bytes", "n_removed", "n_spans", "kept", "part"))
-    n_buckets = bucket_count(docs)
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    n_buckets, columns, part = bucket_count(docs), docs.columns, free_name(docs.columns, "part")
+    docs = parted(docs, part, n_buckets)
 
     def keys_of(batch: pa.RecordBatch):
         ids = batch.column("doc_id").to_numpy()
@@ -321,7 +319,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
             owners.append(ids[b.first + doc])
         return np.concatenate(keys), None, np.concatenate(owners)
 
-    shared = shared_keys(keyed_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), keys_of, False), False)
+    shared = shared_keys(keyed_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), keys_of, False, n_buckets), False, n_buckets)
 
     def send(rows: pa.Table, found: Answers) -> pa.Table:
         ids = rows.column("doc_id").to_pylist()
@@ -335,7 +333,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
             at = np.concatenate([cut[i] + np.flatnonzero(found.has(own[i], key[cut[i] : cut[i + 1]])) for i in range(b.n) if len(own[i])])
             end = start[at] + n[at] - 1 + least
             owner = np.array([ids[b.first + d] for d in doc[at].tolist()], np.int64)
-            parts.append((key[at], span_hash(b.data, start[at], end, 2), start[at], n[at] - 1 + least, owner, b.data, place[at] - start[at]))
+            parts.append((key[at], span_hash(b.data, start[at], end), start[at], n[at] - 1 + least, owner, b.data, place[at] - start[at]))
         if not parts:
             return pa.table({name: [] for name in _PIECES.names}, schema=_PIECES)
         shift = np.cumsum([0] + [len(p[5]) for p in parts])
@@ -343,9 +341,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
         starts = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=False)])
         return _sent(keys, hashes, starts, sizes, places, owners, data, n_buckets)
 
-    pieces = with_answers(docs, shared, False, send, PIECES)
+    pieces = with_answers(docs, part, shared, False, send, PIECES)
     told = pieces.repartitionById(n_buckets, "bucket").mapInArrow(_resolve(least, gram, part_count(n_buckets)), TOLD)
-    columns = [c for c in docs.columns if c != "part"]
 
     def remove(rows: pa.Table, found: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -360,7 +357,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
             some = any(j > i for i, j in span)
             if some:
                 doc, start, n, _, _ = _runs(b, least, gram)
-                own = span_hash(b.data, start, start + n - 1 + least, 2)
+                told_of = np.flatnonzero(np.array([j > i for i, j in span])[doc])
+                doc, start, n = doc[told_of], start[told_of], n[told_of]
+                own = span_hash(b.data, start, start + n - 1 + least)
                 cut = np.searchsorted(doc, np.arange(b.n + 1))
             raw = b.data.tobytes()
             for i, (low, high) in enumerate(span):
@@ -384,5 +383,5 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20) -> DataFram
         more = [pa.array(x, pa.int64()) for x in (total, removed, spans)] + [pa.array(kept, pa.binary())]
         return pa.Table.from_arrays([rows.column(c) for c in columns] + more, names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = extended(docs.drop("part").schema, "n_bytes long", "n_removed long", "n_spans long", "kept binary")
-    return docs.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(remove, schema)
+    schema = extended(docs.drop(part).schema, "n_bytes long", "n_removed long", "n_spans long", "kept binary")
+    return docs.groupBy(part).cogroup(told.groupBy("part")).applyInArrow(remove, schema)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,61 @@ def test_decontamination(spark, docs, texts):
     assert none.agg(F.sum("n_hit")).first()[0] == 0
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+#: Texts that collide under any polynomial modulo 2**64.
+ODD = (thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"))
+
+
+def test_texts_made_to_collide(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{ODD[0]} {rest}"), (2, f"{ODD[1]} {rest}"), (3, f"{ODD[0]} {rest}"), (4, f"{ODD[0]}\n{ODD[1]}\n{ODD[0]}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).coalesce(1)
+    assert {r.doc_id: r.n_removed for r in remove_repeats(frame).collect()} == {1: 0, 2: 0, 3: 13, 4: 0}
+    assert {r.doc_id: r.n_dup_lines for r in measure(frame).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert {r.doc_id: r.class_id for r in near_duplicates(frame, size=2).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    packed = packing.pack(frame, path).collect()
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], np.uint32)
+        assert b"".join(r.ids for r in sorted((r for r in packed if r.doc_id == i), key=lambda r: r.start)) == ids.tobytes()
+
+
+def test_bytes_decide_where_hashes_collide(spark, docs, texts, monkeypatch):
+    """With a hash of two bits the answers stay."""
+    import numpy as np
+
+    from cotejo.llm import kernels, quality
+
+    weak = lambda data, starts, ends: np.asarray((ends - starts) & 3, np.uint64)
+    block = next(kernels.blocks(pa.array([t for t in texts.values()])))
+    right = packing._same_units(packing.units(block))
+    monkeypatch.setattr(packing, "span_hash", weak)
+    first, which = packing._same_units(packing.units(block))
+    w = packing.units(block)
+    raw = w.data.tobytes()
+    own = [raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+    assert len(first) == len(right[0]) == len(set(own)) and all(own[first[k]] == own[i] for i, k in enumerate(which.tolist()))
+    keys, doc = np.zeros(6, np.uint64), np.array([0, 0, 0, 1, 1, 1])
+    said = np.array([5, 6, 5, 6, 6, 7])
+    earlier, others = quality._repeats(keys, doc, lambda i, j: said[i] == said[j])
+    assert earlier.tolist() == [False, False, True, False, True, False] and others.tolist() == [True, False, True, True, True, False]
+
+
+def test_own_columns_stay(spark):
+    frame = spark.createDataFrame([(1, "a b", "s", 1, 2, 3, 4)], "doc_id long, text string, source string, part int, hits int, _host int, _salt int")
+    for out in (remove_repeats(frame), judge(frame), contamination(frame, spark.createDataFrame([(1, "a b", 9)], "item_id long, text string, hits int"))):
+        r = out.first()
+        assert (r.part, r.hits, r._host, r._salt) == (1, 2, 3, 4)
+
+
 def sets_of(texts, size):
     out = {}
     for i, t in texts.items():

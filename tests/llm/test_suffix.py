@@ -7,35 +7,41 @@ import pytest
 from cotejo.llm import suffix
 
 
-def brute(texts, owners, least):
-    out = []
-    for t, o in zip(texts, owners, strict=True):
-        out.append([any(p < o and t[i : i + least] in u for u, p in zip(texts, owners, strict=True)) for i in range(max(0, len(t) - least + 1))])
-    return out
+def pieces_of(texts, places):
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return suffix.Pieces(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array(places, np.int64))
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_construction_orders_suffixes(tmp_path, seed):
+def aligned(seed):
+    """Texts around one gram, and where it begins in each."""
     rng = random.Random(seed)
-    texts = [bytes(rng.choices(b"ab" if seed % 2 else b"abc\x00\xff", k=rng.randrange(0, 40))) for _ in range(12)] + [b"", b"aaaa", b"aaaa"]
-    docs, starts, prefixes = suffix.construct(texts, suffix.Files(tmp_path))
-    found = [(texts[d][s:], d) for d, s in zip(docs.tolist(), starts.tolist(), strict=True)]
-    assert sorted((t[s:], d) for d, t in enumerate(texts) for s in range(len(t) + 1)) == sorted(found)
-    assert [t for t, _ in found] == sorted(t for t, _ in found)
-    for (a, _), (b, _), n in zip(found, found[1:], prefixes[1:].tolist(), strict=False):
-        assert n == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    places = [rng.randrange(9) for _ in range(rng.randrange(1, 30))]
+    letters = b"ab" if seed % 2 else b"a\x00\xff"
+    return [bytes(rng.choices(letters, k=p)) + b"gg" + bytes(rng.choices(letters, k=rng.randrange(9))) for p in places], places
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 1 << 20])
+@pytest.mark.parametrize("seed", range(6))
+def test_construction_orders_suffixes(tmp_path, monkeypatch, seed, chunk):
+    monkeypatch.setattr(suffix, "CHUNK", chunk)
+    texts, places = aligned(seed)
+    for column, order, prefixes in suffix.construct(pieces_of(texts, places), str(tmp_path)):
+        found = [(texts[d][places[d] + column :], d) for d in order.tolist()]
+        assert found == sorted((t[p + column :], d) for d, (t, p) in enumerate(zip(texts, places, strict=True)) if 0 <= p + column < len(t))
+        for (a, _), (b, _), n in zip(found, found[1:], prefixes[1:].tolist(), strict=False):
+            assert n == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert list(suffix.construct(pieces_of([], []), str(tmp_path))) == []
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_repeated_windows(seed):
-    rng = random.Random(seed)
-    texts = [bytes(rng.choices(b"ab", k=rng.randrange(0, 60))) for _ in range(20)]
-    owners = np.array([rng.randrange(5) for _ in texts])
-    expected = brute(texts, owners, 7)
-    assert [x.tolist() for x in suffix.repeated_windows(texts, owners, 7)] == expected
-    full = [t for t in texts if len(t) >= 7]
-    own = np.array([o for t, o in zip(texts, owners, strict=True) if len(t) >= 7])
-    assert [x.tolist() for x in suffix._single_windows(full, own, 7)] == brute(full, own, 7)
+    texts, places = aligned(seed)
+    owners = np.array([i * 7 % 5 for i in range(len(texts))])
+    masks = suffix.repeated_windows(pieces_of(texts, places), owners, 6)
+    for t, p, o, mask in zip(texts, places, owners, masks.tolist(), strict=True):
+        for i in range(min(p, len(t) - 6) + 1):
+            expected = any(q < o and 0 <= i - p + r and u[i - p + r :][:6] == t[i : i + 6] for u, r, q in zip(texts, places, owners, strict=True))
+            assert bool(mask >> i & 1) == expected
 
 
 def test_documents(spark, monkeypatch):
@@ -89,6 +95,29 @@ def test_windows_with_repeated_grams(spark):
         assert got[d].kept == bytes(np.frombuffer(t.encode(), np.uint8)[~gone]), (d, t)
 
 
+def test_one_gram_of_very_many_pieces(spark):
+    """A passage of which each document has a part of its own length, in more pieces than a chunk of a construction has."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = "THE GRAM IS HERE ALWAYS" + letters(80)
+    texts = {i: letters(40) + passage[: 45 + i % 58] + letters(30) for i in range(8_000)}
+    first: dict[str, int] = {}
+    expected = {}
+    for d, t in texts.items():
+        gone = np.zeros(len(t), bool)
+        for a in range(len(t) - 49):
+            if first.setdefault(t[a : a + 50], d) < d:
+                gone[a : a + 50] = True
+        expected[d] = int(gone.sum())
+    rows = suffix.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).select("doc_id", "n_removed").collect()
+    assert {r.doc_id: r.n_removed for r in rows} == expected and sum(n > 0 for n in expected.values()) > 7000
+
+
+def test_an_own_column_named_part_stays(spark):
+    df = spark.createDataFrame([(1, "x" * 60, "a"), (2, "x" * 60, "b")], "doc_id long, text string, Part string")
+    assert sorted((r.doc_id, r.Part, r.n_removed) for r in suffix.remove_repeats(df).collect()) == [(1, "a", 0), (2, "b", 60)]
+
+
 def test_runs_do_not_depend_on_the_block():
     text = b"x" * 90 + b"ab" * 40 + b"-" * 100
     found = []

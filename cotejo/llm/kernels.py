@@ -90,6 +90,22 @@ def _factors_of(at: np.ndarray) -> np.ndarray:
     return mix(mix(at.astype(U64) + U64(_BASES[1])) ^ U64(_BASES[3])) | U64(1)
 
 
+def _portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of the spans of about BLOCK bytes, so that what is made for each byte stays small."""
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK)))
+        yield slice(i, j)
+        i = j
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of non-empty spans, one after another, its place in the span; and where each span begins among them."""
+    first = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(first, sizes), first
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of data[start:end] (bytes) for each span: a sum of random values, one for each byte at its place in the span.
 
@@ -98,19 +114,17 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     sizes = ends - starts
     out = np.zeros(len(sizes), U64)
     some = np.flatnonzero(sizes > 0)
-    if len(some):
-        n = sizes[some]
-        first = np.cumsum(n) - n
-        own = np.arange(int(n.sum()))
-        place = own - np.repeat(first, n)
-        own = data[own + np.repeat(starts[some] - first, n)]
-        if int(n.max()) <= _PLACES:
+    for part in _portions(sizes[some]):
+        which = some[part]
+        place, first = _places(sizes[which])
+        own = data[place + np.repeat(starts[which], sizes[which])]
+        if int(sizes[which].max()) <= _PLACES:
             terms = _TABLE[(place << 8) + own]
         else:
             terms = _TABLE[((place & _PLACES - 1) << 8) + own]
             far = np.flatnonzero(place >= _PLACES)
             terms[far] *= _factors_of(place[far] // _PLACES)
-        out[some] = np.add.reduceat(terms, first)
+        out[which] = np.add.reduceat(terms, first)
     return mix(out + sizes.astype(U64) * U64(_BASES[3]))
 
 
@@ -118,11 +132,10 @@ def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarra
     """Whether data[a:a+size] and data[b:b+size] are the same bytes, for each."""
     out = np.ones(len(sizes), bool)
     some = np.flatnonzero((sizes > 0) & (a != b))
-    if len(some):
-        n = sizes[some]
-        first = np.cumsum(n) - n
-        own = np.arange(int(n.sum()))
-        out[some] = np.logical_and.reduceat(data[own + np.repeat(a[some] - first, n)] == data[own + np.repeat(b[some] - first, n)], first)
+    for part in _portions(sizes[some]):
+        which = some[part]
+        place, first = _places(sizes[which])
+        out[which] = np.logical_and.reduceat(data[place + np.repeat(a[which], sizes[which])] == data[place + np.repeat(b[which], sizes[which])], first)
     return out
 
 

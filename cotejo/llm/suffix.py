@@ -230,7 +230,14 @@ def _sent(keys: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.nd
 
 def _joined(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes of the spans, one after another."""
-    return data[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
+    out = np.empty(int(sizes.sum()), np.uint8)
+    at = 0
+    for i in range(0, len(sizes), 4096):  # an index is many times a byte
+        n = sizes[i : i + 4096]
+        more = int(n.sum())
+        out[at : at + more] = data[np.arange(more) + np.repeat(starts[i : i + 4096] - (np.cumsum(n) - n), n)]
+        at += more
+    return out
 
 
 def _alike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, least: int, gram: int) -> np.ndarray:
@@ -241,10 +248,10 @@ def _alike(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.n
     """
     half = (least - gram + 1) // 2
     out = np.zeros(len(sizes), bool)
-    h = gram_hash(data, gram + half)
     for some, begin in ((places >= half, -half), (sizes - places >= gram + half, 0)):
         which = np.flatnonzero(some)
-        _, own, count = np.unique(h[starts[which] + places[which] + begin], return_inverse=True, return_counts=True)
+        at = starts[which] + places[which] + begin
+        _, own, count = np.unique(span_hash(data, at, at + gram + half), return_inverse=True, return_counts=True)
         out[which[count[own] > 1]] = True
     return out
 
@@ -275,7 +282,8 @@ def _resolve(least: int, gram: int, n_parts: int):
             # of distinct pieces, those that agree with another around their gram
             at = np.flatnonzero(~same)
             at = at[_alike(data, starts[at], sizes[at], places[at], least, gram)]
-            masks = repeated_windows(Pieces(data, starts[at], sizes[at], places[at]), docs[at], least)
+            data = _joined(data, starts[at], sizes[at])
+            masks = repeated_windows(Pieces(data, np.cumsum(sizes[at]) - sizes[at], sizes[at], places[at]), docs[at], least)
             some = masks > 0
             # equal pieces of later documents are wholly told already, those of the same document alike
             done.append((hashes[at][some], docs[at][some], masks[some]))

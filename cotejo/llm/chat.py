@@ -1,13 +1,19 @@
 """Chat formatting on a prefix tree.
 
 A turn is a node under the turns before it; conversations that begin alike share those nodes.  A
-node's path is the chain of its ancestors' 128-bit hashes and its own, so the order of paths is
-depth first.  Each node's formatted text is emitted once, in that order, into one stream:
+segment is a chain of nodes that goes on until the tree branches or a conversation ends, so a
+conversation is whole segments.  A node's path is the chain of the hashes of its segments' first nodes,
+and nodes in the order of paths and depths are depth first.  In that order each node's formatted text
+is emitted once, as tokens, into one stream:
 
 * stream_start is the node's place in the stream, position_start that in its conversation; the
-  position ids of its characters count up from there, alike for all conversations that share it;
-* ancestors are the stream intervals that the node's characters attend to besides the node itself;
-* loss_start and loss_end bound the part of the text that is trained on.
+  position ids of its tokens count up from there, alike for all conversations that share it;
+* ancestors are the stream intervals that the node's tokens attend to besides the node itself, one for
+  each segment above and one for what its own segment has before it;
+* loss_start and loss_end bound the tokens of the text that is trained on.
+
+A conversation is read back from the stream by its last node alone: the intervals tell its tokens, and
+the position ids their order.
 
 The template writes ``<s>role``, a line break, the text and ``</s>`` with a line break.  A backslash
 goes into each ``<s>`` or ``</s>`` of a role or text behind the ``<`` (and one more where there are
@@ -17,14 +23,17 @@ some), and line breaks of a role become ``\\\\n``, so that formatted text reads
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cotejo.llm.kernels import SALTS, salted
 from cotejo.plans.saved import saved
 
 #: The template's control strings.
@@ -51,11 +60,35 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(\\|n)", lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
 
 
-def format_turn(role: str, text: str) -> tuple[str, int, int]:
-    """A turn's formatted text and where its own text begins and ends there."""
-    head = f"{START}{_escape_role(role)}\n"
-    body = escape(text)
-    return head + body + END, len(head), len(head) + len(body)
+class Tokens:
+    """Ids of texts by a tokenizers file that gives every text back (byte-level, say), or without one the bytes of UTF-8."""
+
+    def __init__(self, path: str | None) -> None:
+        self.tokenizer = None
+        if path is not None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.tokenizer is None:
+            return [np.frombuffer(t.encode(), np.uint8).astype(np.uint32) for t in texts]
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if [self.decode(ids) for ids in got] != texts:
+            raise ValueError("the tokenizer doesn't give texts back")
+        return got
+
+    def decode(self, ids: np.ndarray) -> str:
+        if self.tokenizer is None:
+            return ids.astype(np.uint8).tobytes().decode()
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+
+def format_turn(role: str, text: str) -> tuple[str, str, str]:
+    """A turn's formatted text: what is before its own text, that, and what is behind it."""
+    return f"{START}{_escape_role(role)}\n", escape(text), END
 
 
 def read_turn(formatted: str) -> tuple[str, str]:
@@ -64,106 +97,163 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return _unescape_role(role), unescape(body)
 
 
-PATHS = "conv_id long, k long, role string, text string, path binary"
+CHAIN = "conv_id long, k long, node binary, parent binary, role string, text string"
 
 
-def paths(turns: DataFrame) -> DataFrame:
-    """(conv_id, k, role, text, path) of each turn; k counts a conversation's turns from 0 in the order of (turn, role, text).
+def chain(turns: DataFrame) -> DataFrame:
+    """CHAIN of each turn; k counts a conversation's turns from 0 in the order of (turn, role, text), and a node is told by its hash.
 
     Turns stream through a task in order, so a conversation of any length costs one turn's memory.
     """
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, k, path, begun = None, 0, b"", False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, k, node, begun = None, 0, b"", False
         for batch in batches:
-            ks, own = [], []
+            ks, nodes, parents = [], [], []
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if not begun or conv != now:
-                    now, k, path, begun = conv, 0, b"", True
-                h = hashlib.blake2b(path[-NODE:], digest_size=NODE)
+                    now, k, node, begun = conv, 0, b"", True
+                h = hashlib.blake2b(node, digest_size=NODE)
                 h.update(f"{len(role)}:{role}{text}".encode())
-                path += h.digest()
+                parents.append(node)
+                node = h.digest()
+                nodes.append(node)
                 ks.append(k)
-                own.append(path)
                 k += 1
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(ks, pa.int64()), batch.column("role"), batch.column("text"), pa.array(own, pa.binary())], names=["conv_id", "k", "role", "text", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(ks, pa.int64()), pa.array(nodes, pa.binary()), pa.array(parents, pa.binary()), batch.column("role"), batch.column("text")], names=["conv_id", "k", "node", "parent", "role", "text"])
 
     turns = turns.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # conversations without an id are one
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(chain, PATHS)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, CHAIN)
+
+
+def last_nodes(of: DataFrame) -> DataFrame:
+    """(conv_id, node) of each conversation's last turn."""
+    return of.groupBy("conv_id").agg(F.max(F.struct("k", "node")).alias("last")).select("conv_id", "last.node")
+
+
+def paths(told: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, path) of the nodes of chain(): the hashes of the first nodes of the segments down to the node's."""
+    ends = last_nodes(told).select(F.col("node").alias("parent"), F.lit(True).alias("ends")).distinct()
+    children = nodes.groupBy("parent").agg(F.count("*").alias("n"))
+    forks = children.join(ends, "parent", "left").where("n > 1 OR ends OR parent = X''").select("parent", F.lit(True).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = b""
+        for batch in batches:
+            own = []
+            for k, node, first in zip(*(batch.column(c).to_pylist() for c in ("k", "node", "first")), strict=True):
+                path = (path if k else b"") + (node if first else b"")
+                own.append(path)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "path"])
+
+    marked = salted(told.select("conv_id", "k", "node", "parent"), forks, ["parent"], "conv_id", F.lit(SALTS), "left")
+    return marked.repartition("conv_id").sortWithinPartitions("conv_id", "k").select("k", "node", "first").mapInArrow(run, "node binary, path binary").groupBy("node").agg(F.min("path").alias("path"))
+
+
+EMITTED = "node binary, path binary, depth long, ids binary, n_tokens long, loss_start long, loss_end long, part int, at long"
+SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
-def tree(told: DataFrame) -> DataFrame:
-    """Nodes of paths(): node, depth, formatted, chars, loss_start, loss_end, stream_start, position_start, ancestors."""
-    nodes = told.groupBy("path").agg(F.min(F.struct("role", "text")).alias("said"))
-    nodes = nodes.select("path", "said.role", "said.text").repartitionByRange("path").sortWithinPartitions("path")
+def tree(told: DataFrame, tokenizer: str | None) -> DataFrame:
+    """Nodes of chain(): node, depth, ids (little-endian unsigned 32-bit), n_tokens, loss_start, loss_end, stream_start, segment_start, position_start, ancestors."""
+    nodes = saved(told.groupBy("node").agg(F.min(F.struct("parent", "k", "role", "text")).alias("said")).select("node", "said.parent", F.col("said.k").alias("depth"), "said.role", "said.text"))
+    ordered = nodes.drop("parent").join(paths(told, nodes), "node").repartitionByRange("path", "depth").sortWithinPartitions("path", "depth")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, tokens = TaskContext.get().partitionId(), 0, Tokens(tokenizer)
         for batch in batches:
+            roles = batch.column("role").to_pylist()
+            parts = [x for role, text in zip(roles, batch.column("text").to_pylist(), strict=True) for x in format_turn(role, text)]
+            ids = tokens.encode(parts)
             rows = []
-            for path, role, text in zip(*(batch.column(c).to_pylist() for c in ("path", "role", "text")), strict=True):
-                formatted, low, high = format_turn(role, text)
-                trained = role == TRAINED
-                rows.append((path[-NODE:], path, len(path) // NODE - 1, formatted, len(formatted), low if trained else 0, high if trained else 0, part, at))
-                at += len(formatted)
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "path", "depth", "formatted", "chars", "loss_start", "loss_end", "part", "at"])
-
-    emitted = saved(nodes.mapInArrow(emit, "node binary, path binary, depth long, formatted string, chars long, loss_start long, loss_end long, part int, at long"))
+            for i, role in enumerate(roles):
+                head, body, tail = ids[3 * i : 3 * i + 3]
+                n, trained = len(head) + len(body) + len(tail), role == TRAINED
+                rows.append((np.concatenate((head, body, tail)).tobytes(), n, len(head) if trained else 0, len(head) + len(body) if trained else 0, part, at))
+                at += n
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "path", "depth")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in EMITTED.split(", ")])
+
+    emitted = saved(ordered.select("node", "path", "depth", "role", "text").mapInArrow(emit, EMITTED))
     # a row for each partition: where its stream begins
-    parts = emitted.groupBy("part").agg(F.sum("chars").alias("n"))
+    parts = emitted.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     begins = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
-    placed = emitted.join(F.broadcast(begins), "part").withColumn("stream_start", F.col("at") + F.col("begin"))
-    spans = placed.select(F.col("node").alias("ancestor"), F.struct(F.col("stream_start").alias("start"), (F.col("stream_start") + F.col("chars")).alias("end")).alias("span"))
-    above = emitted.where("depth > 0").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.col("depth").cast("int") - 1), lambda i: F.substring("path", 1 + i * NODE, F.lit(NODE)))).alias("ancestor"))
-    spans = above.join(spans, "ancestor").groupBy("node").agg(F.array_sort(F.collect_list("span")).alias("ancestors"), F.sum(F.col("span.end") - F.col("span.start")).alias("before"))
-    return placed.join(spans, "node", "left").select(
-        "node", "depth", "formatted", "chars", "loss_start", "loss_end", "stream_start", F.coalesce("before", F.lit(0).cast("long")).alias("position_start"), F.coalesce("ancestors", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("ancestors")
-    )
-
-
-def chat_format(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    placed = emitted.join(F.broadcast(begins), "part").withColumn("stream_start", F.col("at") + F.col("begin")).withColumn("segment", F.substring("path", -NODE, NODE))
+    # a segment's nodes follow each other in the stream
+    segments = placed.groupBy("segment").agg(F.min("path").alias("path"), F.min("stream_start").alias("start"), F.sum("n_tokens").alias("n"))
+    segments = saved(segments.select("segment", "path", F.col("start").alias("segment_start"), (F.col("start") + F.col("n")).alias("segment_end")))
+    above = segments.where(F.length("path") > NODE).select("segment", F.explode(F.transform(F.sequence(F.lit(0), (F.length("path") / NODE).cast("int") - 2), lambda i: F.substring("path", 1 + i * NODE, F.lit(NODE)))).alias("ancestor"))
+    spans = segments.select(F.col("segment").alias("ancestor"), F.struct(F.col("segment_start").alias("start"), F.col("segment_end").alias("end")).alias("span"))
+    spans = salted(above, spans, ["ancestor"], "segment", F.lit(SALTS)).groupBy("segment").agg(F.array_sort(F.collect_list("span")).alias("above"), F.sum(F.col("span.end") - F.col("span.start")).alias("before"))
+    spans = segments.select("segment", "segment_start").join(spans, "segment", "left").withColumn("above", F.coalesce("above", F.array().cast(SPAN))).fillna(0, ["before"])
+    own = F.struct(F.col("segment_start").alias("start"), F.col("stream_start").alias("end"))
+    return salted(placed, spans, ["segment"], "node", F.lit(SALTS)).select(
+        "node", "depth", "ids", "n_tokens", "loss_start", "loss_end", "stream_start", "segment_start",
+        (F.col("before") + F.col("stream_start") - F.col("segment_start")).alias("position_start"),
+        F.when(F.col("stream_start") > F.col("segment_start"), F.concat("above", F.array(own))).otherwise(F.col("above")).alias("ancestors"),
+    )
+
+
+def chat_format(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The tree of turns (conv_id, turn, role, text), and (conv_id, k, node), the node of each conversation's k-th turn.
 
-    Null roles and texts are empty; equal (conv_id, turn) are ordered by role and text, repeated rows
-    are turns of their own; rows without conv_id are one conversation; other columns are not read.
+    tokenizer is the path, on every executor, of a tokenizers file that gives texts back; without one tokens
+    are bytes.  Null roles and texts are empty; equal (conv_id, turn) are ordered by role and text, repeated
+    rows are turns of their own; rows without conv_id are one conversation; other columns are not read.
+    A node's path has a hash for each segment above it, so its cost follows the forks of the tree, not the
+    length of conversations.
     """
-    told = saved(paths(turns))
-    return tree(told), told.select("conv_id", "k", F.substring("path", -NODE, NODE).alias("node"))
+    told = saved(chain(turns))
+    return saved(tree(told, tokenizer)), told.select("conv_id", "k", "node")
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """What conversations say, read from the emitted nodes: READ, one row per conversation."""
+def read_back(nodes: DataFrame, of: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """What conversations say, read from the stream by their last nodes' intervals: READ, one row per conversation.
+
+    Position ids that don't follow each other raise ValueError.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(tokenizer)
         begun, now = False, None
-        n = chars = loss = 0
+        n = chars = loss = position = 0
         turns = trained = hashlib.sha256()
         done: list[tuple] = []
         for batch in batches:
-            for conv, formatted, low, high in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+            for conv, at, ids, low, high in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position_start", "ids", "loss_start", "loss_end")), strict=True):
                 if not begun or conv != now:
                     if begun:
                         done.append((now, n, turns.hexdigest(), loss, trained.hexdigest(), chars))
-                    begun, now, n, chars, loss = True, conv, 0, 0, 0
+                    begun, now, n, chars, loss, position = True, conv, 0, 0, 0, 0
                     turns, trained = hashlib.sha256(), hashlib.sha256()
+                if at != position:
+                    raise ValueError(f"position {at} where {position} is next")
+                own = np.frombuffer(ids, np.uint32)
+                formatted = tokens.decode(own)
                 role, text = read_turn(formatted)
                 turns.update(f"{role}\n{text}\n".encode())
-                masked = unescape(formatted[low:high])
+                masked = unescape(tokens.decode(own[low:high]))
                 trained.update(masked.encode())
-                n, chars, loss = n + 1, chars + len(formatted), loss + len(masked)
+                n, chars, loss, position = n + 1, chars + len(formatted), loss + len(masked), position + len(own)
             yield _read_rows(done)
             done = []
         if begun:
             yield _read_rows([(now, n, turns.hexdigest(), loss, trained.hexdigest(), chars)])
 
-    said = of.join(nodes.select("node", "formatted", "loss_start", "loss_end"), "node")
-    return said.repartition("conv_id").sortWithinPartitions("conv_id", "k").select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(digest, READ)
+    ends = nodes.select("node", F.concat("ancestors", F.array(F.struct(F.col("stream_start").alias("start"), (F.col("stream_start") + F.col("n_tokens")).alias("end")))).alias("spans"))
+    asked = salted(last_nodes(of), ends, ["node"], "conv_id", F.lit(SALTS)).select("conv_id", F.explode("spans").alias("span")).select("conv_id", "span.start", "span.end")
+    # an interval begins where a segment does, or at the last node itself
+    stream = nodes.select("stream_start", "position_start", "ids", "n_tokens", "loss_start", "loss_end", "segment_start")
+    starts = stream.select(F.col("segment_start").alias("start"), "stream_start", "position_start", "ids", "loss_start", "loss_end").unionByName(
+        stream.where("stream_start > segment_start").select(F.col("stream_start").alias("start"), "stream_start", "position_start", "ids", "loss_start", "loss_end")
+    )
+    said = salted(asked, starts, ["start"], "conv_id", F.lit(SALTS)).where(F.col("stream_start") < F.col("end"))
+    return said.repartition("conv_id").sortWithinPartitions("conv_id", "position_start").select("conv_id", "position_start", "ids", "loss_start", "loss_end").mapInArrow(digest, READ)
 
 
 def _read_rows(rows: list[tuple]) -> pa.RecordBatch:

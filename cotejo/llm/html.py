@@ -1,10 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element.  The lengths of the lines' texts, 0 for
-lines in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers'
-comments, are summed over sliding windows of lines.  Content starts where the sums surge above a
-level and ends where they dive to 0, and the lines with text between are kept.  In a page that marks
-its article the level is 0, so that short articles are whole; elsewhere it is ``level``.
+Markup is stripped into lines, one for each block element.  A line weighs its text outside links, and
+nothing in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers'
+comments.  The weights are summed over sliding windows of lines:
+
+1. The window of the largest sum, in an article or main element where the page has one, is the peak.
+2. A part that only a compound class or id (``has-sidebar``, ``menu-item``) makes doubtful is content if it
+   holds the peak and outside if not.  Where the peak is in an article, lines outside articles are outside.
+3. Stretches go from a surge (a sum above 0) to a dive (a sum of 0).  A stretch is content if it meets the
+   peak's, if it lies in an article when the peak does, or if its largest sum is a share of the peak.
+   All its lines that aren't outside are kept.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,43 +38,73 @@ OUTSIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus notice cookie cookies consent newsletter subscribe share sharing social related popup modal complementary contentinfo search".split()
 )
 COMMENTS = frozenset(("comment", "comments", "disqus"))
+#: Words that make a class or id tell a state ("no-comments", "comments-open").
+STATES = frozenset("has no with without is not hide hides show shows open opened close closed enabled disabled".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _MARK = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 WINDOW = 3
-
-
-def _marks(rest: str) -> set[str]:
-    if "=" not in rest:
-        return set()
-    return {w.lower() for m in _MARK.finditer(rest) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-
-
-def lines(html: str) -> tuple[list[str], list[bool], list[bool]]:
-    """Texts of a page's lines in order, whether each is outside the content, and whether it is in an article."""
-    texts: list[str] = []
-    outside: list[bool] = []
-    inside: list[bool] = []
-    stack: list[tuple[str, str]] = []  # open holders: name and kind ("", "out", "comments", "in")
+#: A stretch away from the peak is content from this share of the peak's sum on.
+SHARE = 0.125
+
+
+def _mark(rest: str) -> str:
+    """What class, id and role say: "out", "comments", "maybe" or ""."""
+    found = ""
+    if "=" in rest:
+        for m in _MARK.finditer(rest):
+            for token in (m[1] or m[2] or m[3] or "").lower().split():
+                words = _WORD.findall(token)
+                if token in COMMENTS or words and words[0] in COMMENTS and not STATES & set(words):
+                    return "comments"
+                if token in OUTSIDE:
+                    found = "out"
+                elif OUTSIDE & set(words):
+                    found = found or "maybe"
+    return found
+
+
+class Line(NamedTuple):
+    """A line's text, its weight, whether it is outside, whether in an article, and the doubtful parts that it is in."""
+
+    text: str
+    weight: int
+    outside: bool
+    inside: bool
+    doubts: frozenset[int]
+
+
+def lines(html: str) -> list[Line]:
+    """The lines of a page in order."""
+    out: list[Line] = []
+    stack: list[tuple[str, str, int]] = []  # open holders: name, kind ("", "out", "comments", "maybe", "in") and number
     text: list[str] = []
+    plain: list[str] = []  # of it, what is outside links
+    link, number = False, 0
+
+    def say(part: str) -> None:
+        text.append(part)
+        if not link:
+            plain.append(part)
 
     def flush() -> None:
+        nonlocal link
+        link = False
         if text:
-            line = " ".join(unescape("".join(text)).split())
+            line, weight = (" ".join(unescape("".join(x)).split()) for x in (text, plain))
             text.clear()
+            plain.clear()
             if line:
-                kinds = [k for _, k in stack]
-                texts.append(line)
-                outside.append("out" in kinds or "comments" in kinds)
-                inside.append("in" in kinds)
+                kinds = [k for _, k, _ in stack]
+                out.append(Line(line, len(weight), "out" in kinds or "comments" in kinds, "in" in kinds, frozenset(i for _, k, i in stack if k == "maybe")))
 
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         if not m:
-            text.append(html[at:])
+            say(html[at:])
             break
-        text.append(html[at : m.start()])
+        say(html[at : m.start()])
         at = m.end()
         if m["name"] is None:
             continue
@@ -78,59 +114,73 @@ def lines(html: str) -> tuple[list[str], list[bool], list[bool]]:
             at = end.end() if end else n
             continue
         if name not in BLOCKS and name not in HOLDERS:
-            if name in ("br", "td", "th", "img"):
-                text.append(" ")
+            if name == "a":
+                link = not closing
+            elif name in ("br", "td", "th", "img"):
+                say(" ")
             continue
         flush()
         if name not in HOLDERS:
             continue
         if closing:
-            if any(x == name for x, _ in stack):
+            if any(x[0] == name for x in stack):
                 while stack.pop()[0] != name:
                     pass
             continue
         if m["rest"].rstrip().endswith("/"):
             continue
-        marks = _marks(m["rest"]) if name not in ("html", "body") else set()
-        if name in ("article", "main") or name == "section" and "main" in marks:
-            if not any(k == "comments" for _, k in stack):
-                if marks & COMMENTS:
-                    kind = "comments"
-                else:  # an article ends what was left open before it
-                    kind = "in"
-                    if not any(k == "in" for _, k in stack):
-                        stack = [(x, k) for x, k in stack if k != "out"]
-                stack.append((name, kind))
+        number += 1
+        mark = _mark(m["rest"]) if name not in ("html", "body") else ""
+        if name in ("article", "main"):
+            if any(k == "comments" for _, k, _ in stack):
+                stack.append((name, "", number))
             else:
-                stack.append((name, ""))
+                if mark == "comments":  # a reader's, unless the page's text is in it
+                    mark = "maybe"
+                if not any(k == "in" for _, k, _ in stack):  # an article ends what was left open before it
+                    stack = [x for x in stack if x[1] != "out"]
+                if mark == "maybe":
+                    stack.append(("", "maybe", number))
+                stack.append((name, "in", number))
         elif name == "body":
-            stack = [x for x in stack if x[0] == "html"] + [(name, "")]
+            stack = [x for x in stack if x[0] == "html"] + [(name, "", number)]
         else:
-            stack.append((name, "comments" if marks & COMMENTS else "out" if name in SKIPPED or marks & OUTSIDE else ""))
+            stack.append((name, "out" if name in SKIPPED and mark != "comments" else mark, number))
     flush()
-    return texts, outside, inside
+    return out
 
 
-def main_text(html: str | None, level: int = 80) -> str:
-    """The text between surges and dives, blocks joined by two line breaks; '' if there is none."""
-    texts, outside, inside = lines(html or "")
-    marked = any(inside)
-    sizes = np.array([0 if out or marked and not own else len(t) for t, out, own in zip(texts, outside, inside, strict=True)], np.int64)
-    if not len(sizes):
+def main_text(html: str | None, share: float = SHARE) -> str:
+    """The text of the page's content, blocks joined by two line breaks; '' if there is none."""
+    page = lines(html or "")
+    weights = np.array([0 if x.outside else x.weight for x in page], np.int64)
+    inside = np.array([x.inside and not x.outside for x in page], bool)
+    if not len(page):
+        return ""
+    if not weights.any():  # links alone
+        weights = np.array([0 if x.outside else len(x.text) for x in page], np.int64)
+
+    def sums(own: np.ndarray) -> np.ndarray:  # of a line and those after it
+        return np.convolve(own, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
+
+    own = np.where(inside, weights, 0)
+    marked = bool(own.any())
+    peak = int(np.argmax(sums(own if marked else weights)))
+    peak = peak + int(np.argmax((own if marked else weights)[peak : peak + WINDOW]))
+    left = np.array([not x.outside and x.doubts <= page[peak].doubts and (i or not marked) for x, i in zip(page, inside, strict=True)], bool)
+    weights = np.where(left, weights, 0)
+    sum_of = sums(weights)
+    if not sum_of[peak]:
         return ""
-    sums = np.convolve(sizes, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of a line and those after it
-    kept, content = [], False
-    for i, size in enumerate(sizes):
-        if not content:
-            content = size > 0 and sums[i] > (0 if marked else level)
-        elif sums[i] == 0:
-            content = False
-        if content and size:
-            kept.append(texts[i])
-    return "\n\n".join(kept)
-
-
-def extract(pages: DataFrame, level: int = 80) -> DataFrame:
+    # stretches end where a window weighs nothing
+    stretch = np.cumsum(sum_of == 0)
+    largest = np.zeros(int(stretch[-1]) + 1, np.int64)
+    np.maximum.at(largest, stretch, sum_of)
+    kept = left & (marked | (stretch == stretch[peak]) | (largest[stretch] >= share * sum_of.max()))
+    return "\n\n".join(x.text for x, k in zip(page, kept, strict=True) if k)
+
+
+def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """Every column of pages (it has html), with main_text (string, replaced if there).
 
     A null or empty page, or one without text, has ''.  Tags may be left open, and a page may break
@@ -141,7 +191,7 @@ def extract(pages: DataFrame, level: int = 80) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(x, level) for x in batch.column("html").to_pylist()], pa.string())
+            texts = pa.array([main_text(x, share) for x in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), texts], names=[*columns, "main_text"])
 
     return pages.mapInArrow(run, extended(pages.schema, "main_text string"))

@@ -1,4 +1,4 @@
-"""Vectorised byte and word helpers that the operators run inside their Spark tasks.
+"""Vectorised byte and word helpers that the operators run inside their Spark tasks, and a join for hot keys.
 
 Texts are handled as the contiguous UTF-8 buffer of an Arrow column, cut into blocks of whole
 documents of about ``BLOCK`` bytes; a longer document is a block of its own, so memory follows the
@@ -12,10 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1 << 18
 U64 = np.uint64
+#: Salts of a key whose rows are spread.
+SALTS = 32
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -258,3 +262,11 @@ def free_name(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def salted(left: DataFrame, right: DataFrame, key: list[str], by: str, salts: Column, how: str = "inner") -> DataFrame:
+    """left joined to right on key, where many rows of left may have one key: by the column ``by`` they are
+    spread over so many salts, and right's rows are copied to the salts that their key has."""
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(by), salts))
+    spread = left.select(*key, "_salt").distinct().join(right, key)
+    return left.join(spread, [*key, "_salt"], how).drop("_salt")

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo.llm.exchange import FIND, Answers, bucket_count, keyed_rows, narrow, shared_keys, widen
-from cotejo.llm.kernels import LOWER, U64, blocks, mix, run_hash, words
+from cotejo.llm.kernels import LOWER, SALTS, U64, blocks, mix, run_hash, salted, words
 from cotejo.plans.saved import saved
 
 BASE, RATE, LEVELS = 1.001, 20.0, 65534
@@ -34,8 +34,8 @@ BASE, RATE, LEVELS = 1.001, 20.0, 65534
 TRIED = 2
 #: Members of a block: strays and others.
 STRAYS, OTHERS = 256, 2048
-#: Salts of a key where its rows are few bytes, and rows for each salt where they carry sets.
-SALTS, SALT_ROWS = 32, 1000
+#: Rows for each salt where they carry sets.
+SALT_ROWS = 1000
 
 
 def shingle_sets(batch_text: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -111,14 +111,6 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def salted(left: DataFrame, right: DataFrame, key: list[str], by: str, salts: Column, how: str = "inner") -> DataFrame:
-    """left joined to right on key, where many rows of left may have one key: by the column ``by`` they are
-    spread over so many salts, and right's rows are copied to the salts that their key has."""
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(by), salts))
-    spread = left.select(*key, "_salt").distinct().join(right, key)
-    return left.join(spread, [*key, "_salt"], how).drop("_salt")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of links (a, b): the smallest node that links reach.
 

@@ -138,11 +138,15 @@ SELECT documents.doc_id, coalesce(n_templates, 0) AS n_templates, coalesce(templ
 """
 
 
-def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_chat_format(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     own = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_back(*chat.chat_format(turns))
+    return chat.read_back(*chat.chat_format(turns, tokenizer), tokenizer)
 
 
 OP7_SQL = r"""

@@ -5,6 +5,7 @@ import io
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import pyarrow as pa
 import pytest
@@ -208,10 +209,72 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var t="</p>";</scr
 <aside>Side</aside><div id="comments"><article>Reader</article></div><p title="a > b">Last</article><footer>Foot</footer>"""
 
 
+class Article(HTMLParser):
+    """The blocks of the article of a well-formed page, by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.text = 0, [], ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        if tag in ("article", "h1", "p"):
+            self.end()
+        self.text += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "h1", "p"):
+            self.end()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.text += data if self.depth else ""
+
+    def end(self):
+        if self.depth and self.text.split():
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+
+def test_html_query(spark):
+    from cotejo.llm.queries import op5_html_extraction
+
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = op5_html_extraction(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(pages) > 0
+    for r in got:
+        parser = Article()
+        parser.feed(pages[r.page_id].html or "")
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, "\n\n".join(parser.blocks), len("\n\n".join(parser.blocks)))
+
+
+LONG = "Long text of an article. " * 12
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article class="post comments-open"><p>{LONG}</p><p>End</p></article>',
+        f'<div class="social-science"><p>{LONG}</p><p>End</p></div>',
+        f'<div class="has-sidebar"><nav>Menu</nav><p>{LONG}</p><p>End</p><div class="sidebar">Side</div></div>',
+        f'<div id="page" class="no-ads"><p>{LONG}</p><p>End</p><div class="ad-banner"><p>Buy</p></div></div><div class="site-footer">Foot</div>',
+        f'<section class="search-results"><p>{LONG}</p><p>End</p></section>',
+        f'<article class="comment"><p>{LONG}</p><p>End</p></article><article class="comment"><p>Short</p></article>',
+        f'<p>{LONG}</p><p>End</p><ul><li><a href="a">Link one</a><li><a href="b">Link two</a><li><a href="c">Link three</a></ul><p>Away</p>',
+        f'<article><p>{LONG}</p><p>End</p><section id="comments"><article><p>{LONG * 3}</p></article></section></article>',
+    ],
+)
+def test_html_parts(page):
+    assert main_text(f"<html><body>{page}</body></html>").replace("\n\nLink one\n\nLink two", "") == f"{LONG.strip()}\n\nEnd"
+
+
 def test_html(spark):
     assert main_text(PAGE) == "Head & title\n\nOne two three été\n\n1 < 2 and a > b\n\nLast"
     plain = "<body><ul><li>a</li><li>b</li></ul><div>" + "Long text. " * 20 + "</div><p>short</p><div class='footer'>Foot</div></body>"
     assert main_text(plain).endswith("short") and "Foot" not in main_text(plain)
+    assert main_text("<article><p>Short.</p></article>") == "Short." and main_text("<p>" + "a" * 10**6) == "a" * 10**6
+    assert main_text("<article><p>A b.</p>" + "<p><a href='x'>only links</a></p>" * 9 + "<p>c</p></article>").count("only links") == 9
     assert [main_text(x) for x in (None, "", "<p", "<script>x", "<article></article>")] == ["", "", "", "", ""] or main_text("<p") in ("", "<p")
     frame = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old"), (1, PAGE, "old")], "page_id long, html string, main_text string")
     assert sorted(len(r.main_text) for r in extract(frame).collect()) == [0, len(main_text(PAGE)), len(main_text(PAGE))]
@@ -334,12 +397,18 @@ def test_licenses_in_parts(spark):
     assert set(expected) == {(1, "MIT-text"), (3, "MIT-text"), (4, "again")} and got == expected
 
 
-def test_chat(spark):
-    said = [(1, 0, "user", "hi"), (1, 1, "assistant", "a</s><s>\\<\\s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user\n<s>", None), (3, 0, None, "<\\\\/s>"), (3, 0, None, "<\\\\/s>"), (None, 0, "user", "x"), (4, 5, "assistant", "é"), (4, 2, "assistant", "first")]
+@pytest.mark.parametrize("tokenizer", [None, "byte_bpe_50k.json"])
+def test_chat(spark, tokenizer):
+    if tokenizer:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(tokenizer)
+    said = [(1, 0, "user", "hi"), (1, 1, "assistant", "a</s><s>\\<\\s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user\n<s>", None), (3, 0, None, "<\\\\/s>"), (3, 0, None, "<\\\\/s>"), (None, 0, "user", "x"), (4, 5, "assistant", "é"), (4, 2, "assistant", "first"), (5, 0, "user", "hi")]
     frame = spark.createDataFrame([(*r, "x") for r in said], "conv_id long, turn long, role string, text string, node string")
-    nodes, of = chat.chat_format(frame)
-    got = {r.conv_id: r for r in chat.read_back(nodes, of).collect()}
-    for conv in (1, 2, 3, 4, None):
+    nodes, of = chat.chat_format(frame, tokenizer)
+    got = {r.conv_id: r for r in chat.read_back(nodes, of, tokenizer).collect()}
+    assert len(got) == 6
+    for conv in (1, 2, 3, 4, 5, None):
         turns = sorted(((t, r or "", x or "") for c, t, r, x in said if c == conv), key=lambda v: v)
         trained = "".join(x for _, r, x in turns if r == "assistant")
         r = got[conv]
@@ -350,13 +419,39 @@ def test_chat(spark):
     at = 0
     spans = {}
     for r in rows:
-        assert r.stream_start == at and r.chars == len(r.formatted)
-        assert r.position_start == sum(s.end - s.start for s in r.ancestors) and len(r.ancestors) == r.depth
-        assert all((s.start, s.end) in spans.values() for s in r.ancestors)
-        spans[bytes(r.node)] = (at, at + r.chars)
-        at += r.chars
-    empty, none = chat.chat_format(frame.limit(0))
-    assert chat.read_back(empty, none).count() == 0
+        assert r.stream_start == at and r.n_tokens * 4 == len(r.ids)
+        assert r.position_start == sum(s.end - s.start for s in r.ancestors)
+        covered = {i for s in r.ancestors for i in range(s.start, s.end)}
+        assert covered == {i for b in (spans[n] for n in nodes_of(of, r.node)) for i in range(*b)}
+        spans[bytes(r.node)] = (at, at + r.n_tokens)
+        at += r.n_tokens
+    # a wrong interval or position can't be read back
+    wrong = nodes.withColumn("ancestors", F.transform("ancestors", lambda s: F.struct((s.start + 1).alias("start"), s.end.alias("end"))))
+    with pytest.raises(Exception, match="is next"):
+        chat.read_back(wrong, of, tokenizer).collect()
+    with pytest.raises(Exception, match="is next"):
+        chat.read_back(nodes.withColumn("position_start", F.col("position_start") + 1), of, tokenizer).collect()
+    empty, none = chat.chat_format(frame.limit(0), tokenizer)
+    assert chat.read_back(empty, none, tokenizer).count() == 0
+
+
+def nodes_of(of, node):
+    """The nodes of one conversation that holds the node, down to it."""
+    conv, k = of.where(F.col("node") == F.lit(bytes(node))).select("conv_id", "k").first()
+    return [bytes(r.node) for r in of.where(F.col("conv_id").eqNullSafe(conv)).where(F.col("k") < k).collect()]
+
+
+def test_chat_of_a_long_and_a_common_conversation(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(3000)]
+    rows += [(c, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for c in range(2, 300) for i in range(3 + c % 2)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    nodes, of = chat.chat_format(frame)
+    assert nodes.count() == 3000 and nodes.selectExpr("max(size(ancestors))").first()[0] <= 3
+    got = {r.conv_id: r for r in chat.read_back(nodes, of).collect()}
+    for conv in (1, 2, 3, 299):
+        own = [(r, x) for c, _, r, x in rows if c == conv]
+        assert got[conv].n_turns == len(own) and got[conv].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+    assert len(got) == 299
 
 
 def test_packing(spark, docs, texts):

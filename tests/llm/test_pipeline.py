@@ -41,3 +41,13 @@ def test_pipeline(spark, tmp_path):
     assert seen[3] == [i for i in range(12) if i != 9]
     assert set(seen[4]) == set(seen[3])
     assert cp.run(spark, str(tmp_path)).selectExpr("sum(length)").first()[0] == docs.selectExpr("sum(length)").first()[0]
+
+
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    """Different texts under one doc_id and rows without doc_id are judged by themselves."""
+    rng = random.Random(4)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(5, a), (5, b), (5, b), (1, b), (None, c), (None, c), (None, d), (9, d), (7, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = cp.near_dedup(spark, docs, "").collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got)) == sorted([(False, 5, a), (False, 1, b), (True, 0, c), (False, 9, d), (False, 7, ""), (True, 0, "")])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo.llm.decontam import contamination
+from cotejo.llm.kernels import free_name
 from cotejo.llm.neardup import near_duplicates
 from cotejo.llm.packing import pack
 from cotejo.llm.quality import judge
@@ -26,10 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates, once; rows without doc_id stay."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    named = docs.join(found.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One row of each group of near-duplicates: that of the smallest doc_id (rows without one come last).
+
+    Rows are judged one by one, by a number of their own, so rows that share a doc_id and rows without one
+    stay unless their text is in the group of another row.
+    """
+    key = free_name(docs.columns, "row_key")
+    keyed = saved(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    kept = found.join(keyed.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first"))
+    return keyed.join(kept.select(F.col("first").getField(key).alias(key)).hint("shuffle_hash"), key, "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

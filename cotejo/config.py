@@ -64,11 +64,11 @@ ABBREVIATIONS = {
 MODIFIERS = ["vice", "adjunto a", "encargado de", "auxiliar de", "asistente de"]
 # Thresholds and adjustments of similarity.
 HIGH, REVIEW, BONUS, BONUS_FROM, PENALTY = 93, 80, 4, 60, 25
-# Headers of spreadsheet columns, normalised; a cell need only contain one.
+# Headers of spreadsheet columns, normalised; a title or level header need only contain one (the shortest stand for all).
 TITLE_HEADERS = ["puesto", "denominacion", "cargo", "estructura propuesta"]
 LEVEL_HEADERS = ["nivel"]
 ID_HEADERS = ["id", "consecutivo", "numero", "no", "no de puesto", "id puesto", "id del puesto"]
-BOSS_HEADERS = ["puesto del jefe inmediato", "jefe inmediato", "puesto jefe inmediato", "nombre del jefe inmediato"]
+BOSS_HEADERS = ["jefe inmediato", "nombre del jefe inmediato", "puesto del jefe inmediato", "denominacion del puesto del jefe inmediato", "nombre del puesto del jefe inmediato", "denominacion del jefe inmediato", "superior inmediato", "superior jerarquico"]
 HEADER_ROWS, FALLBACK_TITLE, FALLBACK_LEVEL, FALLBACK_ID, FALLBACK_BOSS = 30, 10, 11, 9, 12
 # Starts of summary rows in a spreadsheet, normalised.
 SUMMARY_PREFIXES = ["integro", "titular de unidad administrativa", "titular del area de administracion", "total", "variacion en costo", "no plazas actual", "no plazas propuesta", "variacion en plazas"]
@@ -90,3 +90,8 @@ NAME_LEVELS = ["Exacta", "Coincide después de normalización", "Coincidencia me
 NO_NAME = "Sin coincidencia"
 METHODS = ["Exacta", "Normalización", "Abreviatura / equivalencia institucional", "Coincidencia aproximada (fuzzy)", "Revisión manual"]
 NO_METHOD = "No aplica"
+# What results of a comparison by ID say.
+SAME, MOVED, AMBIGUOUS, NOT_FOUND = "Misma posición", "Diferente posición", "Coincidencia ambigua", "Puesto no encontrado"
+UNVERIFIABLE, OTHER_BOSS, AMBIGUOUS_BOSS, BOSS_AGREES = "No verificable", "Jefe inmediato diferente", "Jefe ambiguo", "Coincide"
+NO_BOSS, CHECK_ID, UNASSIGNED = "Sin referencia en Excel", "Revisar ID de Excel", "Sin referencia asignada"
+NO_BOSS_ROW = "[ID de jefe no resoluble:"

@@ -59,5 +59,5 @@ def warning(normalised: Column, level: Column) -> Column:
     """A message for a level outside the catalogue, by the normalised title as written (abbreviations not expanded)."""
     kind = category(normalised)
     names = F.array_join(F.transform(levels(kind), lambda n: F.concat(F.lit("N"), n.cast("string"))), " o ")
-    message = F.concat(F.lit("Nivel "), level, F.lit(" fuera de catálogo para "), kind, F.lit("; esperado "), names)
+    message = F.concat(F.lit("Nivel "), level, F.lit(" no coincide con el catálogo esperado para '"), kind, F.lit("' (se esperaba "), names, F.lit(")."))
     return F.when(level_state(kind, level) == "FUERA_DE_CATALOGO", message)

@@ -69,41 +69,49 @@ def _modifiers(key: str) -> set[str]:
     return {m for m in config.MODIFIERS if f" {m} " in f" {key} "}
 
 
-def judge(a: str, b: str) -> tuple[float, str]:
-    """Score (one decimal) and level of two keys: the ratio of their sorted words, less for a conflict of categories, modifiers or suffixes, more for one category."""
+def judge(a: str, b: str) -> tuple[float, str, str]:
+    """Score (one decimal), level and reason of two keys: the ratio of their sorted words, less for a conflict of categories, modifiers or suffixes, more for one category.
+
+    A conflict leaves no match, so its reason isn't told.
+    """
     if a == b and a:
-        return 100.0, "normalizada"
+        return 100.0, "normalizada", "Coincidencia exacta tras normalización."
+    reason = "Similitud de texto."
     score = ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) if a and b else 0.0
     ka, kb, sa, sb = _category(a), _category(b), _suffix(a), _suffix(b)
     if (ka and kb and ka != kb) or _modifiers(a) != _modifiers(b) or (sa and sb and sa != sb):
         score = max(0.0, score - config.PENALTY)
     elif score >= config.BONUS_FROM and ka and ka == kb:
         score = min(100.0, score + config.BONUS)
+        reason += f" Ambos son de tipo '{ka}' (bono de confianza aplicado)."
     level = "fuzzy_alta" if score >= config.HIGH else "revision" if score >= config.REVIEW else "sin_coincidencia"
-    return round(score, 1), level
+    return round(score, 1), level, reason
 
 
-def judge_parts(a: str, b: str) -> tuple[float, str]:
+def judge_parts(a: str, b: str) -> tuple[float, str, str]:
     """judge of what follows the category for titles of one known category, else of the whole keys."""
     ka = _category(a)
     if ka and ka == _category(b):
         x, y = _name(a), _name(b)
-        return (100.0, "normalizada") if not x and not y else judge(x, y)
+        if not x and not y:
+            return 100.0, "normalizada", "Mismo tipo de puesto, sin nombre específico adicional."
+        score, level, reason = judge(x, y)
+        return score, level, f"Mismo tipo de puesto ('{ka}'); comparación por nombre específico ('{x}' vs '{y}'). {reason}"
     return judge(a, b)
 
 
-_RESULT = StructType([StructField("score", DoubleType()), StructField("level", StringType())])
+_RESULT = StructType([StructField("score", DoubleType()), StructField("level", StringType()), StructField("reason", StringType())])
 
 
 @F.pandas_udf(_RESULT)
 def judged(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([judge_parts(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["score", "level"])
+    return pd.DataFrame([judge_parts(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["score", "level", "reason"])
 
 
 def compare(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with score and level by judge_parts, scored once."""
+    """pairs with score, level and reason by judge_parts, scored once."""
     result = judged.asNondeterministic()(F.col(a), F.col(b))
-    return pairs.withColumn("_result", result).withColumns({"score": F.col("_result.score"), "level": F.col("_result.level")}).drop("_result")
+    return pairs.withColumn("_result", result).withColumns({"score": F.col("_result.score"), "level": F.col("_result.level"), "reason": F.col("_result.reason")}).drop("_result")
 
 
 def level_comparison(a: Column, b: Column) -> Column:

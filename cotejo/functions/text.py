@@ -67,6 +67,13 @@ def known_abbreviations(normalised: Column) -> Column:
     return F.filter(words(normalised), lambda w: w.isin(*config.ABBREVIATIONS))
 
 
+def equivalence_note(a: Column, b: Column) -> Column:
+    """Which known abbreviations two normalised titles have and what they stand for; '' for none."""
+    found = F.array_sort(F.array_distinct(F.concat(known_abbreviations(a), known_abbreviations(b))))
+    notes = F.array_join(F.transform(found, lambda w: F.concat(F.upper(w), F.lit(" → "), F.try_element_at(_abbreviations(), w))), "; ")
+    return F.when(F.size(found) > 0, F.concat(F.lit("Equivalencia aplicada: "), notes)).otherwise("")
+
+
 def expand_abbreviations(normalised: Column) -> Column:
     table = _abbreviations()
     return F.array_join(F.transform(words(normalised), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
@@ -91,10 +98,11 @@ def comparison_key(title: Column) -> Column:
 
 
 def unknown_abbreviation(title: Column) -> Column:
-    """The first word if it looks like an abbreviation that the table doesn't have, else null."""
+    """A message if the first word looks like an abbreviation that the table doesn't have, else null."""
     first = F.element_at(F.split(F.trim(F.coalesce(title, F.lit(""))), r"\s+"), 1)
     looks = first.rlike(r"^([A-ZÁÉÍÓÚÑ]\.){2,6}$") | first.rlike(r"^[A-ZÁÉÍÓÚÑ]{2,6}$")
-    return F.when(looks & ~normalise_title(first).isin(*config.ABBREVIATIONS), first)
+    message = F.concat(F.lit("'"), first, F.lit("' parece una abreviatura pero no está en el catálogo de equivalencias (config.ABREVIATURAS_PUESTO)."))
+    return F.when(looks & ~normalise_title(first).isin(*config.ABBREVIATIONS), message)
 
 
 def upper_case_warning(title: Column) -> Column:

@@ -11,23 +11,23 @@ from cotejo.plans.saved import saved
 
 
 def representatives(source: DataFrame) -> DataFrame:
-    """(key, seq, n, title, normalised, level): the first record of each comparison key of a source.
+    """(key, seq, title, normalised, level, level_text, n): the first record of each comparison key of a source.
 
-    source has seq, puesto_original and nivel_original.
+    source has seq, puesto_original and nivel_original.  A title of signs alone has the key '', which is a key like others.
     """
     keyed = source.select(
         text.comparison_key(F.col("puesto_original")).alias("key"),
-        F.struct("seq", F.col("puesto_original").alias("title"), text.normalise_title(F.col("puesto_original")).alias("normalised"), text.normalise_level(F.col("nivel_original")).alias("level")).alias("record"),
+        F.struct("seq", F.col("puesto_original").alias("title"), text.normalise_title(F.col("puesto_original")).alias("normalised"), text.normalise_level(F.col("nivel_original")).alias("level"), F.col("nivel_original").alias("level_text")).alias("record"),
     )
-    grouped = keyed.where("key <> ''").groupBy("key").agg(F.min("record").alias("record"), F.count("*").alias("n"))
+    grouped = keyed.groupBy("key").agg(F.min("record").alias("record"), F.count("*").alias("n"))
     return grouped.select("key", "record.*", "n")
 
 
 def exact_pairs(origin: DataFrame, target: DataFrame) -> DataFrame:
-    """(o_key, d_key, o_seq, d_seq, score, level) of equal keys."""
+    """(o_key, d_key, o_seq, d_seq, score, level, reason) of equal keys."""
     o = origin.select(F.col("key"), F.col("seq").alias("o_seq"))
     d = target.select(F.col("key"), F.col("seq").alias("d_seq"))
-    return o.join(d, "key").select(F.col("key").alias("o_key"), F.col("key").alias("d_key"), "o_seq", "d_seq", F.lit(100.0).alias("score"), F.lit("normalizada").alias("level"))
+    return o.join(d, "key").select(F.col("key").alias("o_key"), F.col("key").alias("d_key"), "o_seq", "d_seq", F.lit(100.0).alias("score"), F.lit("normalizada").alias("level"), F.lit("").alias("reason"))
 
 
 #: Lengths of similar names differ by a factor of 1.64 at most, so by a class of this logarithm at most.
@@ -51,7 +51,7 @@ def _could_match(slack: float) -> Column:
 
 
 def fuzzy_pairs(origin: DataFrame, target: DataFrame) -> DataFrame:
-    """(o_key, d_key, o_seq, d_seq, score, level) of similar keys among those without an equal one.
+    """(o_key, d_key, o_seq, d_seq, score, level, reason) of similar keys among those without an equal one.
 
     A conflict of categories, modifiers or suffixes costs more than a match can spare, so titles of
     the catalogue are joined on equal categories and length classes of what follows; titles outside it
@@ -67,7 +67,7 @@ def fuzzy_pairs(origin: DataFrame, target: DataFrame) -> DataFrame:
     unknown = o_whole.where("kind IS NULL").drop("kind").join(d_whole.drop("kind"), "class").where(_could_match(0.2)).select(*ends)
     known = o_whole.where("kind IS NOT NULL").drop("kind").join(d_whole.where("kind IS NULL").drop("kind"), "class").where(_could_match(0.2)).select(*ends)
     scored = similarity.compare(alike.unionByName(unknown).unionByName(known), "o_key", "d_key")
-    return scored.where(F.col("level").isin("fuzzy_alta", "revision", "normalizada")).select(*ends, "score", "level")
+    return scored.where(F.col("level").isin("fuzzy_alta", "revision")).select(*ends, "score", "level", "reason")
 
 
 def assign(pairs: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def match(origin: DataFrame, target: DataFrame) -> DataFrame:
 
 def name_level(level: Column, title_a: Column, title_b: Column, norm_a: Column, norm_b: Column) -> Column:
     """0 to 4 of NAME_LEVELS for a pair's level and its titles; null for no pair."""
-    exact = F.when(title_a == title_b, 0).when((norm_a == norm_b) & (norm_a != ""), 1).otherwise(2)
+    exact = F.when(title_a == title_b, 0).when(norm_a == norm_b, 1).otherwise(2)
     return F.when(level == "normalizada", exact).when(level == "fuzzy_alta", 3).when(level == "revision", 4)
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from cotejo import config
 from cotejo.functions import catalogue, similarity, text
 from cotejo.operators import cells as cell_ops
-from cotejo.operators import hierarchy, lines, matching, reconcile, sequence
+from cotejo.operators import by_id, hierarchy, lines, matching, reconcile, sequence
 from cotejo.plans import duck, report
+from cotejo.plans.saved import saved
 from cotejo.plans.views import sql_view, view
 
 FLAGSHIP = "three_way"
@@ -84,7 +85,7 @@ def abbrev_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT fuente, seq, CASE WHEN (regexp_matches(w, '^([A-ZÁÉÍÓÚÑ]\\.){{2,6}}$') OR regexp_matches(w, '^[A-ZÁÉÍÓÚÑ]{{2,6}}$')) AND {duck.title('w')} NOT IN ({ABBR}) THEN w END AS warning
+    f"""SELECT fuente, seq, CASE WHEN (regexp_matches(w, '^([A-ZÁÉÍÓÚÑ]\\.){{2,6}}$') OR regexp_matches(w, '^[A-ZÁÉÍÓÚÑ]{{2,6}}$')) AND {duck.title('w')} NOT IN ({ABBR}) THEN '''' || w || ''' parece una abreviatura pero no está en el catálogo de equivalencias (config.ABREVIATURAS_PUESTO).' END AS warning
     FROM (SELECT fuente, seq, string_split(puesto_original, ' ')[1] AS w FROM {ALL})"""
 )
 def unknown_abbrev_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +142,8 @@ def level_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT fuente, seq, CASE WHEN {STATE.format(v=duck.levels('c'))} = 'FUERA_DE_CATALOGO' THEN 'Nivel ' || level || ' fuera de catálogo para ' || c || '; esperado '
-    || array_to_string(list_transform({duck.levels('c')}, lambda n: 'N' || CAST(n AS VARCHAR)), ' o ') END AS warning FROM (SELECT *, {duck.category('normalised')} AS c FROM {KEYED})"""
+    f"""SELECT fuente, seq, CASE WHEN {STATE.format(v=duck.levels('c'))} = 'FUERA_DE_CATALOGO' THEN 'Nivel ' || level || ' no coincide con el catálogo esperado para ''' || c || ''' (se esperaba '
+    || array_to_string(list_transform({duck.levels('c')}, lambda n: 'N' || CAST(n AS VARCHAR)), ' o ') || ').' END AS warning FROM (SELECT *, {duck.category('normalised')} AS c FROM {KEYED})"""
 )
 def catalog_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(spark, sf_dir).select("fuente", "seq", catalogue.warning(F.col("normalised"), F.col("level")).alias("warning"))
@@ -165,13 +166,20 @@ def dup_in_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.where("n > 1").select("fuente", "normalised", "n", F.when(F.col("levels") > 1, config.DUPLICATE_LEVEL).otherwise(config.DUPLICATE).alias("kind"))
 
 
+NAMED = "CASE fuente WHEN 'ref' THEN 'Excel' WHEN 'doc' THEN 'Word' ELSE 'Organigrama' END"
+
+
 @query(
-    f"""WITH g AS (SELECT normalised, count(*) AS n, count(DISTINCT nullif(level, '')) AS l FROM {KEYED} WHERE fuente = 'doc' GROUP BY normalised)
-    SELECT 'Word' AS source, seq, '[DUP-Word] ' || puesto_original AS key, n, CASE WHEN l > 1 THEN '{config.DUPLICATE_LEVEL}' ELSE '{config.DUPLICATE}' END AS kind,
-    'Puesto duplicado ' || n || ' veces dentro de Word.' AS detail FROM {KEYED} JOIN g USING (normalised) WHERE fuente = 'doc' AND n > 1"""
+    f"""WITH g AS (SELECT fuente, normalised, count(*) AS n, count(DISTINCT nullif(level, '')) AS l, string_agg('fila=' || seq, '; ' ORDER BY seq) AS places FROM {KEYED} GROUP BY fuente, normalised),
+    s AS (SELECT DISTINCT fuente, normalised, puesto_original AS t FROM {KEYED}),
+    r AS (SELECT a.fuente, a.normalised, min({duck.ratio('a.t', 'b.t')}) AS r FROM s a JOIN s b ON a.fuente = b.fuente AND a.normalised = b.normalised AND a.t < b.t GROUP BY a.fuente, a.normalised)
+    SELECT {NAMED} AS source, seq, '[DUP-' || {NAMED} || '] ' || normalised AS key, n, CASE WHEN l > 1 THEN '{config.DUPLICATE_LEVEL}' ELSE '{config.DUPLICATE}' END AS kind,
+    'Puesto duplicado ' || n || ' veces dentro de ' || {NAMED} || '. Ubicaciones: ' || places AS detail, coalesce(round_even(r, 1), 100.0) AS confidence
+    FROM {KEYED} JOIN g USING (fuente, normalised) LEFT JOIN r USING (fuente, normalised) WHERE n > 1"""
 )
 def dup_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.duplicates(view(spark, sf_dir, "doc"), "Word")
+    ref, doc, chart = (reconcile.duplicates(view(spark, sf_dir, n), named) for n, named in (("ref", "Excel"), ("doc", "Word"), ("chart", "Organigrama")))
+    return ref.unionByName(doc).unionByName(chart)
 
 
 @query(f"SELECT fuente, count(*) AS n, count(DISTINCT k) AS n_unique FROM {KEYED} GROUP BY fuente")
@@ -181,19 +189,25 @@ def unique_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Matching
 
-FIRST = f"(SELECT fuente, k, min(seq) AS seq FROM {KEYED} WHERE k <> '' GROUP BY fuente, k)"
+PAIRS_OF = [("ref", "doc"), ("ref", "chart"), ("doc", "chart")]
+FIRST = f"(SELECT fuente, k, min(seq) AS seq FROM {KEYED} GROUP BY fuente, k)"
 
 
-@query(f"SELECT o.k, o.seq AS o_seq, d.seq AS d_seq FROM {FIRST} o JOIN {FIRST} d USING (k) WHERE o.fuente = 'ref' AND d.fuente = 'doc'")
+@query(f"SELECT o.fuente AS origin, d.fuente AS target, o.k, o.seq AS o_seq, d.seq AS d_seq FROM {FIRST} o JOIN {FIRST} d ON o.k = d.k WHERE (o.fuente, d.fuente) IN (('ref', 'doc'), ('ref', 'chart'), ('doc', 'chart'))")
 def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, doc = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "doc"))
-    return matching.exact_pairs(ref, doc).select(F.col("o_key").alias("k"), "o_seq", "d_seq")
+    firsts = {n: matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "doc", "chart")}
+    found = [matching.exact_pairs(firsts[o], firsts[d]).select(F.lit(o).alias("origin"), F.lit(d).alias("target"), F.col("o_key").alias("k"), "o_seq", "d_seq") for o, d in PAIRS_OF]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query(f"SELECT k, seq FROM {FIRST} WHERE fuente = 'doc' AND k NOT IN (SELECT k FROM {FIRST} WHERE fuente = 'ref')")
+@query(f"SELECT d.fuente AS target, o AS origin, k, seq FROM {FIRST} d, (VALUES ('ref'), ('doc'), ('chart')) v(o) WHERE d.fuente <> o AND NOT EXISTS (SELECT 1 FROM {FIRST} x WHERE x.fuente = o AND x.k = d.k)")
 def left_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, doc = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "doc"))
-    return doc.join(ref.select("key"), "key", "left_anti").select(F.col("key").alias("k"), "seq")
+    firsts = {n: matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "doc", "chart")}
+    out = None
+    for o, d in [*PAIRS_OF, *[(d, o) for o, d in PAIRS_OF]]:
+        left = firsts[d].join(firsts[o].select("key"), "key", "left_anti").select(F.lit(d).alias("target"), F.lit(o).alias("origin"), F.col("key").alias("k"), "seq")
+        out = left if out is None else out.unionByName(left)
+    return out
 
 
 @query()
@@ -208,25 +222,32 @@ def global_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match(ref, chart)
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"excel": view(spark, sf_dir, "ref"), "word": view(spark, sf_dir, "doc"), "organigrama": view(spark, sf_dir, "chart")}
+
+
 def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.classify(reconcile.three_way(*(view(spark, sf_dir, n) for n in ("ref", "doc", "chart"))))
+    return saved(reconcile.report_sections(_sources(spark, sf_dir)))
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.homologation(_three(spark, sf_dir), _sources(spark, sf_dir))
 
 
 @query()
 def three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _three(spark, sf_dir)
-    return found.select("section", "seq", "key", F.col("excel.title").alias("excel"), F.col("word.title").alias("word"), F.col("organigrama.title").alias("organigrama"), "kind", "detail", "name_level", "method", "confidence")
+    return _three(spark, sf_dir).select("section", "seq", "key", F.col("excel.title").alias("excel"), F.col("word.title").alias("word"), F.col("organigrama.title").alias("organigrama"), "kind", "detail", "name_level", "method", "confidence", "equivalence", "catalogue_warning", "format_warning")
 
 
 @query()
 def two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = reconcile.classify(reconcile.three_way(view(spark, sf_dir, "ref"), None, view(spark, sf_dir, "chart")), with_word=False)
-    return found.select("section", "seq", "key", "kind", "detail", "name_level", "confidence")
+    sources = _sources(spark, sf_dir)
+    return reconcile.report_sections({s: sources[s] for s in ("excel", "organigrama")}).select("section", "seq", "key", "kind", "detail", "name_level", "confidence")
 
 
 @query()
 def summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.summary(_three(spark, sf_dir))
+    return report.summary(_compared(spark, sf_dir))
 
 
 @query()
@@ -236,17 +257,17 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.rows(_three(spark, sf_dir))
+    return report.rows(_compared(spark, sf_dir))
 
 
-def _sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {"excel": view(spark, sf_dir, "ref"), "word": view(spark, sf_dir, "doc"), "organigrama": view(spark, sf_dir, "chart")}
+@query()
+def report_rows_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.rows(report.homologation(_by_id(spark, sf_dir).drop("homologation", "similarity"), None))
 
 
 @query()
 def homologation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = report.homologation(_three(spark, sf_dir), _sources(spark, sf_dir))
-    return found.select("section", "seq", "key", F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), F.try_element_at("compared", F.lit(n))) for n in ("Excel vs Word", "Excel vs Organigrama", "Word vs Organigrama")]).alias("compared"), "homologation", "similarity")
+    return _compared(spark, sf_dir).select("section", "seq", "key", F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), F.try_element_at("compared", F.lit(n))) for n in ("Excel vs Word", "Excel vs Organigrama", "Word vs Organigrama")]).alias("compared"), "homologation", "similarity")
 
 
 @query()
@@ -333,6 +354,66 @@ def boss_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.boss_state(expected, expected.select("id_excel", told.alias("boss")))
 
 
+ID_RULES = f"""WITH w AS (SELECT seq, puesto_original AS t, nivel_original AS lt, k, level, row_number() OVER (ORDER BY seq) AS place FROM (SELECT *, {duck.key(T)} AS k, {duck.level('nivel_original')} AS level FROM {DOC})),
+e AS (SELECT r.seq, CASE WHEN r.seq % 31 = 0 THEN r.seq - 1 ELSE w.place END AS id, r.puesto_original AS t, r.nivel_original AS lt, {duck.key('r.puesto_original')} AS k, {duck.level('r.nivel_original')} AS level, coalesce(b.puesto_original, '') AS boss,
+      {duck.key('b.puesto_original')} AS bk FROM {REF} r LEFT JOIN {REF} b ON b.id_excel = r.jefe_id LEFT JOIN w ON w.seq + 1 = r.seq),
+o AS (SELECT c.seq, c.puesto_original AS t, c.nivel_original AS lt, {duck.key('c.puesto_original')} AS k, {duck.level('c.nivel_original')} AS level, b.puesto_original AS boss, {duck.key('b.puesto_original')} AS bk, row_number() OVER (ORDER BY c.seq) AS place
+      FROM {CHART} c LEFT JOIN {REF} r ON r.seq = c.seq + 1 LEFT JOIN {REF} b ON b.id_excel = r.jefe_id),
+x AS (SELECT e.*, CASE WHEN e.id IS NULL THEN 'ID vacío o inválido.' WHEN n > 1 THEN 'ID repetido: ' || e.id || '.' ELSE '' END AS bad FROM e LEFT JOIN (SELECT id, count(*) AS n FROM e GROUP BY id) c ON c.id = e.id),
+wk AS (SELECT k, list(place ORDER BY place) AS spots FROM w GROUP BY k), wl AS (SELECT k, level, list(place ORDER BY place) AS spots FROM w GROUP BY k, level),
+ok AS (SELECT k, list(place ORDER BY place) AS spots FROM o GROUP BY k), ol AS (SELECT k, level, list(place ORDER BY place) AS spots FROM o GROUP BY k, level),
+bk AS (SELECT k, bk, list(place ORDER BY place) AS spots FROM o GROUP BY k, bk), bl AS (SELECT k, bk, level, list(place ORDER BY place) AS spots FROM o GROUP BY k, bk, level),
+ws AS (SELECT x.seq, x.id, x.k, w.seq AS found, w.k = x.k AS same, len(wl.spots) AS alike, w.t AS said, CASE WHEN len(wk.spots) > 1 AND x.level <> '' AND wl.spots IS NOT NULL THEN wl.spots ELSE coalesce(wk.spots, []) END AS spots
+       FROM x LEFT JOIN w ON w.place = x.id LEFT JOIN wk ON wk.k = x.k LEFT JOIN wl ON wl.k = x.k AND wl.level = x.level WHERE bad = ''),
+os AS (SELECT x.seq, x.id, o.seq AS found, o.k = x.k AS named, x.boss = '' OR coalesce(o.bk, '') = x.bk AS bossed, o.t AS said,
+       CASE WHEN x.boss = '' THEN CASE WHEN len(ok.spots) > 1 AND x.level <> '' AND ol.spots IS NOT NULL THEN ol.spots ELSE coalesce(ok.spots, []) END
+            WHEN len(bk.spots) > 1 AND x.level <> '' AND bl.spots IS NOT NULL THEN bl.spots ELSE coalesce(bk.spots, []) END AS spots
+       FROM x LEFT JOIN o ON o.place = x.id LEFT JOIN ok ON ok.k = x.k LEFT JOIN ol ON ol.k = x.k AND ol.level = x.level LEFT JOIN bk ON bk.k = x.k AND bk.bk = x.bk LEFT JOIN bl ON bl.k = x.k AND bl.bk = x.bk AND bl.level = x.level WHERE bad = ''),
+s AS (SELECT 'Word' AS f, seq, id, found, spots, said, CASE WHEN same THEN '{config.SAME}' WHEN len(spots) = 1 THEN '{config.MOVED}' WHEN len(spots) > 1 THEN '{config.AMBIGUOUS}' ELSE '{config.NOT_FOUND}' END AS state,
+             CASE WHEN alike > 1 THEN ' Nombre/nivel repetidos: coincide por posición; Word no permite verificar el jefe inmediato.' ELSE '' END AS more FROM ws
+      UNION ALL SELECT 'Organigrama', seq, id, found, spots, said, CASE WHEN named AND bossed THEN '{config.SAME}' WHEN len(spots) = 1 THEN '{config.MOVED}' WHEN len(spots) > 1 THEN '{config.AMBIGUOUS}' WHEN named THEN '{config.OTHER_BOSS}' ELSE '{config.NOT_FOUND}' END, '' FROM os),
+n AS (SELECT *, CASE WHEN found IS NULL THEN '' ELSE ' En la posición esperada se leyó «' || said || '».' END AS r FROM s),
+m AS (SELECT f, seq, found, CASE WHEN found IS NOT NULL THEN id END AS place, state, CASE state WHEN '{config.SAME}' THEN f || ': coincide en posición ' || id || '.' || more
+      WHEN '{config.MOVED}' THEN 'Encontrado en diferente posición; realizar ajuste. ' || f || ': posición ' || spots[1] || '; esperada ' || id || ' según Excel.' || r
+      WHEN '{config.AMBIGUOUS}' THEN f || ': coincidencia ambigua en posiciones ' || array_to_string(spots, ', ') || '; esperada ' || id || '.' || r
+      WHEN '{config.OTHER_BOSS}' THEN f || ': el nombre coincide en posición ' || id || ', pero pertenece a otro jefe inmediato.' || r
+      ELSE f || ': puesto esperado no encontrado; revisar la posición ' || id || '.' || r END AS note FROM n),
+names AS (SELECT bk, coalesce(max(n) FILTER (WHERE f = 'e'), 0) > 1 OR coalesce(max(n) FILTER (WHERE f = 'o'), 0) > 1 AS many FROM (SELECT 'e' AS f, k AS bk, count(*) AS n FROM x GROUP BY k UNION ALL SELECT 'o', k, count(*) FROM o GROUP BY k) GROUP BY bk),
+j AS (SELECT x.*, mw.place AS pw, mo.place AS po, mw.state AS sw, mo.state AS so, mw.note AS nw, mo.note AS no, w.t AS wt, w.k AS wk, w.level AS wlevel, w.lt AS wlt, o.t AS ot, o.k AS ok, o.level AS olevel, o.lt AS olt, o.boss AS oboss,
+      CASE WHEN o.seq IS NULL THEN '{config.UNVERIFIABLE}' WHEN x.boss = '' THEN '{config.NO_BOSS}' WHEN many THEN '{config.AMBIGUOUS_BOSS}' WHEN o.bk = x.bk THEN '{config.BOSS_AGREES}' ELSE '{config.OTHER_BOSS}' END AS bs
+      FROM x LEFT JOIN m mw ON mw.f = 'Word' AND mw.seq = x.seq LEFT JOIN m mo ON mo.f = 'Organigrama' AND mo.seq = x.seq LEFT JOIN w ON w.seq = mw.found LEFT JOIN o ON o.seq = mo.found LEFT JOIN names ON names.bk = x.bk),
+q AS (SELECT *, CASE WHEN bad <> '' THEN '{config.CHECK_ID}' WHEN '{config.AMBIGUOUS}' IN (sw, so) THEN '{config.AMBIGUOUS}' WHEN '{config.NOT_FOUND}' IN (sw, so) THEN '{config.NOT_FOUND}' WHEN '{config.MOVED}' IN (sw, so) THEN '{config.MOVED}'
+      WHEN '{config.OTHER_BOSS}' IN (sw, so) THEN '{config.OTHER_BOSS}' WHEN bs IN ('{config.AMBIGUOUS_BOSS}', '{config.OTHER_BOSS}') THEN bs ELSE '{config.SAME}' END AS os,
+      CASE WHEN coalesce(wt, t) = t AND coalesce(ot, t) = t THEN 0 WHEN coalesce(wk, k) = k AND coalesce(ok, k) = k THEN 2 ELSE 4 END AS rank, wt IS NOT NULL OR ot IS NOT NULL AS two,
+      len(list_distinct(list_filter([level, wlevel, olevel], lambda v: v <> ''))) AS levels, len(list_filter([level, wlevel, olevel], lambda v: v = '')) AS blank FROM j),
+z AS (SELECT *, CASE WHEN rank = 4 THEN '{config.REVISE}' WHEN two AND levels > 1 THEN '{config.LEVEL_DIFFERS}' WHEN wt IS NULL OR ot IS NULL THEN '{config.MISSING}' WHEN blank > 0 THEN '{config.LEVEL_MISSING}' WHEN rank = 2 THEN '{config.EQUIVALENT}' ELSE '{config.OK}' END AS kind FROM q)
+SELECT 1 AS section, seq, CASE WHEN bad <> '' OR os <> '{config.SAME}' AND kind IN ('{config.OK}', '{config.EQUIVALENT}') THEN '{config.REVISE}' ELSE kind END AS kind, pw AS position_word, po AS position_organigrama,
+       coalesce(sw, '{config.UNVERIFIABLE}') AS order_word, coalesce(so, '{config.UNVERIFIABLE}') AS order_organigrama, bs AS boss_state, os AS order_state,
+       concat_ws(' ', no, nw, nullif(bad, ''), CASE WHEN bs IN ('{config.AMBIGUOUS_BOSS}', '{config.OTHER_BOSS}') THEN 'Jefe inmediato: ' || bs || '. Excel: «' || boss || '»; organigrama: «' || coalesce(oboss, '') || '».' END,
+       CASE WHEN wlevel <> level THEN 'Nivel: Excel=' || lt || '; Word=' || coalesce(wlt, 'N/D') || '.' END, CASE WHEN olevel <> level THEN 'Nivel: Excel=' || lt || '; Organigrama=' || coalesce(olt, 'N/D') || '.' END) AS order_detail FROM z
+UNION ALL SELECT 2, seq, '{config.REVISE}', NULL, place, '{config.UNVERIFIABLE}', '{config.UNVERIFIABLE}', '{config.UNVERIFIABLE}', '{config.UNASSIGNED}', 'Organigrama: aparición sin ID de Excel asignado; revisar puestos adicionales o IDs pendientes.'
+       FROM o WHERE seq NOT IN (SELECT found FROM m WHERE f = 'Organigrama' AND found IS NOT NULL)
+UNION ALL SELECT 3, seq, '{config.REVISE}', place, NULL, '{config.UNVERIFIABLE}', '{config.UNVERIFIABLE}', '{config.UNVERIFIABLE}', '{config.UNASSIGNED}', 'Word: aparición sin ID de Excel asignado; revisar puestos adicionales o IDs pendientes.'
+       FROM w WHERE seq NOT IN (SELECT found FROM m WHERE f = 'Word' AND found IS NOT NULL)"""
+
+
+def _by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference with the places of documents as IDs, some missing and some repeated; a chart whose bosses are read."""
+    ref, doc, drawn = (view(spark, sf_dir, n) for n in ("ref", "doc", "chart"))
+    bosses = ref.select(F.col("id_excel").alias("jefe_id"), F.col(T).alias("jefe_inmediato"))
+    named = ref.join(bosses, "jefe_id", "left")
+    placed = sequence.with_position(doc).select((F.col("seq") + 1).alias("seq"), "position")
+    excel = named.drop("id_excel").join(placed, "seq", "left").withColumn("id_excel", F.when(F.col("seq") % 31 == 0, F.col("seq") - 1).otherwise(F.col("position")))
+    read = named.select((F.col("seq") - 1).alias("seq"), "jefe_inmediato")
+    chart = sequence.with_position(drawn.join(read, "seq", "left")).withColumnRenamed("position", "posicion_lectura").withColumns({"jerarquia_verificada": F.lit(True), "error_orden": F.lit("")})
+    return by_id.compare_by_id(excel, doc, chart)
+
+
+@query(ID_RULES)
+def id_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_id(spark, sf_dir).select("section", "seq", "kind", "position_word", "position_organigrama", "order_word", "order_organigrama", "boss_state", "order_state", "order_detail")
+
+
 # Hierarchy and pages
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 from functools import reduce
 
@@ -67,6 +69,17 @@ def known_abbreviations(normalised: Column) -> Column:
     return F.filter(words(normalised), lambda w: w.isin(*config.ABBREVIATIONS))
 
 
+def normalised(title: str) -> str:
+    """normalise_title of one string, for readers that go through lines in order."""
+    title = re.sub(r"[\r\n\t]+", " ", title or "")
+    for char, plain in LIGATURES.items():
+        title = title.replace(char, plain)
+    title = re.sub(MARKS, "", title.translate(str.maketrans(ACCENTED, PLAIN)))
+    title = title.translate(str.maketrans("", "", QUOTES)).translate(str.maketrans(DASHES, "-" * len(DASHES)))
+    title = re.sub(r"[^\w\s-]", "", re.sub(r"\s*-\s*", "-", title.lower()))
+    return re.sub(r"\s+", " ", title).strip()
+
+
 def equivalence_note(a: Column, b: Column) -> Column:
     """Which known abbreviations two normalised titles have and what they stand for; '' for none."""
     found = F.array_sort(F.array_distinct(F.concat(known_abbreviations(a), known_abbreviations(b))))

@@ -22,7 +22,7 @@ RECORD = ["seq", "title", "normalised", "level", "level_text", "key", "boss", "b
 #: Order states from the one that tells most about a row to the one that tells least.
 ORDER = [config.UNVERIFIABLE, config.AMBIGUOUS, config.NOT_FOUND, config.MOVED, config.OTHER_BOSS]
 COLUMNS = ["section", "seq", "key", "excel", "word", "organigrama", "kind", "detail", "name_level", "method", "confidence", "equivalence", "catalogue_warning", "format_warning"]
-STATES = ["position_word", "position_organigrama", "order_word", "order_organigrama", "boss_state", "order_state", "order_detail", "homologation", "similarity"]
+STATES = ["id_excel", "position_word", "position_organigrama", "order_word", "order_organigrama", "boss_state", "order_state", "order_detail", "homologation", "similarity"]
 
 
 def _column(df: DataFrame, name: str, kind: str) -> Column:
@@ -199,7 +199,7 @@ def compare_by_id(excel: DataFrame, word: DataFrame | None, chart: DataFrame) ->
     main = saved(
         judged.select(
             F.lit(1).alias("section"), "seq", F.col("normalised").alias("key"), "excel", "word", "organigrama", kind.alias("kind"), detail.alias("detail"), "name_level", "method", "confidence",
-            F.concat_ws(" ", *pair_notes).alias("equivalence"), "catalogue_warning", "format_warning", "position_word", "position_organigrama",
+            F.concat_ws(" ", *pair_notes).alias("equivalence"), "catalogue_warning", "format_warning", "id_excel", "position_word", "position_organigrama",
             F.coalesce("_word_state", F.lit(config.UNVERIFIABLE)).alias("order_word"), F.coalesce("_organigrama_state", F.lit(config.UNVERIFIABLE)).alias("order_organigrama"),
             boss_state.alias("boss_state"), order_state.alias("order_state"), F.concat_ws(" ", *notes).alias("order_detail"), homologation.alias("homologation"), alike.alias("similarity"),
         )
@@ -233,7 +233,7 @@ def _unused(records: DataFrame, main: DataFrame, source: str, section: int, unsu
         F.lit(section).alias("section"), "seq", "key", "excel", "word", "organigrama",
         (F.lit(config.REVISE) if unsure else F.col("kind")).alias("kind"),
         (F.lit("Aparición sin referencia asignada; no se puede confirmar que sea adicional.") if unsure else F.col("detail")).alias("detail"),
-        "name_level", "method", "confidence", F.lit("").alias("equivalence"), "catalogue_warning", "format_warning",
+        "name_level", "method", "confidence", F.lit("").alias("equivalence"), "catalogue_warning", "format_warning", none.alias("id_excel"),
         (at if source == "word" else none).alias("position_word"), (at if source == "organigrama" else none).alias("position_organigrama"),
         F.lit(config.UNVERIFIABLE).alias("order_word"), F.lit(config.UNVERIFIABLE).alias("order_organigrama"), F.lit(config.UNVERIFIABLE).alias("boss_state"),
         F.lit(config.UNASSIGNED).alias("order_state"), F.lit(f"{NAMES[source]}: aparición sin ID de Excel asignado; revisar puestos adicionales o IDs pendientes.").alias("order_detail"),

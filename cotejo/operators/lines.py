@@ -10,29 +10,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo import config
+from cotejo.functions.text import normalised
 
 # A quantity, a title and a level; a title and a level; the least length of a title.
 COUNTED = re.compile(r"^\s*(\d{1,3})\s+(.*[A-Za-zÁÉÍÓÚÑáéíóúñ].*?)\s+(\d{1,3})\s*$")
 PLAIN = re.compile(r"^\s*(.*[A-Za-zÁÉÍÓÚÑáéíóúñ]{3,}.*?)\s+(\d{1,3})\s*$")
 LEAST = 3
+NOISE = [re.compile(p) for p in config.DOC_NOISE]
 FOUND = "file string, page int, line_no int, cantidad string, puesto_original string, nivel_original string"
 
 
+def _noise(line: str) -> bool:
+    return not line.strip() or any(p.search(normalised(line)) for p in NOISE)
+
+
 def _read(lines: Iterator[tuple[int, str]]) -> Iterator[tuple]:
-    """A line that begins with a number but fits no pattern waits, and is tried with each line after it until a counted one is found."""
-    waiting = ""
+    """Rows of FOUND without file and page.
+
+    Noise is passed over.  A line is tried by itself as a counted one, then behind the line that waits.  One that
+    begins with a number but is none waits, if none waits already; others are tried as plain ones.
+    """
+    waiting: tuple[int, str] | None = None
     for no, line in lines:
-        for tried in ([f"{waiting} {line}"] if waiting else []) + [line]:
-            if m := COUNTED.match(tried):
-                waiting = ""
-                if len(m[2].strip()) >= LEAST:
-                    yield no, m[1], m[2].strip(), m[3]
-                break
+        line = line.strip()
+        if _noise(line):
+            continue
+        m = COUNTED.match(line)
+        if m:
+            waiting = None
+        elif waiting and (m := COUNTED.match(f"{waiting[1]} {line}")):
+            no, waiting = waiting[0], None
+        elif waiting is None and re.match(r"^\d{1,3}\s+", line):
+            waiting = no, line
+            continue
+        if m:
+            quantity, title, level = m[1], m[2].strip(), m[3]
+        elif m := PLAIN.match(line):
+            quantity, title, level = None, m[1].strip(), m[2]
         else:
-            if re.match(r"^\s*\d", line):
-                waiting = f"{waiting} {line}".strip() if waiting else line.strip()
-            elif (m := PLAIN.match(line)) and len(m[1].strip()) >= LEAST:
-                yield no, None, m[1].strip(), m[2]
+            continue
+        if len(title) >= LEAST and not _noise(title):
+            yield no, quantity, title, level
 
 
 def pattern_records(lines: DataFrame) -> DataFrame:

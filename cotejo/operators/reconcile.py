@@ -16,10 +16,14 @@ NAMES = {"excel": "Excel", "word": "Word", "organigrama": "Organigrama"}
 PRESENT = ["excel", "organigrama", "word"]
 
 
+def is_valid(source: DataFrame) -> Column:
+    no_error = F.col("error").isNull() if "error" in source.columns else F.lit(True)
+    return no_error & (F.trim(F.coalesce("puesto_original", F.lit(""))) != "")
+
+
 def valid(source: DataFrame) -> DataFrame:
     """Records with a title and without an error."""
-    no_error = F.col("error").isNull() if "error" in source.columns else F.lit(True)
-    return source.where(no_error & (F.trim(F.coalesce("puesto_original", F.lit(""))) != ""))
+    return source.where(is_valid(source))
 
 
 def errors(source: DataFrame, name: str) -> DataFrame:
@@ -194,27 +198,6 @@ def report_sections(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def summary(results: DataFrame, with_word: bool = True) -> DataFrame:
-    """One row of conditional counts over classified results, in one pass."""
-    count = lambda c: F.count_if(c)
-    out = {
-        "n_results": F.count("*"),
-        "n_ok": count(F.col("kind") == config.OK),
-        "n_normalised": count(F.col("kind") == config.NORMALISED),
-        "n_equivalent": count(F.col("kind") == config.EQUIVALENT),
-        "n_possible": count(F.col("kind") == config.POSSIBLE),
-        "n_revise": count(F.col("kind") == config.REVISE),
-        "n_level_differs": count(F.col("kind") == config.LEVEL_DIFFERS),
-        "n_level_missing": count(F.col("kind") == config.LEVEL_MISSING),
-        "n_missing": count(F.col("kind") == config.MISSING),
-        "n_extra": count(F.col("kind") == config.EXTRA),
-        "n_without_chart": count(F.col("excel").isNotNull() & F.col("organigrama").isNull()),
-    }
-    if with_word:
-        out["n_without_word"] = count(F.col("excel").isNotNull() & F.col("word").isNull())
-    return results.agg(*[v.alias(k) for k, v in out.items()])
-
-
 def by_kind(results: DataFrame) -> DataFrame:
     """(kind, n), most frequent first."""
     return results.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "kind")

@@ -9,74 +9,183 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo import config
-from cotejo.functions import similarity, text
-from cotejo.operators.reconcile import NAMES, SOURCES, valid
+from cotejo.functions import catalogue, similarity, text
+from cotejo.operators.reconcile import NAMES, SOURCES, is_valid, valid
 
 PAIRS = [("excel", "word"), ("excel", "organigrama"), ("word", "organigrama")]
 
 
-def homologation(results: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+def homologation(results: DataFrame, sources: dict[str, DataFrame] | None, with_word: bool = True) -> DataFrame:
     """results with compared (map of pair to state), homologation and similarity.
 
-    A title's key is looked up in every source; a key that a source repeats is to be revised.  The
-    similarity is that of the least similar pair, null unless all pairs are comparable, and 100 only
-    where they are equal.
+    A title's key is looked up in every source; a key that a source repeats is to be revised (sources None: equal
+    names are occurrences, as in a comparison by ID).  The similarity is that of the least similar pair, null unless all pairs are
+    comparable, and 100 only where they are equal.
     """
+    used = [s for s in SOURCES if with_word or s != "word"]
     out = results
-    for name, source in sources.items():
-        counts = valid(source).groupBy(text.comparison_key(F.col("puesto_original")).alias(f"_{name}_key")).agg(F.count("*").alias(f"_{name}_n"))
-        out = out.withColumn(f"_{name}_key", F.when(F.col(name).isNotNull(), text.comparison_key(F.col(f"{name}.title")))).join(counts, f"_{name}_key", "left")
-    used = [(a, b) for a, b in PAIRS if a in sources and b in sources]
+    for name in used:
+        out = out.withColumn(f"_{name}_key", F.when(F.col(name).isNotNull() & (F.col("key") != "[ERROR]"), text.comparison_key(F.col(f"{name}.title"))))
+        if sources is None:
+            out = out.withColumn(f"_{name}_n", F.lit(1))
+        else:
+            counts = valid(sources[name]).groupBy(text.comparison_key(F.col("puesto_original")).alias(f"_{name}_key")).agg(F.count("*").alias(f"_{name}_n"))
+            out = out.join(counts, f"_{name}_key", "left")
+    pairs = [(a, b) for a, b in PAIRS if a in used and b in used]
     key = lambda s: F.col(f"_{s}_key")
     states, scores = [], []
-    for a, b in used:
+    for a, b in pairs:
         there = key(a).isNotNull() & key(b).isNotNull()
         repeated = (F.coalesce(F.col(f"_{a}_n"), F.lit(0)) > 1) | (F.coalesce(F.col(f"_{b}_n"), F.lit(0)) > 1)
         states.append(F.when(~there, "No comparable").when(repeated, "Revisar duplicados").when(key(a) == key(b), "Coinciden").otherwise("No coinciden"))
-        ratio = similarity.indel_ratio(similarity.sorted_words(key(a)), similarity.sorted_words(key(b)))
-        scores.append(F.when(there & (key(a) == key(b)), 100.0).when(there, F.least(F.lit(99.9), ratio)))
+        scores.append(F.when(there & (key(a) == key(b)), 100.0).when(there, F.least(F.lit(99.9), F.bround(similarity.indel_ratio(key(a), key(b)), 1))))
     state = F.array(*states)
     overall = F.lit("Coinciden")
     for s in ("No coinciden", "No comparable", "Revisar duplicados"):
         overall = F.when(F.array_contains(state, s), s).otherwise(overall)
     comparable = ~F.array_contains(state, "No comparable") & ~F.array_contains(state, "Revisar duplicados")
-    names = F.array(*[F.lit(f"{NAMES[a]} vs {NAMES[b]}") for a, b in used])
-    out = out.withColumns({"compared": F.map_from_arrays(names, state), "homologation": overall, "similarity": F.when(comparable, F.bround(F.array_min(F.array(*scores)), 1))})
-    return out.drop(*[f"_{s}_{x}" for s in sources for x in ("key", "n")])
+    names = F.array(*[F.lit(f"{NAMES[a]} vs {NAMES[b]}") for a, b in pairs])
+    out = out.withColumns({"compared": F.map_from_arrays(names, state), "homologation": overall, "similarity": F.when(comparable, F.array_min(F.array(*scores)))})
+    return out.drop(*[f"_{s}_{x}" for s in used for x in ("key", "n")])
 
 
 def _or(value: Column, other: str) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", other).otherwise(value)
 
 
+def name_differences(used: list[str], by_id: bool) -> Column:
+    """What a result's sources say differently of its name."""
+    order = [s for s in ("excel", "organigrama", "word") if s in used]
+    error = F.col("key") == "[ERROR]"
+    parts = []
+    for s in order:
+        lost = F.lit(f"{NAMES[s]}: puesto no encontrado en esta comparación.")
+        if by_id and s != "excel":
+            pending = (F.col("order_state") == config.CHECK_ID) | (F.col(f"order_{s}") == config.UNVERIFIABLE)
+            lost = F.when(pending & (F.col("section") >= 1), f"{NAMES[s]}: aparición sin asignar; consultar el detalle de orden.").otherwise(lost)
+        parts.append(F.when(F.col(s).isNull(), lost).when(error, f"{NAMES[s]}: error de extracción; revisar el documento."))
+    shown = {s: F.col(f"{s}.title") if s == "organigrama" else text.homologate(F.col(f"{s}.title")) for s in used}
+    for a, b in PAIRS:
+        if a in used and b in used:
+            pair = f"{NAMES[a]} vs {NAMES[b]}"
+            state = F.try_element_at("compared", F.lit(pair))
+            parts.append(
+                F.when(state == "Revisar duplicados", f"{pair}: hay nombres duplicados; no se puede determinar una correspondencia única.").when(
+                    state == "No coinciden", F.concat(F.lit(f"{pair}: nombres diferentes: «"), shown[a], F.lit("» / «"), shown[b], F.lit("»."))
+                )
+            )
+    said = F.concat_ws(" ", *parts)
+    agreed = F.when(F.col("homologation") == "Coinciden", "Sin diferencias de nombre tras homologación. Los niveles se validan por separado.").otherwise("Comparación de nombres pendiente.")
+    return F.when(said != "", said).otherwise(agreed)
+
+
 def rows(results: DataFrame, with_word: bool = True) -> DataFrame:
-    """The report's columns: a dash for an absent title, N/D for an absent level; OK or Revisar."""
-    used = SOURCES if with_word else ["excel", "organigrama"]
-    columns = [F.col("key").alias("clave"), F.col("kind").alias("tipo"), F.when(F.col("kind") == config.OK, "OK").otherwise("Revisar").alias("resultado"), "detail", "name_level", "method", "confidence"]
+    """The report's 41 columns (33 without documents) of results that homologation() went through, in their order.
+
+    A dash stands for what is absent, N/D for an absent level.  Results of a comparison by ID have its
+    columns; others say that there is no ID.
+    """
+    used = [s for s in SOURCES if with_word or s != "word"]
+    by_id = "order_state" in results.columns
+    there = {s: F.col(s).isNotNull() for s in used}
+    first = F.coalesce(*[text.comparison_key(F.when(there[s], F.col(f"{s}.title"))) if s == "excel" else F.when(there[s], text.comparison_key(F.col(f"{s}.title"))) for s in used if s != "excel"])
+    first = F.when(there["excel"], text.comparison_key(F.col("excel.title"))).otherwise(first)
+    kind = catalogue.category(first)
+    levels = F.array_join(F.transform(catalogue.levels(kind), lambda n: n.cast("string")), ", ")
+    canonical = F.col("canonical") if "canonical" in results.columns else first
+    title = {s: F.when(there[s], F.coalesce(f"{s}.title", F.lit(""))).otherwise("—") for s in used}
+    level = {s: F.when(there[s], _or(F.col(f"{s}.level_text"), "N/D")).otherwise("—") for s in used}
+    state = {s: F.when(there[s], catalogue.level_state(catalogue.category(text.comparison_key(F.col(f"{s}.title"))), F.col(f"{s}.level"))).otherwise("—") for s in used}
+    name = {s: F.when(there[s] & (F.col("key") != "[ERROR]"), F.col(f"{s}.title") if s == "organigrama" else text.homologate(F.col(f"{s}.title"))).otherwise("—") for s in used}
+    at = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—")) if by_id else F.lit("—")
+    of = lambda c, other: F.col(c) if by_id else F.lit(other)
+    boss = lambda s: F.when(there[s], _or(F.col(f"{s}.boss"), "—")).otherwise("—") if by_id else F.lit("—")
+    no = config.UNVERIFIABLE
+    out = {"Puesto (clave normalizada)": F.col("key"), "Puesto canónico": F.when(canonical != "", canonical).otherwise(F.col("key")), "Tipo de puesto": F.coalesce(catalogue.display(kind), F.lit("")), "Nombre específico": F.coalesce(catalogue.specific_name(first), F.lit("")), "Niveles según catálogo": _or(levels, "—")}
     for s in used:
-        columns += [_or(F.col(f"{s}.title"), "—").alias(f"puesto_{s}"), F.when(F.col(s).isNull(), "—").otherwise(_or(F.col(f"{s}.level"), "N/D")).alias(f"nivel_{s}")]
-    return results.orderBy("section", "seq").select(*columns)
+        out |= {f"{NAMES[s]} - Original": title[s], f"{NAMES[s]} - Nivel": level[s], f"{NAMES[s]} - Estado de nivel": state[s]}
+    out |= {
+        "Resultado": F.when(F.col("kind") == config.OK, "OK").otherwise("Revisar"),
+        "Tipo de inconsistencia": F.col("kind"),
+        "Nivel de coincidencia de nombre": F.col("name_level"),
+        "Método de coincidencia": _or(F.col("method"), "—"),
+        "Confianza (%)": F.col("confidence"),
+        "Motivo": F.col("detail"),
+        "Equivalencia institucional aplicada": F.coalesce("equivalence", F.lit("")),
+        "Advertencia de catálogo (informativa)": F.coalesce("catalogue_warning", F.lit("")),
+    }
+    out |= {f"{NAMES[s]} - Puesto homologado": name[s] for s in used}
+    out |= {f"Homologado: {NAMES[a]} vs {NAMES[b]}": F.coalesce(F.try_element_at("compared", F.lit(f"{NAMES[a]} vs {NAMES[b]}")), F.lit("No comparable")) for a, b in PAIRS if a in used and b in used}
+    out |= {"Resultado de homologación": F.col("homologation"), "Detalle de inconsistencia de nombres": name_differences(used, by_id), "Similitud de nombres homologados (%)": F.coalesce(F.col("similarity").cast("string"), F.lit("No comparable"))}
+    out |= {"ID esperado - Excel": at("id_excel"), "Jefe inmediato - Excel": boss("excel")}
+    if with_word:
+        out |= {"Posición leída - Word": at("position_word"), "Orden - Word": of("order_word", no)}
+    out |= {
+        "Posición leída - Organigrama": at("position_organigrama"),
+        "Jefe inmediato - Organigrama": boss("organigrama"),
+        "Validación de jefe inmediato": of("boss_state", no),
+        "Orden - Organigrama": of("order_organigrama", no),
+        "Resultado de orden": of("order_state", no),
+        "Detalle de orden": of("order_detail", "Sin ID de referencia en Excel; solo se comparan nombres y niveles."),
+    }
+    return results.orderBy("section", "seq").select(*[c.alias(n) for n, c in out.items()])
+
+
+def summary(results: DataFrame, with_word: bool = True) -> DataFrame:
+    """(metric, value): the 16 counts of the summary (12 without documents), of results that homologation() went through, in one pass."""
+    by_id = "order_state" in results.columns
+    main = ~F.col("key").startswith("[DUP-") & (F.col("key") != "[ERROR]")
+    e, w, o = (F.col(s).isNotNull() for s in ("excel", "word", "organigrama"))
+    checked = main & e if by_id else F.lit(False)
+    counts = {
+        "Total de puestos esperados (Excel)": main & e,
+        "Registros revisados por ID de Excel": checked,
+        "Registros con diferencias o pendientes de orden": checked & (F.col("order_state") != config.SAME) if by_id else F.lit(False),
+        "Nombres coincidentes tras homologación (no valida niveles)": main & (F.col("homologation") == "Coinciden"),
+        "Encontrados en Word": main & w,
+        "Encontrados en Organigrama": main & o,
+        "Coincidencias en las tres fuentes": main & e & w & o,
+        "Coincidencias mediante equivalencia institucional (abreviaturas)": main & (F.col("kind") == config.EQUIVALENT),
+        "Faltantes reales en Word": main & e & ~w,
+        "Faltantes reales en Organigrama": main & e & ~o,
+        "Posibles coincidencias (revisar)": main & (F.col("kind") == config.POSSIBLE),
+        "Requieren revisión manual (ambiguos)": main & (F.col("kind") == config.REVISE),
+        "Puestos adicionales en Word (no están en Excel)": main & w & ~e,
+        "Puestos adicionales en Organigrama (no están en Excel)": main & o & ~e,
+        "Duplicados detectados": F.col("key").startswith("[DUP-"),
+        "Errores de extracción": F.col("key") == "[ERROR]",
+    }
+    if not with_word:
+        counts = {k: c for k, c in counts.items() if "Word" not in k and "tres" not in k}
+    one = results.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(counts.values())])
+    told = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("metric"), F.col(f"c{i}").alias("value")) for i, n in enumerate(counts)])
+    return one.select(F.explode(told).alias("m")).select("m.place", "m.metric", "m.value")
 
 
 def by_source(results: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
-    """(source, extracted, valid, matched, possible, missing) of each source."""
-    out = None
-    for name, source in sources.items():
-        ok = F.count_if(F.coalesce(F.trim("puesto_original") != "", F.lit(False)))
-        counts = source.agg(F.struct(F.count("*").alias("extracted"), ok.alias("valid")).alias("c")).scalar()
-        there = F.col(name).isNotNull()
-        found = results.agg(
-            F.count_if(there & F.col("kind").isin(config.OK, config.NORMALISED, config.EQUIVALENT)).alias("matched"),
-            F.count_if(there & F.col("kind").isin(config.POSSIBLE, config.REVISE)).alias("possible"),
-            F.count_if(F.col("excel").isNotNull() & ~there).alias("missing"),
-        )
-        one = found.withColumn("c", counts).select(F.lit(NAMES[name]).alias("source"), "c.extracted", "c.valid", "matched", "possible", "missing")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(source, extracted, valid, matched, possible, missing) of each source; results are read once."""
+    main = ~F.col("key").startswith("[DUP-") & (F.col("key") != "[ERROR]")
+    there = lambda s: main & F.col(s).isNotNull()
+    sums = []
+    for s in sources:
+        sums += [
+            F.count_if(there(s) & F.col("kind").isin(config.OK, config.NORMALISED, config.EQUIVALENT)).alias(f"{s}_matched"),
+            F.count_if(there(s) & F.col("kind").isin(config.POSSIBLE, config.REVISE)).alias(f"{s}_possible"),
+            F.count_if(main & F.col("excel").isNotNull() & F.col(s).isNull()).alias(f"{s}_missing"),
+        ]
+    one = results.agg(*sums)
+    for s, source in sources.items():
+        one = one.withColumn(f"{s}_read", source.agg(F.struct(F.count("*").alias("extracted"), F.count_if(is_valid(source)).alias("valid")).alias("c")).scalar())
+    told = F.array(*[F.struct(F.lit(NAMES[s]).alias("source"), F.col(f"{s}_read.extracted").alias("extracted"), F.col(f"{s}_read.valid").alias("valid"), *[F.col(f"{s}_{c}").alias(c) for c in ("matched", "possible", "missing")]) for s in sources])
+    return one.select(F.explode(told).alias("s")).select("s.*")
+
+
+#: Rows that a sheet can hold, the header included.
+SHEET_ROWS = 1_048_576
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """A workbook of small tables (a report is read by people); rows come one partition at a time."""
+    """A workbook of tables that people read; rows come one partition at a time, and a table that a sheet can't hold raises ValueError."""
 
     def letters(n: int) -> str:
         out = ""
@@ -108,5 +217,7 @@ def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
                 f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
                 f.write(("<row r=\"1\">" + "".join(cell(1, c, n) for c, n in enumerate(df.columns, 1)) + "</row>").encode())
                 for r, row in enumerate(df.toLocalIterator(), 2):
+                    if r > SHEET_ROWS:
+                        raise ValueError(f"sheet {i} has over {SHEET_ROWS} rows")
                     f.write((f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row, 1)) + "</row>").encode())
                 f.write(b"</sheetData></worksheet>")

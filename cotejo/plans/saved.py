@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a local one is set."""
+    """The application's own folder below spark.checkpoint.dir.
+
+    Where that is unset a local session, as in tests, gets a folder of its own; a cluster raises
+    ValueError, since its executors share no local folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="cotejo-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/cotejo-{spark.sparkContext.applicationId}"
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -22,3 +28,10 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what the application saved; results that are read after it fail."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cotejo import config
 from cotejo.functions import catalogue, similarity, text
 from cotejo.operators import cells as cell_ops
-from cotejo.operators import by_id, hierarchy, lines, matching, reconcile, sequence
+from cotejo.operators import by_id, connectors, hierarchy, lines, matching, reconcile, sequence
 from cotejo.plans import duck, report
 from cotejo.plans.saved import saved
 from cotejo.plans.views import sql_view, view
@@ -474,6 +474,60 @@ def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.box_texts(_boxes(spark, sf_dir), texts)
 
 
+PLACES = """SELECT CAST(floor((seq - 1) / 13.0) AS BIGINT) AS page, (seq - 1) % 13 AS box, puesto_original AS title FROM {ref}"""
+DRAWN = """SELECT page, box, title, x0, 100.0 * depth AS y0, x0 + 80 AS x1, 100.0 * depth + 40 AS y1, CASE WHEN box > 0 THEN CAST(floor((box - 1) / 3.0) AS BIGINT) END AS parent
+FROM (SELECT *, CASE WHEN box = 0 THEN 400.0 WHEN box < 4 THEN 300.0 * box - 200 ELSE 100.0 * box - 400 END AS x0, CASE WHEN box = 0 THEN 0 WHEN box < 4 THEN 1 ELSE 2 END AS depth FROM ({places}) places) sized"""
+CHARTED = DRAWN.format(places=PLACES.format(ref=REF))
+
+
+@query(
+    f"""WITH c AS (SELECT * FROM ({CHARTED})),
+    p AS (SELECT page, CASE WHEN page % 7 = 3 THEN 'Hay trazos curvos o diagonales que requieren revisión.' WHEN page % 7 = 5 AND bool_or(box = 2) THEN 'No se reconoce un único árbol completo de puestos.' END AS why FROM c GROUP BY page),
+    o AS (SELECT page, box, title, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN box = 0 THEN [0] WHEN box < 4 THEN [0, box] ELSE [0, (box - 1) // 3, box] END) AS position, parent FROM c)
+    SELECT o.page, o.box, CASE WHEN why IS NULL THEN position END AS position, CASE WHEN why IS NULL THEN coalesce(b.title, '') END AS boss, why IS NULL AS verified, coalesce('Orden no verificable; revisar conexión. ' || why, '') AS error
+    FROM o JOIN p USING (page) LEFT JOIN c b ON b.page = o.page AND b.box = o.parent"""
+)
+def connector_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 13 boxes each, drawn in three rows; some with a diagonal, some with a connector that is missing."""
+    boxes = spark.sql(DRAWN.format(places=PLACES.format(ref="{ref}")), ref=view(spark, sf_dir, "ref"))
+    middle = F.col("x0") + 40
+    children = boxes.where("parent IS NOT NULL").select("page", F.col("parent").alias("box"), F.col("box").alias("child"), middle.alias("cx"))
+    of = boxes.select("page", "box", middle.alias("px"), F.col("y1").alias("bottom")).join(children, ["page", "box"])
+    bus = F.col("bottom") + 30
+    line = lambda seg, a, b, c, d: (seg.cast("long").alias("seg"), a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"), F.lit("line").alias("kind"))
+    down = of.where("NOT (page % 7 = 5 AND child = 2)").select("page", *line(F.col("child") + 100, F.col("cx"), bus, F.col("cx"), F.col("bottom") + 60))
+    rows = of.groupBy("page", "box", "px", "bottom").agg(F.min("cx").alias("low"), F.max("cx").alias("high"))
+    stem = rows.select("page", *line(F.col("box") + 200, F.col("px"), F.col("bottom"), F.col("px"), bus))
+    across = rows.select("page", *line(F.col("box") + 300, F.least("low", "px"), bus, F.greatest("high", "px"), bus))
+    slant = boxes.where("page % 7 = 3 AND box = 0").select("page", *line(F.lit(400), F.lit(600.0), F.lit(10.0), F.lit(650.0), F.lit(60.0)))
+    edge = boxes.select("page", *line(F.col("box") + 500, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y0")))
+    return connectors.order_by_connectors(boxes, down.unionByName(stem).unionByName(across).unionByName(slant).unionByName(edge))
+
+
+RECTS = "SELECT user_id AS page, event_id AS rect_no, CAST(event_id % 5 * 40 + event_id % 3 AS DOUBLE) AS x0, CAST(event_id % 4 * 30 AS DOUBLE) AS y0, CAST(event_id % 5 * 40 + 30 + event_id % 7 * 0.9 AS DOUBLE) AS x1, CAST(event_id % 4 * 30 + 20 AS DOUBLE) AS y1 FROM {events} events"
+NEAR_RECTS = "abs(a.x0 - b.x0) <= 3 AND abs(a.y0 - b.y0) <= 3 AND abs(a.x1 - b.x1) <= 3 AND abs(a.y1 - b.y1) <= 3"
+
+
+@query(
+    f"""WITH RECURSIVE a AS MATERIALIZED (SELECT * FROM ({RECTS.replace('{events} events', 'events')})), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY rect_no) AS i FROM a),
+    t AS (SELECT page, 1 AS i, [rect_no] AS kept FROM o WHERE i = 1
+          UNION ALL SELECT t.page, t.i + 1, CASE WHEN EXISTS (SELECT 1 FROM o b WHERE b.page = a.page AND list_contains(t.kept, b.rect_no) AND {NEAR_RECTS}) THEN t.kept ELSE list_append(t.kept, a.rect_no) END FROM t JOIN o a ON a.page = t.page AND a.i = t.i + 1)
+    SELECT page, unnest(kept) AS rect_no FROM (SELECT page, max_by(kept, i) AS kept FROM t GROUP BY page)"""
+)
+def rect_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connectors.unique_boxes(spark.sql(RECTS, events=spark.read.parquet(f"{sf_dir}/events.parquet"))).select("page", "rect_no")
+
+
+@query(
+    f"""SELECT page, box, row_number() OVER (PARTITION BY page ORDER BY y0, x0, box) AS reading_order FROM (SELECT *, {duck.title('title')} AS n FROM (SELECT doc_id % 40 AS page, doc_id AS box, substr(text, 1, 12) AS title,
+    CAST(doc_id % 7 AS DOUBLE) AS x0, CAST(doc_id % 5 AS DOUBLE) AS y0 FROM documents)) WHERE length(trim(title)) >= 2 AND trim(n) <> '' AND NOT ({' OR '.join(f"regexp_matches(n, {duck.quoted(p)})" for p in config.CHART_NOISE)})"""
+)
+def box_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    boxes = docs.select((F.col("doc_id") % 40).alias("page"), F.col("doc_id").alias("box"), F.substring("text", 1, 12).alias("title"), (F.col("doc_id") % 7).cast("double").alias("x0"), (F.col("doc_id") % 5).cast("double").alias("y0"))
+    return connectors.positions(boxes).select("page", "box", "reading_order")
+
+
 # Spreadsheets and lines
 
 

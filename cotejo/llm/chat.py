@@ -6,13 +6,13 @@ conversation is whole segments.  A node's path is the chain of the hashes of its
 and nodes in the order of paths and depths are depth first.  In that order each node's formatted text
 is emitted once, as tokens, into one stream:
 
-* stream_start is the node's place in the stream, position_start that in its conversation; the
-  position ids of its tokens count up from there, alike for all conversations that share it;
-* ancestors are the stream intervals that the node's tokens attend to besides the node itself, one for
-  each segment above and one for what its own segment has before it;
-* loss_start and loss_end bound the tokens of the text that is trained on.
+* a segment's tokens are the stream interval from segment_start to segment_end; position_start is its place in its
+  conversations, and the position ids of its tokens count up from there, alike for all that share it;
+* ancestors are the stream intervals that a segment's tokens attend to besides what their own has before them,
+  one for each segment above;
+* loss_start and loss_end bound the tokens of a node's text that is trained on.
 
-A conversation is read back from the stream by its last node alone: the intervals tell its tokens, and
+A conversation is read back from the stream by its last segment alone: the intervals tell its tokens, and
 the position ids their order.
 
 The template writes ``<s>role``, a line break, the text and ``</s>`` with a line break.  A backslash
@@ -64,25 +64,26 @@ class Tokens:
     """Ids of texts by a tokenizers file that gives every text back (byte-level, say), or without one the bytes of UTF-8."""
 
     def __init__(self, path: str | None) -> None:
-        self.tokenizer = None
+        self.tokenizer, self.kind = None, np.uint8
         if path is not None:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+            self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.tokenizer is None:
-            return [np.frombuffer(t.encode(), np.uint8).astype(np.uint32) for t in texts]
-        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.frombuffer(t.encode(), np.uint8) for t in texts]
+        got = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if [self.decode(ids) for ids in got] != texts:
             raise ValueError("the tokenizer doesn't give texts back")
         return got
 
     def decode(self, ids: np.ndarray) -> str:
         if self.tokenizer is None:
-            return ids.astype(np.uint8).tobytes().decode()
+            return ids.tobytes().decode()
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
@@ -132,10 +133,10 @@ def last_nodes(of: DataFrame) -> DataFrame:
     return of.groupBy("conv_id").agg(F.max(F.struct("k", "node")).alias("last")).select("conv_id", "last.node")
 
 
-def paths(told: DataFrame, nodes: DataFrame) -> DataFrame:
+def paths(told: DataFrame) -> DataFrame:
     """(node, path) of the nodes of chain(): the hashes of the first nodes of the segments down to the node's."""
     ends = last_nodes(told).select(F.col("node").alias("parent"), F.lit(True).alias("ends")).distinct()
-    children = nodes.groupBy("parent").agg(F.count("*").alias("n"))
+    children = told.select("parent", "node").distinct().groupBy("parent").agg(F.count("*").alias("n"))
     forks = children.join(ends, "parent", "left").where("n > 1 OR ends OR parent = X''").select("parent", F.lit(True).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +156,14 @@ EMITTED = "node binary, path binary, depth long, ids binary, n_tokens long, loss
 SPAN = "array<struct<start:bigint,end:bigint>>"
 
 
-def tree(told: DataFrame, tokenizer: str | None) -> DataFrame:
-    """Nodes of chain(): node, depth, ids (little-endian unsigned 32-bit), n_tokens, loss_start, loss_end, stream_start, segment_start, position_start, ancestors."""
-    nodes = saved(told.groupBy("node").agg(F.min(F.struct("parent", "k", "role", "text")).alias("said")).select("node", "said.parent", F.col("said.k").alias("depth"), "said.role", "said.text"))
-    ordered = nodes.drop("parent").join(paths(told, nodes), "node").repartitionByRange("path", "depth").sortWithinPartitions("path", "depth")
+def tree(told: DataFrame, tokenizer: str | None) -> tuple[DataFrame, DataFrame]:
+    """The stream of chain()'s nodes, and its segments.
+
+    Stream: node, segment, depth, ids (little-endian, n_tokens of equal width), n_tokens, loss_start, loss_end, stream_start.
+    Segments: segment, segment_start, segment_end, position_start, ancestors.
+    """
+    said = told.groupBy("node").agg(F.min(F.struct("k", "role", "text")).alias("said")).select("node", F.col("said.k").alias("depth"), "said.role", "said.text")
+    ordered = said.join(paths(told), "node").repartitionByRange("path", "depth").sortWithinPartitions("path", "depth")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, tokens = TaskContext.get().partitionId(), 0, Tokens(tokenizer)
@@ -187,17 +192,13 @@ def tree(told: DataFrame, tokenizer: str | None) -> DataFrame:
     above = segments.where(F.length("path") > NODE).select("segment", F.explode(F.transform(F.sequence(F.lit(0), (F.length("path") / NODE).cast("int") - 2), lambda i: F.substring("path", 1 + i * NODE, F.lit(NODE)))).alias("ancestor"))
     spans = segments.select(F.col("segment").alias("ancestor"), F.struct(F.col("segment_start").alias("start"), F.col("segment_end").alias("end")).alias("span"))
     spans = salted(above, spans, ["ancestor"], "segment", F.lit(SALTS)).groupBy("segment").agg(F.array_sort(F.collect_list("span")).alias("above"), F.sum(F.col("span.end") - F.col("span.start")).alias("before"))
-    spans = segments.select("segment", "segment_start").join(spans, "segment", "left").withColumn("above", F.coalesce("above", F.array().cast(SPAN))).fillna(0, ["before"])
-    own = F.struct(F.col("segment_start").alias("start"), F.col("stream_start").alias("end"))
-    return salted(placed, spans, ["segment"], "node", F.lit(SALTS)).select(
-        "node", "depth", "ids", "n_tokens", "loss_start", "loss_end", "stream_start", "segment_start",
-        (F.col("before") + F.col("stream_start") - F.col("segment_start")).alias("position_start"),
-        F.when(F.col("stream_start") > F.col("segment_start"), F.concat("above", F.array(own))).otherwise(F.col("above")).alias("ancestors"),
-    )
+    spans = segments.drop("path").join(spans, "segment", "left")
+    spans = spans.select("segment", "segment_start", "segment_end", F.coalesce("before", F.lit(0).cast("long")).alias("position_start"), F.coalesce("above", F.array().cast(SPAN)).alias("ancestors"))
+    return placed.select("node", "segment", "depth", "ids", "n_tokens", "loss_start", "loss_end", "stream_start"), saved(spans)
 
 
-def chat_format(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The tree of turns (conv_id, turn, role, text), and (conv_id, k, node), the node of each conversation's k-th turn.
+def chat_format(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stream and the segments of turns (conv_id, turn, role, text), and (conv_id, k, node), the node of each conversation's k-th turn.
 
     tokenizer is the path, on every executor, of a tokenizers file that gives texts back; without one tokens
     are bytes.  Null roles and texts are empty; equal (conv_id, turn) are ordered by role and text, repeated
@@ -206,14 +207,16 @@ def chat_format(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
     length of conversations.
     """
     told = saved(chain(turns))
-    return saved(tree(told, tokenizer)), told.select("conv_id", "k", "node")
+    return *tree(told, tokenizer), told.select("conv_id", "k", "node")
 
 
+#: Conversations for each copy of a segment that they share, and shared segments that are broadcast at most.
+SHARED, BROADCAST_SEGMENTS = 1000, 100_000
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def read_back(nodes: DataFrame, of: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """What conversations say, read from the stream by their last nodes' intervals: READ, one row per conversation.
+def read_back(stream: DataFrame, segments: DataFrame, of: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """What conversations say, read from the stream by their last segments' intervals: READ, one row per conversation.
 
     Position ids that don't follow each other raise ValueError.
     """
@@ -225,7 +228,7 @@ def read_back(nodes: DataFrame, of: DataFrame, tokenizer: str | None = None) ->
         turns = trained = hashlib.sha256()
         done: list[tuple] = []
         for batch in batches:
-            for conv, at, ids, low, high in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position_start", "ids", "loss_start", "loss_end")), strict=True):
+            for conv, at, ids, low, high in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "position", "ids", "loss_start", "loss_end")), strict=True):
                 if not begun or conv != now:
                     if begun:
                         done.append((now, n, turns.hexdigest(), loss, trained.hexdigest(), chars))
@@ -233,7 +236,7 @@ def read_back(nodes: DataFrame, of: DataFrame, tokenizer: str | None = None) ->
                     turns, trained = hashlib.sha256(), hashlib.sha256()
                 if at != position:
                     raise ValueError(f"position {at} where {position} is next")
-                own = np.frombuffer(ids, np.uint32)
+                own = np.frombuffer(ids, tokens.kind)
                 formatted = tokens.decode(own)
                 role, text = read_turn(formatted)
                 turns.update(f"{role}\n{text}\n".encode())
@@ -245,15 +248,22 @@ def read_back(nodes: DataFrame, of: DataFrame, tokenizer: str | None = None) ->
         if begun:
             yield _read_rows([(now, n, turns.hexdigest(), loss, trained.hexdigest(), chars)])
 
-    ends = nodes.select("node", F.concat("ancestors", F.array(F.struct(F.col("stream_start").alias("start"), (F.col("stream_start") + F.col("n_tokens")).alias("end")))).alias("spans"))
-    asked = salted(last_nodes(of), ends, ["node"], "conv_id", F.lit(SALTS)).select("conv_id", F.explode("spans").alias("span")).select("conv_id", "span.start", "span.end")
-    # an interval begins where a segment does, or at the last node itself
-    stream = nodes.select("stream_start", "position_start", "ids", "n_tokens", "loss_start", "loss_end", "segment_start")
-    starts = stream.select(F.col("segment_start").alias("start"), "stream_start", "position_start", "ids", "loss_start", "loss_end").unionByName(
-        stream.where("stream_start > segment_start").select(F.col("stream_start").alias("start"), "stream_start", "position_start", "ids", "loss_start", "loss_end")
-    )
-    said = salted(asked, starts, ["start"], "conv_id", F.lit(SALTS)).where(F.col("stream_start") < F.col("end"))
-    return said.repartition("conv_id").sortWithinPartitions("conv_id", "position_start").select("conv_id", "position_start", "ids", "loss_start", "loss_end").mapInArrow(digest, READ)
+    own = F.array(F.struct(F.col("segment_start").alias("start"), F.col("segment_end").alias("end")))
+    whole = segments.select("segment", F.concat("ancestors", own).alias("spans"))
+    last = salted(last_nodes(of), stream.select("node", "segment"), ["node"], "conv_id", F.lit(SALTS)).select("conv_id", "segment")
+    asked = salted(last, whole, ["segment"], "conv_id", F.lit(SALTS)).select("conv_id", F.explode("spans").alias("span")).select("conv_id", "span.start", "span.end")
+    # an interval begins where a segment does
+    begun = segments.select(F.col("segment_start").alias("start"), "segment", "position_start")
+    asked = saved(salted(asked, begun, ["start"], "conv_id", F.lit(SALTS)))
+    # segments that many conversations share are copied
+    hot = saved(asked.groupBy("segment").agg(F.ceil(F.count("*") / SHARED).alias("copies")).where("copies > 1"))
+    small = hot.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
+    copied = lambda df: df.join(F.broadcast(hot) if small else hot, "segment", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    texts = copied(stream.drop("node", "depth", "n_tokens")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    asked = copied(asked).withColumn("copy", F.pmod(F.xxhash64("conv_id"), "copies")).drop("copies")
+    said = asked.join(texts, ["segment", "copy"]).where(F.col("stream_start") < F.col("end"))
+    said = said.select("conv_id", (F.col("position_start") + F.col("stream_start") - F.col("start")).alias("position"), "ids", "loss_start", "loss_end")
+    return said.repartition("conv_id").sortWithinPartitions("conv_id", "position").mapInArrow(digest, READ)
 
 
 def _read_rows(rows: list[tuple]) -> pa.RecordBatch:

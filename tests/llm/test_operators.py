@@ -405,8 +405,8 @@ def test_chat(spark, tokenizer):
         tokenizer = public_tokenizers.path(tokenizer)
     said = [(1, 0, "user", "hi"), (1, 1, "assistant", "a</s><s>\\<\\s>"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user\n<s>", None), (3, 0, None, "<\\\\/s>"), (3, 0, None, "<\\\\/s>"), (None, 0, "user", "x"), (4, 5, "assistant", "é"), (4, 2, "assistant", "first"), (5, 0, "user", "hi")]
     frame = spark.createDataFrame([(*r, "x") for r in said], "conv_id long, turn long, role string, text string, node string")
-    nodes, of = chat.chat_format(frame, tokenizer)
-    got = {r.conv_id: r for r in chat.read_back(nodes, of, tokenizer).collect()}
+    stream, segments, of = chat.chat_format(frame, tokenizer)
+    got = {r.conv_id: r for r in chat.read_back(stream, segments, of, tokenizer).collect()}
     assert len(got) == 6
     for conv in (1, 2, 3, 4, 5, None):
         turns = sorted(((t, r or "", x or "") for c, t, r, x in said if c == conv), key=lambda v: v)
@@ -414,25 +414,28 @@ def test_chat(spark, tokenizer):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(trained), hashlib.sha256(trained.encode()).hexdigest())
-    rows = sorted(nodes.collect(), key=lambda r: r.stream_start)
-    assert len(rows) == 9  # the two greetings are one node
+    rows = sorted(stream.collect(), key=lambda r: r.stream_start)
+    assert len(rows) == 9  # the greetings are one node
+    told = {bytes(r.segment): r for r in segments.collect()}
     at = 0
     spans = {}
     for r in rows:
-        assert r.stream_start == at and r.n_tokens * 4 == len(r.ids)
-        assert r.position_start == sum(s.end - s.start for s in r.ancestors)
-        covered = {i for s in r.ancestors for i in range(s.start, s.end)}
+        s = told[bytes(r.segment)]
+        assert r.stream_start == at and len(r.ids) == r.n_tokens * (2 if tokenizer else 1)
+        covered = {i for a in s.ancestors for i in range(a.start, a.end)}
+        assert s.position_start == len(covered)
+        covered |= set(range(s.segment_start, r.stream_start))
         assert covered == {i for b in (spans[n] for n in nodes_of(of, r.node)) for i in range(*b)}
         spans[bytes(r.node)] = (at, at + r.n_tokens)
         at += r.n_tokens
     # a wrong interval or position can't be read back
-    wrong = nodes.withColumn("ancestors", F.transform("ancestors", lambda s: F.struct((s.start + 1).alias("start"), s.end.alias("end"))))
-    with pytest.raises(Exception, match="is next"):
-        chat.read_back(wrong, of, tokenizer).collect()
-    with pytest.raises(Exception, match="is next"):
-        chat.read_back(nodes.withColumn("position_start", F.col("position_start") + 1), of, tokenizer).collect()
-    empty, none = chat.chat_format(frame.limit(0), tokenizer)
-    assert chat.read_back(empty, none, tokenizer).count() == 0
+    for wrong in (
+        segments.withColumn("ancestors", F.transform("ancestors", lambda s: F.struct((s.start + 1).alias("start"), s.end.alias("end")))),
+        segments.withColumn("position_start", F.col("position_start") + 1),
+    ):
+        with pytest.raises(Exception, match="is next"):
+            chat.read_back(stream, wrong, of, tokenizer).collect()
+    assert chat.read_back(*chat.chat_format(frame.limit(0), tokenizer), tokenizer).count() == 0
 
 
 def nodes_of(of, node):
@@ -441,13 +444,14 @@ def nodes_of(of, node):
     return [bytes(r.node) for r in of.where(F.col("conv_id").eqNullSafe(conv)).where(F.col("k") < k).collect()]
 
 
-def test_chat_of_a_long_and_a_common_conversation(spark):
+def test_chat_of_a_long_and_a_common_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SHARED", 20)
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(3000)]
     rows += [(c, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for c in range(2, 300) for i in range(3 + c % 2)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
-    nodes, of = chat.chat_format(frame)
-    assert nodes.count() == 3000 and nodes.selectExpr("max(size(ancestors))").first()[0] <= 3
-    got = {r.conv_id: r for r in chat.read_back(nodes, of).collect()}
+    stream, segments, of = chat.chat_format(frame)
+    assert stream.count() == 3000 and segments.count() == 3
+    got = {r.conv_id: r for r in chat.read_back(stream, segments, of).collect()}
     for conv in (1, 2, 3, 299):
         own = [(r, x) for c, _, r, x in rows if c == conv]
         assert got[conv].n_turns == len(own) and got[conv].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cotejo import config
 from cotejo.functions import catalogue, similarity, text
 from cotejo.operators import cells as cell_ops
-from cotejo.operators import by_id, connectors, hierarchy, lines, matching, reconcile, sequence
-from cotejo.plans import duck, report
+from cotejo.operators import by_id, connectors, hierarchy, lines, matching, proximity, reconcile, sequence
+from cotejo.plans import duck, files, report
 from cotejo.plans.saved import saved
 from cotejo.plans.views import sql_view, view
 
@@ -270,11 +270,29 @@ def homologation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("section", "seq", "key", F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), F.try_element_at("compared", F.lit(n))) for n in ("Excel vs Word", "Excel vs Organigrama", "Word vs Organigrama")]).alias("compared"), "homologation", "similarity")
 
 
+@query()
+def report_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's rows that names or order leave open, of three kinds, whose key holds a text."""
+    return report.filtered(report_rows_by_id(spark, sf_dir), [config.POSSIBLE, config.REVISE, config.EXTRA], open_names=True, open_order=True, search="DE U")
+
+
 @query()
 def per_source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.by_source(_three(spark, sf_dir), _sources(spark, sf_dir))
 
 
+RATED = f"(SELECT r.seq, array_to_string(list_sort(string_split(r.k, ' ')), ' ') AS a, array_to_string(list_sort(string_split(d.k, ' ')), ' ') AS b FROM {KEYED} r JOIN {KEYED} d ON d.fuente = 'chart' AND d.seq + 2 = r.seq WHERE r.fuente = 'ref')"
+
+
+@query(f"SELECT seq, round({duck.ratio('a', 'b')}, 6) AS ratio FROM {RATED}")
+def title_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity of each title of the reference to that of its neighbour in the chart."""
+    rows = keyed(spark, sf_dir)
+    a = rows.where("fuente = 'ref'").select("seq", F.col("k").alias("a"))
+    b = rows.where("fuente = 'chart'").select((F.col("seq") + 2).alias("seq"), F.col("k").alias("b"))
+    return a.join(b, "seq").select("seq", F.round(similarity.title_similarity(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
 PAIR = f"(SELECT r.seq, r.level AS a, d.level AS b FROM {KEYED} r LEFT JOIN {KEYED} d ON d.fuente = 'chart' AND d.seq + 1 = r.seq WHERE r.fuente = 'ref')"
 
 
@@ -504,6 +522,37 @@ def connector_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.order_by_connectors(boxes, down.unionByName(stem).unionByName(across).unionByName(slant).unionByName(edge))
 
 
+def _tree_segments(boxes: DataFrame) -> DataFrame:
+    """Connectors of the drawn trees, whole."""
+    of = boxes.where("parent IS NOT NULL").select("page", "box", (F.col("x0") + 40).alias("cx"), F.col("y0").alias("top"), F.col("parent"))
+    above = boxes.select("page", F.col("box").alias("parent"), (F.col("x0") + 40).alias("px"), F.col("y1").alias("bottom"))
+    of = of.join(above, ["page", "parent"])
+    bus = F.col("bottom") + 30
+    line = lambda seg, a, b, c, d: F.struct(seg.cast("long").alias("seg"), a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"), F.lit("line").alias("kind"))
+    parts = F.array(line(3 * F.col("box"), F.col("px"), F.col("bottom"), F.col("px"), bus), line(3 * F.col("box") + 1, F.col("px"), bus, F.col("cx"), bus), line(3 * F.col("box") + 2, F.col("cx"), bus, F.col("cx"), F.col("top")))
+    return of.select("page", F.explode(parts).alias("s")).select("page", "s.*")
+
+
+@query(
+    f"""WITH c AS (SELECT page, box, title, x0, y0, parent, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN box = 0 THEN [0] WHEN box < 4 THEN [0, box] ELSE [0, (box - 1) // 3, box] END) AS position FROM ({CHARTED}))
+    SELECT 'p' || CAST(c.page AS VARCHAR) AS file, c.title AS puesto_original, CAST(20 + c.box AS VARCHAR) AS nivel_original, CASE WHEN c.page % 4 <> 3 THEN coalesce(b.title, '') END AS jefe_inmediato, c.page % 4 <> 3 AS jerarquia_verificada,
+           CASE WHEN c.page % 4 <> 3 THEN '' ELSE {duck.quoted(proximity.UNORDERED)} END AS error_orden, CASE WHEN c.page % 4 <> 3 THEN c.position END AS posicion_lectura
+    FROM c LEFT JOIN c b ON b.page = c.page AND b.box = c.parent"""
+)
+def chart_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts of one page, read whole: every box is drawn twice and has a title and a level in it; every fourth page has no boxes and is read by nearness."""
+    drawn = spark.sql(DRAWN.format(places=PLACES.format(ref="{ref}")), ref=view(spark, sf_dir, "ref")).withColumn("file", F.concat(F.lit("p"), F.col("page").cast("string")))
+    boxed = drawn.where("page % 4 <> 3")
+    twice = boxed.select("file", F.lit(1).alias("page"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), (F.col("box") * 2).alias("n"), "x0", "y0", "x1", "y1")
+    rects = twice.select("file", "page", (F.col("n") + F.col("k")).alias("rect_no"), (F.col("x0") + F.col("k")).alias("x0"), "y0", (F.col("x1") + F.col("k")).alias("x1"), "y1")
+    told = F.array(F.struct(F.lit(5.0).alias("down"), F.col("title").alias("text")), F.struct(F.lit(20.0).alias("down"), F.concat(F.lit("  "), (F.col("box") + 20).cast("string")).alias("text")))
+    texts = drawn.select("file", F.lit(1).alias("page"), "box", F.posexplode(told).alias("i", "t"), (F.col("x0") + 10).alias("x0"), "y0")
+    page_lines = texts.select("file", "page", (F.col("box") * 2 + F.col("i")).alias("line"), F.trim("t.text").alias("text"), "x0", (F.col("y0") + F.col("t.down")).alias("y0"), (F.col("x0") + 40).alias("x1"), (F.col("y0") + F.col("t.down") + 10).alias("y1"))
+    segments = _tree_segments(boxed).join(boxed.select("page", "file").distinct(), "page").withColumn("page", F.lit(1))
+    pages = drawn.select("file", F.lit(1).alias("page"), F.lit(200.0).alias("height")).distinct()
+    return files.chart_positions(pages, rects, page_lines, segments).select("file", T, "nivel_original", "jefe_inmediato", "jerarquia_verificada", "error_orden", "posicion_lectura")
+
+
 RECTS = "SELECT user_id AS page, event_id AS rect_no, CAST(event_id % 5 * 40 + event_id % 3 AS DOUBLE) AS x0, CAST(event_id % 4 * 30 AS DOUBLE) AS y0, CAST(event_id % 5 * 40 + 30 + event_id % 7 * 0.9 AS DOUBLE) AS x1, CAST(event_id % 4 * 30 + 20 AS DOUBLE) AS y1 FROM {events} events"
 NEAR_RECTS = "abs(a.x0 - b.x0) <= 3 AND abs(a.y0 - b.y0) <= 3 AND abs(a.x1 - b.x1) <= 3 AND abs(a.y1 - b.y1) <= 3"
 
@@ -560,6 +609,19 @@ def merged_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_ops.fill_merged(cells, merged).select("sheet", "row", "value")
 
 
+@query(f"SELECT CAST(seq // 40 AS INTEGER) AS table_idx, CAST(seq % 40 + 2 AS INTEGER) AS row_idx, puesto_original, nivel_original, CAST(seq % 7 AS VARCHAR) AS cantidad FROM {DOC} WHERE (seq // 40) % 3 <> 2 AND seq % 10 <> 9")
+def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of documents, whose columns change places; every third has no title column, every tenth row is a sum."""
+    doc = view(spark, sf_dir, "doc").withColumns({"table_idx": F.floor(F.col("seq") / 40).cast("int"), "row_idx": (F.col("seq") % 40 + 2).cast("int")})
+    title = F.when(F.col("seq") % 10 == 9, "Total de plazas").otherwise(F.concat(F.lit(" "), T, F.lit(" ")))
+    kind = F.col("table_idx") % 3
+    body = F.when(kind == 1, F.array("nivel_original", title, (F.col("seq") % 7).cast("string"))).otherwise(F.array((F.col("seq") % 7).cast("string"), title, "nivel_original"))
+    heads = F.when(kind == 0, F.array(*map(F.lit, ("CANTIDAD", "Denominación del puesto", "NIVEL")))).when(kind == 1, F.array(*map(F.lit, ("Nivel", "Puesto", "No. de plazas")))).otherwise(F.array(*map(F.lit, ("Cantidad", "Área", "Nivel"))))
+    first = doc.select("table_idx").distinct().select(F.lit("f").alias("file"), "table_idx", F.lit(1).alias("row_idx"), heads.alias("cells"))
+    rows = first.unionByName(doc.select(F.lit("f").alias("file"), "table_idx", "row_idx", body.alias("cells")))
+    return cell_ops.table_records(rows).select("table_idx", "row_idx", T, "nivel_original", "cantidad")
+
+
 @query()
 def line_pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents, a page for each document, followed by a level so that some fit."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import text
+from cotejo.plans.saved import saved
 
 
 def _has(value: Column, headers: list[str]) -> Column:
@@ -44,7 +45,7 @@ def columns(cells: DataFrame) -> DataFrame:
     joined = cells.join(found, ["file", "sheet"])
     heading = joined.where(F.col("row") == F.col("header_row")).withColumn("name", text.normalise_title(F.col("value")))
     free = ~F.col("col").isin(F.col("title_col"), F.col("level_col"))
-    boss = heading.where(free & _boss(F.col("name"))).groupBy("file", "sheet").agg(F.min("col").alias("boss"))
+    boss = heading.where(free & (F.col("col") != config.FALLBACK_ID) & _boss(F.col("name"))).groupBy("file", "sheet").agg(F.min("col").alias("boss"))
     ids = joined.where((F.col("col") == config.FALLBACK_ID) & free & (F.col("row") >= F.col("header_row")) & F.col("value").isNotNull())
     named = (F.col("row") == F.col("header_row")) & text.normalise_title(F.col("value")).isin(*config.ID_HEADERS)
     ids = ids.groupBy("file", "sheet").agg(F.bool_or(named | (F.col("row") > F.col("header_row"))).alias("has_id"))
@@ -57,23 +58,29 @@ def columns(cells: DataFrame) -> DataFrame:
 def fill_merged(cells: DataFrame, merged: DataFrame) -> DataFrame:
     """cells with the value of the upper left cell of the merged range that covers them, where they are empty; blanks elsewhere stay.
 
-    merged has file, sheet, min_row, max_row, min_col and max_col; ranges are unfolded to their rows, so
-    the join is on places.
+    merged has file, sheet, min_row, max_row, min_col and max_col; the first columns of ranges are unfolded to their rows, so
+    the join is on places.  Places that have no cell of their own get one.
     """
     places = merged.select("file", "sheet", F.explode(F.sequence("min_row", "max_row")).alias("row"), F.col("min_row").alias("top"), F.col("min_col").alias("col"))
     tops = cells.select("file", "sheet", F.col("row").alias("top"), "col", F.col("value").alias("top_value"))
     filled = places.join(tops, ["file", "sheet", "top", "col"]).select("file", "sheet", "row", "col", "top_value")
-    return cells.join(filled, ["file", "sheet", "row", "col"], "left").select("file", "sheet", "row", "col", F.coalesce(F.when(F.trim("value") != "", F.col("value")), F.col("top_value")).alias("value"))
+    return cells.join(filled, ["file", "sheet", "row", "col"], "full").select("file", "sheet", "row", "col", F.coalesce(F.when(F.trim("value") != "", F.col("value")), F.col("top_value")).alias("value"))
 
 
-def records(cells: DataFrame) -> DataFrame:
-    """Positions of spreadsheets: file, sheet, row, puesto_original, nivel_original, id_text, jefe_text.
+def records(cells: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """Positions of spreadsheets: file, sheet, row, puesto_original, nivel_original, id_text, jefe_text, has_ids, title_col, level_col.
 
-    Rows without a title, repeated headers and summary rows go.
+    Rows without a title, repeated headers and summary rows go.  Of merged ranges those that begin in the
+    column of the superior hold for all their rows; other columns are read as they are.
     """
-    placed = cells.join(columns(cells), ["file", "sheet"]).where(F.col("row") > F.col("header_row"))
+    places = columns(cells)
+    if merged is not None:
+        places = saved(places)
+        bosses = places.select("file", "sheet", F.col("boss_col").alias("min_col"))
+        cells = fill_merged(cells.select("file", "sheet", "row", "col", "value"), merged.join(bosses, ["file", "sheet", "min_col"], "left_semi"))
+    placed = cells.join(places, ["file", "sheet"]).where(F.col("row") > F.col("header_row"))
     pick = lambda c: F.max(F.when(F.col("col") == F.col(c), F.col("value")))
-    rows = placed.groupBy("file", "sheet", "row").agg(pick("title_col").alias("puesto_original"), pick("level_col").alias("nivel_original"), pick("id_col").alias("id_text"), pick("boss_col").alias("jefe_text"))
+    rows = placed.groupBy("file", "sheet", "row").agg(pick("title_col").alias("puesto_original"), pick("level_col").alias("nivel_original"), pick("id_col").alias("id_text"), pick("boss_col").alias("jefe_text"), F.bool_or(F.col("id_col").isNotNull()).alias("has_ids"), F.max("title_col").alias("title_col"), F.max("level_col").alias("level_col"))
     title, level = text.normalise_title(F.col("puesto_original")), text.normalise_title(F.col("nivel_original"))
     repeated = title.isin(*config.TITLE_HEADERS, "nombre del puesto", "denominacion del puesto") & ((level == "") | _has(level, config.LEVEL_HEADERS))
     summed = reduce(lambda a, b: a | b, [title.startswith(p) for p in config.SUMMARY_PREFIXES])

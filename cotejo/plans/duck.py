@@ -71,8 +71,7 @@ def levels(kind: str) -> str:
 def ratio(a: str, b: str) -> str:
     """Normalised Indel similarity, 0 to 100: the rows of the table of longest common subsequences, one for each character of a."""
     codes = f"list_transform(string_split({a}, ''), lambda c: [ord(c)])"
-    other = f"list_transform(string_split({b}, ''), lambda c: ord(c))"
-    step = f"list_transform(range(1, length({b}) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(last[j], CASE WHEN ({other})[j - 1] = code[1] THEN last[j - 1] + 1 ELSE 0 END) END)"
-    best = f"list_transform(range(1, length({b}) + 2), lambda j: list_max(({step})[1:j]))"
+    step = f"list_transform(range(1, length({b}) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(last[j], CASE WHEN ord(substr({b}, j - 1, 1)) = code[1] THEN last[j - 1] + 1 ELSE 0 END) END)"
+    best = f"list_transform([{step}], lambda made: list_transform(range(1, length({b}) + 2), lambda j: list_max(made[1:j])))[1]"
     table = f"list_reduce({codes}, lambda last, code: {best}, list_transform(range(0, length({b}) + 1), lambda j: 0))"
     return f"(200.0 * list_max({table}) / (length({a}) + length({b})))"

@@ -131,6 +131,16 @@ def rows(results: DataFrame, with_word: bool = True) -> DataFrame:
     return results.orderBy("section", "seq").select(*[c.alias(n) for n, c in out.items()])
 
 
+def filtered(rows: DataFrame, kinds: list[str] | None = None, open_names: bool = False, open_order: bool = False, search: str = "") -> DataFrame:
+    """The report's rows of the kinds (None: all), of open name or order questions only, and whose key holds the searched text, in any case."""
+    out = rows if kinds is None else rows.where(F.col("Tipo de inconsistencia").isin(*kinds))
+    if open_names:
+        out = out.where(F.col("Resultado de homologación") != "Coinciden")
+    if open_order:
+        out = out.where(F.col("Resultado de orden") != config.SAME)
+    return out.where(F.contains(F.lower("Puesto (clave normalizada)"), F.lower(F.lit(search)))) if search else out
+
+
 def summary(results: DataFrame, with_word: bool = True) -> DataFrame:
     """(metric, value): the 16 counts of the summary (12 without documents), of results that homologation() went through, in one pass."""
     by_id = "order_state" in results.columns

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CELLS = "file string, sheet string, row int, col int, value string, error string"
+CELLS = "file string, sheet string, sheet_no int, row int, col int, value string, error string"
 MERGED = "file string, sheet string, min_row int, max_row int, min_col int, max_col int"
 DOC_ROWS = "file string, table_idx int, row_idx int, cells array<string>, error string"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -50,13 +50,13 @@ def _texts(element: ElementTree.Element, tag: str) -> str:
     return "".join(t.text or "" for t in element.iter(tag))
 
 
-def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """Sheet, row, column and text of the cells that hold a value; formulas give their stored results."""
+def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, int, str]]:
+    """Sheet, its place in the workbook, row, column and text of the cells that hold a value; formulas give their stored results."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = [_texts(si, f"{_MAIN}t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        for name, sheet in _sheets(z):
+        for no, (name, sheet) in enumerate(_sheets(z)):
             for c in sheet.iter(f"{_MAIN}c"):
                 v, kind = c.find(f"{_MAIN}v"), c.get("t", "n")
                 if kind == "inlineStr":
@@ -65,7 +65,7 @@ def workbook_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                     continue
                 else:
                     value = shared[int(v.text)] if kind == "s" else {"1": "True", "0": "False"}[v.text] if kind == "b" else v.text
-                yield (name, *place(c.get("r")), value)
+                yield (name, no, *place(c.get("r")), value)
 
 
 def workbook_merged(content: bytes) -> Iterator[tuple[str, int, int, int, int]]:
@@ -104,7 +104,7 @@ def _parsed(files: DataFrame, parse, schema: str, names: list[str], blank: tuple
 
 def read_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """CELLS of all workbooks below path, of one sheet if it is named; ValueError if no readable workbook has that sheet."""
-    cells = _parsed(_files(spark, path, "*.xls[xm]"), workbook_cells, CELLS, ["sheet", "row", "col", "value"], (None, None, None, None))
+    cells = _parsed(_files(spark, path, "*.xls[xm]"), workbook_cells, CELLS, ["sheet", "sheet_no", "row", "col", "value"], (None,) * 5)
     if sheet is None:
         return cells
     if cells.where(F.col("sheet") == sheet).isEmpty() and not cells.where("error IS NULL").isEmpty():

@@ -210,13 +210,44 @@ def left_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+def _likeness(left: str, right: str) -> str:
+    """Tables r, c and f of a WITH (and those between): keys of two sources, and all pairs of keys that only one of them has, judged by the rules, that reach a level.
+
+    A pair whose edits are over 24 of 100 characters can't reach 80, even with the bonus; of the others the ratio is taken.
+    """
+    words = lambda x: f"array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda w: w <> '')), ' ')"
+    side = lambda a, b: f"SELECT k, seq, {duck.category('k')} AS kind, trim(substr(k, length(coalesce({duck.prefix('k')}, '')) + 1)) AS name FROM {a} WHERE k NOT IN (SELECT k FROM {b})"
+    mods = lambda x: f"list_filter({MODS}, lambda m: contains(' ' || {x} || ' ', ' ' || m || ' '))"
+    tail = lambda x: f"nullif(regexp_extract({x}, ' ([a-z][0-9]{{0,2}})$', 1), '')"
+    keys = lambda name: f"SELECT k, min(seq) AS seq FROM {KEYED} WHERE fuente = '{name}' AND trim(puesto_original) <> '' GROUP BY k"
+    return f"""r AS MATERIALIZED ({keys(left)}), c AS MATERIALIZED ({keys(right)}),
+    o AS MATERIALIZED (SELECT *, {words('k')} AS wk, {words('name')} AS wn FROM ({side('r', 'c')})), d AS MATERIALIZED (SELECT *, {words('k')} AS wk, {words('name')} AS wn FROM ({side('c', 'r')})),
+    p AS MATERIALIZED (SELECT * FROM (SELECT o.k AS o_key, d.k AS d_key, o.seq AS o_seq, d.seq AS d_seq, CASE WHEN o.kind = d.kind THEN o.kind END AS shared, CASE WHEN o.kind = d.kind THEN o.name ELSE o.k END AS x,
+          CASE WHEN o.kind = d.kind THEN d.name ELSE d.k END AS y, CASE WHEN o.kind = d.kind THEN o.wn ELSE o.wk END AS wx, CASE WHEN o.kind = d.kind THEN d.wn ELSE d.wk END AS wy FROM o, d)
+          WHERE x <> '' AND y <> '' AND x <> y AND levenshtein(wx, wy) <= 0.2401 * (length(wx) + length(wy))),
+    l AS MATERIALIZED (SELECT *, CAST(length(wx) + length(wy) AS DOUBLE) AS n, round({duck.ratio('wx', 'wy')} * (length(wx) + length(wy)) / 200) AS common, {duck.category('x')} AS kx, {duck.category('y')} AS ky, {mods('x')} AS mx, {mods('y')} AS my, {tail('x')} AS tx, {tail('y')} AS ty FROM p),
+    j AS (SELECT *, (1 - (n - 2 * common) / n) * 100 AS base, coalesce(kx <> ky, false) OR mx <> my OR coalesce(tx <> ty, false) AS apart FROM l),
+    s AS (SELECT *, NOT apart AND base >= {config.BONUS_FROM} AND coalesce(kx = ky, false) AS bonus FROM j),
+    t AS (SELECT *, CASE WHEN apart THEN greatest(0, base - {config.PENALTY}) WHEN bonus THEN least(100, base + {config.BONUS}) ELSE base END AS score FROM s),
+    f AS MATERIALIZED (SELECT o_key, d_key, o_seq, d_seq, round_even(score, 1) AS score, CASE WHEN score >= {config.HIGH} THEN 'fuzzy_alta' ELSE 'revision' END AS level,
+          CASE WHEN shared IS NULL THEN '' ELSE 'Mismo tipo de puesto (''' || shared || '''); comparación por nombre específico (''' || x || ''' vs ''' || y || '''). ' END || 'Similitud de texto.'
+          || CASE WHEN bonus THEN ' Ambos son de tipo ''' || kx || ''' (bono de confianza aplicado).' ELSE '' END AS reason FROM t WHERE score >= {config.REVIEW})"""
+
+
+@query(f"WITH {_likeness('ref', 'chart')} SELECT * FROM f")
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, chart = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "chart"))
     return matching.fuzzy_pairs(ref, chart)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_likeness('ref', 'chart')}, q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, o_seq, d_seq) AS i FROM f),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS os, CAST([] AS VARCHAR[]) AS ds, false AS took
+          UNION ALL SELECT q.i, CASE WHEN list_contains(os, o_key) OR list_contains(ds, d_key) THEN os ELSE list_append(os, o_key) END, CASE WHEN list_contains(os, o_key) OR list_contains(ds, d_key) THEN ds ELSE list_append(ds, d_key) END,
+                 NOT (list_contains(os, o_key) OR list_contains(ds, d_key)) FROM g JOIN q ON q.i = g.i + 1)
+    SELECT o_key, d_key, o_seq, d_seq, score, level, reason FROM q JOIN g USING (i) WHERE took
+    UNION ALL SELECT r.k, r.k, r.seq, c.seq, 100.0, 'normalizada', '' FROM r JOIN c ON r.k = c.k"""
+)
 def global_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, chart = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "chart"))
     return matching.match(ref, chart)

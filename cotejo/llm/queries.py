@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotejo.llm import chat, html, licenses, suffix, warc
+from cotejo.llm import audit, chat, html, licenses, suffix, warc, whitening
 from cotejo.llm.decontam import contamination
+from cotejo.llm.exact import exact_copies
 from cotejo.llm.neardup import near_duplicates
 from cotejo.llm.packing import pack
 from cotejo.llm.quality import MEASURES, judge
@@ -211,6 +212,47 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return audit.audit(docs, _table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+e AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+b AS (SELECT d.doc_id, part, CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > first THEN 16 ELSE 0 END AS failed FROM d JOIN e USING (t)),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+f AS (SELECT unnest(range(0, 5)) AS i),
+o AS (SELECT [v.i, w.i, x.i, y.i, z.i] AS o FROM f v, f w, f x, f y, f z WHERE len(list_distinct([v.i, w.i, x.i, y.i, z.i])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', CAST(i AS INTEGER) + 1, 1)), '') AS filter_order, CAST(k AS INTEGER) AS step, CAST(1 << o[k] AS INTEGER) AS own,
+             CAST(coalesce(list_sum(list_transform(o[1:k - 1], lambda i: 1 << i)), 0) AS INTEGER) AS before FROM o, (SELECT unnest(range(1, 6)) AS k)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (WHERE failed & (before | own) = 0) AS kept, sum(n) FILTER (WHERE failed & before = 0 AND failed & own <> 0) AS removed,
+             sum(n) FILTER (WHERE failed & before <> 0 AND failed & own <> 0) AS redundant, sum(n) FILTER (WHERE failed = own) AS unique_fails,
+             sum(good) FILTER (WHERE failed & before = 0 AND failed & own <> 0) AS good_lost, sum(toxic) FILTER (WHERE failed & before = 0 AND failed & own <> 0) AS toxic_lost FROM m, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_copies(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP12_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -222,5 +264,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_license_scan": _op6_sql(), "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_suffix_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_license_scan": _op6_sql(), "op7_chat_format": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_exact_dedup": OP12_SQL}

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import similarity, text
-from cotejo.operators.reconcile import NAMES, errors, results, valid
+from cotejo.operators.reconcile import NAMES, errors, order_of, results, valid
 from cotejo.operators.sequence import with_position
 from cotejo.plans.saved import saved
 
 RECORD = ["seq", "title", "normalised", "level", "level_text", "key", "boss", "boss_key"]
 #: Order states from the one that tells most about a row to the one that tells least.
 ORDER = [config.UNVERIFIABLE, config.AMBIGUOUS, config.NOT_FOUND, config.MOVED, config.OTHER_BOSS]
-COLUMNS = ["section", "seq", "key", "excel", "word", "organigrama", "kind", "detail", "name_level", "method", "confidence", "equivalence", "catalogue_warning", "format_warning"]
+COLUMNS = ["place", "section", "seq", "key", "excel", "word", "organigrama", "kind", "detail", "name_level", "method", "confidence", "equivalence", "catalogue_warning", "format_warning"]
 STATES = ["id_excel", "position_word", "position_organigrama", "order_word", "order_organigrama", "boss_state", "order_state", "order_detail", "homologation", "similarity"]
 
 
@@ -122,7 +122,9 @@ def _homologation(sources: list[str]) -> tuple[Column, Column]:
 
 
 def compare_by_id(excel: DataFrame, word: DataFrame | None, chart: DataFrame) -> DataFrame:
-    """COLUMNS and STATES of each row of the reference (section 1), each record that none used (2: chart, 3: documents) and each error (-2).
+    """COLUMNS and STATES of each row of the reference (section 1), each record that none used (2: chart, 3: documents) and each error (-2), in the order of place.
+
+    Rows of the reference and its errors come first, in the order of their IDs (those without one last), then each source's by record.
 
     All have seq, puesto_original and nivel_original, and may have error and jefe_inmediato; the
     reference has id_excel (long) and may have error_id, the chart may have jerarquia_verificada,
@@ -198,7 +200,7 @@ def compare_by_id(excel: DataFrame, word: DataFrame | None, chart: DataFrame) ->
     homologation, alike = _homologation(used)
     main = saved(
         judged.select(
-            F.lit(1).alias("section"), "seq", F.col("normalised").alias("key"), "excel", "word", "organigrama", kind.alias("kind"), detail.alias("detail"), "name_level", "method", "confidence",
+            order_of(2, 1, F.col("id_excel"), F.col("seq")).alias("place"), F.lit(1).alias("section"), "seq", F.col("normalised").alias("key"), "excel", "word", "organigrama", kind.alias("kind"), detail.alias("detail"), "name_level", "method", "confidence",
             F.concat_ws(" ", *pair_notes).alias("equivalence"), "catalogue_warning", "format_warning", "id_excel", "position_word", "position_organigrama",
             F.coalesce("_word_state", F.lit(config.UNVERIFIABLE)).alias("order_word"), F.coalesce("_organigrama_state", F.lit(config.UNVERIFIABLE)).alias("order_organigrama"),
             boss_state.alias("boss_state"), order_state.alias("order_state"), F.concat_ws(" ", *notes).alias("order_detail"), homologation.alias("homologation"), alike.alias("similarity"),
@@ -210,8 +212,12 @@ def compare_by_id(excel: DataFrame, word: DataFrame | None, chart: DataFrame) ->
         if s in sources:
             parts.append(_unused(records[s], main, s, section, open_ids or not reliable[s], reliable[s], with_word))
     kinds = {c: main.schema[c].dataType for c in (*COLUMNS, *STATES)}
-    for s, df in {"excel": excel, **sources}.items():
-        wrong = errors(df, NAMES[s]).drop("source").withColumns({"section": F.lit(-2), "confidence": F.lit(100.0), "name_level": F.lit(config.NAME_LEVELS[0])})
+    for part, (s, df) in enumerate({"excel": excel, **sources}.items(), 1):
+        wrong = errors(df, NAMES[s]).drop("source")
+        key = F.lit(0)
+        if s == "excel":
+            wrong, key = wrong.join(excel.select("seq", "id_excel"), "seq"), F.col("id_excel")
+        wrong = wrong.withColumn("place", order_of(2, part, key, F.col("seq"))).drop("id_excel").withColumns({"section": F.lit(-2), "confidence": F.lit(100.0), "name_level": F.lit(config.NAME_LEVELS[0])})
         parts.append(wrong.select(*[F.col(c).cast(kinds[c]).alias(c) if c in wrong.columns else F.lit(None).cast(kinds[c]).alias(c) for c in (*COLUMNS, *STATES)]))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -230,7 +236,7 @@ def _unused(records: DataFrame, main: DataFrame, source: str, section: int, unsu
     at = F.col("position") if reliable else F.lit(None).cast("long")
     none = F.lit(None).cast("long")
     return left.select(
-        F.lit(section).alias("section"), "seq", "key", "excel", "word", "organigrama",
+        order_of(2, section, F.lit(0), F.col("seq")).alias("place"), F.lit(section).alias("section"), "seq", "key", "excel", "word", "organigrama",
         (F.lit(config.REVISE) if unsure else F.col("kind")).alias("kind"),
         (F.lit("Aparición sin referencia asignada; no se puede confirmar que sea adicional.") if unsure else F.col("detail")).alias("detail"),
         "name_level", "method", "confidence", F.lit("").alias("equivalence"), "catalogue_warning", "format_warning", none.alias("id_excel"),

@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo import config
-from cotejo.plans.joins import SALTS, salted
-from cotejo.plans.saved import saved
+from cotejo.plans.graphs import tour
 
 def preorder(edges: DataFrame) -> DataFrame:
     """(tree, node, depth, position, boss) of trees given as (tree, node, parent, rank); a root has a null parent.
 
-    A path holds the ranks (longs) down to a node.  Paths double in each step (that of the node that one ends at
-    goes before it), so a tree of any depth takes the logarithm of it; positions are the places among all
-    paths, which are ranked in ranges, less the tree's first.  Nodes that no root reaches (a cycle, a lost parent) have
-    a null depth and position.
+    Nodes that no root reaches (a cycle, a lost parent) have a null depth and position.  A node that is given several times has the
+    place that its least parent (a root's before others) and rank give it.
     """
-    # 16 hexadecimal digits sort as the ranks do
-    step = F.lpad(F.hex(F.col("rank").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    state = saved(edges.select("tree", "node", F.col("parent").alias("up"), step.alias("path")))
-    known, before = state.where("up IS NULL").count(), -1
-    while known > before:
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        longer = salted(state.where("up IS NOT NULL"), above, ["tree", "up"], "node", F.lit(SALTS))
-        state = saved(state.where("up IS NULL").unionByName(longer.select("tree", "node", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"))))
-        known, before = state.where("up IS NULL").count(), known
-    ranged = saved(state.where("up IS NULL").repartitionByRange("tree", "path").select("tree", "node", "path", F.spark_partition_id().alias("range")))
-    counts = ranged.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
-    begins = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("begin"))
-    placed = ranged.withColumn("own", F.row_number().over(Window.partitionBy("range").orderBy("tree", "path"))).join(begins, "range").withColumn("place", F.col("begin") + F.col("own"))
-    placed = saved(placed.select("tree", "node", (F.length("path") / 16 - 1).cast("int").alias("depth"), "place"))
-    firsts = placed.groupBy("tree").agg(F.min("place").alias("first"))
-    ordered = salted(placed, firsts, ["tree"], "node", F.lit(SALTS)).select("tree", "node", "depth", (F.col("place") - F.col("first") + 1).alias("position"))
-    return edges.select("tree", "node", F.col("parent").alias("boss")).join(ordered, ["tree", "node"], "left").select("tree", "node", "depth", "position", "boss")
+    first = edges.groupBy("tree", "node").agg(F.min(F.struct("parent", "rank")).alias("first"))
+    walked = tour(first.select("tree", "node", "first.parent", "first.rank"))
+    return edges.select("tree", "node", F.col("parent").alias("boss")).join(walked, ["tree", "node"], "left").select("tree", "node", "depth", "position", "boss")
 
 
 def tree_problems(edges: DataFrame) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import catalogue, similarity, text
+from cotejo.operators.likeness import similar_pairs
+from cotejo.plans.graphs import components
 from cotejo.plans.saved import saved
 
 
@@ -30,60 +35,80 @@ def exact_pairs(origin: DataFrame, target: DataFrame) -> DataFrame:
     return o.join(d, "key").select(F.col("key").alias("o_key"), F.col("key").alias("d_key"), "o_seq", "d_seq", F.lit(100.0).alias("score"), F.lit("normalizada").alias("level"), F.lit("").alias("reason"))
 
 
-#: Lengths of similar names differ by a factor of 1.64 at most, so by a class of this logarithm at most.
-CLASS = 0.5
-
-
-def _side(source: DataFrame, side: str, name: Column, spread: bool) -> DataFrame:
-    """A source's keys with what a pair must agree in; spread: in its length class and those beside it."""
-    named = source.select(F.col("key").alias(f"{side}_key"), F.col("seq").alias(f"{side}_seq"), catalogue.category(F.col("key")).alias("kind"), name.alias("name"))
-    named = named.withColumn("words", similarity.sorted_words(F.col("name"))).withColumn("size", F.length("words")).where("size > 0")
-    own = F.floor(F.log(F.col("size")) / CLASS).cast("int")
-    classed = named.withColumn("class", F.explode(F.array(own - 1, own, own + 1)) if spread else own)
-    return classed.select(f"{side}_key", f"{side}_seq", "kind", "class", F.col("words").alias(f"{side}_words"), F.col("size").alias(f"{side}_size"), text.modifiers(F.col("name")).alias(f"{side}_mods"), text.suffix(F.col("name")).alias(f"{side}_tail"))
+#: Shares of letters without partner that a match can have: of names that follow one category, and of whole titles.
+NAMES, TITLES = 1 - (config.REVIEW - config.BONUS) / 100, 1 - config.REVIEW / 100
 
 
-def _could_match(slack: float) -> Column:
-    """No conflict, and lengths and edits that a ratio of 1 - slack allows (edits are at most insertions and deletions)."""
-    most = slack * (F.col("o_size") + F.col("d_size"))
-    calm = (F.col("o_mods") == F.col("d_mods")) & F.coalesce(F.col("o_tail") == F.col("d_tail"), F.lit(True))
-    return calm & (F.abs(F.col("o_size") - F.col("d_size")) <= most) & (F.levenshtein("o_words", "d_words") <= most)
+def _strings(side: DataFrame, name: Column, block: Column, slack: float) -> DataFrame:
+    """What similar_pairs needs of a side (id, key, kind): names as sorted words, and hashes of modifiers and suffixes, which must not differ."""
+    tail = F.coalesce(F.xxhash64(text.suffix(name)), F.lit(0).cast("long"))
+    return side.select(block.alias("block"), "id", similarity.sorted_words(name).alias("word"), F.lit(slack).alias("slack"), F.xxhash64(F.array_join(text.modifiers(name), ",")).alias("mods"), F.when(text.suffix(name).isNull(), 0).otherwise(tail).cast("long").alias("tail"))
 
 
 def fuzzy_pairs(origin: DataFrame, target: DataFrame) -> DataFrame:
     """(o_key, d_key, o_seq, d_seq, score, level, reason) of similar keys among those without an equal one.
 
-    A conflict of categories, modifiers or suffixes costs more than a match can spare, so titles of
-    the catalogue are joined on equal categories and length classes of what follows; titles outside it
-    meet all titles of near length.  Nothing that could reach the threshold is left out.
+    A conflict of categories, modifiers or suffixes costs more than a match can spare.  So titles of one category are
+    compared by what follows it, and titles outside the catalogue with all; titles of two categories never match.
     """
-    o = origin.join(target.select("key"), "key", "left_anti")
-    d = target.join(origin.select("key"), "key", "left_anti")
-    whole, rest = F.col("key"), catalogue.specific_name(F.col("key"))
-    o_rest, d_rest = _side(o, "o", rest, False).where("kind IS NOT NULL"), _side(d, "d", rest, True).where("kind IS NOT NULL")
-    o_whole, d_whole = _side(o, "o", whole, False), _side(d, "d", whole, True)
-    ends = ["o_key", "d_key", "o_seq", "d_seq"]
-    alike = o_rest.join(d_rest, ["kind", "class"]).where(_could_match(0.24)).select(*ends)
-    unknown = o_whole.where("kind IS NULL").drop("kind").join(d_whole.drop("kind"), "class").where(_could_match(0.2)).select(*ends)
-    known = o_whole.where("kind IS NOT NULL").drop("kind").join(d_whole.where("kind IS NULL").drop("kind"), "class").where(_could_match(0.2)).select(*ends)
-    scored = similarity.compare(alike.unionByName(unknown).unionByName(known), "o_key", "d_key")
-    return scored.where(F.col("level").isin("fuzzy_alta", "revision")).select(*ends, "score", "level", "reason")
-
-
-def assign(pairs: DataFrame) -> DataFrame:
+    numbered = lambda df: saved(df.select("key", "seq", catalogue.category(F.col("key")).alias("kind"), F.monotonically_increasing_id().alias("id")))
+    o, d = numbered(origin.join(target.select("key"), "key", "left_anti")), numbered(target.join(origin.select("key"), "key", "left_anti"))
+    rest, whole, known = catalogue.specific_name(F.col("key")), F.col("key"), F.col("kind").isNotNull()
+    left = _strings(o.where(known), rest, F.col("kind"), NAMES).unionByName(_strings(o, whole, F.when(known, "known with unknown").otherwise("unknown with all"), TITLES))
+    right = _strings(d.where(known), rest, F.col("kind"), NAMES).unionByName(_strings(d, whole, F.lit("unknown with all"), TITLES)).unionByName(_strings(d.where(~known), whole, F.lit("known with unknown"), TITLES))
+    found = saved(similar_pairs(left, right))
+    pairs = found.join(o.select(F.col("id").alias("o_id"), F.col("key").alias("o_key"), F.col("seq").alias("o_seq")), "o_id").join(d.select(F.col("id").alias("d_id"), F.col("key").alias("d_key"), F.col("seq").alias("d_seq")), "d_id")
+    scored = similarity.compare(pairs, "o_key", "d_key")
+    return scored.where(F.col("level").isin("fuzzy_alta", "revision")).select("o_key", "d_key", "o_seq", "d_seq", "score", "level", "reason")
+
+
+#: Pairs of a component that one task takes in order; larger components go by rounds.
+COMPONENT = 1 << 18
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """assign's choice within each component, whose pairs one task walks in order."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_exact=pdf["level"] != "normalizada", _score=-pdf["score"]).sort_values(["_exact", "_score", "o_seq", "d_seq", "o_key", "d_key"])
+        used: tuple[set, set] = (set(), set())
+        keep = []
+        for o, d in zip(pdf["o_key"], pdf["d_key"], strict=True):
+            keep.append(o not in used[0] and d not in used[1])
+            if keep[-1]:
+                used[0].add(o)
+                used[1].add(d)
+        return pdf[keep].drop(columns=["_exact", "_score", "component"])
+
+    return pairs.groupBy("component").applyInPandas(walk, pairs.drop("component").schema)
+
+
+def _by_rounds(pairs: DataFrame) -> DataFrame:
+    """assign's choice, taking in each round the pairs that are best for both ends."""
+    order = [(F.col("level") == "normalizada").desc(), F.col("score").desc(), F.col("o_seq"), F.col("d_seq"), F.col("o_key"), F.col("d_key")]
+    left, found = pairs, []
+    while not left.isEmpty():
+        ranked = left.withColumn("_o", F.row_number().over(Window.partitionBy("o_key").orderBy(*order))).withColumn("_d", F.row_number().over(Window.partitionBy("d_key").orderBy(*order)))
+        found.append(saved(ranked.where("_o = 1 AND _d = 1").drop("_o", "_d")))
+        left = saved(left.join(found[-1].select("o_key"), "o_key", "left_anti").join(found[-1].select("d_key"), "d_key", "left_anti"))
+    return reduce(lambda a, b: a.unionByName(b), found, pairs.limit(0))
+
+
+def assign(pairs: DataFrame, most: int = COMPONENT) -> DataFrame:
     """A one-to-one choice: pairs in the order of exactness, score, o_seq and d_seq, each if both ends are free.
 
-    Equal to taking, round by round, the pairs that are best for both ends; each round is saved.
+    Pairs of different components of the graph of candidates don't meet, so each component of up to ``most`` pairs is taken in order in
+    one task, however long its chains are; larger ones go by rounds of the pairs that are best for both ends.
     """
-    order = [(F.col("level") == "normalizada").desc(), F.col("score").desc(), F.col("o_seq"), F.col("d_seq")]
-    left = saved(pairs)
-    chosen = left.limit(0)
-    while not left.isEmpty():
-        ranked = left.withColumn("_o", F.row_number().over(Window.partitionBy("o_key").orderBy(*order))).withColumn("_d", F.row_number().over(Window.partitionBy("d_key").orderBy(*order)))
-        took = saved(ranked.where("_o = 1 AND _d = 1").drop("_o", "_d"))
-        chosen = chosen.unionByName(took)
-        left = saved(left.join(took.select("o_key"), "o_key", "left_anti").join(took.select("d_key"), "d_key", "left_anti"))
-    return chosen
+    pairs = saved(pairs)
+    node = lambda side: F.xxhash64(F.lit(side), F.col(f"{side}_key"))
+    labels = components(pairs.select(node("o").alias("a"), node("d").alias("b")))
+    labelled = saved(pairs.withColumn("node", node("o")).join(labels, "node").drop("node"))
+    large = labelled.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component")
+    if large.isEmpty():
+        return _in_order(labelled)
+    large = saved(large)
+    return _in_order(labelled.join(large, "component", "left_anti")).unionByName(_by_rounds(saved(labelled.join(large, "component", "left_semi").drop("component"))))
 
 
 def match(origin: DataFrame, target: DataFrame) -> DataFrame:

@@ -39,13 +39,13 @@ def places(source: DataFrame) -> Column:
 
 
 def duplicates(source: DataFrame, name: str) -> DataFrame:
-    """A row for each record whose normalised title its source repeats: group's size, kind, detail with all places, confidence.
+    """A row for each record whose normalised title its source repeats: group's size, kind, detail with all places, confidence, and the group's first record.
 
     The confidence is the least ratio between two spellings of the title (100 for one); spellings are few
     where records are many, and only they are paired.
     """
     records = valid(source).select("seq", F.col("puesto_original").alias("title"), text.normalise_title(F.col("puesto_original")).alias("normalised"), text.normalise_level(F.col("nivel_original")).alias("level"), places(source).alias("place"))
-    groups = records.groupBy("normalised").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("level") != "", F.col("level"))).alias("levels"))
+    groups = records.groupBy("normalised").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("level") != "", F.col("level"))).alias("levels"), F.min("seq").alias("first"))
     groups = saved(groups.where("n > 1"))
     repeated = records.join(groups.select("normalised"), "normalised", "left_semi")
     told = repeated.groupBy("normalised").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "place"))), lambda p: p["place"]), "; ").alias("places"))
@@ -61,6 +61,7 @@ def duplicates(source: DataFrame, name: str) -> DataFrame:
         F.when(F.col("levels") > 1, config.DUPLICATE_LEVEL).otherwise(config.DUPLICATE).alias("kind"),
         F.concat(F.lit("Puesto duplicado "), F.col("n").cast("string"), F.lit(f" veces dentro de {name}. Ubicaciones: "), "places").alias("detail"),
         F.bround(F.coalesce("ratio", F.lit(100.0)), 1).alias("confidence"),
+        "first",
     )
 
 
@@ -172,22 +173,31 @@ def results(rows: DataFrame, rank: Column, base: Column, reason: Column, with_wo
     return rows.withColumns({"kind": kind, "detail": detail, "name_level": level_name(rank), "method": method_name(rank), "confidence": confidence, "catalogue_warning": warned, "format_warning": shouted})
 
 
-SECTIONED = ["section", "seq", "key", "excel", "word", "organigrama", "kind", "detail", "name_level", "method", "confidence", "canonical", "equivalence", "catalogue_warning", "format_warning"]
+def order_of(block: int, part: Column | int, key: Column, seq: Column) -> Column:
+    """place, by which results are sorted: block, part of it, a key (null last), record."""
+    part = F.lit(part) if isinstance(part, int) else part
+    return F.struct(F.lit(block).alias("block"), part.cast("int").alias("part"), key.isNull().alias("open"), key.cast("long").alias("key"), seq.cast("long").alias("seq"))
+
+
+SECTIONED = ["place", "section", "seq", "key", "excel", "word", "organigrama", "kind", "detail", "name_level", "method", "confidence", "canonical", "equivalence", "catalogue_warning", "format_warning"]
 
 
 def report_sections(sources: dict[str, DataFrame]) -> DataFrame:
-    """All results in the order of section, source and seq: errors (-2), duplicates (-1), then matches (1), rest of documents (2) and of the chart (3).
+    """All results: errors (-2), duplicates (-1), then matches (1), rest of documents (2) and of the chart (3), in the order of place.
 
-    sources has excel and organigrama, and word unless documents take no part.
+    Errors follow by source and record, duplicates by source, group's first record and record, the others by record.  sources has excel and organigrama, and word unless documents take no part.
     """
     with_word = "word" in sources
     matched = classify(three_way(sources["excel"], sources.get("word"), sources["organigrama"]), with_word)
-    out = matched.select(*SECTIONED)
+    zero = F.lit(0)
+    out = matched.withColumn("place", order_of(2, F.col("section"), zero, F.col("seq"))).select(*SECTIONED)
     kind = matched.schema["excel"].dataType
     for name in [s for s in PRESENT if s in sources]:
         source = sources[name]
         record = source.select("seq", F.struct("seq", F.col("puesto_original").alias("title"), text.normalise_title(F.col("puesto_original")).alias("normalised"), text.normalise_level(F.col("nivel_original")).alias("level"), F.col("nivel_original").alias("level_text")).cast(kind).alias(name))
-        for section, found in ((-2, errors(source, NAMES[name]).withColumn("confidence", F.lit(100.0))), (-1, duplicates(source, NAMES[name]))):
+        wrong = errors(source, NAMES[name]).withColumns({"confidence": F.lit(100.0), "place": order_of(0, PRESENT.index(name), zero, F.col("seq"))})
+        repeated = duplicates(source, NAMES[name]).withColumn("place", order_of(1, SOURCES.index(name), F.col("first"), F.col("seq")))
+        for section, found in ((-2, wrong), (-1, repeated)):
             rows = found.join(record, "seq").withColumns({"section": F.lit(section), "name_level": level_name(F.lit(0)), "method": F.lit("—"), "canonical": F.lit(""), "equivalence": F.lit(""), "catalogue_warning": F.lit("")})
             shouted = F.when(text.upper_case_warning(F.col(f"{name}.title")) & (F.col("section") == -1), f"{NAMES[name]}: el puesto debe escribirse completamente en mayúsculas.").otherwise("")
             rows = rows.withColumn("format_warning", shouted)

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import text
 from cotejo.operators import by_id, cells, connectors, hierarchy, lines, proximity, reconcile, sequence
 from cotejo.plans import report
+from cotejo.plans.graphs import global_order
 from cotejo.plans.saved import saved
 from cotejo.sources import office
 
@@ -24,17 +25,10 @@ BAD_ID, REPEATED_ID = "ID de Excel vacío o inválido; se requiere un entero pos
 NO_PDF = "PDF no legible: no hay lector de PDF."
 
 
-def numbered(rows: DataFrame, group: list[str], place: str) -> DataFrame:
-    """rows with seq (long), which grows with the group's columns and, within a group, with place (from 0); only the groups' ends are summed in one task."""
-    ends = rows.groupBy(*group).agg((F.max(place) + 1).alias("_end"))
-    before = ends.select(*group, (F.sum("_end").over(Window.orderBy(*group)) - F.col("_end")).alias("_before"))
-    return rows.join(before, group).withColumn("seq", (F.col("_before") + F.col(place)).cast("long")).drop("_before")
-
-
 def _letters(n: Column) -> Column:
-    """A column's letters, up to ZZ."""
-    last = F.char(F.lit(65) + (n - 1) % 26)
-    return F.when(n <= 26, last).otherwise(F.concat(F.char(F.lit(64) + F.floor((n - 1) / 26)), last))
+    """A column's letters, up to XFD."""
+    letter = lambda below, width: F.char(F.lit(65) + F.floor((n - below) / width) % 26)
+    return F.concat(F.when(n > 702, letter(703, 676)).otherwise(""), F.when(n > 26, letter(27, 26)).otherwise(""), letter(1, 1))
 
 
 def _name(path: Column) -> Column:
@@ -47,9 +41,10 @@ def excel_positions(spark: SparkSession, path: str, sheet: str | None = None) ->
     Sheets follow in their workbook's order.  A superior that is given by an ID is named by that row's title.  An
     unreadable workbook is one row with its error.
     """
-    read = saved(office.read_cells(spark, path, sheet))
-    good = read.where("error IS NULL")
-    found = cells.records(good.drop("error", "sheet_no"), office.read_merged(spark, path)).join(good.select("file", "sheet", "sheet_no").distinct(), ["file", "sheet"])
+    read = office.read_workbooks(spark, path, sheet)
+    good = read.where("kind = 'cell'").select("file", "sheet", "row", "col", "value")
+    merged = read.where("kind = 'merged'").select("file", "sheet", F.col("row").alias("min_row"), F.col("last_row").alias("max_row"), F.col("col").alias("min_col"), F.col("last_col").alias("max_col"))
+    found = cells.records(good, merged).join(read.where("kind = 'sheet'").select("file", "sheet", "sheet_no"), ["file", "sheet"])
     columns = F.concat_ws("/", _letters(F.col("title_col")), _letters(F.col("level_col")))
     rows = found.select(
         "file", "sheet_no", "row", F.trim("puesto_original").alias("puesto_original"), "nivel_original", "id_text", F.trim("jefe_text").alias("jefe"), "has_ids",
@@ -57,7 +52,7 @@ def excel_positions(spark: SparkSession, path: str, sheet: str | None = None) ->
     )
     nothing = F.lit(None).cast("string")
     bad = read.where("error IS NOT NULL").select("file", F.lit(-1).alias("sheet_no"), F.lit(0).alias("row"), F.lit("").alias("puesto_original"), *[nothing.alias(c) for c in ("nivel_original", "id_text", "jefe")], F.lit(False).alias("has_ids"), F.concat(F.lit(BAD_WORKBOOK), "error").alias("error"), _name(F.col("file")).alias("ubicacion"))
-    rows = numbered(rows.unionByName(bad), ["file", "sheet_no"], "row").withColumn("id_excel", F.when(F.col("has_ids"), text.parse_id(F.col("id_text"))))
+    rows = global_order(rows.unionByName(bad), ["file", "sheet_no", "row"], "seq").withColumn("id_excel", F.when(F.col("has_ids"), text.parse_id(F.col("id_text"))))
     rows = saved(rows.withColumn("jefe_id", text.parse_id(F.col("jefe"))))
     same = rows.where("id_excel IS NOT NULL").groupBy("id_excel").agg(F.count("*").alias("n"))
     bosses = sequence.resolve_boss(rows).select("seq", "boss")
@@ -76,12 +71,12 @@ def word_positions(spark: SparkSession, path: str) -> DataFrame:
         return spark.sql("SELECT 0L AS seq, '' AS puesto_original, CAST(NULL AS STRING) AS nivel_original, CAST(NULL AS STRING) AS cantidad, :error AS error, :file AS ubicacion", args={"error": NO_PDF, "file": os.path.basename(path)})
     if kind not in ("", ".docx"):
         raise ValueError(f"Extensión no soportada para el extractor de Word: {kind}")
-    read = saved(office.read_doc_rows(spark, path))
+    read = office.read_doc_rows(spark, path)
     place = F.concat(_name(F.col("file")), F.lit(" | Tabla: "), (F.col("table_idx") + 1).cast("string"), F.lit(" | Fila: "), F.col("row_idx").cast("string"))
     good = cells.table_records(read.where("error IS NULL").drop("error")).withColumns({"error": F.lit(None).cast("string"), "ubicacion": place})
     nothing = F.lit(None).cast("string")
     bad = read.where("error IS NOT NULL").select("file", F.lit(-1).alias("table_idx"), F.lit(0).alias("row_idx"), F.lit("").alias("puesto_original"), nothing.alias("nivel_original"), nothing.alias("cantidad"), F.concat(F.lit(BAD_DOCUMENT), "error").alias("error"), _name(F.col("file")).alias("ubicacion"))
-    rows = numbered(good.unionByName(bad), ["file", "table_idx"], "row_idx")
+    rows = global_order(good.unionByName(bad), ["file", "table_idx", "row_idx"], "seq")
     return rows.select("seq", "puesto_original", "nivel_original", "cantidad", "error", "ubicacion")
 
 
@@ -102,7 +97,7 @@ def chart_positions(pages: DataFrame, rects: DataFrame, page_lines: DataFrame, s
     near = proximity.proximity_records(bare, pages).select("file", "page", "x0", "y0", "title", "level", F.lit(None).cast("string").alias("boss"), F.lit(False).alias("verified"), "error", F.lit(None).cast("long").alias("position"), F.col("box").alias("_place"))
     rows = connectors.over_pages(saved(read.unionByName(near)))
     place = F.format_string("%s | Página: %d | x=%.0f,y=%.0f", _name(F.col("file")), "page", "x0", "y0")
-    return numbered(rows, ["file", "page"], "_place").select(
+    return global_order(rows, ["file", "page", "_place"], "seq").select(
         "file", "page", "seq", F.col("title").alias("puesto_original"), F.col("level").alias("nivel_original"), F.col("boss").alias("jefe_inmediato"), F.col("verified").alias("jerarquia_verificada"), F.col("error").alias("error_orden"),
         F.col("position").cast("long").alias("posicion_lectura"), place.alias("ubicacion"),
     )
@@ -124,10 +119,3 @@ def compare(excel: DataFrame, word: DataFrame | None, chart: DataFrame) -> DataF
         return report.homologation(by_id.compare_by_id(excel, word, chart).drop("homologation", "similarity"), None, with_word)
     sources = {"excel": excel, "organigrama": chart} | ({"word": word} if with_word else {})
     return report.homologation(saved(reconcile.report_sections(sources)), sources, with_word)
-
-
-def write_report(results: DataFrame, path: str, with_word: bool = True) -> None:
-    """The workbook of the results' details and their summary."""
-    results = saved(results)
-    counts = report.summary(results, with_word).orderBy("place").select(F.col("metric").alias("Métrica"), F.col("value").alias("Valor"))
-    report.write_workbook({"Detalle": report.rows(results, with_word), "Resumen": counts}, path)

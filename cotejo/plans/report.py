@@ -1,9 +1,9 @@
-"""Rows of the report and of its summary, and a workbook of them."""
+"""Rows of the report and of its summary, and workbooks of them."""
 
 from __future__ import annotations
 
-import zipfile
-from xml.sax.saxutils import escape
+import io
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from cotejo import config
 from cotejo.functions import catalogue, similarity, text
 from cotejo.operators.reconcile import NAMES, SOURCES, is_valid, valid
+from cotejo.plans.graphs import global_order
+from cotejo.plans.saved import saved
+from cotejo.sources import workbook
 
 PAIRS = [("excel", "word"), ("excel", "organigrama"), ("word", "organigrama")]
 
@@ -79,11 +82,11 @@ def name_differences(used: list[str], by_id: bool) -> Column:
     return F.when(said != "", said).otherwise(agreed)
 
 
-def rows(results: DataFrame, with_word: bool = True) -> DataFrame:
+def rows(results: DataFrame, with_word: bool = True, numbered: str | None = None) -> DataFrame:
     """The report's 41 columns (33 without documents) of results that homologation() went through, in their order.
 
     A dash stands for what is absent, N/D for an absent level.  Results of a comparison by ID have its
-    columns; others say that there is no ID.
+    columns; others say that there is no ID.  numbered: a column of results that stands before them.
     """
     used = [s for s in SOURCES if with_word or s != "word"]
     by_id = "order_state" in results.columns
@@ -128,7 +131,13 @@ def rows(results: DataFrame, with_word: bool = True) -> DataFrame:
         "Resultado de orden": of("order_state", no),
         "Detalle de orden": of("order_detail", "Sin ID de referencia en Excel; solo se comparan nombres y niveles."),
     }
-    return results.orderBy("section", "seq").select(*[c.alias(n) for n, c in out.items()])
+    return results.orderBy("place").select(*([F.col(numbered)] if numbered else []), *[c.alias(n) for n, c in out.items()])
+
+
+def placed_rows(results: DataFrame, with_word: bool = True) -> DataFrame:
+    """rows behind Lugar (long), each row's place in the report from 1."""
+    ordered = global_order(results, ["place"], "Lugar").withColumn("Lugar", F.col("Lugar") + 1)
+    return rows(ordered, with_word, "Lugar")
 
 
 def filtered(rows: DataFrame, kinds: list[str] | None = None, open_names: bool = False, open_order: bool = False, search: str = "") -> DataFrame:
@@ -190,44 +199,73 @@ def by_source(results: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     return one.select(F.explode(told).alias("s")).select("s.*")
 
 
-#: Rows that a sheet can hold, the header included.
-SHEET_ROWS = 1_048_576
-
-
-def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """A workbook of tables that people read; rows come one partition at a time, and a table that a sheet can't hold raises ValueError."""
-
-    def letters(n: int) -> str:
-        out = ""
-        while n:
-            n, r = divmod(n - 1, 26)
-            out = chr(65 + r) + out
-        return out
-
-    def cell(row: int, column: int, value: object) -> str:
-        if value is None:
-            return ""
-        ref = f"{letters(column)}{row}"
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return f'<c r="{ref}"><v>{value}</v></c>'
-        return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
-
-    main, links = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{links}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        named = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets>{named}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{links}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
-        for i, df in enumerate(sheets.values(), 1):
-            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
-                f.write(f'<worksheet xmlns="{main}"><sheetData>'.encode())
-                f.write(("<row r=\"1\">" + "".join(cell(1, c, n) for c, n in enumerate(df.columns, 1)) + "</row>").encode())
-                for r, row in enumerate(df.toLocalIterator(), 2):
-                    if r > SHEET_ROWS:
-                        raise ValueError(f"sheet {i} has over {SHEET_ROWS} rows")
-                    f.write((f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row, 1)) + "</row>").encode())
-                f.write(b"</sheetData></worksheet>")
+# Fills of the report's rows by the type of result; others are white.
+COLOURS = {
+    config.OK: "C6EFCE",
+    config.NORMALISED: "D9E1F2",
+    config.EQUIVALENT: "B4C7E7",
+    config.POSSIBLE: "FFEB9C",
+    config.REVISE: "FFEB9C",
+    config.LEVEL_DIFFERS: "FFC7CE",
+    config.LEVEL_MISSING: "FFD966",
+    config.MISSING: "FFC7CE",
+    config.EXTRA: "F4B183",
+    config.DUPLICATE: "E2C6F0",
+    config.DUPLICATE_LEVEL: "C586DB",
+    config.ERROR: "808080",
+}
+# Lines of the summary sheet.
+TITLE, MODE = "Resumen general del análisis", "Modo de análisis: "
+MODES = {True: "Excel + Word + Organigrama (completo)", False: "Excel vs Organigrama (Word no participó)"}
+WALK = "Revisión por ID y ramas: 2026-10-12. Recorrido superior → rama izquierda completa → siguiente rama."
+HEADS = ["Métrica", "Valor"], ["Tipo de inconsistencia", "Cantidad"], ["Fuente", "Extraídos", "Válidos", "Coincidencias", "Posibles coincidencias", "Faltantes"]
+BY_SOURCE = "Desglose por fuente"
+
+
+def summary_lines(results: DataFrame, sources: dict[str, DataFrame], with_word: bool = True) -> list[tuple[str, list]]:
+    """(style, values) of the summary sheet's lines: counts, types of results and sources, about forty in all."""
+    order = [s for s in SOURCES if s in sources]
+    by = {r["source"]: list(r) for r in by_source(results, sources).collect()}
+    kinds = results.groupBy("kind").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy(F.col("n").desc(), "first").collect()
+    return [
+        ("title", [TITLE]),
+        ("", [MODE + MODES[with_word]]),
+        ("", [WALK]),
+        ("bold", HEADS[0]),
+        *(("", [r["metric"], r["value"]]) for r in summary(results, with_word).orderBy("place").collect()),
+        ("", []),
+        ("bold", HEADS[1]),
+        *(("", [r["kind"], r["n"]]) for r in kinds),
+        ("", []),
+        ("section", [BY_SOURCE]),
+        ("bold", HEADS[2]),
+        *(("", by[NAMES[s]]) for s in order),
+    ]
+
+
+def write(results: DataFrame, sources: dict[str, DataFrame], path: str, with_word: bool = True, file_rows: int = workbook.SHEET_ROWS - 1) -> None:
+    """The report as a workbook at path: a sheet of details, with the types' colours, and one of the summary.
+
+    More rows than a sheet holds (or file_rows) give a folder of that name with several workbooks, in order.
+    """
+    results = saved(results)
+    lines = summary_lines(results, sources, with_word)
+    colour = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair]), F.col("Tipo de inconsistencia")), F.lit("FFFFFF"))
+    told = placed_rows(results, with_word).withColumn("_colour", colour)
+    n_files = max(1, -(-results.count() // file_rows))
+    dealt = told.repartitionById(n_files, F.floor((F.col("Lugar") - 1) / file_rows).cast("int")).sortWithinPartitions("Lugar").drop("Lugar")
+    workbook.register(results.sparkSession)
+    dealt.write.format("workbook").mode("overwrite").options(sheet="Detalle", colour="_colour", summary=json.dumps(lines)).save(path)
+
+
+def as_bytes(results: DataFrame, sources: dict[str, DataFrame], with_word: bool = True) -> bytes:
+    """The report of up to a sheet's rows, without a file that others see."""
+    results = saved(results)
+    if results.count() >= workbook.SHEET_ROWS:
+        raise workbook.TooManyRows("the report doesn't fit a sheet")
+    told = placed_rows(results, with_word)
+    made = io.BytesIO()
+    at = told.columns.index("Tipo de inconsistencia")
+    rows_of = ((COLOURS.get(r[at], "FFFFFF"), tuple(r)[1:]) for r in told.orderBy("Lugar").toLocalIterator())
+    workbook.write_file(made, told.columns[1:], rows_of, "Detalle", summary_lines(results, sources, with_word))
+    return made.getvalue()

@@ -1,5 +1,6 @@
 """Files through to results and a report; charts by boxes and by nearness."""
 
+import pathlib
 import zipfile
 
 import numpy as np
@@ -9,6 +10,7 @@ from cotejo import __main__ as command
 from cotejo import config
 from cotejo.operators import proximity
 from cotejo.plans import files, report
+from cotejo.plans.saved import shared_folder
 from cotejo.sources import office
 from tests.test_office import W, workbook
 
@@ -48,9 +50,9 @@ def test_command_by_id(spark, tmp_path, capsys):
     document(tmp_path / "d.docx", DOC)
     chart(spark, tmp_path / "chart")
     out = tmp_path / "out.xlsx"
-    assert command.main(["--excel", str(tmp_path / "r.xlsx"), "--word", str(tmp_path / "d.docx"), "--organigrama", str(tmp_path / "chart"), "--salida", str(out)]) == 0
+    assert command.main(["--excel", str(tmp_path / "r.xlsx"), "--word", str(tmp_path / "d.docx"), "--organigrama", str(tmp_path / "chart"), "--salida", str(out), "--bitacora", str(tmp_path / "log.txt")]) == 0
     assert "3 results" in capsys.readouterr().out
-    cells = list(office.workbook_cells(out.read_bytes()))
+    cells = [(r.sheet, r.sheet_no, r.row, r.col, r.value) for r in office.read_workbooks(spark, str(out)).where("kind = 'cell'").collect()]
     heads = {col: v for name, _, row, col, v in cells if name == "Detalle" and row == 1}
     found = {}
     for name, _, row, col, v in cells:
@@ -58,7 +60,15 @@ def test_command_by_id(spark, tmp_path, capsys):
             found.setdefault(row, {})[heads[col]] = v
     assert len(heads) == 41 and len(found) == 3
     assert {r["Resultado de orden"] for r in found.values()} == {config.SAME}
-    assert sum(1 for name, _, row, _, _ in cells if name == "Resumen") == 2 * 17
+    lines = {}
+    for name, _, row, col, v in cells:
+        if name == "Resumen":
+            lines.setdefault(row, []).append((col, v))
+    lines = {row: [v for _, v in sorted(vs)] for row, vs in lines.items()}
+    assert lines[1] == [report.TITLE] and lines[4] == report.HEADS[0] and lines[5] == ["Total de puestos esperados (Excel)", "3"]
+    assert lines[22] == report.HEADS[1] and lines[23] == [config.OK, "3"] and lines[25] == [report.BY_SOURCE] and lines[26] == report.HEADS[2]
+    assert [lines[i] for i in (27, 28, 29)] == [[s, "3", "3", "3", "0", "0"] for s in ("Excel", "Word", "Organigrama")]
+    assert "3 registro(s)" in (tmp_path / "log.txt").read_text() and not list(pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("run-*"))
 
 
 def test_positions_of_files(spark, tmp_path):

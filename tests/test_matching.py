@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cotejo import config
@@ -35,7 +36,7 @@ def test_similar_names_and_assignment(spark, monkeypatch):
     o, d = (matching.representatives(spark.createDataFrame(titles(s), W)) for s in (1, 2))
     mine, theirs = ({r.key: r.seq for r in x.collect()} for x in (o, d))
     assert "" in mine
-    monkeypatch.setattr(similarity, "ratio", table_ratio)
+    monkeypatch.setattr(similarity, "ratios", lambda xs, ys: np.array([table_ratio(x, y) for x, y in zip(xs, ys, strict=True)]))
     expected = {}
     for a in mine.keys() - theirs.keys():
         for b in theirs.keys() - mine.keys():
@@ -111,3 +112,99 @@ def test_boss_headers(spark):
     cells = spark.createDataFrame([("f", "s", 2, c, v) for c, v in heads], "file string, sheet string, row int, col int, value string")
     r = columns(cells).first()
     assert (r.title_col, r.level_col, r.boss_col) == (10, 11, 12) and len(config.BOSS_HEADERS) == 8
+
+
+def test_common_lengths():
+    rng = random.Random(8)
+    words = ["", "a", "\0", "\0a", "ñandú", "x" * 64, "x" * 65, "".join(rng.choices("ab", k=200)), "".join(rng.choices("abcdefgh", k=130)), *("".join(rng.choices("abc de", k=rng.randrange(90))) for _ in range(60))]
+    a, b = zip(*[(x, y) for x in words for y in rng.sample(words, 20)], strict=True)
+    got = similarity.ratios(list(a), list(b))
+    assert [round(v, 9) for v in got.tolist()] == [round(table_ratio(x, y), 9) for x, y in zip(a, b, strict=True)]
+
+
+def test_similar_pairs_leave_nothing_out(spark, monkeypatch):
+    """Random strings of few letters, short ones too, in small squares, against all pairs."""
+    from cotejo.operators import likeness
+
+    monkeypatch.setattr(likeness, "MEET", 7)
+    rng = random.Random(1)
+    kind = "block string, id long, word string, slack double, mods long, tail long"
+    make = lambda n: "".join(rng.choices("abcdé ", k=n))
+    stems = [make(rng.randrange(1, 30)) for _ in range(25)]
+
+    def near(stem):
+        s = list(stem)
+        for _ in range(rng.randrange(4)):
+            s[rng.randrange(len(s))] = make(rng.randrange(3))
+        return "".join(s)
+
+    sides = []
+    for _ in range(2):
+        rows = [(b, i, near(rng.choice(stems)) or None, s, rng.randrange(2), rng.randrange(3)) for i, (b, s) in enumerate(rng.choices([("x", 0.24), ("y", 0.2), ("z", 0.3)], k=150))]
+        sides.append(rows)
+    want = {(o[1], d[1]) for o in sides[0] for d in sides[1] if o[0] == d[0] and o[2] and d[2] and table_ratio(o[2], d[2]) >= 100 * (1 - o[3]) - 1e-9 and o[4] == d[4] and (o[5] == d[5] or not o[5] or not d[5])}
+    found = likeness.similar_pairs(*(spark.createDataFrame(s, kind) for s in sides)).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want and len(want) > 80
+    assert likeness.similar_pairs(spark.createDataFrame([], kind), spark.createDataFrame(sides[1], kind)).count() == 0
+
+
+def greedy(pairs):
+    used, out = (set(), set()), set()
+    for o, d, o_seq, d_seq, score, level, _ in sorted(pairs, key=lambda p: (p[5] != "normalizada", -p[4], p[2], p[3])):
+        if o not in used[0] and d not in used[1]:
+            used[0].add(o)
+            used[1].add(d)
+            out.add((o, d))
+    return out
+
+
+def test_assignment_of_a_long_chain(spark, monkeypatch):
+    """10,000 links, each better than the one before it: a chain of as many rounds, taken in a few."""
+    from cotejo.plans import graphs, saved
+
+    made = []
+    write = saved.saved
+    monkeypatch.setattr(matching, "saved", lambda df: (made.append(1), write(df))[1])
+    monkeypatch.setattr(graphs, "saved", lambda df: (made.append(1), write(df))[1])
+    kind = "o_key string, d_key string, o_seq long, d_seq long, score double, level string, reason string"
+    chain = [(f"o{i // 2}", f"d{(i + 1) // 2}", i // 2, (i + 1) // 2, 80 + i / 1000, "revision", "") for i in range(10_000)]
+    rng = random.Random(3)
+    mixed = [(f"p{a}", f"q{b}", a, b, float(rng.randrange(80, 100)), rng.choice(["fuzzy_alta", "revision"]), "") for a in range(40) for b in rng.sample(range(40), 3)]
+    got = {(r.o_key, r.d_key) for r in matching.assign(spark.createDataFrame(chain + mixed, kind)).collect()}
+    assert got == greedy(chain + mixed) and len(made) < 60
+    by_rounds = {(r.o_key, r.d_key) for r in matching.assign(spark.createDataFrame(mixed, kind), most=10).collect()}
+    assert by_rounds == greedy(mixed)
+    assert matching.assign(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_components(spark):
+    from cotejo.plans.graphs import components
+
+    rng = random.Random(2)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(7, 7), (1000, 1000)] + [(i, i + 1) for i in range(2000, 2300)] + [(5000, i) for i in range(5001, 5200)]
+    least = {n: n for ab in links for n in ab}
+    for _ in range(400):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == least
+
+
+def test_tour_of_any_shape(spark):
+    """Random forests, a chain and a star against a walk."""
+    rng = random.Random(6)
+    edges = [("r", i, rng.randrange(i) if i and rng.random() > 0.05 else None, rng.choice([1, 2, None])) for i in range(120)]
+    edges += [("chain", i, i - 1 if i else None, 0) for i in range(700)] + [("star", i, 0 if i else None, -i) for i in range(300)] + [("lost", 1, 9, 0), ("lost", 2, 1, 0), ("round", 1, 2, 0), ("round", 2, 1, 0), ("round", 3, None, 0)]
+    children = {}
+    for tree, node, parent, rank in edges:
+        children.setdefault((tree, parent), []).append((rank is not None, rank or 0, node))
+    want = {(t, n): (None, None) for t, n, _, _ in edges}
+    for tree in {e[0] for e in edges}:
+        stack, place = [(n, 0) for *_, n in sorted(children.get((tree, None), []), reverse=True)], 0
+        while stack:
+            node, depth = stack.pop()
+            place += 1
+            want[tree, node] = (depth, place)
+            stack += [(n, depth + 1) for *_, n in sorted(children.get((tree, node), []), reverse=True)]
+    got = {(r.tree, r.node): (r.depth, r.position) for r in hierarchy.preorder(spark.createDataFrame(edges, "tree string, node int, parent int, rank long")).collect()}
+    assert got == want

@@ -26,14 +26,16 @@ def test_workbook(spark, tmp_path):
     workbook(tmp_path / "a.xlsx", grid, ["L2:L3"])
     (tmp_path / "b.xlsx").write_bytes(b"no zip")
     (tmp_path / "c.txt").write_text("other")
-    found = office.read_cells(spark, str(tmp_path))
+    found = office.read_workbooks(spark, str(tmp_path))
     assert found.where("error IS NOT NULL").count() == 1 and found.where("value = 'True'").count() == 1
-    filled = cells.fill_merged(found.where("error IS NULL"), office.read_merged(spark, str(tmp_path)))
+    assert found.where("kind = 'merged'").select("row", "col", "last_row", "last_col").first() == (2, 12, 3, 12)
+    merged = found.where("kind = 'merged'").selectExpr("file", "sheet", "row AS min_row", "last_row AS max_row", "col AS min_col", "last_col AS max_col")
+    filled = cells.fill_merged(found.where("kind = 'cell'"), merged)
     rows = cells.records(filled).orderBy("row").collect()
     assert [(r.puesto_original, r.nivel_original, r.jefe_text) for r in rows] == [("Enlace", "20", "Titular"), ("Asesor", "43", "Titular")]
-    assert office.read_cells(spark, str(tmp_path), "Hoja").where("error IS NULL").count() == len(grid)
+    assert office.read_workbooks(spark, str(tmp_path), "Hoja").where("kind = 'cell'").count() == len(grid)
     with pytest.raises(ValueError, match="Análisis incompleto"):
-        office.read_cells(spark, str(tmp_path), "Otra")
+        office.read_workbooks(spark, str(tmp_path), "Otra")
     assert office.place("BC12") == (12, 55)
 
 

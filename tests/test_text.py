@@ -48,7 +48,7 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
             row = new
-        assert similarity.common_subsequence(a, b) == row[-1]
+        assert similarity.common_lengths([a], [b])[0] == row[-1]
 
 
 @pytest.mark.parametrize(
@@ -155,6 +155,6 @@ def test_report(spark, tmp_path):
     assert rows["enlace de archivo"]["Organigrama - Nivel"] == "N/D" and rows["otro"]["Excel - Original"] == "—" and rows["otro"]["Resultado"] == "Revisar"
     shares = {r.source: r for r in report.by_source(found, sources).collect()}
     assert (shares["Excel"].extracted, shares["Excel"].valid) == (3, 3) and shares["Organigrama"].missing <= 1
-    report.write_workbook({"Detalle": report.rows(found, with_word=False), "Resumen": reconcile.by_kind(found)}, str(tmp_path / "r.xlsx"))
-    back = office.read_cells(spark, str(tmp_path))
+    report.write(found, sources, str(tmp_path / "r.xlsx"), with_word=False)
+    back = office.read_workbooks(spark, str(tmp_path))
     assert back.where("error IS NOT NULL").count() == 0 and back.where("sheet = 'Detalle' AND value = 'enlace de archivo'").count() >= 1

@@ -108,7 +108,7 @@ def _listed(present: list[str], value: dict[str, Column]) -> Column:
 
 
 def classify(rows: DataFrame, with_word: bool = True) -> DataFrame:
-    """rows of three_way with kind, detail, name_level, method, confidence, canonical, equivalence and the warnings.
+    """rows of three_way with place, kind, detail, name_level, method, confidence, canonical, equivalence and the warnings.
 
     Doubtful and possible name matches come first, then missing and extra titles; differing levels
     override missing ones but not doubt.
@@ -120,7 +120,7 @@ def classify(rows: DataFrame, with_word: bool = True) -> DataFrame:
     note = lambda other: F.when(F.col(other).isNotNull() & base.isNotNull(), text.equivalence_note(base, F.col(f"{other}.normalised")))
     of_word = F.when(F.col("excel").isNotNull(), note("word"))
     out = results(rows, rank, F.coalesce(F.array_min(scores), F.lit(100.0)), reason, with_word)
-    return out.withColumns({"equivalence": F.coalesce(F.when(of_word != "", of_word), note("organigrama"), F.lit("")), "canonical": text.comparison_key(F.col("key"))})
+    return out.withColumns({"equivalence": F.coalesce(F.when(of_word != "", of_word), note("organigrama"), F.lit("")), "canonical": text.comparison_key(F.col("key")), "place": order_of(2, F.col("section"), F.lit(0), F.col("seq"))})
 
 
 def results(rows: DataFrame, rank: Column, base: Column, reason: Column, with_word: bool) -> DataFrame:
@@ -190,7 +190,7 @@ def report_sections(sources: dict[str, DataFrame]) -> DataFrame:
     with_word = "word" in sources
     matched = classify(three_way(sources["excel"], sources.get("word"), sources["organigrama"]), with_word)
     zero = F.lit(0)
-    out = matched.withColumn("place", order_of(2, F.col("section"), zero, F.col("seq"))).select(*SECTIONED)
+    out = matched.select(*SECTIONED)
     kind = matched.schema["excel"].dataType
     for name in [s for s in PRESENT if s in sources]:
         source = sources[name]

@@ -27,8 +27,8 @@ _REQUEST = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.bin
 _ANSWER = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("base", pa.int64())])
 #: Parts of the documents for each shuffle partition, so that partitions are even.
 PER_PARTITION = 2
-#: Bytes of input (as stored) for each bucket, and estimates from which on Spark doesn't know the size.
-BUCKET_BYTES, UNKNOWN = 64 << 20, 1 << 60
+#: Bytes of texts for each bucket.
+BUCKET_BYTES = 128 << 20
 #: Keys already answered travel in rows of so many.
 KNOWN_ROW = 1 << 16
 #: Bytes of a key that are sent: FIND to find candidates, DECIDE and MORE to decide.
@@ -36,10 +36,9 @@ FIND, DECIDE, MORE = 6, 8, 4
 
 
 def bucket_count(df: DataFrame) -> int:
-    """A bucket for each of the session's shuffle partitions, and at least one for each BUCKET_BYTES that df is estimated to have."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    by_size = size // BUCKET_BYTES if size < UNKNOWN else 0
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), by_size)
+    """A bucket for each of the session's shuffle partitions, and at least one for each BUCKET_BYTES of df's texts, which are summed."""
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), size // BUCKET_BYTES)
 
 
 def part_count(n_buckets: int) -> int:

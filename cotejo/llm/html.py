@@ -1,15 +1,17 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element.  A line weighs its text outside links, and
-nothing in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and readers'
-comments.  The weights are summed over sliding windows of lines:
-
-1. The window of the largest sum, in an article or main element where the page has one, is the peak.
-2. A part that only a compound class or id (``has-sidebar``, ``menu-item``) makes doubtful is content if it
-   holds the peak and outside if not.  Where the peak is in an article, lines outside articles are outside.
-3. Stretches go from a surge (a sum above 0) to a dive (a sum of 0).  A stretch is content if it meets the
-   peak's, if it lies in an article when the peak does, or if its largest sum is a share of the peak.
-   All its lines that aren't outside are kept.
+Markup is stripped into lines, one for each block element.  A line weighs its text outside links, times the
+factors of the parts that it is in: menus, footers, forms, adverts, readers' comments and the like have small
+ones, and so has what stands outside an article on a page that has one.  None of them is 0, so a part that only
+looks like an advert counts if it holds much text.
+
+1. The weights are summed over sliding windows of lines, apart for each part that has a factor.
+2. The surge level comes from the page: a share of the sum that half of the page's weight reaches, at most a
+   few lines of prose, and at least a small share of the peak.
+3. A stretch goes from a surge, a sum of that level, as long as sums stay above the dive level, half of it.
+   Its first and last heavy lines are its ends: what is between them is content.
+4. The holder of a heavy line (a division, say) is content as a whole, short lines at its ends too, and so is its article but for parts with
+   factors; in the page's body itself the lines of the stretch are.  Lists of links are none.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ SKIPPED = frozenset("nav header footer aside form head select button textarea if
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 #: Elements that hold others and are closed by name.
 HOLDERS = SKIPPED | frozenset("article main section div html body table ul ol dl figure blockquote details fieldset".split())
-#: Words in class, id or role that mark parts outside the article.
+#: Words in class, id or role that parts outside the article have.
 OUTSIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus notice cookie cookies consent newsletter subscribe share sharing social related popup modal complementary contentinfo search".split()
 )
@@ -42,10 +44,19 @@ COMMENTS = frozenset(("comment", "comments", "disqus"))
 STATES = frozenset("has no with without is not hide hides show shows open opened close closed enabled disabled".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _MARK = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A tag at which a page breaks off.
+_OPEN = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _WORD = re.compile(r"[A-Za-z]+")
+#: Lines of a window.
 WINDOW = 3
-#: A stretch away from the peak is content from this share of the peak's sum on.
-SHARE = 0.125
+#: Factors: of elements that hold no article, of readers' comments, of marked and doubtful parts, of what is outside the article.
+ELEMENT, COMMENT, MARKED, DOUBTFUL, OUTER = 0.02, 0.02, 0.25, 0.6, 0.1
+#: An article is the page's if its largest sum is at least so large a share of what is outside.
+TEASER = 0.125
+#: The surge level is so large a share of the sum that half of the weight reaches, but at most so many characters, and at least so large a share of the peak.
+SURGE, PROSE, PEAK = 0.25, 120, 0.05
+#: What the peak's factors must at least be, so that a page of menus alone has no content.
+LEAST = 0.1
 
 
 def _mark(rest: str) -> str:
@@ -65,19 +76,21 @@ def _mark(rest: str) -> str:
 
 
 class Line(NamedTuple):
-    """A line's text, its weight, whether it is outside, whether in an article, and the doubtful parts that it is in."""
+    """A line's text, its characters outside links, its factor, the article that it is in (0: none), the outermost part with a factor (0: none), its holder and whether that is the page's body."""
 
     text: str
-    weight: int
-    outside: bool
-    inside: bool
-    doubts: frozenset[int]
+    plain: int
+    factor: float
+    article: int
+    part: int
+    holder: int
+    root: bool
 
 
 def lines(html: str) -> list[Line]:
     """The lines of a page in order."""
     out: list[Line] = []
-    stack: list[tuple[str, str, int]] = []  # open holders: name, kind ("", "out", "comments", "maybe", "in") and number
+    stack: list[tuple[str, float, int, bool]] = []  # open holders: name, factor, number, whether an article
     text: list[str] = []
     plain: list[str] = []  # of it, what is outside links
     link, number = False, 0
@@ -95,14 +108,17 @@ def lines(html: str) -> list[Line]:
             text.clear()
             plain.clear()
             if line:
-                kinds = [k for _, k, _ in stack]
-                out.append(Line(line, len(weight), "out" in kinds or "comments" in kinds, "in" in kinds, frozenset(i for _, k, i in stack if k == "maybe")))
+                factor = 1.0
+                for x in stack:
+                    factor *= x[1]
+                named = [x for x in stack if x[0] not in ("", "html", "body")]
+                out.append(Line(line, len(weight), factor, next((x[2] for x in stack if x[3]), 0), next((x[2] for x in stack if x[1] < 1), 0), named[-1][2] if named else 0, not named))
 
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         if not m:
-            say(html[at:])
+            say(_OPEN.sub("", html[at:]))
             break
         say(html[at : m.start()])
         at = m.end()
@@ -131,56 +147,96 @@ def lines(html: str) -> list[Line]:
             continue
         number += 1
         mark = _mark(m["rest"]) if name not in ("html", "body") else ""
+        factor = {"comments": COMMENT, "out": MARKED, "maybe": DOUBTFUL}.get(mark, 1.0)
+        within = any(x[3] for x in stack)
         if name in ("article", "main"):
-            if any(k == "comments" for _, k, _ in stack):
-                stack.append((name, "", number))
+            if any(x[1] == COMMENT and x[0] not in SKIPPED for x in stack):
+                stack.append((name, factor, number, False))
             else:
                 if mark == "comments":  # a reader's, unless the page's text is in it
-                    mark = "maybe"
-                if not any(k == "in" for _, k, _ in stack):  # an article ends what was left open before it
-                    stack = [x for x in stack if x[1] != "out"]
-                if mark == "maybe":
-                    stack.append(("", "maybe", number))
-                stack.append((name, "in", number))
+                    factor = DOUBTFUL
+                if not within:  # an article ends what was left open before it
+                    stack = [x for x in stack if x[1] in (1.0, DOUBTFUL)]
+                stack.append((name, factor, number, True))
         elif name == "body":
-            stack = [x for x in stack if x[0] == "html"] + [(name, "", number)]
+            stack = [x for x in stack if x[0] == "html"] + [(name, 1.0, number, False)]
+        elif name == "header" and within:  # the article's own
+            stack.append((name, factor, number, False))
         else:
-            stack.append((name, "out" if name in SKIPPED and mark != "comments" else mark, number))
+            stack.append((name, min(factor, ELEMENT) if name in SKIPPED else factor, number, False))
     flush()
     return out
 
 
-def main_text(html: str | None, share: float = SHARE) -> str:
+def windows(weights: np.ndarray) -> np.ndarray:
+    """Sums of a line and those before and after it, WINDOW in all."""
+    return np.convolve(weights, np.ones(WINDOW), "same") if len(weights) >= WINDOW else np.full(len(weights), weights.sum())
+
+
+def surge_level(weights: np.ndarray, sums: np.ndarray, prose: float = PROSE) -> float:
+    """The level of the page: see the module."""
+    order = np.argsort(-sums, kind="stable")
+    half = np.searchsorted(np.cumsum(weights[order]), weights.sum() / 2)
+    return max(min(SURGE * sums[order[min(half, len(order) - 1)]], prose), PEAK * sums.max())
+
+
+def stretches(sums: np.ndarray, surge: float) -> list[tuple[int, int]]:
+    """(first, behind the last) of each run of sums of at least the dive level, half of surge, that has a surge."""
+    above = np.concatenate(([False], sums >= surge / 2, [False]))
+    edges = np.flatnonzero(above[1:] != above[:-1])
+    return [(i, j) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if (sums[i:j] >= surge).any()]
+
+
+def main_text(html: str | None, prose: float = PROSE) -> str:
     """The text of the page's content, blocks joined by two line breaks; '' if there is none."""
     page = lines(html or "")
-    weights = np.array([0 if x.outside else x.weight for x in page], np.int64)
-    inside = np.array([x.inside and not x.outside for x in page], bool)
-    if not len(page):
+    if not page:
         return ""
-    if not weights.any():  # links alone
-        weights = np.array([0 if x.outside else len(x.text) for x in page], np.int64)
-
-    def sums(own: np.ndarray) -> np.ndarray:  # of a line and those after it
-        return np.convolve(own, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
-
-    own = np.where(inside, weights, 0)
-    marked = bool(own.any())
-    peak = int(np.argmax(sums(own if marked else weights)))
-    peak = peak + int(np.argmax((own if marked else weights)[peak : peak + WINDOW]))
-    left = np.array([not x.outside and x.doubts <= page[peak].doubts and (i or not marked) for x, i in zip(page, inside, strict=True)], bool)
-    weights = np.where(left, weights, 0)
-    sum_of = sums(weights)
-    if not sum_of[peak]:
+    plain = np.array([x.plain for x in page], float)
+    if not plain.any():  # links alone
+        plain = np.array([len(x.text) for x in page], float)
+    factors = np.array([x.factor for x in page])
+    articles = np.array([x.article for x in page])
+    marks, parts = factors, np.array([x.part for x in page])
+    groups = [np.flatnonzero(parts == p) for p in dict.fromkeys(parts.tolist())]
+
+    def summed(own: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(page))
+        for g in groups:
+            out[g] = windows(own[g])
+        return out
+
+    within = articles > 0
+    if within.any() and (top := summed(plain * marks * within).max()) and top >= TEASER * summed(plain * marks * ~within).max():
+        factors = np.where(within, factors, factors * OUTER)
+    weights = plain * factors
+    sums = summed(weights)
+    peak = int(np.argmax(sums))
+    if not sums[peak] or marks[parts == parts[peak]].max() < LEAST:
         return ""
-    # stretches end where a window weighs nothing
-    stretch = np.cumsum(sum_of == 0)
-    largest = np.zeros(int(stretch[-1]) + 1, np.int64)
-    np.maximum.at(largest, stretch, sum_of)
-    kept = left & (marked | (stretch == stretch[peak]) | (largest[stretch] >= share * sum_of.max()))
-    return "\n\n".join(x.text for x, k in zip(page, kept, strict=True) if k)
-
-
-def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    surge = surge_level(weights, sums, prose)
+    kept = np.zeros(len(page), bool)
+    holders, told = set(), set()
+    for own in groups:
+        for i, j in stretches(sums[own], surge):
+            heavy = own[i:j][weights[own[i:j]] >= surge / (2 * WINDOW)]
+            if len(heavy):
+                kept[own[(own >= heavy[0]) & (own <= heavy[-1])]] = True
+                holders |= {page[k].holder for k in heavy if not page[k].root}
+                told |= {page[k].article for k in heavy} - {0}
+                kept[[k for k in own[i:j] if page[k].root]] = True
+    kept |= np.array([x.holder in holders and not x.root or x.article in told and not x.part for x in page])
+    # a holder most of whose text is links is a list of them, unless it is an article
+    linked: dict[int, list[int]] = {}
+    for x, n in zip(page, plain.tolist(), strict=True):
+        share = linked.setdefault(x.holder, [0, 0])
+        share[0] += n
+        share[1] += len(x.text)
+    listed = np.array([not n and x.holder != x.article and 2 * linked[x.holder][0] < linked[x.holder][1] for x, n in zip(page, plain.tolist(), strict=True)])
+    return "\n\n".join(x.text for x, k in zip(page, kept & ~listed, strict=True) if k)
+
+
+def extract(pages: DataFrame, prose: float = PROSE) -> DataFrame:
     """Every column of pages (it has html), with main_text (string, replaced if there).
 
     A null or empty page, or one without text, has ''.  Tags may be left open, and a page may break
@@ -191,7 +247,7 @@ def extract(pages: DataFrame, share: float = SHARE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(x, share) for x in batch.column("html").to_pylist()], pa.string())
+            texts = pa.array([main_text(x, prose) for x in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), texts], names=[*columns, "main_text"])
 
     return pages.mapInArrow(run, extended(pages.schema, "main_text string"))

@@ -7,11 +7,12 @@ import re
 import zlib
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cotejo.llm import chat, licenses, packing, warc
+from cotejo.llm import chat, exchange, html, licenses, packing, warc
 from cotejo.llm.decontam import contamination
 from cotejo.llm.html import extract, main_text
 from cotejo.llm.neardup import components, near_duplicates
@@ -263,10 +264,30 @@ LONG = "Long text of an article. " * 12
         f'<article class="comment"><p>{LONG}</p><p>End</p></article><article class="comment"><p>Short</p></article>',
         f'<p>{LONG}</p><p>End</p><ul><li><a href="a">Link one</a><li><a href="b">Link two</a><li><a href="c">Link three</a></ul><p>Away</p>',
         f'<article><p>{LONG}</p><p>End</p><section id="comments"><article><p>{LONG * 3}</p></article></section></article>',
+        # no article: menu and footer in plain divisions
+        f"<div>Home</div><div>About us</div><div>Contact</div><div><p>{LONG}</p><p>End</p></div><div>Copyright 2020</div><div>Imprint</div>",
+        # lists of links in the middle end nothing and aren't text
+        f'<div><p>{LONG}</p><ul><li><a href="a">One</a><li><a href="b">Two</a></ul><p>End</p></div>',
+        f'<div><p>{LONG}</p><ul><li><a href="a">One</a><li><a href="b">Two</a><li><a href="c">Three</a><li><a href="d">Four</a></ul><p>End</p></div>',
+        # a class that misleads, and an article that is a teaser
+        f'<main><div class="search"><p>{LONG}</p><p>End</p></div></main>',
+        f'<div class="advert"><p>{LONG}</p><p>End</p></div><div>Other</div>',
+        f'<article><p>More on this.</p></article><div class="content"><p>{LONG}</p><p>End</p></div>',
+        f'<article><p>{LONG}</p><div class="ad">Buy now</div><p>End</p></article><div class="ad">{LONG}</div>',
     ],
 )
 def test_html_parts(page):
-    assert main_text(f"<html><body>{page}</body></html>").replace("\n\nLink one\n\nLink two", "") == f"{LONG.strip()}\n\nEnd"
+    assert main_text(f"<html><body>{page}</body></html>") == f"{LONG.strip()}\n\nEnd"
+
+
+def test_html_windows_decide(monkeypatch):
+    """Surges and dives, the level from the page, and that all inside an article isn't the answer."""
+    assert html.stretches(np.array([0, 9, 4, 5, 0, 5, 5, 0, 8.0]), 8) == [(1, 4), (8, 9)]
+    assert html.surge_level(np.array([10.0, 10, 100]), np.array([20.0, 120, 110])) == 27.5 and html.surge_level(np.array([1e4, 1e3]), np.array([1e4, 1e4])) == 500
+    two = f"<article><p>More on this.</p></article><article><p>{LONG}</p><p>End</p></article><article><p>And this.</p></article>"
+    assert main_text(two) == f"{LONG.strip()}\n\nEnd"
+    monkeypatch.setattr(html, "stretches", lambda sums, surge: [(0, len(sums))])
+    assert main_text(two) != f"{LONG.strip()}\n\nEnd"
 
 
 def test_html(spark):
@@ -275,7 +296,7 @@ def test_html(spark):
     assert main_text(plain).endswith("short") and "Foot" not in main_text(plain)
     assert main_text("<article><p>Short.</p></article>") == "Short." and main_text("<p>" + "a" * 10**6) == "a" * 10**6
     assert main_text("<article><p>A b.</p>" + "<p><a href='x'>only links</a></p>" * 9 + "<p>c</p></article>").count("only links") == 9
-    assert [main_text(x) for x in (None, "", "<p", "<script>x", "<article></article>")] == ["", "", "", "", ""] or main_text("<p") in ("", "<p")
+    assert [main_text(x) for x in (None, "", "<p", "<script>x", "<article></article>", "<nav>Home</nav>")] == [""] * 6
     frame = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old"), (1, PAGE, "old")], "page_id long, html string, main_text string")
     assert sorted(len(r.main_text) for r in extract(frame).collect()) == [0, len(main_text(PAGE)), len(main_text(PAGE))]
 
@@ -491,3 +512,11 @@ def test_sum_of_squares():
     packer.count[:] = 0
     packer.count[[4, 6]] = [1, 2]
     assert packer.level_for(1) == 6  # 1 + 1 + 1 against 4 + 1 (level 5) and 1 + 4 + 1 (new)
+
+
+def test_buckets_follow_the_texts(spark, docs):
+    """A join's estimate multiplies its sides; the number of buckets doesn't."""
+    joined = docs.join(docs.select("doc_id", "source").withColumnRenamed("source", "other"), "doc_id").join(docs.select("doc_id").distinct(), "doc_id", "left")
+    assert exchange.bucket_count(joined) == exchange.bucket_count(docs) == 4 and exchange.bucket_count(docs.limit(0)) == 4
+    got = {r.doc_id: r.kept for r in remove_repeats(joined.drop("kept").where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])).collect()}
+    assert got == {r.doc_id: r.kept for r in remove_repeats(docs.where("doc_id IS NOT NULL")).collect()}

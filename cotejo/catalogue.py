@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from cotejo import config
 from cotejo.functions import catalogue, similarity, text
 from cotejo.operators import cells as cell_ops
-from cotejo.operators import by_id, connectors, hierarchy, lines, matching, proximity, reconcile, sequence
+from cotejo.operators import blocks, by_id, connectors, hierarchy, lines, matching, proximity, reconcile, sequence
 from cotejo.plans import duck, files, report
-from cotejo.plans.saved import saved
+from cotejo.plans.saved import saved, shared_folder
 from cotejo.plans.views import sql_view, view
+from cotejo.sources import workbook
 
 FLAGSHIP = "three_way"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -653,7 +655,28 @@ def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell_ops.table_records(rows).select("table_idx", "row_idx", T, "nivel_original", "cantidad")
 
 
-@query()
+def _line_rules(pages: str) -> str:
+    """Tables of a WITH RECURSIVE: found (file, page, line_no, cantidad, puesto_original, nivel_original) of the lines of pages (file, page, line_no, text), one after another with the line that waits."""
+    counted, plain = duck.quoted(lines.COUNTED.pattern), duck.quoted(lines.PLAIN.pattern)
+    noise = f"(trim(n) = '' OR {NOISE})"
+    return f"""own AS MATERIALIZED (SELECT file, page, line_no, line, row_number() OVER (PARTITION BY file, page ORDER BY line_no) AS i
+      FROM (SELECT *, {duck.title('line')} AS n FROM (SELECT file, page, line_no, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line FROM ({pages}) p)) WHERE NOT {noise}),
+    walk AS (SELECT file, page, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS waiting, CAST(NULL AS INTEGER) AS since, CAST(NULL AS INTEGER) AS line_no, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS pattern FROM own WHERE i = 1
+      UNION ALL SELECT file, page, i, CASE WHEN alone OR joined THEN NULL WHEN starts THEN line ELSE waiting END, CASE WHEN alone OR joined THEN NULL WHEN starts THEN line_no ELSE since END,
+        CASE WHEN joined THEN since ELSE line_no END, CASE WHEN joined THEN waiting || ' ' || line ELSE line END, CASE WHEN alone OR joined THEN 'counted' WHEN starts THEN NULL WHEN regexp_matches(line, {plain}) THEN 'plain' END
+      FROM (SELECT *, NOT alone AND NOT joined AND waiting IS NULL AND regexp_matches(line, '^\\d{{1,3}}\\s+') AS starts
+            FROM (SELECT l.*, w.waiting, w.since, regexp_matches(l.line, {counted}) AS alone, NOT regexp_matches(l.line, {counted}) AND coalesce(regexp_matches(w.waiting || ' ' || l.line, {counted}), false) AS joined
+                  FROM walk w JOIN own l ON l.file = w.file AND l.page = w.page AND l.i = w.i + 1))),
+    found AS (SELECT file, page, line_no, cantidad, puesto_original, nivel_original FROM (SELECT *, {duck.title('puesto_original')} AS n FROM (SELECT file, page, line_no, CASE pattern WHEN 'counted' THEN regexp_extract(src, {counted}, 1) END AS cantidad,
+        regexp_replace(CASE pattern WHEN 'counted' THEN regexp_extract(src, {counted}, 2) ELSE regexp_extract(src, {plain}, 1) END, '^\\s+|\\s+$', '', 'g') AS puesto_original,
+        CASE pattern WHEN 'counted' THEN regexp_extract(src, {counted}, 3) ELSE regexp_extract(src, {plain}, 2) END AS nivel_original FROM walk WHERE pattern IS NOT NULL)) WHERE length(puesto_original) >= {lines.LEAST} AND NOT {noise})"""
+
+
+DOC_LINES = """SELECT file, 1 AS page, CAST(n AS INTEGER) AS line_no, CASE n % 3 WHEN 0 THEN t || ' 25' WHEN 1 THEN '2 ' || t ELSE t || ' 29' END AS text
+FROM (SELECT CAST(doc_id AS VARCHAR) AS file, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents)"""
+
+
+@query(f"WITH RECURSIVE {_line_rules(DOC_LINES)} SELECT * FROM found")
 def line_pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents, a page for each document, followed by a level so that some fit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
@@ -661,6 +684,83 @@ def line_pattern_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.pattern_records(docs.withColumn("text", numbered))
 
 
+PAGED = f"(SELECT *, CAST('f' || CAST(seq // 200 AS VARCHAR) AS VARCHAR) AS file, CAST(seq % 200 // 20 + 1 AS INTEGER) AS page, seq % 7 + 1 AS q FROM {DOC})"
+PAGE_LINES = f"SELECT file, page, CAST(2 * (seq % 20) + k AS INTEGER) AS line_no, CASE WHEN seq % 5 <> 0 THEN CASE k WHEN 1 THEN q || '  ' || puesto_original || ' ' || nivel_original ELSE '' END WHEN k = 1 THEN q || ' ' || puesto_original ELSE nivel_original END AS text FROM {PAGED}, (VALUES (1), (2)) v(k) WHERE page % 4 IN (2, 3) AND page <> 3"
+
+
+@query(
+    f"""WITH RECURSIVE {_line_rules(PAGE_LINES)}
+    SELECT file, page, CAST(number AS INTEGER) AS table_idx, CAST(seq % 20 + 2 AS INTEGER) AS row, puesto_original, nivel_original, CAST(q AS VARCHAR) AS cantidad, CAST(1.0 AS DOUBLE) AS confidence FROM {PAGED} JOIN
+      (SELECT file AS f, page AS p, k, row_number() OVER (PARTITION BY file ORDER BY page, k) AS number FROM (SELECT DISTINCT file, page FROM {PAGED} WHERE page % 4 <> 2 AND page <> 3), (VALUES (0), (1)) v(k) WHERE k = 0 OR page % 4 = 1) t ON t.f = file AND t.p = page AND k = CASE WHEN page % 4 = 1 THEN 1 ELSE 0 END WHERE page % 4 IN (0, 1)
+    UNION ALL SELECT file, page, NULL, line_no, puesto_original, nivel_original, cantidad, 0.9 FROM found"""
+)
+def word_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a converted document: with a table, with two of which one has no titles, with lines alone (some wrapped), with a table of other columns; page 3 is an image."""
+    doc = view(spark, sf_dir, "doc").withColumns({"file": F.concat(F.lit("f"), F.floor(F.col("seq") / 200).cast("string")), "page": (F.floor(F.col("seq") % 200 / 20) + 1).cast("int"), "q": (F.col("seq") % 7 + 1).cast("string")})
+    whole = F.when(F.col("seq") % 5 != 0, F.concat("q", F.lit("  "), T, F.lit(" "), "nivel_original", F.lit("\n"))).otherwise(F.concat("q", F.lit(" "), T, F.lit("\n"), "nivel_original"))
+    place = (F.col("seq") % 20).cast("int")
+    lined = doc.groupBy("file", "page").agg(F.collect_list(F.struct(place.alias("at"), whole.alias("line"))).alias("own"))
+    # rows that the source doesn't have are two empty lines
+    at = lambda i: F.coalesce(F.get(F.filter("own", lambda x: x["at"] == i), F.lit(0))["line"], F.lit("\n"))
+    text = F.when(F.col("page") == 3, " x ").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), at), "\n"))
+    heads = {0: ("Cantidad", "Denominación del puesto", "Nivel"), 1: ("Cantidad", "Área", "Nivel")}
+    own = F.array(F.col("q"), F.concat(F.lit(" "), T, F.lit("  ")), F.col("nivel_original"))
+    rows = doc.where("page % 4 <> 2").select("file", "page", F.when(F.col("page") % 4 == 1, 1).otherwise(0).alias("table_idx"), (place + 2).alias("row_idx"), own.alias("cells"))
+    head = lambda k: F.array(*map(F.lit, heads[k]))
+    pages = doc.where("page % 4 <> 2").select("file", "page").distinct()
+    tops = pages.select("file", "page", F.when(F.col("page") % 4 == 1, 1).otherwise(0).alias("table_idx"), F.lit(1).alias("row_idx"), F.when(F.col("page") % 4 == 3, head(1)).otherwise(head(0)).alias("cells"))
+    more = pages.where("page % 4 = 1").select("file", "page", F.lit(0).alias("table_idx"), F.lit(1).alias("row_idx"), head(1).alias("cells"))
+    return files.page_records(lined.select("file", "page", text.alias("text")), rows.unionByName(tops).unionByName(more))
+
+
+TOKENS = "SELECT doc_id, unnest(t) AS token, unnest(range(0, len(t))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS t FROM documents)"
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents with their places, as a page's."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("page"), F.posexplode(F.split("text", r"\s+")).alias("i", "token"))
+
+
+@query(
+    f"""SELECT CAST(doc_id AS VARCHAR) AS file, 1 AS page, min(i) AS line, string_agg(token, ' ' ORDER BY i) AS text, min(i % 8 * 60 / (CAST(300 AS DOUBLE) / 72)) AS x0, min(i // 8 % 90 * 20 / (CAST(300 AS DOUBLE) / 72)) AS y0,
+    max((i % 8 * 60 + 7 * length(token)) / (CAST(300 AS DOUBLE) / 72)) AS x1, max((i // 8 % 90 * 20 + 15) / (CAST(300 AS DOUBLE) / 72)) AS y1 FROM ({TOKENS}) WHERE token <> '' GROUP BY doc_id, i // 40, i // 20 % 2, i // 8 % 3"""
+)
+def recognised_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents as if they had been recognised on a page."""
+    i, down = F.col("i"), F.floor(F.col("i") / 8)
+    words = _tokens(spark, sf_dir).select("file", "page", i.alias("word"), F.floor(i / 40).alias("block"), (F.floor(i / 20) % 2).alias("par"), (down % 3).alias("line_no"), F.concat(F.lit(" "), "token").alias("text"), (i % 8 * 60).alias("left"), (down % 90 * 20).alias("top"), (7 * F.length("token")).alias("width"), F.lit(15).alias("height"))
+    return blocks.word_lines(words)
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i // 30 AS block, i // 6 AS line_no, regexp_replace(string_agg(CASE WHEN i % 4 = 1 THEN ' ' ELSE token END || CASE WHEN i % 3 = 0 THEN '  ' ELSE '' END, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS t FROM ({TOKENS}) WHERE i // 30 % 5 <> 4 GROUP BY doc_id, i // 30, i // 6)
+    SELECT CAST(doc_id AS VARCHAR) AS file, 1 AS page, block AS line, string_agg(t, chr(10) ORDER BY line_no) AS text, CAST(block % 4 * 100 AS DOUBLE) AS x0, CAST(block // 4 * 50 AS DOUBLE) AS y0, CAST(block % 4 * 100 + 90 AS DOUBLE) AS x1, CAST(block // 4 * 50 + 40 AS DOUBLE) AS y1 FROM l WHERE t <> '' GROUP BY doc_id, block"""
+)
+def text_block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents as spans of a page's text; every fifth block is an image."""
+    i, block = F.col("i"), F.floor(F.col("i") / 30)
+    text = F.concat(F.when(i % 4 == 1, " ").otherwise(F.col("token")), F.when(i % 3 == 0, "  ").otherwise(""))
+    x, y = (block % 4 * 100).cast("double"), (F.floor(block / 4) * 50).cast("double")
+    spans = _tokens(spark, sf_dir).select("file", "page", block.alias("block"), F.when(block % 5 == 4, 1).otherwise(0).alias("kind"), F.floor(i / 6).alias("line_no"), i.alias("span"), text.alias("text"), x.alias("x0"), y.alias("y0"), (x + 90).alias("x1"), (y + 40).alias("y1"))
+    return blocks.text_blocks(spans)
+
+
+@query(
+    f"""SELECT r.puesto_original, r.nivel_original, r.id_excel, b.puesto_original AS jefe_inmediato, 'part-' || lpad(CAST(r.seq % 4 + 1 AS VARCHAR), 5, '0') || '.xlsx | hoja=''Plantilla'' | fila=' || (row_number() OVER (PARTITION BY r.seq % 4 ORDER BY r.seq) + 1) || ' | col=J/K' AS ubicacion
+    FROM {REF} r LEFT JOIN {REF} b ON b.id_excel = r.jefe_id"""
+)
+def workbook_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference written as workbooks and read back as positions, superiors given by their IDs."""
+    ref = view(spark, sf_dir, "ref")
+    blank = [F.lit(None).cast("string").alias(c) for c in "ABCDEFGH"]
+    rows = ref.repartitionById(4, (F.col("seq") % 4).cast("int")).sortWithinPartitions("seq").select(*blank, F.col("id_excel").alias("ID"), F.col(T).alias("Denominación del puesto"), F.col("nivel_original").alias("Nivel"), F.col("jefe_id").alias("Puesto del jefe inmediato"))
+    path = f"{shared_folder(spark)}/workbooks-{uuid.uuid4().hex}"
+    workbook.register(spark)
+    rows.write.format("workbook").mode("overwrite").option("sheet", "Plantilla").save(path)
+    return files.excel_positions(spark, path).select(T, "nivel_original", "id_excel", "jefe_inmediato", "ubicacion")
+
+
 @query(f"SELECT fuente, seq, normalised FROM {KEYED} WHERE contains(lower(puesto_original), lower('DIR. GRAL. de'))")
 def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed(spark, sf_dir).where(F.contains(F.lower(T), F.lower(F.lit("DIR. GRAL. de")))).select("fuente", "seq", "normalised")

@@ -13,29 +13,78 @@ from pyspark.sql import functions as F
 from cotejo import config
 
 
-def _fold_table() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one character and marks, and that character."""
-    source, target = [], []
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            source.append(chr(code))
-            target.append(base)
-    return "".join(source), "".join(target)
-
-
-ACCENTED, PLAIN = _fold_table()
-MARKS = r"[̀-ͯ]"
+HANGUL = range(0xAC00, 0xD7A4)
+
+
+def _decompositions() -> tuple[str, str, dict[str, str], str]:
+    """Compatibility decompositions without combining marks: characters that become one, and these; those that become several; ranges of the marks for a pattern.
+
+    Hangul syllables, which follow a rule, are left out.
+    """
+    source, target, several, marks = [], [], {}, []
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if unicodedata.combining(c):
+            if marks and marks[-1][1] == code - 1:
+                marks[-1][1] = code
+            else:
+                marks.append([code, code])
+        elif code not in HANGUL and not 0xD800 <= code < 0xE000:
+            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if len(base) == 1 and base != c:
+                source.append(c)
+                target.append(base)
+            elif len(base) != 1:
+                several[c] = base
+    return "".join(source), "".join(target), several, "".join(f"{chr(a)}-{chr(b)}" for a, b in marks)
+
+
+ACCENTED, PLAIN, SEVERAL, _MARKS = _decompositions()
+MARKS = f"[{_MARKS}]"
+
+
+def _ranges(codes: list[int], gap: int = 16) -> str:
+    """Ranges for a pattern that hold the codes; those less than gap apart share one."""
+    out: list[list[int]] = []
+    for code in sorted(codes):
+        if out and code - out[-1][1] <= gap:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+def _unusual() -> tuple[str, str]:
+    """Patterns of texts that hold a mark or a character that becomes several: a quick one, which others fit too, and one that few others fit."""
+    codes = [*map(ord, SEVERAL), *(c for c in range(0x300, 0x110000) if unicodedata.combining(chr(c))), *HANGUL]
+    return f"[{_ranges([c for c in codes if c < 0x300])}\u0300-\U0010ffff]", f"[{_ranges(codes)}]"
+
+
+QUICK, UNUSUAL = _unusual()
+# White space beyond ASCII's that has no decomposition, and ASCII's that patterns don't count.
+_SPACES = "\x1c-\x1f\x85\u1680\u2028\u2029"
 QUOTES = "‘’“”´`\"'"
 DASHES = "–—‒‐‑"
-LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "…": "...", "™": "TM", "ĳ": "ij"}
+
+
+def _expanded(text: Column) -> Column:
+    """text with the characters that become several replaced, character by character."""
+    table = F.str_to_map(F.lit("\0".join(f"{c}\1{x}" for c, x in SEVERAL.items())), F.lit("\0"), F.lit("\1"))
+    first, middle, last = ("".join(map(chr, range(*r))) for r in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c) - HANGUL[0]
+        jamo = lambda of, i: F.substr(F.lit(of), i.cast("int") + 1, F.lit(1))
+        syllable = F.concat(jamo(first, F.floor(n / 588)), jamo(middle, F.floor(n % 588 / 28)), F.when(n % 28 > 0, jamo(last, n % 28 - 1)).otherwise(""))
+        return F.when(n.between(0, len(HANGUL) - 1), syllable).otherwise(F.coalesce(F.try_element_at(table, c), c))
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility characters decomposed and marks dropped."""
-    for char, plain in LIGATURES.items():
-        text = F.replace(text, F.lit(char), F.lit(plain))
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), MARKS, "")
+    """Compatibility characters decomposed and combining marks dropped; texts that hold marks or characters that become several take a slower way."""
+    fold = lambda t: F.translate(t, ACCENTED, PLAIN)
+    return F.when(text.rlike(QUICK) & text.rlike(UNUSUAL), F.regexp_replace(fold(_expanded(text)), MARKS, "")).otherwise(fold(text))
 
 
 def normalise_title(text: Column) -> Column:
@@ -43,8 +92,8 @@ def normalise_title(text: Column) -> Column:
     text = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\r\n\t]+", " ")
     text = F.translate(F.translate(text, QUOTES, ""), DASHES, "-" * len(DASHES))
     text = F.regexp_replace(F.lower(strip_accents(text)), r"\s*-\s*", "-")
-    text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s-]", "")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.regexp_replace(F.regexp_replace(text, rf"[\s{_SPACES}]+", " "), r"[^\p{L}\p{N}_ -]", "")
+    return F.trim(F.regexp_replace(text, " +", " "))
 
 
 def normalise_level(text: Column) -> Column:
@@ -72,11 +121,9 @@ def known_abbreviations(normalised: Column) -> Column:
 def normalised(title: str) -> str:
     """normalise_title of one string, for readers that go through lines in order."""
     title = re.sub(r"[\r\n\t]+", " ", title or "")
-    for char, plain in LIGATURES.items():
-        title = title.replace(char, plain)
-    title = re.sub(MARKS, "", title.translate(str.maketrans(ACCENTED, PLAIN)))
     title = title.translate(str.maketrans("", "", QUOTES)).translate(str.maketrans(DASHES, "-" * len(DASHES)))
-    title = re.sub(r"[^\w\s-]", "", re.sub(r"\s*-\s*", "-", title.lower()))
+    title = "".join(c for c in unicodedata.normalize("NFKD", title) if not unicodedata.combining(c)).lower()
+    title = re.sub(r"[^\w\s-]", "", re.sub(r"\s*-\s*", "-", title))
     return re.sub(r"\s+", " ", title).strip()
 
 
@@ -151,6 +198,7 @@ def parse_id(value: Column) -> Column:
     return F.when((number > 0) & (number == F.floor(number)), number.try_cast("bigint"))
 
 
-def location(file: Column, sheet: Column, row: Column, column: Column) -> Column:
-    """The parts that are not null, joined by bars."""
-    return F.concat_ws(" | ", file, F.concat(F.lit("Hoja: "), sheet), F.concat(F.lit("Fila: "), row.cast("string")), F.concat(F.lit("Columna: "), column.cast("string")))
+def location(file: Column, sheet: Column | None = None, row: Column | None = None, column: Column | None = None, page: Column | None = None, table: Column | None = None, table_row: Column | None = None, about: Column | None = None) -> Column:
+    """Where a record is: the parts that are given and aren't null, joined by bars."""
+    named = {"hoja='": sheet, "fila=": row, "col=": column, "pág=": page, "tabla=": table, "fila_tabla=": table_row, "pos≈": about}
+    return F.concat_ws(" | ", file, *[F.concat(F.lit(n), c.cast("string"), F.lit("'" if n.endswith("'") else "")) for n, c in named.items() if c is not None])

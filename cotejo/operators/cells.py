@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import text
+from cotejo.operators.grid import in_intervals
 from cotejo.plans.saved import saved
 
 
@@ -58,12 +59,13 @@ def columns(cells: DataFrame) -> DataFrame:
 def fill_merged(cells: DataFrame, merged: DataFrame) -> DataFrame:
     """cells with the value of the upper left cell of the merged range that covers them, where they are empty; blanks elsewhere stay.
 
-    merged has file, sheet, min_row, max_row, min_col and max_col; the first columns of ranges are unfolded to their rows, so
-    the join is on places.  Places that have no cell of their own get one.
+    merged has file, sheet, min_row, max_row, min_col and max_col.  A range's first column holds for the rows of its sheet that have a
+    cell at all, which get one there; rows and ranges are joined by blocks of rows, so a range over a whole sheet costs a row for each block.
     """
-    places = merged.select("file", "sheet", F.explode(F.sequence("min_row", "max_row")).alias("row"), F.col("min_row").alias("top"), F.col("min_col").alias("col"))
-    tops = cells.select("file", "sheet", F.col("row").alias("top"), "col", F.col("value").alias("top_value"))
-    filled = places.join(tops, ["file", "sheet", "top", "col"]).select("file", "sheet", "row", "col", "top_value")
+    tops = cells.select("file", "sheet", F.col("row").alias("min_row"), F.col("col").alias("min_col"), F.col("value").alias("top_value"))
+    valued = merged.select("file", "sheet", "min_row", "max_row", "min_col").join(tops, ["file", "sheet", "min_row", "min_col"])
+    rows = cells.select("file", "sheet", "row").distinct()
+    filled = in_intervals(rows, valued, ["file", "sheet"], "row", "min_row", "max_row").select("file", "sheet", "row", F.col("min_col").alias("col"), "top_value")
     return cells.join(filled, ["file", "sheet", "row", "col"], "full").select("file", "sheet", "row", "col", F.coalesce(F.when(F.trim("value") != "", F.col("value")), F.col("top_value")).alias("value"))
 
 

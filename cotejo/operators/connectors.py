@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import text
+from cotejo.operators.grid import near_pairs
 from cotejo.operators.hierarchy import preorder
 from cotejo.plans.saved import saved
 
@@ -52,9 +53,7 @@ def unique_boxes(rects: DataFrame) -> DataFrame:
 
     In each round the rectangles with no undecided one before them stay, and those near to them go.
     """
-    other = rects.select("page", F.col("rect_no").alias("before"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
-    near = reduce(lambda a, b: a & b, [F.abs(F.col(c) - F.col(f"o{c}")) <= config.BOX_NEAR for c in ("x0", "y0", "x1", "y1")])
-    pairs = saved(rects.join(other, "page").where((F.col("before") < F.col("rect_no")) & near).select("page", "rect_no", "before"))
+    pairs = saved(near_pairs(rects, "rect_no", config.BOX_NEAR))
     left = saved(rects.select("page", "rect_no"))
     kept = left.limit(0)
     while not left.isEmpty():

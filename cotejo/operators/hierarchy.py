@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo import config
+from cotejo.operators import grid
 from cotejo.plans.graphs import tour
+from cotejo.plans.saved import saved
 
 def preorder(edges: DataFrame) -> DataFrame:
     """(tree, node, depth, position, boss) of trees given as (tree, node, parent, rank); a root has a null parent.
@@ -37,12 +39,15 @@ def box_candidates(boxes: DataFrame) -> DataFrame:
 
 
 def innermost(boxes: DataFrame) -> DataFrame:
-    """Boxes that contain no other box of their page, within the slack; equal boxes don't contain each other."""
-    inner = boxes.select("page", *[F.col(c).alias(f"i_{c}") for c in ("box", "x0", "y0", "x1", "y1")])
+    """Boxes that contain no other box of their page, within the slack; equal boxes don't contain each other.  Boxes meet in the cells of a grid."""
     s = config.BOX_SLACK
+    sizes = saved(grid.cell_sizes(boxes))
+    # the middle of a box that another holds is in a cell which that one touches
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    inner = grid.points_in_cells(boxes, sizes, "box", middle("x0", "x1"), middle("y0", "y1")).select(*grid.CELL, *[F.col(c).alias(f"i_{c}") for c in ("box", "x0", "y0", "x1", "y1")])
     inside = (F.col("i_x0") >= F.col("x0") - s) & (F.col("i_y0") >= F.col("y0") - s) & (F.col("i_x1") <= F.col("x1") + s) & (F.col("i_y1") <= F.col("y1") + s)
     other = (F.col("i_x0") != F.col("x0")) | (F.col("i_y0") != F.col("y0")) | (F.col("i_x1") != F.col("x1")) | (F.col("i_y1") != F.col("y1"))
-    holders = boxes.join(inner, "page").where(inside & other & (F.col("i_box") != F.col("box"))).select("page", "box").distinct()
+    holders = grid.boxes_in_cells(boxes, sizes, "box", s).join(inner, grid.CELL).where(inside & other & (F.col("i_box") != F.col("box"))).select("page", "box").distinct()
     return boxes.join(holders, ["page", "box"], "left_anti")
 
 
@@ -50,7 +55,9 @@ def box_texts(boxes: DataFrame, lines: DataFrame) -> DataFrame:
     """(page, box, text): lines (page, line, text, x0, y0, x1, y1) whose centre a box holds, with a margin, joined in their order."""
     m = config.BOX_MARGIN
     centred = lines.select("page", "line", "text", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    held = boxes.join(centred, "page").where((F.col("cx") >= F.col("x0") - m) & (F.col("cx") <= F.col("x1") + m) & (F.col("cy") >= F.col("y0") - m) & (F.col("cy") <= F.col("y1") + m))
+    sizes = saved(grid.cell_sizes(boxes))
+    points = grid.points_in_cells(centred, sizes, "line", F.col("cx"), F.col("cy"))
+    held = grid.boxes_in_cells(boxes, sizes, "box", m).join(points, grid.CELL).where((F.col("cx") >= F.col("x0") - m) & (F.col("cx") <= F.col("x1") + m) & (F.col("cy") >= F.col("y0") - m) & (F.col("cy") <= F.col("y1") + m))
     texts = held.groupBy("page", "box").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("parts"))
     return texts.select("page", "box", F.array_join(F.col("parts.text"), " ").alias("text"))
 

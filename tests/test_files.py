@@ -79,7 +79,7 @@ def test_positions_of_files(spark, tmp_path):
     assert rows["Enlace de Ventas"].jefe_inmediato == "Dirección General"  # the merged cell has no value of its own
     assert rows["Asesor"].error_id == files.BAD_ID and rows["Asesor"].jefe_inmediato == "[ID de jefe no resoluble: 7]"
     assert rows["Enlace de Compras"].error_id == f"{files.REPEATED_ID}2." and rows["Dirección General"].error_id == ""
-    assert rows["Dirección General"].ubicacion == "r.xlsx | Hoja: Hoja | Fila: 2 | Columna: J/K"
+    assert rows["Dirección General"].ubicacion == "r.xlsx | hoja='Hoja' | fila=2 | col=J/K"
     document(tmp_path / "d.docx", DOC)
     (tmp_path / "e.docx").write_bytes(b"no zip")
     got = files.word_positions(spark, str(tmp_path)).orderBy("seq").collect()

@@ -12,7 +12,7 @@ from cotejo import config
 from cotejo.functions import catalogue, similarity, text
 from cotejo.operators import cells as cell_ops
 from cotejo.operators import blocks, by_id, connectors, hierarchy, lines, matching, proximity, reconcile, sequence
-from cotejo.plans import duck, files, report
+from cotejo.plans import duck, duck_rules, files, report
 from cotejo.plans.saved import saved, shared_folder
 from cotejo.plans.views import sql_view, view
 from cotejo.sources import workbook
@@ -212,44 +212,17 @@ def left_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _likeness(left: str, right: str) -> str:
-    """Tables r, c and f of a WITH (and those between): keys of two sources, and all pairs of keys that only one of them has, judged by the rules, that reach a level.
-
-    A pair whose edits are over 24 of 100 characters can't reach 80, even with the bonus; of the others the ratio is taken.
-    """
-    words = lambda x: f"array_to_string(list_sort(list_filter(string_split({x}, ' '), lambda w: w <> '')), ' ')"
-    side = lambda a, b: f"SELECT k, seq, {duck.category('k')} AS kind, trim(substr(k, length(coalesce({duck.prefix('k')}, '')) + 1)) AS name FROM {a} WHERE k NOT IN (SELECT k FROM {b})"
-    mods = lambda x: f"list_filter({MODS}, lambda m: contains(' ' || {x} || ' ', ' ' || m || ' '))"
-    tail = lambda x: f"nullif(regexp_extract({x}, ' ([a-z][0-9]{{0,2}})$', 1), '')"
-    keys = lambda name: f"SELECT k, min(seq) AS seq FROM {KEYED} WHERE fuente = '{name}' AND trim(puesto_original) <> '' GROUP BY k"
-    return f"""r AS MATERIALIZED ({keys(left)}), c AS MATERIALIZED ({keys(right)}),
-    o AS MATERIALIZED (SELECT *, {words('k')} AS wk, {words('name')} AS wn FROM ({side('r', 'c')})), d AS MATERIALIZED (SELECT *, {words('k')} AS wk, {words('name')} AS wn FROM ({side('c', 'r')})),
-    p AS MATERIALIZED (SELECT * FROM (SELECT o.k AS o_key, d.k AS d_key, o.seq AS o_seq, d.seq AS d_seq, CASE WHEN o.kind = d.kind THEN o.kind END AS shared, CASE WHEN o.kind = d.kind THEN o.name ELSE o.k END AS x,
-          CASE WHEN o.kind = d.kind THEN d.name ELSE d.k END AS y, CASE WHEN o.kind = d.kind THEN o.wn ELSE o.wk END AS wx, CASE WHEN o.kind = d.kind THEN d.wn ELSE d.wk END AS wy FROM o, d)
-          WHERE x <> '' AND y <> '' AND x <> y AND levenshtein(wx, wy) <= 0.2401 * (length(wx) + length(wy))),
-    l AS MATERIALIZED (SELECT *, CAST(length(wx) + length(wy) AS DOUBLE) AS n, round({duck.ratio('wx', 'wy')} * (length(wx) + length(wy)) / 200) AS common, {duck.category('x')} AS kx, {duck.category('y')} AS ky, {mods('x')} AS mx, {mods('y')} AS my, {tail('x')} AS tx, {tail('y')} AS ty FROM p),
-    j AS (SELECT *, (1 - (n - 2 * common) / n) * 100 AS base, coalesce(kx <> ky, false) OR mx <> my OR coalesce(tx <> ty, false) AS apart FROM l),
-    s AS (SELECT *, NOT apart AND base >= {config.BONUS_FROM} AND coalesce(kx = ky, false) AS bonus FROM j),
-    t AS (SELECT *, CASE WHEN apart THEN greatest(0, base - {config.PENALTY}) WHEN bonus THEN least(100, base + {config.BONUS}) ELSE base END AS score FROM s),
-    f AS MATERIALIZED (SELECT o_key, d_key, o_seq, d_seq, round_even(score, 1) AS score, CASE WHEN score >= {config.HIGH} THEN 'fuzzy_alta' ELSE 'revision' END AS level,
-          CASE WHEN shared IS NULL THEN '' ELSE 'Mismo tipo de puesto (''' || shared || '''); comparación por nombre específico (''' || x || ''' vs ''' || y || '''). ' END || 'Similitud de texto.'
-          || CASE WHEN bonus THEN ' Ambos son de tipo ''' || kx || ''' (bono de confianza aplicado).' ELSE '' END AS reason FROM t WHERE score >= {config.REVIEW})"""
-
-
-@query(f"WITH {_likeness('ref', 'chart')} SELECT * FROM f")
+RECORDS = f"(SELECT x.*, nivel_original FROM {KEYED} x JOIN {ALL} y USING (fuente, seq))"
+FIRSTS = f"""r AS MATERIALIZED (SELECT k, min(seq) AS seq FROM {KEYED} WHERE fuente = 'ref' AND trim(puesto_original) <> '' GROUP BY k), c AS MATERIALIZED (SELECT k, min(seq) AS seq FROM {KEYED} WHERE fuente = 'chart' AND trim(puesto_original) <> '' GROUP BY k)"""
+
+
+@query(f"WITH RECURSIVE {FIRSTS}, {duck_rules.alike('rc', 'r', 'c')} SELECT * FROM rc_f")
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, chart = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "chart"))
     return matching.fuzzy_pairs(ref, chart)
 
 
-@query(
-    f"""WITH RECURSIVE {_likeness('ref', 'chart')}, q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, o_seq, d_seq) AS i FROM f),
-    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS os, CAST([] AS VARCHAR[]) AS ds, false AS took
-          UNION ALL SELECT q.i, CASE WHEN list_contains(os, o_key) OR list_contains(ds, d_key) THEN os ELSE list_append(os, o_key) END, CASE WHEN list_contains(os, o_key) OR list_contains(ds, d_key) THEN ds ELSE list_append(ds, d_key) END,
-                 NOT (list_contains(os, o_key) OR list_contains(ds, d_key)) FROM g JOIN q ON q.i = g.i + 1)
-    SELECT o_key, d_key, o_seq, d_seq, score, level, reason FROM q JOIN g USING (i) WHERE took
-    UNION ALL SELECT r.k, r.k, r.seq, c.seq, 100.0, 'normalizada', '' FROM r JOIN c ON r.k = c.k"""
-)
+@query(f"WITH RECURSIVE {FIRSTS}, {duck_rules.alike('rc', 'r', 'c')} SELECT * FROM rc_m")
 def global_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, chart = (matching.representatives(reconcile.valid(view(spark, sf_dir, n))) for n in ("ref", "chart"))
     return matching.match(ref, chart)
@@ -267,49 +240,42 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.homologation(_three(spark, sf_dir), _sources(spark, sf_dir))
 
 
-@query()
+BY_NAME, BY_NAME_TWO = duck_rules.compared(RECORDS, True), duck_rules.compared(RECORDS, False)
+NAMED_STATES = f"{BY_NAME}, {duck_rules.homologated(True)}"
+
+
+@query(f"{BY_NAME} SELECT section, seq, key, et AS excel, wt AS word, ot AS organigrama, kind, detail, name_level, method, confidence, equivalence, catalogue_warning, format_warning FROM results")
 def three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _three(spark, sf_dir).select("section", "seq", "key", F.col("excel.title").alias("excel"), F.col("word.title").alias("word"), F.col("organigrama.title").alias("organigrama"), "kind", "detail", "name_level", "method", "confidence", "equivalence", "catalogue_warning", "format_warning")
 
 
-@query()
+@query(f"{BY_NAME_TWO} SELECT section, seq, key, kind, detail, name_level, confidence FROM results")
 def two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = _sources(spark, sf_dir)
     return reconcile.report_sections({s: sources[s] for s in ("excel", "organigrama")}).select("section", "seq", "key", "kind", "detail", "name_level", "confidence")
 
 
-@query()
+@query(f"{NAMED_STATES} {duck_rules.metrics()}")
 def summary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summary(_compared(spark, sf_dir))
 
 
-@query()
+@query(f"{BY_NAME} SELECT kind, count(*) AS n FROM results GROUP BY kind")
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.by_kind(_three(spark, sf_dir))
 
 
-@query()
+@query(f"{NAMED_STATES} {duck_rules.report_rows()}")
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.rows(_compared(spark, sf_dir))
-
+    return report.placed_rows(_compared(spark, sf_dir))
 
-@query()
-def report_rows_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.rows(report.homologation(_by_id(spark, sf_dir).drop("homologation", "similarity"), None))
 
-
-@query()
+@query(f"{NAMED_STATES} SELECT section, seq, key, 'Excel vs Word: ' || hew || '; Excel vs Organigrama: ' || heo || '; Word vs Organigrama: ' || hwo AS compared, homologation, similarity FROM told_names")
 def homologation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("section", "seq", "key", F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), F.try_element_at("compared", F.lit(n))) for n in ("Excel vs Word", "Excel vs Organigrama", "Word vs Organigrama")]).alias("compared"), "homologation", "similarity")
 
 
-@query()
-def report_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report's rows that names or order leave open, of three kinds, whose key holds a text."""
-    return report.filtered(report_rows_by_id(spark, sf_dir), [config.POSSIBLE, config.REVISE, config.EXTRA], open_names=True, open_order=True, search="DE U")
-
-
-@query()
+@query(f"{BY_NAME}, base_all AS (SELECT * FROM {ALL}) {duck_rules.sources()}")
 def per_source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.by_source(_three(spark, sf_dir), _sources(spark, sf_dir))
 
@@ -436,7 +402,8 @@ j AS (SELECT x.*, mw.place AS pw, mo.place AS po, mw.state AS sw, mo.state AS so
 q AS (SELECT *, CASE WHEN bad <> '' THEN '{config.CHECK_ID}' WHEN '{config.AMBIGUOUS}' IN (sw, so) THEN '{config.AMBIGUOUS}' WHEN '{config.NOT_FOUND}' IN (sw, so) THEN '{config.NOT_FOUND}' WHEN '{config.MOVED}' IN (sw, so) THEN '{config.MOVED}'
       WHEN '{config.OTHER_BOSS}' IN (sw, so) THEN '{config.OTHER_BOSS}' WHEN bs IN ('{config.AMBIGUOUS_BOSS}', '{config.OTHER_BOSS}') THEN bs ELSE '{config.SAME}' END AS os,
       CASE WHEN coalesce(wt, t) = t AND coalesce(ot, t) = t THEN 0 WHEN coalesce(wk, k) = k AND coalesce(ok, k) = k THEN 2 ELSE 4 END AS rank, wt IS NOT NULL OR ot IS NOT NULL AS two,
-      len(list_distinct(list_filter([level, wlevel, olevel], lambda v: v <> ''))) AS levels, len(list_filter([level, wlevel, olevel], lambda v: v = '')) AS blank FROM j),
+      len(list_distinct(list_filter([level, wlevel, olevel], lambda v: v <> ''))) AS levels, len(list_filter([level, wlevel, olevel], lambda v: v = '')) AS blank FROM j)"""
+ID_RESULTS = f"""{ID_RULES},
 z AS (SELECT *, CASE WHEN rank = 4 THEN '{config.REVISE}' WHEN two AND levels > 1 THEN '{config.LEVEL_DIFFERS}' WHEN wt IS NULL OR ot IS NULL THEN '{config.MISSING}' WHEN blank > 0 THEN '{config.LEVEL_MISSING}' WHEN rank = 2 THEN '{config.EQUIVALENT}' ELSE '{config.OK}' END AS kind FROM q)
 SELECT 1 AS section, seq, CASE WHEN bad <> '' OR os <> '{config.SAME}' AND kind IN ('{config.OK}', '{config.EQUIVALENT}') THEN '{config.REVISE}' ELSE kind END AS kind, pw AS position_word, po AS position_organigrama,
        coalesce(sw, '{config.UNVERIFIABLE}') AS order_word, coalesce(so, '{config.UNVERIFIABLE}') AS order_organigrama, bs AS boss_state, os AS order_state,
@@ -460,11 +427,28 @@ def _by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_id.compare_by_id(excel, doc, chart)
 
 
-@query(ID_RULES)
+@query(ID_RESULTS)
 def id_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_id(spark, sf_dir).select("section", "seq", "kind", "position_word", "position_organigrama", "order_word", "order_organigrama", "boss_state", "order_state", "order_detail")
 
 
+BY_ID = f"{duck_rules.by_id(ID_RULES)}, {duck_rules.homologated(True, False)}"
+
+
+@query(f"{BY_ID} {duck_rules.report_rows(True)}")
+def report_rows_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.rows(report.homologation(_by_id(spark, sf_dir).drop("homologation", "similarity"), None))
+
+
+@query(
+    f"""{BY_ID} SELECT * FROM ({duck_rules.report_rows(True)}) WHERE "Tipo de inconsistencia" IN ('{config.POSSIBLE}', '{config.REVISE}', '{config.EXTRA}') AND "Resultado de homologación" <> 'Coinciden' AND "Resultado de orden" <> '{config.SAME}'
+    AND contains(lower("Puesto (clave normalizada)"), 'de u')"""
+)
+def report_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's rows that names or order leave open, of three kinds, whose key holds a text."""
+    return report.filtered(report_rows_by_id(spark, sf_dir), [config.POSSIBLE, config.REVISE, config.EXTRA], open_names=True, open_order=True, search="DE U")
+
+
 # Hierarchy and pages
 
 

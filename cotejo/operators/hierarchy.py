@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.operators import grid
-from cotejo.plans.graphs import tour
+from cotejo.plans.graphs import orders
 from cotejo.plans.saved import saved
 
 def preorder(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def preorder(edges: DataFrame) -> DataFrame:
     place that its least parent (a root's before others) and rank give it.
     """
     first = edges.groupBy("tree", "node").agg(F.min(F.struct("parent", "rank")).alias("first"))
-    walked = tour(first.select("tree", "node", "first.parent", "first.rank"))
+    walked = orders(first.select("tree", "node", "first.parent", "first.rank"))
     return edges.select("tree", "node", F.col("parent").alias("boss")).join(walked, ["tree", "node"], "left").select("tree", "node", "depth", "position", "boss")
 
 

@@ -16,6 +16,8 @@ from cotejo.functions.text import normalised
 COUNTED = re.compile(r"^\s*(\d{1,3})\s+(.*[A-Za-zÁÉÍÓÚÑáéíóúñ].*?)\s+(\d{1,3})\s*$")
 PLAIN = re.compile(r"^\s*(.*[A-Za-zÁÉÍÓÚÑáéíóúñ]{3,}.*?)\s+(\d{1,3})\s*$")
 LEAST = 3
+#: What a line that fits either pattern ends in; the patterns themselves are slow on long lines that don't.
+TAIL = re.compile(r"\s\d{1,3}\s*$")
 NOISE = [re.compile(p) for p in config.DOC_NOISE]
 FOUND = "file string, page int, line_no int, cantidad string, puesto_original string, nivel_original string"
 
@@ -35,17 +37,18 @@ def _read(lines: Iterator[tuple[int, str]]) -> Iterator[tuple]:
         line = line.strip()
         if _noise(line):
             continue
-        m = COUNTED.match(line)
+        ends = bool(TAIL.search(line))
+        m = COUNTED.match(line) if ends else None
         if m:
             waiting = None
-        elif waiting and (m := COUNTED.match(f"{waiting[1]} {line}")):
+        elif waiting and TAIL.search(f" {line}") and (m := COUNTED.match(f"{waiting[1]} {line}")):
             no, waiting = waiting[0], None
         elif waiting is None and re.match(r"^\d{1,3}\s+", line):
             waiting = no, line
             continue
         if m:
             quantity, title, level = m[1], m[2].strip(), m[3]
-        elif m := PLAIN.match(line):
+        elif ends and (m := PLAIN.match(line)):
             quantity, title, level = None, m[1].strip(), m[2]
         else:
             continue

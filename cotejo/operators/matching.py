@@ -97,10 +97,12 @@ def _by_rounds(pairs: DataFrame) -> DataFrame:
 def assign(pairs: DataFrame, most: int = COMPONENT) -> DataFrame:
     """A one-to-one choice: pairs in the order of exactness, score, o_seq and d_seq, each if both ends are free.
 
-    Pairs of different components of the graph of candidates don't meet, so each component of up to ``most`` pairs is taken in order in
-    one task, however long its chains are; larger ones go by rounds of the pairs that are best for both ends.
+    Up to ``most`` pairs are taken in order in one task.  Of more, those of different components of the graph of candidates don't meet, so
+    each component of up to ``most`` pairs is taken so, however long its chains are; larger ones go by rounds of the pairs that are best for both ends.
     """
     pairs = saved(pairs)
+    if pairs.limit(most + 1).count() <= most:
+        return _in_order(pairs.withColumn("component", F.lit(0).cast("long")))
     node = lambda side: F.xxhash64(F.lit(side), F.col(f"{side}_key"))
     labels = components(pairs.select(node("o").alias("a"), node("d").alias("b")))
     labelled = saved(pairs.withColumn("node", node("o")).join(labels, "node").drop("node"))

@@ -170,8 +170,11 @@ def test_assignment_of_a_long_chain(spark, monkeypatch):
     chain = [(f"o{i // 2}", f"d{(i + 1) // 2}", i // 2, (i + 1) // 2, 80 + i / 1000, "revision", "") for i in range(10_000)]
     rng = random.Random(3)
     mixed = [(f"p{a}", f"q{b}", a, b, float(rng.randrange(80, 100)), rng.choice(["fuzzy_alta", "revision"]), "") for a in range(40) for b in rng.sample(range(40), 3)]
-    got = {(r.o_key, r.d_key) for r in matching.assign(spark.createDataFrame(chain + mixed, kind)).collect()}
-    assert got == greedy(chain + mixed) and len(made) < 60
+    frame = spark.createDataFrame(chain + mixed, kind)
+    for most in (10_050, 20_000):  # by components, and all in one
+        made.clear()
+        got = {(r.o_key, r.d_key) for r in matching.assign(frame, most).collect()}
+        assert got == greedy(chain + mixed) and len(made) < 30
     by_rounds = {(r.o_key, r.d_key) for r in matching.assign(spark.createDataFrame(mixed, kind), most=10).collect()}
     assert by_rounds == greedy(mixed)
     assert matching.assign(spark.createDataFrame([], kind)).count() == 0
@@ -192,6 +195,8 @@ def test_components(spark):
 
 def test_tour_of_any_shape(spark):
     """Random forests, a chain and a star against a walk."""
+    from cotejo.plans import graphs
+
     rng = random.Random(6)
     edges = [("r", i, rng.randrange(i) if i and rng.random() > 0.05 else None, rng.choice([1, 2, None])) for i in range(120)]
     edges += [("chain", i, i - 1 if i else None, 0) for i in range(700)] + [("star", i, 0 if i else None, -i) for i in range(300)] + [("lost", 1, 9, 0), ("lost", 2, 1, 0), ("round", 1, 2, 0), ("round", 2, 1, 0), ("round", 3, None, 0)]
@@ -206,5 +211,15 @@ def test_tour_of_any_shape(spark):
             place += 1
             want[tree, node] = (depth, place)
             stack += [(n, depth + 1) for *_, n in sorted(children.get((tree, node), []), reverse=True)]
-    got = {(r.tree, r.node): (r.depth, r.position) for r in hierarchy.preorder(spark.createDataFrame(edges, "tree string, node int, parent int, rank long")).collect()}
-    assert got == want
+    frame = spark.createDataFrame(edges, "tree string, node int, parent int, rank long")
+    for df in (hierarchy.preorder(frame), graphs.orders(frame, most=250)):  # walked, and the chain and the star by doubling
+        assert {(r.tree, r.node): (r.depth, r.position) for r in df.collect()} == want
+
+
+def test_a_chain_of_100000_nodes(spark):
+    from cotejo.plans import graphs
+
+    i = F.col("id")
+    chain = spark.range(100_000).select(F.lit("t").alias("tree"), i.alias("node"), F.when(i > 0, i - 1).alias("parent"), F.lit(0).cast("long").alias("rank"))
+    told = graphs.orders(chain)
+    assert told.where(F.col("position") == F.col("node") + 1).where(F.col("depth") == F.col("node")).count() == 100_000

@@ -352,9 +352,16 @@ def leftover_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.leftovers(view(spark, sf_dir, "ref").where("id_excel % 3 <> 0"), view(spark, sf_dir, "doc"))
 
 
-@query(f"SELECT count(*) AS n, count(*) AS n_valid, true AS verifiable FROM {CHART}")
+@query(
+    f"""SELECT 'whole' AS source, count(*) AS n, count(*) AS n_valid, count(*) > 0 AS verifiable FROM {CHART} UNION ALL SELECT 'gaps', count(*), count(*) FILTER (WHERE seq % 50 <> 0), count(*) > 0 AND count(*) FILTER (WHERE seq % 50 = 0) = 0 FROM {CHART}
+    UNION ALL SELECT 'empty', 0, 0, false"""
+)
 def source_verifiable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.verifiable(view(spark, sf_dir, "chart"))
+    """The chart as it is, with every fiftieth title blank, and without records."""
+    chart = view(spark, sf_dir, "chart")
+    kinds = {"whole": chart, "gaps": chart.withColumn(T, F.when(F.col("seq") % 50 == 0, "  ").otherwise(F.col(T))), "empty": chart.limit(0)}
+    parts = [sequence.verifiable(df).select(F.lit(name).alias("source"), "n", "n_valid", "verifiable") for name, df in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(
@@ -463,14 +470,16 @@ def preorder_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS (SELECT id_excel % 16 AS tree, id_excel AS node, CASE WHEN id_excel > 16 THEN id_excel - 16 - id_excel % 48 END AS parent FROM {REF}),
+    f"""WITH one AS (SELECT id_excel % 16 AS tree, id_excel AS node, CASE WHEN id_excel > 16 THEN id_excel - 16 - id_excel % 48 END AS parent FROM {REF}), e AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE node % 97 = 0),
+    d AS (SELECT tree, count(*) AS n_repeated FROM (SELECT tree, node FROM e GROUP BY tree, node HAVING count(*) > 1) GROUP BY tree),
     r AS (SELECT tree, count(DISTINCT node) AS n_nodes, count(*) FILTER (WHERE parent IS NULL) AS n_roots FROM e GROUP BY tree),
     l AS (SELECT tree, count(*) AS n_lost FROM e WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e p WHERE p.tree = e.tree AND p.node = e.parent) GROUP BY tree)
-    SELECT r.tree, n_nodes, n_roots, CAST(0 AS BIGINT) AS n_repeated, coalesce(n_lost, 0) AS n_lost, n_roots = 1 AND coalesce(n_lost, 0) = 0 AS sound FROM r LEFT JOIN l ON l.tree = r.tree"""
+    SELECT r.tree, n_nodes, n_roots, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_lost, 0) AS n_lost, n_roots = 1 AND coalesce(n_repeated, 0) = 0 AND coalesce(n_lost, 0) = 0 AS sound FROM r LEFT JOIN l ON l.tree = r.tree LEFT JOIN d ON d.tree = r.tree"""
 )
 def tree_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id_excel")
-    return hierarchy.tree_problems(view(spark, sf_dir, "ref").select((i % 16).alias("tree"), i.alias("node"), F.when(i > 16, i - 16 - i % 48).alias("parent")))
+    edges = view(spark, sf_dir, "ref").select((i % 16).alias("tree"), i.alias("node"), F.when(i > 16, i - 16 - i % 48).alias("parent"))
+    return hierarchy.tree_problems(edges.unionByName(edges.where("node % 97 = 0")))
 
 
 BOXES = """(SELECT page, box, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM (SELECT user_id AS page, event_id AS box, CAST(event_id % 37 * 20 AS DOUBLE) AS x0, CAST(event_id % 29 * 15 AS DOUBLE) AS y0,
@@ -585,12 +594,12 @@ def rect_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT page, box, row_number() OVER (PARTITION BY page ORDER BY y0, x0, box) AS reading_order FROM (SELECT *, {duck.title('title')} AS n FROM (SELECT doc_id % 40 AS page, doc_id AS box, substr(text, 1, 12) AS title,
+    f"""SELECT page, box, row_number() OVER (PARTITION BY page ORDER BY y0, x0, box) AS reading_order FROM (SELECT *, {duck.title('title')} AS n FROM (SELECT doc_id % 40 AS page, doc_id AS box, text AS title,
     CAST(doc_id % 7 AS DOUBLE) AS x0, CAST(doc_id % 5 AS DOUBLE) AS y0 FROM documents)) WHERE length(trim(title)) >= 2 AND trim(n) <> '' AND NOT ({' OR '.join(f"regexp_matches(n, {duck.quoted(p)})" for p in config.CHART_NOISE)})"""
 )
 def box_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    boxes = docs.select((F.col("doc_id") % 40).alias("page"), F.col("doc_id").alias("box"), F.substring("text", 1, 12).alias("title"), (F.col("doc_id") % 7).cast("double").alias("x0"), (F.col("doc_id") % 5).cast("double").alias("y0"))
+    boxes = docs.select((F.col("doc_id") % 40).alias("page"), F.col("doc_id").alias("box"), F.col("text").alias("title"), (F.col("doc_id") % 7).cast("double").alias("x0"), (F.col("doc_id") % 5).cast("double").alias("y0"))
     return connectors.positions(boxes).select("page", "box", "reading_order")
 
 

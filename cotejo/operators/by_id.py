@@ -18,6 +18,7 @@ from cotejo.operators.reconcile import NAMES, errors, order_of, results, valid
 from cotejo.operators.sequence import with_position
 from cotejo.plans.saved import saved
 
+# Notes in this module are fixed values, in the words that users know.
 RECORD = ["seq", "title", "normalised", "level", "level_text", "key", "boss", "boss_key"]
 #: Order states from the one that tells most about a row to the one that tells least.
 ORDER = [config.UNVERIFIABLE, config.AMBIGUOUS, config.NOT_FOUND, config.MOVED, config.OTHER_BOSS]

@@ -15,6 +15,7 @@ from cotejo.plans.graphs import global_order
 from cotejo.plans.saved import saved
 from cotejo.sources import workbook
 
+# The names of the report's columns and metrics in this module are fixed values.
 PAIRS = [("excel", "word"), ("excel", "organigrama"), ("word", "organigrama")]
 
 

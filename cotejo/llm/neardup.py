@@ -37,6 +37,8 @@ TRIED = 2
 STRAYS, OTHERS = 256, 2048
 #: Rows for each salt where they carry sets.
 SALT_ROWS = 1000
+#: Links that a task ties at once.
+PORTION = 1 << 18
 
 
 def shingle_sets(batch_text: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -112,22 +114,81 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of links (a, b): the smallest node that links reach.
-
-    Labels spread along links and jump to their label's label until none changes; each round is saved.
+def forest(a: np.ndarray, b: np.ndarray, turn: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of the links a - b: the sorted distinct nodes and for each the first one that the links reach, in an order that ``turn`` shuffles (None: the least)."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    order = np.arange(len(nodes)) if turn is None else np.argsort(mix(mix(nodes.view(U64)) + U64(turn)), kind="stable")
+    place = np.empty(len(nodes), np.int64)
+    place[order] = np.arange(len(nodes))
+    i, j = place[at[: len(a)]], place[at[len(a) :]]
+    root = np.arange(len(nodes))
+    while len(i):
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        apart = low < high
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    return nodes, nodes[order[root[place]]]
+
+
+def _portions(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """The first two columns of the batches, in portions that end once they have ``most`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= most:
+            yield tuple(np.concatenate([x.column(c).to_numpy() for x in held]) for c in (0, 1))
+            held = []
+    if sum(map(len, held)):
+        yield tuple(np.concatenate([x.column(c).to_numpy() for x in held]) for c in (0, 1))
+
+
+def components(links: DataFrame, most: int = PORTION) -> DataFrame:
+    """(node, component) for the nodes of links (a, b), a <> b: the smallest node that links reach.
+
+    The graph is contracted in rounds until it has at most ``most`` links, which one task ties.  In a round, a task ties the nodes of
+    each portion of its links to their root, so a node has a row for each portion at most, however many links it has; where a node's
+    rows meet, their roots are tied in turn.  Nodes that were no portion's root are settled, the others are the next round's graph.
+    Roots are first in an order shuffled anew in each round, so about a third of the nodes of any chain go in a round even where no two
+    of its links share a task.  Each round is saved.
     """
-    edges = saved(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
-    while True:
-        near = salted(edges, labels.withColumnRenamed("node", "b"), ["b"], "a", F.lit(SALTS)).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        of = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        jumped = salted(spread, of, ["component"], "node", F.lit(SALTS), "left")
-        new = saved(jumped.select("node", "was", F.least("component", F.coalesce("jump", "component")).alias("component")))
-        labels = new.select("node", "component")
-        if new.where("was <> component").isEmpty():
-            return labels
+
+    def tie(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, b in _portions(batches, PORTION):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(a, b, turn)], names=["node", "root"])  # a root's own row tells that it is one
+
+        return run
+
+    def meet(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, b in _portions(batches, np.inf):
+                nodes, roots = forest(a, b, turn)
+                keep = nodes != roots
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (nodes, roots, np.isin(nodes, b))], names=["node", "root", "open"])
+
+        return run
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _portions(batches, np.inf):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(a, b)], names=["node", "root"])
+
+    now, rounds = saved(links.select("a", "b").where("a <> b")), []
+    while now.count() > most:
+        turn = len(rounds)
+        tied = now.mapInArrow(tie(turn), "node long, root long").repartition("node")
+        rounds.append(saved(tied.mapInArrow(meet(turn), "node long, root long, open boolean")))
+        now = rounds[-1].where("open").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    done = saved(now.coalesce(1).mapInArrow(rest, "node long, root long"))
+    if not rounds:
+        return done.withColumnRenamed("root", "component")
+    for part in reversed(rounds):
+        further = done.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        done = saved(part.where("NOT open").join(further, "root", "left").select("node", F.coalesce("end", "root").alias("root")).union(done))
+    done = done.where("node <> root")
+    least = done.groupBy("root").agg(F.min("node").alias("least")).select("root", F.least("least", "root").alias("component"))
+    return saved(salted(done, least, ["root"], "node", F.lit(SALTS)).select("node", "component").union(least.select(F.col("root").alias("node"), "component")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
@@ -194,11 +255,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     pairs = saved(pairs.select("a", "b", "n", F.row_number().over(own).alias("best"), F.first("a").over(own).alias("home")))
     links = saved(_verified(pairs.where(F.col("best") <= TRIED).select("a", "b", "n"), sets, percent))
     # a member is tied to its best centre, and that to its others
-    families = components(pairs.where("best = 1").select("a", "b").union(pairs.where("best > 1").select("home", "a").distinct()))
-    labels = components(links)
-    more = _across(families, labels, sets, percent)
-    final = components(links.unionByName(saved(more)))
-    labelled = salted(classes, final.withColumnRenamed("node", "class_id"), ["class_id"], "doc_id", F.lit(SALTS), "left")
+    families = components(pairs.where("best = 1").select("a", "b").union(pairs.where("best > 1").select("home", "a")))
+    members = saved(families.select("node", F.col("component").alias("family")).join(components(links), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")))
+    further = components(_across(members, sets, percent)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    final = salted(members, further, ["component"], "node", F.lit(SALTS), "left").select(F.col("node").alias("class_id"), F.coalesce("whole", "component").alias("component"))
+    labelled = salted(classes, final, ["class_id"], "doc_id", F.lit(SALTS), "left")
     return labelled.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
@@ -220,9 +281,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b", "registers_a", "registers_b").mapInArrow(judge, "a long, b long")
 
 
-def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components of a family: each member outside its largest one against all others."""
-    members = families.select("node", F.col("component").alias("family")).join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of a family, named by the components, from members (node, family, component): each outside the largest one against all others."""
     sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("family").agg(F.max(F.struct("n", (-F.col("component")).alias("component"))).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("size"))
     tops = tops.where("parts > 1").select("family", (-F.col("top.component")).alias("largest"), (F.col("size") - F.col("top.n")).alias("strays"), "size")
@@ -236,7 +296,7 @@ def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
 
     def block(rows: pa.Table) -> pa.Table:
         asks = rows.column("asks").to_numpy()
-        nodes, parts = rows.column("node").to_numpy(), rows.column("component").to_numpy()
+        parts = rows.column("component").to_numpy()
         own = [np.frombuffer(s.as_buffer(), U64) for chunk in rows.column("set").chunks for s in chunk]
         told, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
         flat = np.concatenate([own[i] for i in told]) if len(told) else np.zeros(0, U64)
@@ -253,8 +313,8 @@ def _across(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
             hit = (100 * both >= percent * (sizes + len(own[i]) - both)) & (parts[told] != parts[i])
             _, one = np.unique(parts[told[hit]], return_index=True)  # a link to each component is enough
             for j in told[hit][one]:
-                a.append(nodes[i])
-                b.append(nodes[j])
+                a.append(parts[i])
+                b.append(parts[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return strays.unionByName(others).groupBy("family", "i", "j").applyInArrow(block, "a long, b long")

@@ -184,6 +184,31 @@ def test_components(spark):
     assert {got[i] for i in range(100, 131)} == {100}
 
 
+def test_components_in_rounds(spark):
+    """Contracted until nothing is left, however the links are dealt: a chain in order, a hub with a third of all links, and chance."""
+    rng = np.random.default_rng(5)
+    chain = [(i, i + 1) for i in range(1000, 4000)]
+    hub = [(20_000, 20_001 + i) for i in range(3000)]
+    chance = rng.integers(40_000, 43_000, (2000, 2)).tolist()
+    links = [*chain, *hub, *chance, (7, 7)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    expected = {x: find(x) for a, b in links if a != b for x in (a, b)}
+    frame = spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long").repartition(16)
+    for most in (0, 500, 1 << 18):
+        got = [(r.node, r.component) for r in components(frame, most).collect()]
+        assert len(got) == len(expected) and dict(got) == expected
+    assert components(frame.limit(0), 0).count() == 0
+
+
 def test_quality(docs):
     for r in measure(docs).collect():
         t = r.text or ""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,16 @@ LEAST = 3
 TAIL = re.compile(r"\s\d{1,3}\s*$")
 NOISE = [re.compile(p) for p in config.DOC_NOISE]
 FOUND = "file string, page int, line_no int, cantidad string, puesto_original string, nivel_original string"
+_FOUND = pa.schema([(c, pa.int32() if c in ("page", "line_no") else pa.string()) for c in ("file", "page", "line_no", "cantidad", "puesto_original", "nivel_original")])
+#: Rows that a task hands on at once.
+BATCH = 4096
 
 
 def _noise(line: str) -> bool:
-    return not line.strip() or any(p.search(normalised(line)) for p in NOISE)
+    if not line.strip():
+        return True
+    told = normalised(line)  # once for all patterns
+    return any(p.search(told) for p in NOISE)
 
 
 def _read(lines: Iterator[tuple[int, str]]) -> Iterator[tuple]:
@@ -57,14 +64,16 @@ def _read(lines: Iterator[tuple[int, str]]) -> Iterator[tuple]:
 
 
 def pattern_records(lines: DataFrame) -> DataFrame:
-    """FOUND of each page's lines (file, page, line_no, text), which are read in order; a page is one group."""
+    """FOUND of each page's lines (file, page, line_no, text), which are read in order, one after another; a page is in one task."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        rows = [(pdf["file"].iloc[0], pdf["page"].iloc[0], *r) for r in _read(zip(pdf["line_no"], pdf["text"].fillna(""), strict=True))]
-        return pd.DataFrame(rows, columns=["file", "page", "line_no", "cantidad", "puesto_original", "nivel_original"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = ((*page, *r) for page, own in itertools.groupby(rows, key=lambda r: r[:2]) for r in _read((no, line or "") for _, _, no, line in own))
+        while some := list(itertools.islice(found, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
-    return lines.select("file", "page", "line_no", "text").groupBy("file", "page").applyInPandas(page, FOUND)
+    dealt = lines.select("file", "page", "line_no", "text").repartition("file", "page").sortWithinPartitions("file", "page", "line_no")
+    return dealt.mapInArrow(read, FOUND)
 
 
 def clean_box(box_text: Column) -> Column:

@@ -5,6 +5,7 @@ import math
 import duckdb
 
 from cotejo import catalogue
+from cotejo.operators import lines
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -22,3 +23,9 @@ def check(spark, name, folder=SMALL, tables=("part",)):
 
 def test_duplicates_have_the_columns_of_their_sql(spark):
     check(spark, "dup_fanout")
+
+
+def test_a_line_is_normalised_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(lines, "normalised", lambda t: asked.append(t) or t)
+    assert not lines._noise("Enlace 20") and asked == ["Enlace 20"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import catalogue, similarity, text
-from cotejo.operators.reconcile import NAMES, SOURCES, is_valid, valid
+from cotejo.operators.reconcile import NAMES, SOURCES, is_valid, valid, with_places
 from cotejo.plans.graphs import global_order
 from cotejo.plans.saved import saved
 from cotejo.sources import workbook
@@ -87,7 +87,8 @@ def rows(results: DataFrame, with_word: bool = True, numbered: str | None = None
     """The report's 41 columns (33 without documents) of results that homologation() went through, in their order.
 
     A dash stands for what is absent, N/D for an absent level.  Results of a comparison by ID have its
-    columns; others say that there is no ID.  numbered: a column of results that stands before them.
+    columns; others say that there is no ID.  numbered: a column of results that stands before them, by which whoever reads them can order
+    them; they aren't ordered then.
     """
     used = [s for s in SOURCES if with_word or s != "word"]
     by_id = "order_state" in results.columns
@@ -132,13 +133,14 @@ def rows(results: DataFrame, with_word: bool = True, numbered: str | None = None
         "Resultado de orden": of("order_state", no),
         "Detalle de orden": of("order_detail", "Sin ID de referencia en Excel; solo se comparan nombres y niveles."),
     }
-    return results.orderBy("place").select(*([F.col(numbered)] if numbered else []), *[c.alias(n) for n, c in out.items()])
+    ordered = results if numbered else results.orderBy("place")
+    return ordered.select(*([F.col(numbered)] if numbered else []), *[c.alias(n) for n, c in out.items()])
 
 
-def placed_rows(results: DataFrame, with_word: bool = True) -> DataFrame:
-    """rows behind Lugar (long), each row's place in the report from 1."""
+def placed_rows(results: DataFrame, with_word: bool = True, told: DataFrame | None = None) -> DataFrame:
+    """rows behind Lugar (long), each row's place in the report from 1, in no order.  told: details of duplicates that results lack (see reconcile.with_places)."""
     ordered = global_order(results, ["place"], "Lugar").withColumn("Lugar", F.col("Lugar") + 1)
-    return rows(ordered, with_word, "Lugar")
+    return rows(ordered if told is None else with_places(ordered, told), with_word, "Lugar")
 
 
 def filtered(rows: DataFrame, kinds: list[str] | None = None, open_names: bool = False, open_order: bool = False, search: str = "") -> DataFrame:

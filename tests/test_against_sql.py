@@ -5,7 +5,7 @@ import math
 import duckdb
 
 from cotejo import catalogue
-from cotejo.operators import lines
+from cotejo.operators import lines, reconcile
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -29,3 +29,13 @@ def test_a_line_is_normalised_once(monkeypatch):
     asked = []
     monkeypatch.setattr(lines, "normalised", lambda t: asked.append(t) or t)
     assert not lines._noise("Enlace 20") and asked == ["Enlace 20"]
+
+
+def test_details_of_duplicates_are_left_to_those_who_ask(spark, tmp_path):
+    """What is saved and shuffled of the results doesn't grow with the square of a group of equal titles."""
+    n = 400
+    source = spark.createDataFrame([(i, "Enlace de Apoyo", "20") for i in range(n)], "seq long, puesto_original string, nivel_original string")
+    results, told = reconcile.short_sections({"excel": source, "organigrama": source})
+    assert results.where("section = -1 AND detail IS NULL").count() == 2 * n and told.count() == 2
+    details = {r.detail for r in reconcile.with_places(results, told).where("section = -1").collect()}
+    assert len(details) == 2 and all(d.count("fila=") == n for d in details)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +58,16 @@ def _or(value: Column, other: str) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", other).otherwise(value)
 
 
+def _with_names(results: DataFrame, used: list[str]) -> DataFrame:
+    """results with what rows say of titles in several columns, made once for each: shown title, key and category of each source's, key and category of the first."""
+    out = results.withColumns({f"_{s}_shown": F.col(f"{s}.title") if s == "organigrama" else text.homologate(F.col(f"{s}.title")) for s in used} | {f"_{s}_key": F.when(F.col(s).isNotNull(), text.comparison_key(F.col(f"{s}.title"))) for s in used})
+    out = out.withColumns({f"_{s}_kind": catalogue.category(F.col(f"_{s}_key")) for s in used})
+    first = lambda what: reduce(lambda other, s: F.when(F.col(s).isNotNull(), F.col(f"_{s}_{what}")).otherwise(other), [s for s in reversed(used)], F.lit(None).cast("string"))
+    return out.withColumns({"_key": first("key"), "_kind": first("kind")})
+
+
 def name_differences(used: list[str], by_id: bool) -> Column:
-    """What a result's sources say differently of its name."""
+    """What a result's sources say differently of its name; of results that _with_names() went through."""
     order = [s for s in ("excel", "organigrama", "word") if s in used]
     error = F.col("key") == "[ERROR]"
     parts = []
@@ -68,7 +77,7 @@ def name_differences(used: list[str], by_id: bool) -> Column:
             pending = (F.col("order_state") == config.CHECK_ID) | (F.col(f"order_{s}") == config.UNVERIFIABLE)
             lost = F.when(pending & (F.col("section") >= 1), f"{NAMES[s]}: aparición sin asignar; consultar el detalle de orden.").otherwise(lost)
         parts.append(F.when(F.col(s).isNull(), lost).when(error, f"{NAMES[s]}: error de extracción; revisar el documento."))
-    shown = {s: F.col(f"{s}.title") if s == "organigrama" else text.homologate(F.col(f"{s}.title")) for s in used}
+    shown = {s: F.col(f"_{s}_shown") for s in used}
     for a, b in PAIRS:
         if a in used and b in used:
             pair = f"{NAMES[a]} vs {NAMES[b]}"
@@ -93,15 +102,13 @@ def rows(results: DataFrame, with_word: bool = True, numbered: str | None = None
     used = [s for s in SOURCES if with_word or s != "word"]
     by_id = "order_state" in results.columns
     there = {s: F.col(s).isNotNull() for s in used}
-    first = F.coalesce(*[text.comparison_key(F.when(there[s], F.col(f"{s}.title"))) if s == "excel" else F.when(there[s], text.comparison_key(F.col(f"{s}.title"))) for s in used if s != "excel"])
-    first = F.when(there["excel"], text.comparison_key(F.col("excel.title"))).otherwise(first)
-    kind = catalogue.category(first)
+    first, kind = F.col("_key"), F.col("_kind")
     levels = F.array_join(F.transform(catalogue.levels(kind), lambda n: n.cast("string")), ", ")
     canonical = F.col("canonical") if "canonical" in results.columns else first
     title = {s: F.when(there[s], F.coalesce(f"{s}.title", F.lit(""))).otherwise("—") for s in used}
     level = {s: F.when(there[s], _or(F.col(f"{s}.level_text"), "N/D")).otherwise("—") for s in used}
-    state = {s: F.when(there[s], catalogue.level_state(catalogue.category(text.comparison_key(F.col(f"{s}.title"))), F.col(f"{s}.level"))).otherwise("—") for s in used}
-    name = {s: F.when(there[s] & (F.col("key") != "[ERROR]"), F.col(f"{s}.title") if s == "organigrama" else text.homologate(F.col(f"{s}.title"))).otherwise("—") for s in used}
+    state = {s: F.when(there[s], catalogue.level_state(F.col(f"_{s}_kind"), F.col(f"{s}.level"))).otherwise("—") for s in used}
+    name = {s: F.when(there[s] & (F.col("key") != "[ERROR]"), F.col(f"_{s}_shown")).otherwise("—") for s in used}
     at = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—")) if by_id else F.lit("—")
     of = lambda c, other: F.col(c) if by_id else F.lit(other)
     boss = lambda s: F.when(there[s], _or(F.col(f"{s}.boss"), "—")).otherwise("—") if by_id else F.lit("—")
@@ -133,7 +140,7 @@ def rows(results: DataFrame, with_word: bool = True, numbered: str | None = None
         "Resultado de orden": of("order_state", no),
         "Detalle de orden": of("order_detail", "Sin ID de referencia en Excel; solo se comparan nombres y niveles."),
     }
-    ordered = results if numbered else results.orderBy("place")
+    ordered = _with_names(results if numbered else results.orderBy("place"), used)
     return ordered.select(*([F.col(numbered)] if numbered else []), *[c.alias(n) for n, c in out.items()])
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cotejo import config
+from cotejo.operators import by_id
 from cotejo.operators.by_id import compare_by_id
 from cotejo.operators.reconcile import classify, duplicates, report_sections, three_way
 
@@ -92,3 +93,15 @@ def test_results_by_name(spark):
     assert found[4].detail == "Puesto duplicado 2 veces dentro de Excel. Ubicaciones: fila=4; fila=5" and found[4].confidence == round(100 * 26 / 30, 1)
     sections = report_sections({"excel": e.withColumn("error", F.when(F.col("seq") == 1, "roto")), "organigrama": o}).groupBy("section").count().collect()
     assert {r.section: r["count"] for r in sections} == {-2: 1, -1: 2, 1: 3, 3: 1}
+
+
+def test_places_are_listed_for_ambiguous_rows_alone(spark):
+    """Rows carry the number of their candidates; the places, which grow with the square of a group, are joined last."""
+    rows = spark.sql("SELECT 9L AS id_excel, 1L AS seq, 'a' AS key, 'N1' AS level, 'b' AS boss, 'b' AS boss_key")
+    records = spark.sql("SELECT CAST(id AS LONG) AS position, 'a' AS key, IF(id < 4, 'N1', 'N2') AS level, 'b' AS boss_key, id > 1 AS verified FROM range(1, 6)")
+    found = by_id._found(rows, records, True)
+    assert not [f for f in found.schema if f.dataType.typeName() == "array"]
+    r = found.first()
+    assert (r.n, r.at, r.n_like) == (2, 2, 3)
+    unsure = found.select("seq", "group", F.lit("<").alias("note"), F.lit(">").alias("after"))
+    assert by_id._listed(unsure, records).collect() == [(1, "<2, 3>")]

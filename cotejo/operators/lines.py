@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo import config
-from cotejo.functions.text import normalised
+from cotejo.functions.text import normalised, once
 
 # A quantity, a title and a level; a title and a level; the least length of a title.
 COUNTED = re.compile(r"^\s*(\d{1,3})\s+(.*[A-Za-zÁÉÍÓÚÑáéíóúñ].*?)\s+(\d{1,3})\s*$")
@@ -80,14 +80,13 @@ def clean_box(box_text: Column) -> Column:
     """(title, level) of a box: an explicit level is cut out first, else the first number of up to three digits, one of the catalogue's levels before others; doubled halves are one."""
     valid = sorted({n for v in config.LEVELS.values() for n in v})
     explicit = r"(?i)(nivel\s*[:\-]?\s*\d{1,3}|\bn[ivl]*[.\-]?\s*\d{1,3}\b)"
-    named = F.regexp_extract(box_text, explicit, 1)
-    tokens = F.filter(F.split(F.trim(box_text), r"\s+"), lambda t: t != "")
-    numbers = F.filter(tokens, lambda t: t.rlike(r"^\d{1,3}$"))
-    known = F.filter(numbers, lambda t: t.try_cast("int").isin(*valid))
-    number = F.coalesce(F.get(known, F.lit(0)), F.get(numbers, F.lit(0)))
-    level = F.when(named != "", named).otherwise(number)
-    rest = F.when(named != "", F.filter(F.split(F.trim(F.regexp_replace(box_text, explicit, " ")), r"\s+"), lambda t: t != "")).otherwise(F.filter(tokens, lambda t: number.isNull() | (t != number)))
-    half = F.floor(F.size(rest) / 2).cast("int")
-    doubled = (F.size(rest) > 1) & (F.size(rest) % 2 == 0) & (F.slice(rest, F.lit(1), F.greatest(half, F.lit(1))) == F.slice(rest, half + 1, F.greatest(half, F.lit(1))))
-    return F.struct(F.array_join(F.when(doubled, F.slice(rest, F.lit(1), half)).otherwise(rest), " ").alias("title"), level.alias("level"))
-
+    split = lambda text: F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
+    half = lambda rest: F.floor(F.size(rest) / 2).cast("int")
+    doubled = lambda rest: (F.size(rest) > 1) & (F.size(rest) % 2 == 0) & (F.slice(rest, F.lit(1), F.greatest(half(rest), F.lit(1))) == F.slice(rest, half(rest) + 1, F.greatest(half(rest), F.lit(1))))
+    title = lambda rest: once(rest, lambda r: F.array_join(F.when(doubled(r), F.slice(r, F.lit(1), half(r))).otherwise(r), " "))
+    known = lambda numbers: F.filter(numbers, lambda t: t.try_cast("int").isin(*valid))
+    number = lambda tokens: once(F.filter(tokens, lambda t: t.rlike(r"^\d{1,3}$")), lambda n: F.coalesce(F.get(known(n), F.lit(0)), F.get(n, F.lit(0))))
+    made = lambda rest, level: F.struct(title(rest).alias("title"), level.alias("level"))
+    plain = lambda tokens: once(number(tokens), lambda n: made(F.filter(tokens, lambda t: n.isNull() | (t != n)), n))
+    cut = lambda text, named: F.when(named != "", made(split(F.regexp_replace(text, explicit, " ")), named)).otherwise(once(split(text), plain))
+    return once(box_text, lambda text: once(F.regexp_extract(text, explicit, 1), lambda named: cut(text, named)))

@@ -164,7 +164,7 @@ def test_a_title_is_read_once_for_its_key(spark):
     """However often a function names a value, the plan makes it once."""
     df = spark.createDataFrame([("Dir. de Área",)], "only_title string")
     name = text.homologate(F.col("only_title"))
-    for made in (text.comparison_key(F.col("only_title")), catalogue.level_state(catalogue.category(name), F.lit("N40")), catalogue.specific_name(name), catalogue.warning(name, F.lit("N40")), text.suffix(name), text.modifiers(name)):
+    for made in (text.comparison_key(F.col("only_title")), catalogue.level_state(catalogue.category(name), F.lit("N40")), catalogue.specific_name(name), catalogue.warning(name, F.lit("N40")), text.suffix(name), text.modifiers(name), lines.clean_box(F.col("only_title")), text.is_noise(name, ["^a", "b$"])):
         plan = df.select(made.alias("made"))._jdf.queryExecution().optimizedPlan().toString()
         project = plan[: plan.rindex("LogicalRDD")]
         assert project.count("only_title") == 1, project

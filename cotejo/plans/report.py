@@ -35,7 +35,7 @@ def homologation(results: DataFrame, sources: dict[str, DataFrame] | None, with_
             out = out.withColumn(f"_{name}_n", F.lit(1))
         else:
             titles = valid(sources[name]).groupBy("puesto_original").agg(F.count("*").alias("n"))  # keys are made once for each title
-            counts = titles.groupBy(text.comparison_key(F.col("puesto_original")).alias(f"_{name}_key")).agg(F.sum("n").alias(f"_{name}_n"))
+            counts = saved(titles.groupBy(text.comparison_key(F.col("puesto_original")).alias(f"_{name}_key")).agg(F.sum("n").alias(f"_{name}_n")))
             out = out.join(counts, f"_{name}_key", "left")
     pairs = [(a, b) for a, b in PAIRS if a in used and b in used]
     key = lambda s: F.col(f"_{s}_key")

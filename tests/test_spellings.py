@@ -18,3 +18,10 @@ def test_records_of_a_spelling_without_level_are_duplicates(spark):
     found = {r["seq"]: r for r in reconcile.duplicates(source, "Excel").collect()}
     assert sorted(found) == [1, 2, 3] and {r["n"] for r in found.values()} == {3} and {r["first"] for r in found.values()} == {1}
     assert found[3]["detail"] == "Puesto duplicado 3 veces dentro de Excel. Ubicaciones: fila=1; fila=2; fila=3"
+
+
+def test_joins_on_keys_read_saved_representatives(spark):
+    source = spark.createDataFrame([(1, "Asesor", None), (2, "Enlace", "21")], "seq long, puesto_original string, nivel_original string")
+    firsts = matching.representatives(source)
+    assert firsts.inputFiles()  # else the join's filter on keys makes them for each record
+    assert [(r["o_key"], r["o_seq"]) for r in matching.exact_pairs(firsts, firsts.where("seq = 2")).collect()] == [("enlace", 2)]

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 DPI, POINTS, OWN_TEXT = 300, 72, 15
 
 
-_ENDS = r"^\s+|\s+$"
+_ENDS = " \t\n\x0b\f\r"
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(_ENDS))
 
 
 def _joined(parts: str, order: str, separator: str) -> Column:

@@ -83,10 +83,14 @@ def records(cells: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     placed = cells.join(places, ["file", "sheet"]).where(F.col("row") > F.col("header_row"))
     pick = lambda c: F.max(F.when(F.col("col") == F.col(c), F.col("value")))
     rows = placed.groupBy("file", "sheet", "row").agg(pick("title_col").alias("puesto_original"), pick("level_col").alias("nivel_original"), pick("id_col").alias("id_text"), pick("boss_col").alias("jefe_text"), F.bool_or(F.col("id_col").isNotNull()).alias("has_ids"), F.max("title_col").alias("title_col"), F.max("level_col").alias("level_col"))
-    title, level = text.normalise_title(F.col("puesto_original")), text.normalise_title(F.col("nivel_original"))
-    repeated = title.isin(*config.TITLE_HEADERS, "nombre del puesto", "denominacion del puesto") & ((level == "") | _has(level, config.LEVEL_HEADERS))
-    summed = reduce(lambda a, b: a | b, [title.startswith(p) for p in config.SUMMARY_PREFIXES])
-    return rows.where((title != "") & ~repeated & ~summed)
+    level = text.normalise_title(F.col("nivel_original"))
+
+    def kept(title: Column) -> Column:
+        repeated = title.isin(*config.TITLE_HEADERS, "nombre del puesto", "denominacion del puesto") & ((level == "") | _has(level, config.LEVEL_HEADERS))
+        summed = reduce(lambda a, b: a | b, [title.startswith(p) for p in config.SUMMARY_PREFIXES])
+        return (title != "") & ~repeated & ~summed
+
+    return rows.where(text.once(text.normalise_title(F.col("puesto_original")), kept))
 
 
 def table_records(rows: DataFrame) -> DataFrame:

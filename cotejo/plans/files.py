@@ -52,7 +52,8 @@ def excel_positions(spark: SparkSession, path: str, sheet: str | None = None) ->
     )
     nothing = F.lit(None).cast("string")
     bad = read.where("error IS NOT NULL").select("file", F.lit(-1).alias("sheet_no"), F.lit(0).alias("row"), F.lit("").alias("puesto_original"), *[nothing.alias(c) for c in ("nivel_original", "id_text", "jefe")], F.lit(False).alias("has_ids"), F.concat(F.lit(BAD_WORKBOOK), "error").alias("error"), _name(F.col("file")).alias("ubicacion"))
-    rows = global_order(rows.unionByName(bad), ["file", "sheet_no", "row"], "seq").withColumn("id_excel", F.when(F.col("has_ids"), text.parse_id(F.col("id_text"))))
+    rows = saved(rows.unionByName(bad))  # to be sampled for ranges without being made twice
+    rows = global_order(rows, ["file", "sheet_no", "row"], "seq").withColumn("id_excel", F.when(F.col("has_ids"), text.parse_id(F.col("id_text"))))
     rows = saved(rows.withColumn("jefe_id", text.parse_id(F.col("jefe"))))
     same = rows.where("id_excel IS NOT NULL").groupBy("id_excel").agg(F.count("*").alias("n"))
     bosses = sequence.resolve_boss(rows).select("seq", "boss")

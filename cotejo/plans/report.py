@@ -20,6 +20,11 @@ from cotejo.sources import workbook
 PAIRS = [("excel", "word"), ("excel", "organigrama"), ("word", "organigrama")]
 
 
+def _keys(results: DataFrame, source: str) -> Column:
+    """The comparison key of a source's title: records of a comparison by ID have it, others' is made."""
+    return F.col(f"{source}.key") if "key" in results.schema[source].dataType.names else text.comparison_key(F.col(f"{source}.title"))
+
+
 def homologation(results: DataFrame, sources: dict[str, DataFrame] | None, with_word: bool = True) -> DataFrame:
     """results with compared (map of pair to state), homologation and similarity.
 
@@ -30,7 +35,7 @@ def homologation(results: DataFrame, sources: dict[str, DataFrame] | None, with_
     used = [s for s in SOURCES if with_word or s != "word"]
     out = results
     for name in used:
-        out = out.withColumn(f"_{name}_key", F.when(F.col(name).isNotNull() & (F.col("key") != "[ERROR]"), text.comparison_key(F.col(f"{name}.title"))))
+        out = out.withColumn(f"_{name}_key", F.when(F.col(name).isNotNull() & (F.col("key") != "[ERROR]"), _keys(results, name)))
         if sources is None:
             out = out.withColumn(f"_{name}_n", F.lit(1))
         else:
@@ -61,7 +66,7 @@ def _or(value: Column, other: str) -> Column:
 
 def _with_names(results: DataFrame, used: list[str]) -> DataFrame:
     """results with what rows say of titles in several columns, made once for each: shown title, key and category of each source's, key and category of the first."""
-    out = results.withColumns({f"_{s}_shown": F.col(f"{s}.title") if s == "organigrama" else text.homologate(F.col(f"{s}.title")) for s in used} | {f"_{s}_key": F.when(F.col(s).isNotNull(), text.comparison_key(F.col(f"{s}.title"))) for s in used})
+    out = results.withColumns({f"_{s}_shown": F.col(f"{s}.title") if s == "organigrama" else text.homologate(F.col(f"{s}.title")) for s in used} | {f"_{s}_key": F.when(F.col(s).isNotNull(), _keys(results, s)) for s in used})
     out = out.withColumns({f"_{s}_kind": catalogue.category(F.col(f"_{s}_key")) for s in used})
     first = lambda what: reduce(lambda other, s: F.when(F.col(s).isNotNull(), F.col(f"_{s}_{what}")).otherwise(other), [s for s in reversed(used)], F.lit(None).cast("string"))
     return out.withColumns({"_key": first("key"), "_kind": first("kind")})

@@ -4,6 +4,7 @@ import pandas as pd
 
 from cotejo.functions import similarity
 from cotejo.operators import by_id
+from cotejo.plans import report
 
 
 def test_a_ratio_is_made_once_for_a_pair_of_titles(monkeypatch):
@@ -21,3 +22,8 @@ def test_records_take_their_texts_from_spellings(spark):
     got = {r.seq: (r.position, r.normalised, r.level, r.level_text, r.key, r.boss_key) for r in by_id._records(rows, titles, levels).collect()}
     unit = "jefatura de unidad departamental de ventas"
     assert got == {1: (1, "jud de ventas", "N25", "Nivel 25", unit, ""), 2: (2, "jud de ventas", "", None, unit, unit), 3: (3, "enlace", "N25", "Nivel 25", "enlace", "asesor")}
+
+
+def test_reports_by_id_take_the_keys_of_records(spark):
+    row = spark.sql("SELECT 'a' AS key, named_struct('title', 'A', 'key', 'a') AS excel, named_struct('title', 'B', 'key', 'b') AS organigrama")
+    assert "regexp_replace" not in report.homologation(row, None, False)._jdf.queryExecution().analyzed().toString()

@@ -27,3 +27,10 @@ def test_records_take_their_texts_from_spellings(spark):
 def test_reports_by_id_take_the_keys_of_records(spark):
     row = spark.sql("SELECT 'a' AS key, named_struct('title', 'A', 'key', 'a') AS excel, named_struct('title', 'B', 'key', 'b') AS organigrama")
     assert "regexp_replace" not in report.homologation(row, None, False)._jdf.queryExecution().analyzed().toString()
+
+
+def test_ratios_of_batches_with_nulls():
+    for n in range(4):
+        for there in range(n + 1):
+            got = similarity.indel_ratio.func(pd.Series(["ab"] * there + [None] * (n - there), dtype=object), pd.Series(["abc"] * n, dtype=object))
+            assert [None if pd.isna(x) else round(x, 6) for x in got] == [80.0] * there + [None] * (n - there)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.plans.joins import SALTS, salted
+from cotejo.plans.joins import SALTS, dealt, salted
 
 #: Rows of a block that intervals are cut into.
 BLOCK = 1024
@@ -24,7 +24,7 @@ def cell_sizes(boxes: DataFrame) -> DataFrame:
 
 def _sized(df: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
     """df with its page's cell sizes; rows of pages without boxes go.  by: a column that differs in a page's rows."""
-    return salted(df, sizes, ["page"], by, F.lit(SALTS))
+    return salted(dealt(df), dealt(sizes), ["page"], by, F.lit(SALTS))
 
 
 def _cell(at: Column, size: str) -> Column:
@@ -53,7 +53,7 @@ def near_pairs(rects: DataFrame, number: str, near: float) -> DataFrame:
     own = rects.select("page", number, *edges, *[F.floor(F.col(c) / near).cast("long").alias(k) for c, k in (("x0", "cell_x"), ("y0", "cell_y"))])
     beside = lambda k: F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)]))
     other = own.select("page", F.col(number).alias("before"), *[F.col(c).alias(f"o{c}") for c in edges], beside("cell_x").alias("cell_x"), "cell_y").withColumn("cell_y", beside("cell_y"))
-    pairs = own.join(other, CELL).where(F.col("before") < F.col(number))
+    pairs = own.join(dealt(other), CELL).where(F.col("before") < F.col(number))
     for c in edges:
         pairs = pairs.where(F.abs(F.col(c) - F.col(f"o{c}")) <= near)
     return pairs.select("page", number, "before")

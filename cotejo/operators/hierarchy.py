@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cotejo import config
 from cotejo.operators import grid
 from cotejo.plans.graphs import orders
+from cotejo.plans.joins import dealt
 from cotejo.plans.saved import saved
 
 def preorder(edges: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def preorder(edges: DataFrame) -> DataFrame:
     """
     first = edges.groupBy("tree", "node").agg(F.min(F.struct("parent", "rank")).alias("first"))
     walked = orders(first.select("tree", "node", "first.parent", "first.rank"))
-    return edges.select("tree", "node", F.col("parent").alias("boss")).join(walked, ["tree", "node"], "left").select("tree", "node", "depth", "position", "boss")
+    return edges.select("tree", "node", F.col("parent").alias("boss")).join(dealt(walked), ["tree", "node"], "left").select("tree", "node", "depth", "position", "boss")
 
 
 def tree_problems(edges: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def box_candidates(boxes: DataFrame) -> DataFrame:
     """Boxes (page, box, x0, y0, x1, y1) over 5 points wide and high whose area is within the band around the page's median."""
     sized = boxes.where("x1 - x0 > 5 AND y1 - y0 > 5").withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
     median = sized.groupBy("page").agg(F.percentile("area", 0.5).alias("median"))
-    return sized.join(median, "page").where((F.col("area") >= config.AREA_LOW * F.col("median")) & (F.col("area") <= config.AREA_HIGH * F.col("median"))).drop("median")
+    return sized.join(dealt(median), "page").where((F.col("area") >= config.AREA_LOW * F.col("median")) & (F.col("area") <= config.AREA_HIGH * F.col("median"))).drop("median")
 
 
 def innermost(boxes: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def innermost(boxes: DataFrame) -> DataFrame:
     inside = (F.col("i_x0") >= F.col("x0") - s) & (F.col("i_y0") >= F.col("y0") - s) & (F.col("i_x1") <= F.col("x1") + s) & (F.col("i_y1") <= F.col("y1") + s)
     other = (F.col("i_x0") != F.col("x0")) | (F.col("i_y0") != F.col("y0")) | (F.col("i_x1") != F.col("x1")) | (F.col("i_y1") != F.col("y1"))
     holders = grid.boxes_in_cells(boxes, sizes, "box", s).join(inner, grid.CELL).where(inside & other & (F.col("i_box") != F.col("box"))).select("page", "box").distinct()
-    return boxes.join(holders, ["page", "box"], "left_anti")
+    return boxes.join(dealt(holders), ["page", "box"], "left_anti")
 
 
 def box_texts(boxes: DataFrame, lines: DataFrame) -> DataFrame:

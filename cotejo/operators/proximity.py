@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo import config
 from cotejo.functions import text
+from cotejo.plans.joins import dealt
 
 # The distance of blocks as a share of the page's height, how far blocks may overlap or stand aside in such distances.
 SHARE, OVERLAP, ASIDE = 0.03, 3, 4
@@ -16,6 +17,7 @@ SHARE, OVERLAP, ASIDE = 0.03, 3, 4
 LEVELS = [r"(?i)nivel\s*[:\-]?\s*\d{1,3}", r"(?i)\bn[ivl]*[.\-]?\s*\d{1,3}\b", r"\b\d{1,3}\b"]
 UNORDERED = "Orden no verificable: lectura por OCR/cercanía, sin conectores verificables."
 PAGE_NUMBER = [r"^p[aá]gina\s*\d+"]
+EDGES = ["x0", "y0", "x1", "y1"]
 
 
 def clusters(boxes: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +52,21 @@ def proximity_clusters(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     in the order from top to bottom, from left to right; texts are joined as they joined.  Blocks of no text or without a place are left out.
     """
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "line"], ignore_index=True)
-        pdf["box"], pdf["joined"] = clusters(pdf[["x0", "y0", "x1", "y1"]].to_numpy("float64"), pdf["height"].iloc[0] * SHARE)
-        found = pdf.sort_values("joined").groupby("box", sort=True).agg(text=("text", " ".join), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max")).reset_index()
-        return found.assign(file=pdf["file"].iloc[0], page=pdf["page"].iloc[0])[["file", "page", "box", "text", "x0", "y0", "x1", "y1"]]
+    def page(own: pa.Table) -> pa.Table:
+        at = np.lexsort([own.column(c).to_numpy() for c in ("line", "x0", "y0")])
+        corners = np.column_stack([own.column(c).to_numpy() for c in EDGES])[at]
+        label, joined = clusters(corners, own.column("height")[0].as_py() * SHARE)
+        order = np.lexsort((joined, label))
+        box, begins = np.unique(label[order], return_index=True)
+        said = np.array(own.column("text").to_pylist(), dtype=object)[at][order]
+        texts = [" ".join(part) for part in np.split(said, begins[1:])]
+        outline = [pa.array(c, from_pandas=True) for c in (*np.fmin.reduceat(corners[order, :2], begins).T, *np.fmax.reduceat(corners[order, 2:], begins).T)]
+        names = [own.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(box), "int64"))) for c in ("file", "page")]
+        return pa.table([*names, box, texts, *outline], names=["file", "page", "box", "text", *EDGES])
 
-    placed = blocks.where("text IS NOT NULL AND trim(text) <> '' AND x0 + y0 + x1 + y1 IS NOT NULL").join(pages.where("height IS NOT NULL").dropDuplicates(["file", "page"]), ["file", "page"])
-    rows = placed.select("file", F.col("page").cast("int").alias("page"), F.col("line").cast("long").alias("line"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "height")])
-    return rows.groupBy("file", "page").applyInPandas(page, "file string, page int, box long, text string, x0 double, y0 double, x1 double, y1 double")
+    placed = blocks.where("text IS NOT NULL AND trim(text) <> '' AND x0 + y0 + x1 + y1 IS NOT NULL").join(dealt(pages.where("height IS NOT NULL").dropDuplicates(["file", "page"])), ["file", "page"])
+    rows = placed.select("file", F.col("page").cast("int").alias("page"), F.col("line").cast("long").alias("line"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), *[F.col(c).cast("double").alias(c) for c in (*EDGES, "height")])
+    return rows.groupBy("file", "page").applyInArrow(page, "file string, page int, box long, text string, x0 double, y0 double, x1 double, y1 double")
 
 
 def proximity_records(blocks: DataFrame, pages: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from cotejo.functions import text
 from cotejo.operators import blocks, by_id, cells, connectors, hierarchy, lines, proximity, reconcile, sequence
 from cotejo.plans import report
 from cotejo.plans.graphs import global_order
+from cotejo.plans.joins import dealt
 from cotejo.plans.saved import saved
 from cotejo.sources import office
 
@@ -132,16 +133,16 @@ def chart_positions(pages: DataFrame, rects: DataFrame, page_lines: DataFrame, s
     blocks.word_lines) are what was recognised in the images of pages; they count where a page has next to no text of its own.
     """
     if words is not None:
-        read_alone = blocks.word_lines(words).join(blocks.own_text(page_lines), ["file", "page"], "left_anti")
-        page_lines = page_lines.join(blocks.own_text(page_lines), ["file", "page"], "left_semi").select("file", "page", "line", "text", "x0", "y0", "x1", "y1").unionByName(read_alone.select("file", F.col("page"), "line", "text", "x0", "y0", "x1", "y1"))
+        read_alone = blocks.word_lines(words).join(dealt(blocks.own_text(page_lines)), ["file", "page"], "left_anti")
+        page_lines = page_lines.join(dealt(blocks.own_text(page_lines)), ["file", "page"], "left_semi").select("file", "page", "line", "text", "x0", "y0", "x1", "y1").unionByName(read_alone.select("file", F.col("page"), "line", "text", "x0", "y0", "x1", "y1"))
     rects, page_lines, segments = (df.withColumn("page", F.struct("file", F.col("page").cast("int").alias("page"))).drop("file") for df in (rects, page_lines, segments))
     sized = rects.where("x1 - x0 > 5 AND y1 - y0 > 5")
     boxes = saved(hierarchy.innermost(hierarchy.box_candidates(connectors.unique_boxes(sized).withColumnRenamed("rect_no", "box"))).select("page", "box", "x0", "y0", "x1", "y1"))
     cleaned = hierarchy.box_texts(boxes, page_lines).select("page", "box", lines.clean_box(F.col("text")).alias("c")).select("page", "box", "c.title", F.col("c.level").alias("level"))
-    told = saved(connectors.positions(boxes.join(cleaned, ["page", "box"])))
+    told = saved(connectors.positions(boxes.join(dealt(cleaned), ["page", "box"])))
     ordered = connectors.order_by_connectors(told, segments)
-    read = told.join(ordered, ["page", "box"]).select("page.file", "page.page", "x0", "y0", "title", "level", "boss", "verified", "error", "position", (F.coalesce("position", "reading_order")).alias("_place"))
-    bare = page_lines.join(boxes.select("page").distinct(), "page", "left_anti").select("page.file", F.col("page.page").alias("page"), "line", "text", "x0", "y0", "x1", "y1")
+    read = told.join(dealt(ordered), ["page", "box"]).select("page.file", "page.page", "x0", "y0", "title", "level", "boss", "verified", "error", "position", (F.coalesce("position", "reading_order")).alias("_place"))
+    bare = page_lines.join(dealt(boxes.select("page").distinct()), "page", "left_anti").select("page.file", F.col("page.page").alias("page"), "line", "text", "x0", "y0", "x1", "y1")
     near = proximity.proximity_records(bare, pages).select("file", "page", "x0", "y0", "title", "level", F.lit(None).cast("string").alias("boss"), F.lit(False).alias("verified"), "error", F.lit(None).cast("long").alias("position"), F.col("box").alias("_place"))
     rows = connectors.over_pages(saved(read.unionByName(near)))
     place = text.location(_name(F.col("file")), page=F.col("page"), about=F.format_string("x=%.0f,y=%.0f", "x0", "y0"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cotejo import __main__ as command
 from cotejo import config
-from cotejo.operators import proximity
+from cotejo.operators import connectors, hierarchy, proximity
 from cotejo.plans import files, report
 from cotejo.plans.saved import shared_folder
 from cotejo.sources import office
@@ -111,6 +111,18 @@ def test_chart_of_several_pages(spark, tmp_path):
     assert rows[1].jefe_inmediato == "Dirección General" and rows[1].nivel_original == "21"
 
 
+def test_no_table_of_a_chart_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    """However small its files are: Spark sends tables whose files have up to 10 MB to every executor, and these hold hundreds of MB of rows."""
+    plans = []
+    told = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    for module in (files, hierarchy, connectors):
+        monkeypatch.setattr(module, "saved", lambda df, saved=module.saved: told(df) or saved(df))
+    monkeypatch.setattr(files, "global_order", lambda df, by, name: told(df) or df.withColumn(name, F.lit(0)))
+    chart(spark, tmp_path / "chart", 2)
+    assert files.read_chart(spark, str(tmp_path / "chart")).count() == 6
+    assert sum(p.count("SortMergeJoin") for p in plans) > 30 and not [p for p in plans if "Broadcast" in p]
+
+
 def walk(boxes, margin):
     """Clusters by passes over the free boxes until a pass adds none."""
     free, out = list(range(len(boxes))), []
